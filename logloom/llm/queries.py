@@ -1,11 +1,14 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, language_id
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op7_decontaminate": decontaminate.SQL,
 }
