@@ -1,14 +1,19 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import decontaminate, exact_dedup, language_id
+from . import chat, decontaminate, exact_dedup, language_id, mixing, secrets
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_secrets": secrets.op6_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_chat": chat.op8_chat,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_secrets": secrets.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op8_chat": chat.SQL,
 }
