@@ -1,11 +1,13 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, language_id, mixing, secrets
+from . import chat, decontaminate, exact_dedup, language_id, mixing, near_dedup, packing, secrets
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_secrets": secrets.op6_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_chat": chat.op8_chat,
