@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, language_id, mixing, near_dedup, packing, secrets
+from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, secrets, suffix_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_chat": chat.op8_chat,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {

@@ -44,27 +44,31 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(_BYTE[raw[inside]] * power[offset], first) + sizes.astype(np.uint64))
 
 
-def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct ``k``-word shingles of each text, hashed to 64 bits; fewer words are one shingle, none no shingle."""
-    slices, size, begin = [], 0, 0
+def _slices(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in slices of bounded size, each with the place of its first text."""
+    begin, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"") + 1
-        if size > 4_000_000:
-            slices.append((begin, i + 1))
+        if size > most or i == len(texts) - 1:
+            yield begin, [x or b"" for x in texts[begin : i + 1]]
             begin, size = i + 1, 0
-    slices.append((begin, len(texts)))
-    for a, b in slices:
-        own = [t or b"" for t in texts[a:b]]
-        if not own:
-            continue
-        at = np.r_[0, np.cumsum([len(t) + 1 for t in own])]
+
+
+def word_numbers(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of texts: place of the first text, number of words of each, and the words' 64-bit hashes."""
+    for first, own in _slices(texts):
         starts, words = _word_hashes(b"\n".join(own))
-        cut = np.searchsorted(starts, at)
+        yield first, np.diff(np.searchsorted(starts, np.r_[0, np.cumsum([len(t) + 1 for t in own])])), words
+
+
+def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct ``k``-word shingles of each text, hashed to 64 bits; fewer words are one shingle, none no shingle."""
+    for _, sizes, words in word_numbers(texts):
+        cut = np.r_[0, np.cumsum(sizes)]
         rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
             rolled = mixed(rolled * np.uint64(_BASE) + words[j : j + len(rolled)] + np.uint64(j + 1))
-        for i in range(len(own)):
-            x, y = cut[i], cut[i + 1]
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if y - x >= k:
                 yield np.unique(rolled[x : y - k + 1])
             elif y > x:
