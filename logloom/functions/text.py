@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as browsers see it: Spark's trim() knows the blank alone, and Java's \s only ASCII.
-SPACE = r"\t\n\x0B\f\r    -     　﻿"
+SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Any character of a line.
-ANY = r"[^\n\r  ]"
+ANY = r"[^\n\r\u2028\u2029]"
 
 
 def js_trim(c: Column) -> Column:
