@@ -30,7 +30,7 @@ from .components import connected_components
 from .shingles import SIGNATURE, alike, mixed, shingle_sets, signature
 
 #: Independent trees, tokens after which a node is passed on, classes of a node that are compared, classes of a block.
-TREES, DEPTH, NODE, BLOCK = 6, 6, 128, 256
+TREES, DEPTH, NODE, BLOCK = 6, 3, 256, 256
 
 
 def _sketches(k: int):
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     clusters = clusters.join(sizes, F.col("cluster") == F.col("c")).join(classes.select("class", "one"), F.col("node") == F.col("class"))
     wanted = clusters.select("cluster", "members", "class", F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"))
     # one row for each class: rows that repeat id and text have the same class
-    fetched = texts.join(wanted, (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id"))).select("cluster", "members", "class", "text")
+    fetched = texts.join(wanted.hint("merge"), (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id"))).select("cluster", "members", "class", "text")
     members = materialise(fetched.mapInArrow(_full_sets(k), "cluster binary, members long, class binary, shingles binary").dropDuplicates(["class"]))
     small = members.filter(F.col("members") <= BLOCK).repartition(n, "cluster").sortWithinPartitions("cluster", "class").select("cluster", "class", "shingles")
     links = small.mapInArrow(_join_up(percent, ["cluster"]), PAIR)
@@ -330,7 +330,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_co
     Edge cases as in :func:`near_duplicates`.  Rows without text stay; of rows that repeat the id that stays one is kept.
     """
     gone = near_duplicates(docs, k, percent, text_col, id_col).filter("NOT kept").select(F.col(id_col).cast("long").alias("__id"), F.col("h").alias("__h")).distinct()
-    left = docs.join(gone, (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    left = docs.join(gone.hint("merge"), (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
     return left
 
 
