@@ -6,10 +6,10 @@ method: the vector of probabilities moves through the null space of the balancin
 1, so that both the number of documents and the number of words of the sample stay what the probabilities promise.
 
 Only a few numbers of each document take part.  They are dealt by hash into blocks of a source of about ``block``
-documents; a flight needs to hold three documents at a time and leaves at most two undecided, so that no task ever
-holds a block and a hot source is many blocks.  The undecided of many blocks fly again, level by level, until one block a
-source is left.  There the flight leaves out a few documents of all sizes, and the landing phase picks, among all roundings of those
-and of the undecided, the one that comes nearest to the promised words.
+documents, so that a task holds one block's numbers and a hot source is many blocks.  A flight leaves at most two
+documents undecided, and leaves out a few of every size.  Those fly again, level by level, until one block a source is
+left.  There the landing phase rounds the undecided and the left-out ones so that the words taken come as near as they
+can to what was promised.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Units that wait for the landing.
-HELD = 14
+#: Units of which the landing tries all roundings; units of each power of two that wait; blocks that meet in one of the next level.
+HELD, OCTAVE, FAN = 14, 6, 256
 UNIT = "unit_id long, h long, source string, size long, n long, source_size long, target double, base int, phi double, blocks long, shard long"
 
 
@@ -82,15 +82,23 @@ class Flight:
         return out
 
     def land(self, held: list) -> list:
-        """Round what is left with the ``held`` units: of all roundings the one nearest to the promised words, then documents."""
-        units = [*self.left(), *held]
+        """Round what is left with the ``held`` units: the larger ones one by one, so that the error in words stays least, and of
+        all roundings of the last ``HELD`` the one nearest to the promised words, then documents."""
+        units = sorted([*self.left(), *held], key=lambda x: -x[0][3] * x[0][4])
         if not units:
             return []
         phi = np.array([x[1] for x in units])
         size = np.array([float(x[0][3] * x[0][4]) for x in units])
+        out, error = [], 0.0  # words taken beyond the promise so far
+        most = max(0, len(units) - HELD)
+        for i in range(most):
+            take = error + (1 - phi[i]) * size[i] <= phi[i] * size[i] - error
+            error += (take - phi[i]) * size[i]
+            out.append((units[i][0], float(take)))
+        units, phi, size = units[most:], phi[most:], size[most:]
         choice = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
-        best = np.lexsort((np.abs(choice.sum(1) - phi.sum()), np.round(np.abs(choice @ size - phi @ size), 6)))[0]
-        return [(tag, float(x)) for (tag, _), x in zip(units, choice[best], strict=True)]
+        best = np.lexsort((np.abs(choice.sum(1) - phi.sum()), np.round(np.abs(choice @ size - phi @ size + error), 6)))[0]
+        return out + [(tag, float(x)) for (tag, _), x in zip(units, choice[best], strict=True)]
 
     def left(self) -> list:
         out = [(tag, phi) for phi, _, tag in self.active]
@@ -99,45 +107,40 @@ class Flight:
 
 
 def _fly(seed: int, level: int):
-    """Units come by source, block and falling size; each block is one flight.  The only block of a source (bounded by the
-    block's size) also lands: ``HELD`` of its units, of all sizes, wait for the landing."""
-
-    def last_block(rows: list, flight: Flight) -> list:
-        open_ = [row for row in rows if 0 < row[8] < 1]
-        held = {round(i * (len(open_) - 1) / max(1, HELD - 1)) for i in range(HELD)} if open_ else set()
-        out = [(row, row[8]) for row in rows if not 0 < row[8] < 1]
-        for i, row in enumerate(open_):
-            if i not in held:
-                out += flight.add(row[8], float(row[3] * row[4]), row)
-        return out + flight.land([(open_[i], open_[i][8]) for i in sorted(held)])
+    """Units come by source, block and falling size; each block is one flight.  ``OCTAVE`` units of each power of two in size
+    wait, so that what is rounded at last can be made up for at every scale: they land in a source's only block, and go
+    on to the next level in others."""
+
+    def one(rows: list, flight: Flight, last: bool) -> list:
+        out, held, seen = [], [], {}
+        for row in rows:
+            size = row[3] * row[4]
+            octave = size.bit_length()
+            if 0 < row[8] < 1 and seen.get(octave, 0) < OCTAVE:
+                seen[octave] = seen.get(octave, 0) + 1
+                held.append((row, row[8]))
+            else:
+                out += flight.add(row[8], float(size), row)
+        return out + (flight.land(held) if last else flight.left() + held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flight, now, schema, out, block = None, None, None, [], []
+        now, schema, block = None, None, []
 
         def close():
-            if now and now[2] == 1:
-                return last_block(block, flight)
-            return flight.left() if flight else []
+            if block:
+                out = one(block, Flight(zlib.crc32(repr((seed, level, now)).encode())), now[2] == 1)
+                for at in range(0, len(out), 10_000):
+                    yield _batch(out[at : at + 10_000], schema)
 
         for batch in batches:
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = (row[2], row[10], row[9])
                 if key != now:
-                    out += close()
-                    flight, now, block = Flight(zlib.crc32(repr((seed, level, key)).encode())), key, []
-                if key[2] == 1:
-                    block.append(row)
-                elif row[1] % 1024 == 0:  # left for the last block, which lands the better the more sizes it has
-                    out.append((row, row[8]))
-                else:
-                    out += flight.add(row[8], float(row[3] * row[4]), row)
-            if len(out) >= 10_000:
-                yield _batch(out, schema)
-                out = []
-        out += close()
-        if out:
-            yield _batch(out, schema)
+                    yield from close()
+                    now, block = key, []
+                block.append(row)
+        yield from close()
 
     def _batch(decided: list, schema: pa.Schema) -> pa.RecordBatch:
         columns = list(zip(*[(*row[:8], phi, *row[9:]) for row, phi in decided], strict=True))
@@ -192,8 +195,8 @@ def shares(df: DataFrame, weights: tuple[float, ...] | dict, total: float, cap:
         done = decided if done is None else done.unionByName(decided)
         if blocks == 1:
             break
-        blocks, level = -(-blocks // 4096), level + 1
-        flying = flown.filter("phi > 0 AND phi < 1").withColumn("shard", F.floor(F.col("shard") / 4096)).withColumn("blocks", F.ceil(F.col("blocks") / 4096))
+        blocks, level = -(-blocks // FAN), level + 1
+        flying = flown.filter("phi > 0 AND phi < 1").withColumn("shard", F.floor(F.col("shard") / FAN)).withColumn("blocks", F.ceil(F.col("blocks") / FAN))
     return done.select("unit_id", "h", "source", "size", "n", "source_size", "target", (F.col("base") * F.when(F.col("size") > 0, 1).otherwise(0) + F.col("phi").cast("int")).alias("copies"))
 
 
