@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,11 @@ SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 ANY = r"[^\n\r\u2028\u2029]"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once for each row, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 
@@ -47,7 +54,7 @@ def csv_line(*columns: Column) -> Column:
 
 
 def normalize_cell(c: Column, kind: T.DataType, preview: bool = True) -> Column:
-    """A cell as text or number: dates as ISO text, nested values as JSON; a preview shows blobs by size and numbers that JSON can't hold as text."""
+    """A cell as text or number: dates as ISO text, nested values as JSON; a preview shows blobs by size and long integers as text."""
     if isinstance(kind, T.BinaryType):
         size = F.octet_length(c)
         return F.concat(F.lit("<binary "), size.cast("string"), F.when(size == 1, " byte>").otherwise(" bytes>")) if preview else F.base64(c)
@@ -57,8 +64,8 @@ def normalize_cell(c: Column, kind: T.DataType, preview: bool = True) -> Column:
         return F.date_format(c, "yyyy-MM-dd'T00:00:00.000Z'")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
-    if isinstance(kind, (T.DoubleType, T.FloatType)) and preview:
-        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c.cast("double"))
+    if isinstance(kind, T.LongType) and preview:
+        return c.cast("string")
     if isinstance(kind, T.DecimalType):
         return c.cast("string") if preview else c.cast("double")
     return c

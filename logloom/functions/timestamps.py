@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import js_trim
+from .text import js_trim, let
 
 # Fixed values.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -69,7 +69,20 @@ def parse_timestamp(c: Column, tz: str = "UTC") -> Column:
 
     Fractions are cut to milliseconds.  ``tz`` is the zone of values that name none.
     """
+    return let(js_trim(c), lambda v: _timestamp(v, tz))
+
+
+def is_timestamp(c: Column) -> Column:
+    """Whether :func:`parse_timestamp` finds one, at less cost."""
     v = js_trim(c)
+    month = f"^\\d\\d/({'|'.join(MONTHS)})/"
+    day = F.substring(v, 6, 3)
+    leap = v.rlike(r"^(\d\d(0[48]|[2468][048]|[13579][26])|([02468][048]|[13579][26])00)")
+    ordinal = v.rlike(ORDINAL) & (day >= "001") & ((day <= "365") | ((day == "366") & leap))
+    return F.coalesce(v.rlike(ISO) | ordinal | (v.rlike(CLF) & v.rlike(month)), F.lit(False))
+
+
+def _timestamp(v: Column, tz: str) -> Column:
     zone = F.regexp_extract(v, r"(Z|[+-]\d{2}:?\d{2})\z", 1)
     iso = _zoned(_days(_int(v, 1, 4), _int(v, 6, 2), _int(v, 9, 2)) * DAY + _clock(v, 12) + _fraction(F.substr(v, F.lit(20))), zone, tz)
     year, doy = _int(v, 1, 4), _int(v, 6, 3)
@@ -94,8 +107,8 @@ def parse_epoch(c: Column) -> Column:
 
 def parse_json_timestamp(text: Column, is_number: Column, tz: str = "UTC") -> Column:
     """Of a JSON value given as text: numbers and strings of nine digits or more are epochs, other strings timestamps."""
-    v = js_trim(text)
-    return F.when(is_number, _scaled(text.try_cast("decimal(38,9)"))).when(v.rlike(r"^\d{9,}(\.\d+)?\z"), _scaled(v.try_cast("decimal(38,9)"))).otherwise(parse_timestamp(v, tz))
+    digits = lambda v: v.rlike(r"^\d{9,}(\.\d+)?\z")
+    return let(js_trim(text), lambda v: F.when(is_number | digits(v), _scaled(v.try_cast("decimal(38,9)"))).otherwise(_timestamp(v, tz)))
 
 
 def parse_syslog(c: Column, year: Column, tz: str = "UTC") -> Column:

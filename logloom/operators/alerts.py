@@ -48,11 +48,22 @@ def latest_epoch(rows: DataFrame) -> DataFrame:
 
 
 def poll_classify(polls: DataFrame) -> DataFrame:
-    """What each poll (file, poll_no, size) of a followed file says: removed, rotate, none or bytes, with the bytes to read."""
-    before = F.coalesce(F.lag("size").over(W.partitionBy("file").orderBy("poll_no")), F.lit(0).cast("long"))
-    known = F.greatest(before, F.lit(0).cast("long"))
-    kind = F.when(F.col("size") < 0, "removed").when(F.col("size") < known, "rotate").when(F.col("size") == known, "none").otherwise("bytes")
-    return polls.withColumn("event", kind).withColumn("n_bytes", F.when(F.col("event") == "bytes", F.col("size") - known).when(F.col("event") == "rotate", F.col("size")).otherwise(F.lit(0).cast("long")))
+    """What each poll (file, poll_no, size) of a followed file says: removed, rotate, none or bytes, with the bytes to read.
+
+    A rotation forgets the size before, so that a second loss of size right after it isn't another rotation: in a run of
+    shrinking sizes every other one is.
+    """
+    w = W.partitionBy("file").orderBy("poll_no")
+    seen = polls.filter("size >= 0").withColumn("__before", F.lag("size").over(w)).withColumn("__less", F.coalesce(F.col("size") < F.col("__before"), F.lit(False)))
+    seen = seen.withColumn("__run", F.sum((~F.col("__less")).cast("int")).over(w))
+    place = F.row_number().over(W.partitionBy("file", "__run").orderBy("poll_no")) - 1  # 0 is where the run began
+    seen = seen.withColumn("__rotate", F.col("__less") & (place % 2 == 1))
+    zero = F.lit(0).cast("long")
+    offset = F.when(F.coalesce(F.lag("__rotate").over(w), F.lit(False)), zero).otherwise(F.coalesce("__before", zero))
+    seen = seen.withColumn("__offset", offset)
+    event = F.when(F.col("__rotate"), "rotate").when(F.col("size") <= F.col("__offset"), "none").otherwise("bytes")
+    out = seen.select("file", "poll_no", "size", event.alias("event"), F.when(event == "bytes", F.col("size") - F.col("__offset")).otherwise(zero).alias("n_bytes"))
+    return out.unionByName(polls.filter("size < 0").select("file", "poll_no", "size", F.lit("removed").alias("event"), zero.alias("n_bytes")))
 
 
 def segment_line_numbers(segments: DataFrame) -> DataFrame:

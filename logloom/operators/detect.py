@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import normalize_level
 from ..functions.text import is_blank
-from ..functions.timestamps import parse_syslog, parse_timestamp
+from ..functions.timestamps import is_timestamp, parse_syslog
+from ..session import scratch
 from . import parsers
-from .parsers import ACCESS, AUTO_TEMPLATES, DEFAULT_TEMPLATE, _fields, json_object
+from .parsers import ACCESS, AUTO_TEMPLATES, DEFAULT_TEMPLATE, fields, json_object
 
 SAMPLE = 200
 # Names of JSON keys, the preferred first; delimiters in the order they are tried.
@@ -46,9 +47,7 @@ def template_scores(lines: DataFrame) -> DataFrame:
     """file and, for each template, the share of lines in which it finds a timestamp or a level."""
     line, found = F.col("line"), []
     for t in AUTO_TEMPLATES:
-        fits, f = _fields(line, t)
-        ts = parse_timestamp(f["%d"]) if "%d" in f else parse_syslog(f["%S"], F.lit(2001))
-        ok = fits & (ts.isNotNull() | (normalize_level(f["%l"]).isNotNull() if "%l" in f else F.lit(False)))
+        ok = fields(line, t, lambda fits, f: fits & ((is_timestamp(f["%d"]) if "%d" in f else parse_syslog(f["%S"], F.lit(2001)).isNotNull()) | (normalize_level(f["%l"]).isNotNull() if "%l" in f else F.lit(False))))
         found.append(F.coalesce(ok, F.lit(False)).cast("int"))
     return lines.groupBy("file").agg(*[F.avg(c).alias(f"s{i}") for i, c in enumerate(found)])
 
@@ -75,7 +74,7 @@ def detect_dsv(lines: DataFrame) -> DataFrame:
     good = wide.groupBy("file", "rank").agg(F.first("delimiter").alias("delimiter"), F.first("most").alias("most"), F.avg((F.col("n") == F.col("most")).cast("int")).alias("share")).filter("most >= 2 AND share >= 0.95")
     chosen = good.groupBy("file").agg(F.min_by("rank", "rank").alias("rank"), F.min_by("delimiter", "rank").alias("delimiter"))
     each = wide.join(chosen.select("file", "rank"), ["file", "rank"]).select("file", "rows", F.posexplode("cells").alias("pos", "cell"))
-    hits = each.groupBy("file", "pos").agg((F.count(parse_timestamp(F.col("cell"))) / F.first("rows") >= 0.5).alias("ts"), (F.count(normalize_level(F.col("cell"))) / F.first("rows") >= 0.5).alias("level"))
+    hits = each.groupBy("file", "pos").agg((F.count_if(is_timestamp(F.col("cell"))) / F.first("rows") >= 0.5).alias("ts"), (F.count(normalize_level(F.col("cell"))) / F.first("rows") >= 0.5).alias("level"))
     ts = hits.filter("ts").groupBy("file").agg(F.min("pos").alias("ts_col"))
     level = hits.filter("level").join(ts, "file", "left").filter("ts_col IS NULL OR pos <> ts_col").groupBy("file").agg(F.min("pos").alias("level_col"))
     return chosen.select("file", "delimiter").join(ts, "file", "left").join(level, "file", "left")
@@ -84,13 +83,16 @@ def detect_dsv(lines: DataFrame) -> DataFrame:
 def detect_format(lines: DataFrame) -> DataFrame:
     """One row for each file: kind (json, w3c, combined, log4j-xml, dsv or pattern) and what its parser needs."""
     files = lines.select("file").distinct()
-    some = sample(lines)
+    spark = lines.sparkSession
+    path = scratch(spark)
+    sample(lines).write.parquet(path)  # a few hundred lines of each file, which several counts look at
+    some = spark.read.parquet(path)
     line = F.col("line")
     first_fields = F.first(F.when(line.startswith("#Fields:"), line), ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     some = some.withColumn("fields", F.filter(F.split(F.trim(F.substr(first_fields, F.lit(9))), r"\s+"), lambda x: x != ""))
     parts = F.split("line", " ", -1)
     data = ~line.startswith("#")
-    row_ok = data & (F.size(parts) >= F.size("fields")) & parse_timestamp(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).isNotNull()
+    row_ok = data & (F.size(parts) >= F.size("fields")) & is_timestamp(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
     stats = some.groupBy("file").agg(
         F.count("*").alias("n"),
         F.count_if(json_object(line).isNotNull()).alias("objects"),

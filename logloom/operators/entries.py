@@ -32,5 +32,8 @@ def entries(df: DataFrame, ts_ms: Column, level: Column, message: Column) -> Dat
 
 
 def with_seq(df: DataFrame) -> DataFrame:
-    """Number the entries of each file from 0 in the order of their lines."""
+    """Number the entries of each file from 0 in the order of their lines.
+
+    The entries are read twice (to count blocks, and to number); costly ones are best written first.
+    """
     return running_sum(df.withColumn("__one", F.lit(1).cast("long")), "__one", "seq").select(*COLUMNS)

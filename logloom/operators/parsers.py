@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_from_severity, level_from_status, normalize_level
-from ..functions.text import ANY, SPACE, collapse_space, is_blank, js_trim, xml_unescape
+from ..functions.text import ANY, SPACE, collapse_space, is_blank, js_trim, let, xml_unescape
 from ..functions.timestamps import parse_epoch, parse_json_timestamp, parse_syslog, parse_timestamp
 from .entries import entries, running_sum
 
@@ -43,26 +44,25 @@ def compile_pattern(template: str) -> tuple[str, list[str]]:
     return "^" + quoted[0] + "".join(f"({SPECIFIERS[g]}){q}" for g, q in zip(groups, quoted[1:], strict=True)) + r"\z", groups
 
 
-def _fields(line: Column, template: str) -> tuple[Column, dict[str, Column]]:
-    """Whether a line fits a template, and its fields; the first of a specifier counts.  One run of the regex finds all."""
+def fields(line: Column, template: str, f: Callable[[Column, dict[str, Column]], Column]) -> Column:
+    """``f`` of whether a line fits a template and of its fields; the first of a specifier counts.  The regex runs once."""
     pattern, groups = compile_pattern(template)
     cells = F.split(F.regexp_replace(line, pattern, _CUT + _CUT.join(f"${i}" for i in range(1, len(groups) + 1))), _CUT, -1)
-    return F.size(cells) == len(groups) + 1, {g: F.get(cells, F.lit(groups.index(g) + 1)) for g in groups}
-
-
-def _template_entry(line: Column, template: str, tz: str) -> tuple[Column, Column, Column]:
-    fits, f = _fields(line, template)
-    ts = parse_timestamp(f["%d"], tz) if "%d" in f else parse_epoch(f["%s"]) if "%s" in f else F.lit(None).cast("long")
-    level = normalize_level(f["%l"]) if "%l" in f else F.lit(None).cast("string")
-    return F.when(fits, ts), F.when(fits, level), F.when(fits, f.get("%m", F.lit(""))).otherwise(line)
+    return let(cells, lambda x: f(F.size(x) == len(groups) + 1, {g: F.get(x, F.lit(groups.index(g) + 1)) for g in groups}))
 
 
 def parse_pattern(lines: DataFrame, template: str = DEFAULT_TEMPLATE, tz: str = "UTC") -> DataFrame:
     """Lines of a template; empty lines are left out, blank ones kept raw."""
-    found = lines.filter("line <> ''")
     if "%S" in template and "%d" not in template and "%s" not in template:
-        raise ValueError("dates without a year need parse_syslog")
-    return entries(found, *_template_entry(F.col("line"), template, tz))
+        raise ValueError("dates without a year need parse_syslog_lines")
+
+    def entry(fits: Column, f: dict[str, Column]) -> Column:
+        ts = parse_timestamp(f["%d"], tz) if "%d" in f else parse_epoch(f["%s"]) if "%s" in f else F.lit(None).cast("long")
+        level = normalize_level(f["%l"]) if "%l" in f else F.lit(None).cast("string")
+        return F.struct(F.when(fits, ts).alias("ts"), F.when(fits, level).alias("level"), F.when(fits, f.get("%m", F.lit(""))).otherwise(F.col("line")).alias("message"))
+
+    rows = lines.filter("line <> ''").withColumn("__e", fields(F.col("line"), template, entry))
+    return entries(rows, F.col("__e.ts"), F.col("__e.level"), F.col("__e.message"))
 
 
 def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m", tz: str = "UTC", forward: int = 48 * 3_600_000, backward: int = 355 * 86_400_000) -> DataFrame:
@@ -71,15 +71,17 @@ def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m
     A date more than ``forward`` ms after the one before belongs to the year before, one more than ``backward`` ms
     behind to the next year.  A step depends on two neighbouring dates alone, so the year is a running sum of steps.
     """
-    fits, f = _fields(F.col("line"), template)
-    rows = lines.filter("line <> ''").withColumn("__s", F.when(fits, f["%S"])).withColumn("__m", F.when(fits, f.get("%m", F.lit(""))).otherwise(F.col("line")))
-    rows = rows.withColumn("__l", F.when(fits, normalize_level(f["%l"])) if "%l" in f else F.lit(None).cast("string"))
-    rows = rows.withColumn("__t", parse_syslog(F.col("__s"), F.lit(2001), tz))
+    def entry(fits: Column, f: dict[str, Column]) -> Column:
+        level = normalize_level(f["%l"]) if "%l" in f else F.lit(None).cast("string")
+        return F.struct(F.when(fits, f["%S"]).alias("date"), F.when(fits, level).alias("level"), F.when(fits, f.get("%m", F.lit(""))).otherwise(F.col("line")).alias("message"))
+
+    rows = lines.filter("line <> ''").withColumn("__e", fields(F.col("line"), template, entry))
+    rows = rows.withColumn("__t", parse_syslog(F.col("__e.date"), F.lit(2001), tz))
     before = F.last("__t", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
     gap = F.col("__t") - before
     rows = rows.withColumn("__step", F.when(gap > forward, -1).when(gap < -backward, 1).otherwise(0).cast("long"))
     rows = running_sum(rows, "__step", "__steps")
-    return entries(rows, parse_syslog(F.col("__s"), F.lit(start_year) + F.col("__steps") + F.col("__step"), tz), F.col("__l"), F.col("__m"))
+    return entries(rows, parse_syslog(F.col("__e.date"), F.lit(start_year) + F.col("__steps") + F.col("__step"), tz), F.col("__e.level"), F.col("__e.message"))
 
 
 def _key(name: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .filters import known_levels, matches, small
 
 # Tints of the levels, and the colour of a rule whose own is no colour.
-TINTS = {"WARN": "#fff8e1", "ERROR": "#ffebee", "FATAL": "#fce4ec"}
-DEFAULT_COLOR = "#ffe082"
+TINTS = {"TRACE": "rgba(158,158,158,0.10)", "DEBUG": "rgba(102,187,106,0.10)", "INFO": "", "WARN": "rgba(255,152,0,0.16)", "ERROR": "rgba(244,67,54,0.18)", "FATAL": "rgba(183,28,28,0.42)"}
+DEFAULT_COLOR = "#f85149"
 
 KEY = ("file", "line_no")
 

@@ -1,4 +1,746 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries over log lines rendered from the given tables, and SQL that derives the same rows from the columns."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import levels, text, timestamps
+from ..operators import alerts, detect, export, filters, parsers, pins, reports, rules
+from ..operators.entries import with_seq
+from ..session import scratch
+from ..sources import lines as sources
+from ..streaming import follow
+from . import render
 
 QUERIES = {}
 ORACLES = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+# ---- SQL of the rendered lines
+
+LEVEL = "CASE event_type WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'FATAL' ELSE 'ERROR' END WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'view' THEN 'DEBUG' ELSE 'TRACE' END"
+TOKEN = "CASE event_type WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'CRITICAL' ELSE 'SEVERE' END WHEN 'purchase' THEN 'WARNING' WHEN 'signup' THEN 'NOTICE' WHEN 'view' THEN 'debug' ELSE 'FINE' END"
+MSG = "(event_type || ' user=' || user_id || ' value=' || CAST(floor(value) AS BIGINT))"
+STATUS = "list_extract([200, 201, 301, 404, 500, 503], CAST(event_id % 6 AS INT) + 1)"
+METHOD = render.METHOD
+STATUS_LEVEL = f"CASE WHEN {STATUS} >= 500 THEN 'ERROR' WHEN {STATUS} >= 400 THEN 'WARN' END"
+SEC = "(epoch_us(ts) // 1000000 * 1000)"
+
+
+def iso(ms: str) -> str:
+    return f"(strftime(make_timestamp(CAST({ms} AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z')"
+
+
+def ev(prefix: str = "app", suffix: str = "log", files: int = 8) -> str:
+    return f"(SELECT *, '{prefix}' || (event_id % {files}) || '.{suffix}' AS file, CAST(row_number() OVER (PARTITION BY event_id % {files} ORDER BY event_id) AS BIGINT) AS line_no FROM events)"
+
+
+def parsed(source: str, ts_ms: str, level: str, message: str, raw: str, where: str = "true") -> str:
+    return f"(SELECT line_no - 1 AS seq, ts_ms, {iso('ts_ms')} AS ts_iso, level, message, raw, file, line_no FROM (SELECT file, line_no, CAST({ts_ms} AS BIGINT) AS ts_ms, {level} AS level, {message} AS message, {raw} AS raw FROM {source} WHERE {where}))"
+
+
+BAD = "event_id % 97 = 0"
+APP_RAW = f"CASE WHEN {BAD} THEN 'no form here ' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || {TOKEN} || ': ' || {MSG} END"
+APP = parsed(ev(), f"CASE WHEN {BAD} THEN NULL ELSE {SEC} END", f"CASE WHEN {BAD} THEN NULL ELSE {LEVEL} END", f"CASE WHEN {BAD} THEN 'no form here ' || event_id ELSE {MSG} END", APP_RAW)
+THREADS = parsed(ev("thr"), SEC, LEVEL, MSG, f"strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [worker-' || (user_id % 5) || '] ' || {TOKEN} || ': ' || {MSG}")
+ENTRY = "seq, ts_ms, ts_iso, level, message, raw, file, line_no"
+
+
+def app_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_seq(parsers.parse_pattern(render.app(spark, sf_dir)))
+
+
+def thread_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_seq(parsers.parse_pattern(render.threads(spark, sf_dir), "%d [%t] %l: %m"))
+
+
+# ---- sources
+
+
+def _files(spark: SparkSession, lines: DataFrame) -> str:
+    """Write lines to one text file for each file name, in order."""
+    path = scratch(spark)
+    lines.select(F.col("file").alias("log"), "line_no", "line").repartition("log").sortWithinPartitions("log", "line_no").select("log", "line").write.partitionBy("log").text(path)
+    return path
+
+
+def _by_folder(df: DataFrame) -> DataFrame:
+    return df.select(F.regexp_extract("path", "/log=([^/]+)/", 1).alias("file"), "line_no", "line")
+
+
+@query("src_text_lines", f"SELECT file, line_no, {APP_RAW} AS line FROM {ev()}")
+def src_text_lines(spark, sf_dir):
+    return _by_folder(sources.read_log_lines(spark, f"{_files(spark, render.app(spark, sf_dir))}/*"))
+
+
+@query("src_line_numbers", f"SELECT file, line_no FROM {ev()} WHERE line_no % 3 > 0")
+def src_line_numbers(spark, sf_dir):
+    """Every third line is empty: it counts, but isn't there; every other one ends in a carriage return."""
+    lines = render.app(spark, sf_dir)
+    line = F.when(F.col("line_no") % 3 == 0, "").when(F.col("line_no") % 2 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line"))
+    got = _by_folder(sources.read_log_lines(spark, f"{_files(spark, lines.withColumn('line', line))}/*"))
+    return got.filter("NOT endswith(line, '\\r')").select("file", "line_no")
+
+
+@query("seq_per_file", f"SELECT file, line_no, line_no - 1 AS seq FROM {ev()}")
+def seq_per_file(spark, sf_dir):
+    return app_entries(spark, sf_dir).select("file", "line_no", "seq")
+
+
+@query("src_dir_accept", "SELECT ext, count(*) AS n FROM (SELECT list_extract(['log', 'TXT', 'csv', 'bin', 'xml', 'log.gz', 'yml'], CAST(event_id % 7 AS INT) + 1) AS ext FROM events) WHERE ext NOT IN ('bin', 'log.gz') GROUP BY ext")
+def src_dir_accept(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("element_at(array('log', 'TXT', 'csv', 'bin', 'xml', 'log.gz', 'yml'), cast(event_id % 7 AS int) + 1)").alias("ext"), "event_id")
+    return names.filter(sources.accepted(F.concat(F.col("event_id").cast("string"), F.lit("."), F.col("ext")))).groupBy("ext").agg(F.count("*").alias("n"))
+
+
+def _zipped(key, frame: pd.DataFrame) -> pd.DataFrame:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("sub/", "")
+        for name, own in frame.sort_values("line_no").groupby("file"):
+            z.writestr(f"sub/{name}", "\r\n".join(own["line"]))
+    return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [out.getvalue()]})
+
+
+@query("src_zip_members", f"SELECT 'a' || (line_no // 500) || file || '.zip' AS path, 'sub/' || file AS file, line_no % 500 + 1 AS line_no, {APP_RAW} AS line FROM {ev()}")
+def src_zip_members(spark, sf_dir):
+    lines = render.app(spark, sf_dir).withColumn("archive", F.concat(F.lit("a"), F.floor(F.col("line_no") / 500).cast("string"), "file"))
+    got = sources.zip_members(lines.groupBy("archive").applyInPandas(_zipped, "path string, content binary"))
+    first = lines.groupBy(F.concat("archive", F.lit(".zip")).alias("path")).agg(F.min("line_no").alias("first"))
+    return got.join(first, "path").select("path", "file", ((F.col("first") + F.col("line_no") - 1) % 500 + 1).alias("line_no"), "line")
+
+
+_DOC_LINES = "(SELECT 'doc' || doc_id AS file, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
+
+
+@query("src_lines_from_column", f"SELECT file, line_no, CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END AS line FROM {_DOC_LINES} WHERE line NOT IN ('', chr(13))")
+def src_lines_from_column(spark, sf_dir):
+    return sources.lines_from_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+
+
+@query("merge_files", f"SELECT {ENTRY} FROM {APP} UNION ALL SELECT {ENTRY} FROM {THREADS} WHERE file <> 'thr3.log'")
+def merge_files(spark, sf_dir):
+    ready = [f"app{i}.log" for i in range(8)] + [f"thr{i}.log" for i in range(8) if i != 3]
+    return sources.merge_files(app_entries(spark, sf_dir), thread_entries(spark, sf_dir), ready=ready)
+
+
+_ENC = "CASE doc_id % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' WHEN 3 THEN CASE WHEN strlen(text) > length(text) THEN 'windows-1252' ELSE 'utf-8' END ELSE 'utf-8' END"
+
+
+@query("encoding_census", f"SELECT encoding, count(DISTINCT doc_id) AS files, sum(n)::BIGINT AS lines FROM (SELECT doc_id, {_ENC} AS encoding, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS n FROM documents WHERE length(text) > 0) WHERE n > 0 GROUP BY encoding")
+def encoding_census(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 0")
+    own = lambda charset: F.encode("text", charset)
+    marked = F.when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), own("UTF-16LE"))).when(F.col("doc_id") % 4 == 2, own("UTF-16BE"))
+    marked = F.when(F.col("doc_id") % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), own("UTF-16BE"))).otherwise(marked)
+    latin = F.encode(F.regexp_replace("text", "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 4 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 4 == 3, latin).otherwise(marked)
+    return sources.encoding_census(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+
+
+@query("table_preview", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS o_orderdate, o_orderpriority, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 50000 AS truncated FROM orders LIMIT 50000")
+def table_preview(spark, sf_dir):
+    shown, total, truncated = reports.preview(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return shown.withColumns({"total": F.lit(total).cast("long"), "truncated": F.lit(truncated)})
+
+
+@query("table_list", "SELECT DISTINCT upper('part_' || p_partkey % 100) AS name FROM part")
+def table_list(spark, sf_dir):
+    name = F.concat(F.lit("part_"), (F.col("p_partkey") % 100).cast("string"))
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.array(name, F.upper(name), F.concat(F.lit("sqlite_"), name))).alias("name"))
+    return reports.list_names(names)
+
+
+# ---- parsers
+
+
+@query("parse_pattern_dlm", f"SELECT {ENTRY} FROM {APP}")
+def parse_pattern_dlm(spark, sf_dir):
+    return app_entries(spark, sf_dir)
+
+
+@query("parse_pattern_thread", f"SELECT {ENTRY} FROM {THREADS}")
+def parse_pattern_thread(spark, sf_dir):
+    return thread_entries(spark, sf_dir)
+
+
+PLAIN = parsed(ev("gc"), "(epoch_us(ts) // 1000)", "NULL", MSG, f"strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ ') || {MSG}")
+
+
+@query("parse_pattern_dm", f"SELECT {ENTRY.replace('level', 'CAST(level AS VARCHAR) AS level')} FROM {PLAIN}")
+def parse_pattern_dm(spark, sf_dir):
+    return with_seq(parsers.parse_pattern(render.plain(spark, sf_dir), "%d %m"))
+
+
+EPOCH = "CASE event_id % 3 WHEN 0 THEN CAST((epoch_us(ts) // 1000) // 1000 AS VARCHAR) WHEN 1 THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) ELSE ((epoch_us(ts) // 1000) // 1000) || '.' || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') END"
+
+
+@query("parse_pattern_epoch", f"SELECT {ENTRY} FROM {parsed(ev('ep'), f'CASE WHEN event_id % 3 = 0 THEN {SEC} ELSE (epoch_us(ts) // 1000) END', LEVEL, MSG, f'''{EPOCH} || ' ' || {TOKEN} || ': ' || {MSG}''')}")
+def parse_pattern_epoch(spark, sf_dir):
+    return with_seq(parsers.parse_pattern(render.epochs(spark, sf_dir), "%s %l: %m"))
+
+
+@query("detect_template", f"SELECT DISTINCT file, '%d %l: %m' AS template FROM {ev()} UNION ALL SELECT DISTINCT file, '%d [%t] %l: %m' FROM {ev('thr')} UNION ALL SELECT DISTINCT file, '%d %m' FROM {ev('gc')} UNION ALL SELECT DISTINCT file, '%S %m' FROM {ev('sys', files=4)} WHERE line_no <= 200")
+def detect_template(spark, sf_dir):
+    parts = [f(spark, sf_dir) for f in (render.app, render.threads, render.plain, render.syslog)]
+    return detect.detect_template(detect.sample(parts[0].union(parts[1]).union(parts[2]).union(parts[3])))
+
+
+_DAY = "(TIMESTAMP '2023-07-01 06:00:00' + INTERVAL (line_no) DAY)"
+_SYS = f"(SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS k FROM {ev('sys', files=4)} WHERE line_no <= 900 AND strftime({_DAY}, '%m-%d') NOT IN ('02-28', '02-29', '03-01'))"
+
+
+@query("parse_syslog", f"SELECT k AS seq, epoch_ms({_DAY}) AS ts_ms, {iso(f'epoch_ms({_DAY})')} AS ts_iso, CAST(NULL AS VARCHAR) AS level, 'host app[' || user_id || ']: ' || event_type AS message, strftime({_DAY}, '%b %d %H:%M:%S') || ' host app[' || user_id || ']: ' || event_type AS raw, file, line_no FROM {_SYS}")
+def parse_syslog(spark, sf_dir):
+    return with_seq(parsers.parse_syslog_lines(render.syslog(spark, sf_dir), 2023, forward=10**15, backward=30 * 86_400_000))
+
+
+_WHOLE = f"""'{{' || CASE event_id % 3 WHEN 0 THEN '"@timestamp":"' || {iso('(epoch_us(ts) // 1000)')} || '"' WHEN 1 THEN '"ts":' || (epoch_us(ts) // 1000) ELSE '"time":"' || ((epoch_us(ts) // 1000) // 1000) || '"' END || ',' || CASE WHEN event_id % 3 = 1 THEN '"severity":' || (user_id % 9) ELSE '"level":"' || {TOKEN} || '"' END || CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"msg":"' || {MSG} || '"' END || '}}'"""
+_JBAD = "(event_id % 50 = 0 OR event_id % 51 = 0)"
+_JRAW = f"""CASE WHEN event_id % 50 = 0 THEN '{{"ts":' || event_id WHEN event_id % 51 = 0 THEN '[' || {_WHOLE} || ']' ELSE {_WHOLE} END"""
+_SEVERITY = "CASE user_id % 9 WHEN 0 THEN 'FATAL' WHEN 1 THEN 'FATAL' WHEN 2 THEN 'FATAL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN' WHEN 5 THEN 'INFO' WHEN 6 THEN 'INFO' WHEN 7 THEN 'DEBUG' END"
+JSON = parsed(ev("json", "json", 3), f"CASE WHEN {_JBAD} THEN NULL WHEN event_id % 3 = 2 THEN {SEC} ELSE (epoch_us(ts) // 1000) END", f"CASE WHEN {_JBAD} THEN NULL WHEN event_id % 3 = 1 THEN {_SEVERITY} ELSE {LEVEL} END", f"CASE WHEN {_JBAD} OR event_id % 13 = 0 THEN {_JRAW} ELSE {MSG} END", _JRAW)
+
+
+@query("parse_json_lines", f"SELECT {ENTRY} FROM {JSON}")
+def parse_json_lines(spark, sf_dir):
+    lines, out = render.json(spark, sf_dir), None
+    for i, (ts, level) in enumerate((("@timestamp", "level"), ("ts", "severity"), ("time", "level"))):
+        own = parsers.parse_json_lines(lines.filter(F.col("file") == f"json{i}.json"), ts, level, "msg")
+        out = own if out is None else out.union(own)
+    return with_seq(out)
+
+
+@query("json_key_resolution", "SELECT 'json' || k || '.json' AS file, list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) AS ts_key, CASE WHEN k = 1 THEN 'severity' ELSE 'level' END AS level_key, 'msg' AS msg_key FROM (SELECT DISTINCT event_id % 3 AS k FROM events)")
+def json_key_resolution(spark, sf_dir):
+    return detect.resolve_json_keys(render.json(spark, sf_dir))
+
+
+_WBAD = "event_id % 71 = 0"
+_WTIME = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+_WBODY = f"(SELECT * REPLACE (line_no + 2 AS line_no) FROM {ev('iis', files=2)})"
+_WRAW = f"CASE WHEN {_WBAD} THEN {_WTIME} ELSE {_WTIME} || ' 10.0.0.' || (user_id % 250) || ' ' || {METHOD} || ' /p ' || {STATUS} || CASE WHEN event_id % 5 = 0 THEN ' agent 1.0' ELSE ' agent' END END"
+W3C = f"""(SELECT {ENTRY} FROM {parsed(_WBODY, f"CASE WHEN {_WBAD} THEN NULL ELSE {SEC} END", f"CASE WHEN {_WBAD} THEN NULL ELSE {STATUS_LEVEL} END", f"CASE WHEN {_WBAD} THEN {_WTIME} ELSE '10.0.0.' || (user_id % 250) || ' ' || {METHOD} || ' /p ' || {STATUS} END", _WRAW)}
+UNION ALL SELECT DISTINCT 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '#Version: 1.0', '#Version: 1.0', file, 1 FROM {ev('iis', files=2)}
+UNION ALL SELECT DISTINCT 1, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '#Fields: {" ".join(render.W3C_FIELDS)}', '#Fields: {" ".join(render.W3C_FIELDS)}', file, 2 FROM {ev('iis', files=2)})"""
+
+
+@query("parse_w3c", f"SELECT {ENTRY} FROM {W3C}")
+def parse_w3c(spark, sf_dir):
+    return with_seq(parsers.parse_w3c(render.w3c(spark, sf_dir), render.W3C_FIELDS))
+
+
+_AWALL = "CASE WHEN user_id % 2 = 1 THEN strftime(ts + INTERVAL '5 hours 30 minutes', '%d/%b/%Y:%H:%M:%S') || ' +0530' ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' END"
+_ABAD = "event_id % 89 = 0"
+_AREQ = f"{METHOD} || ' /p/' || (event_id % 40) || CASE WHEN event_id % 7 = 0 THEN '' ELSE ' HTTP/1.1' END"
+_ARAW = f"""CASE WHEN {_ABAD} THEN 'no request' ELSE '10.0.0.' || (user_id % 250) || ' - - [' || {_AWALL} || '] "' || {_AREQ} || '" ' || {STATUS} || ' 512' || CASE WHEN event_id % 2 = 0 THEN ' "-" "agent 1.0"' ELSE '' END END"""
+ACCESS = parsed(ev("access", files=2), f"CASE WHEN {_ABAD} THEN NULL ELSE {SEC} END", f"CASE WHEN {_ABAD} THEN NULL ELSE {STATUS_LEVEL} END", f"CASE WHEN {_ABAD} THEN 'no request' ELSE {_AREQ} || ' ' || {STATUS} END", _ARAW)
+
+
+@query("parse_access_log", f"SELECT {ENTRY} FROM {ACCESS}")
+def parse_access_log(spark, sf_dir):
+    return with_seq(parsers.parse_access_log(render.access(spark, sf_dir)))
+
+
+_ORD = "(SELECT *, 'orders' || (o_orderkey % 2) || '.txt' AS file, CAST(row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS BIGINT) AS line_no, o_orderdate AS ts FROM orders)"
+DSV = parsed(_ORD, SEC, "CASE o_orderstatus WHEN 'O' THEN 'INFO' WHEN 'F' THEN 'ERROR' END", "o_orderpriority || ' | ' || o_orderkey", "strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(9) || CASE o_orderstatus WHEN 'O' THEN 'info' WHEN 'F' THEN 'Error' ELSE '?' END || chr(9) || o_orderpriority || chr(9) || o_orderkey")
+
+
+@query("parse_dsv", f"SELECT {ENTRY} FROM {DSV}")
+def parse_dsv(spark, sf_dir):
+    return with_seq(parsers.parse_dsv(render.dsv(spark, sf_dir), "\t", 0, 1))
+
+
+_XKIND = "CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 2 ELSE 3 END"
+_XTEXT = f"CASE {_XKIND} WHEN 1 THEN '' WHEN 2 THEN {MSG} || ' <&amp;>' ELSE {MSG} || ' more & more' END"
+_XRAW = f"""CASE {_XKIND} WHEN 1 THEN '<log4j:event logger="a" timestamp="' || (epoch_us(ts) // 1000) || '" level="' || {TOKEN} || '"/>' WHEN 2 THEN '<LogRecord level="' || {TOKEN} || '" timeMillis="' || (epoch_us(ts) // 1000) || '">' || chr(10) || '<Message>' || {MSG} || ' &lt;&amp;amp;&gt;</Message>' || chr(10) || '</LogRecord>' ELSE '<log4j:event logger="a" timestamp="' || (epoch_us(ts) // 1000) || '" level="' || {TOKEN} || '" thread="main">' || chr(10) || '  <log4j:message>' || {MSG} || chr(10) || chr(9) || 'more &amp; more</log4j:message></log4j:event>' END"""
+_XEND = f"CAST(sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 3 END) OVER (PARTITION BY file ORDER BY event_id) AS BIGINT)"
+LOG4J = f"(SELECT row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS seq, (epoch_us(ts) // 1000) AS ts_ms, {iso('(epoch_us(ts) // 1000)')} AS ts_iso, {LEVEL} AS level, {_XTEXT} AS message, {_XRAW} AS raw, file, {_XEND} AS line_no FROM {ev('l4j', 'xml', 2)})"
+
+
+@query("parse_log4j_xml", f"SELECT {ENTRY} FROM {LOG4J}")
+def parse_log4j_xml(spark, sf_dir):
+    return with_seq(parsers.parse_log4j_xml(render.log4j(spark, sf_dir)))
+
+
+@query("detect_format", f"""SELECT DISTINCT file, 'pattern' AS kind, '%d %l: %m' AS detail FROM {ev()} UNION ALL SELECT 'json' || k || '.json', 'json', list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) || CASE WHEN k = 1 THEN ' severity' ELSE ' level' END || ' msg' FROM (SELECT DISTINCT event_id % 3 AS k FROM events)
+UNION ALL SELECT DISTINCT file, 'combined', '' FROM {ev('access', files=2)} UNION ALL SELECT DISTINCT file, 'w3c', '{" ".join(render.W3C_FIELDS)}' FROM {ev('iis', files=2)} UNION ALL SELECT DISTINCT file, 'dsv', chr(9) || ' 0 1' FROM {_ORD} UNION ALL SELECT DISTINCT file, 'log4j-xml', '' FROM {ev('l4j', 'xml', 2)}""")
+def detect_format(spark, sf_dir):
+    got = detect.detect_format(render.mixed(spark, sf_dir))
+    return got.select("file", "kind", F.concat_ws(" ", "template", "ts_key", "level_key", "msg_key", F.array_join("fields", " "), "delimiter", F.col("ts_col").cast("string"), F.col("level_col").cast("string")).alias("detail"))
+
+
+@query("parse_mixed_corpus", " UNION ALL ".join(f"SELECT {ENTRY} FROM {x}" for x in (APP, JSON, ACCESS, W3C, DSV, LOG4J)))
+def parse_mixed_corpus(spark, sf_dir):
+    lines, parsed_ = scratch(spark), scratch(spark)
+    render.mixed(spark, sf_dir).write.parquet(lines)
+    detect.parse_logs(spark.read.parquet(lines)).write.parquet(parsed_)
+    return with_seq(spark.read.parquet(parsed_))
+
+
+@query("parse_quality", f"SELECT file, count(*) AS total, count(*) FILTER (ts_ms IS NULL AND level IS NULL) AS raw_entries FROM {APP} GROUP BY file")
+def parse_quality(spark, sf_dir):
+    return reports.parse_quality(app_entries(spark, sf_dir))
+
+
+# ---- functions
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("level_normalize", f"SELECT event_id, {LEVEL} AS level, CAST(NULL AS VARCHAR) AS none FROM events")
+def level_normalize(spark, sf_dir):
+    padded = F.concat(F.lit("\t "), F.lower(render.token()), F.lit(" "))
+    return _events(spark, sf_dir).select("event_id", levels.normalize_level(padded).alias("level"), levels.normalize_level(F.concat(render.token(), F.lit("x"))).alias("none"))
+
+
+@query("level_from_status", "SELECT event_id, CASE WHEN s >= 500 AND s <= 999 THEN 'ERROR' WHEN s >= 400 AND s < 500 THEN 'WARN' END AS level FROM (SELECT event_id, event_id % 1100 AS s FROM events)")
+def level_from_status(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", levels.level_from_status((F.col("event_id") % 1100).cast("string")).alias("level"))
+
+
+@query("level_from_severity", f"SELECT event_id, {_SEVERITY} AS level FROM events")
+def level_from_severity(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", levels.level_from_severity(F.col("user_id") % 9).alias("level"))
+
+
+@query("ts_iso_parse", "SELECT event_id, (epoch_us(ts) // 1000) AS utc, (epoch_us(ts) // 1000) - 19800000 AS offset_ms, epoch_ms(date_trunc('day', ts) + INTERVAL '1 day 2 hours') AS rolled, epoch_ms(make_date(CAST(year(ts) AS BIGINT) + 1, 1, 1)::TIMESTAMP + INTERVAL 44 DAY) AS month13 FROM events")
+def ts_iso_parse(spark, sf_dir):
+    full = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return _events(spark, sf_dir).select(
+        "event_id", timestamps.parse_timestamp(F.concat(full, F.lit("Z"))).alias("utc"), timestamps.parse_timestamp(F.concat(F.replace(F.replace(full, F.lit("T"), F.lit(" ")), F.lit("."), F.lit(",")), F.lit("+05:30"))).alias("offset_ms"),
+        timestamps.parse_timestamp(F.date_format("ts", "yyyy-MM-dd 26:00:00")).alias("rolled"), timestamps.parse_timestamp(F.date_format("ts", "yyyy'-13-45 00:00:00'")).alias("month13"),
+    )
+
+
+@query("ts_ordinal_parse", "SELECT event_id, epoch_ms(date_trunc('day', ts)) AS day, epoch_ms(date_trunc('second', ts)) AS timed, CAST(NULL AS BIGINT) AS none FROM events")
+def ts_ordinal_parse(spark, sf_dir):
+    p = timestamps.parse_timestamp
+    return _events(spark, sf_dir).select("event_id", p(F.date_format("ts", "yyyy-DDD")).alias("day"), p(F.date_format("ts", "yyyy-DDD'T'HH:mm:ss'Z'")).alias("timed"), p(F.date_format("ts", "yyyy'-367'")).alias("none"))
+
+
+@query("ts_clf_parse", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS bare, epoch_ms(date_trunc('second', ts)) + 9000000 AS zoned, CAST(NULL AS BIGINT) AS short FROM events")
+def ts_clf_parse(spark, sf_dir):
+    p, clf = timestamps.parse_timestamp, F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    return _events(spark, sf_dir).select("event_id", p(clf).alias("bare"), p(F.concat(clf, F.lit(" -0230"))).alias("zoned"), p(F.date_format("ts", "M/d/yy HH:mm:ss")).alias("short"))
+
+
+@query("ts_naive_modes", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS utc, epoch_ms(date_trunc('second', ts)) - 32400000 AS tokyo, epoch_ms(date_trunc('second', ts)) AS named FROM events")
+def ts_naive_modes(spark, sf_dir):
+    v = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return _events(spark, sf_dir).select("event_id", timestamps.parse_timestamp(v).alias("utc"), timestamps.parse_timestamp(v, "Asia/Tokyo").alias("tokyo"), timestamps.parse_timestamp(F.concat(v, F.lit("Z")), "Asia/Tokyo").alias("named"))
+
+
+@query("ts_json_value", "SELECT event_id, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) // 1000 * 1000 AS s, (epoch_us(ts) // 1000) // 1000 * 1000 AS digits, (epoch_us(ts) // 1000) AS iso FROM events")
+def ts_json_value(spark, sf_dir):
+    ms = F.unix_millis("ts")
+    s, p = F.floor(ms / 1000).cast("string"), timestamps.parse_json_timestamp
+    return _events(spark, sf_dir).select("event_id", p(ms.cast("string"), F.lit(True)).alias("ms"), p(s, F.lit(True)).alias("s"), p(s, F.lit(False)).alias("digits"), p(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(False)).alias("iso"))
+
+
+@query("ts_epoch_parse", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000) // 1000 * 1000 ELSE (epoch_us(ts) // 1000) END AS ms, CAST(NULL AS BIGINT) AS short FROM events")
+def ts_epoch_parse(spark, sf_dir):
+    ms = F.unix_millis("ts")
+    s = F.floor(ms / 1000).cast("string")
+    token = F.when(F.col("event_id") % 3 == 0, s).when(F.col("event_id") % 3 == 1, ms.cast("string")).otherwise(F.concat(s, F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0")))
+    return _events(spark, sf_dir).select("event_id", timestamps.parse_epoch(token).alias("ms"), timestamps.parse_epoch(F.left(s, F.lit(8))).alias("short"))
+
+
+@query("ts_syslog_year", f"SELECT file, year({_DAY}) AS year, count(*) AS n FROM {_SYS} GROUP BY ALL")
+def ts_syslog_year(spark, sf_dir):
+    got = parse_syslog(spark, sf_dir)
+    return got.groupBy("file", F.year(F.timestamp_millis("ts_ms")).cast("long").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query("ts_to_iso", f"SELECT event_id, {iso('(epoch_us(ts) // 1000)')} AS iso, CAST(NULL AS VARCHAR) AS none FROM events")
+def ts_to_iso(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", timestamps.to_iso(F.unix_millis("ts")).alias("iso"), timestamps.to_iso(F.lit(None).cast("long")).alias("none"))
+
+
+@query("xml_unescape", f"SELECT event_id, '<' || {MSG} || '> \"&lt;\" ''' AS message FROM events")
+def xml_unescape(spark, sf_dir):
+    raw = F.concat(F.lit(" &lt;"), F.replace(render.message(), F.lit(" "), F.lit("\n\t ")), F.lit("&gt;\n&quot;&amp;lt;&quot; &apos; "))
+    return _events(spark, sf_dir).select("event_id", text.xml_unescape(text.collapse_space(raw)).alias("message"))
+
+
+@query("truncate_message", "SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…' ELSE text END AS message FROM documents")
+def truncate_message(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.truncate_message(F.col("text")).alias("message"))
+
+
+@query("cell_normalize", "SELECT event_id, '<binary ' || strlen(props) || ' bytes>' AS blob, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, CAST(user_id AS VARCHAR) AS big, '[\"' || event_type || '\",null]' AS nested FROM events")
+def cell_normalize(spark, sf_dir):
+    df = _events(spark, sf_dir).select("event_id", F.col("props").cast("binary").alias("blob"), "ts", F.col("user_id").alias("big"), F.array("event_type", F.lit(None)).alias("nested"))
+    return df.select("event_id", *[text.normalize_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields[1:]])
+
+
+def _csv(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[\",\\n\\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+@query("csv_line", f"SELECT doc_id, {_csv('coalesce(text, chr(0))')} || ',' || {_csv('source')} AS line FROM documents WHERE text IS NOT NULL")
+def csv_line(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL").select("doc_id", text.csv_line(F.col("text"), F.col("source")).alias("line"))
+
+
+# ---- filters
+
+_TEXT = "(contains(lower(message), '{0}') OR contains(lower(raw), '{0}'))"
+
+
+@query("filter_text", f"SELECT {ENTRY} FROM {APP} WHERE {_TEXT.format('purchase user=1')}")
+def filter_text(spark, sf_dir):
+    return filters.apply_filters(app_entries(spark, sf_dir), "PURCHASE user=1")
+
+
+@query("filter_levels", f"SELECT {ENTRY} FROM {APP} WHERE level IN ('WARN', 'FATAL')")
+def filter_levels(spark, sf_dir):
+    return filters.apply_filters(app_entries(spark, sf_dir), levels=["WARN", "FATAL"])
+
+
+@query("filter_combined", f"SELECT {ENTRY} FROM {APP} WHERE {_TEXT.format('value=1')} AND level IN ('ERROR', 'WARN')")
+def filter_combined(spark, sf_dir):
+    return filters.apply_filters(app_entries(spark, sf_dir), "value=1", ["ERROR", "WARN"])
+
+
+@query("filter_file", f"SELECT {ENTRY} FROM {APP} WHERE contains(lower(coalesce(file, '')), 'app3')")
+def filter_file(spark, sf_dir):
+    return app_entries(spark, sf_dir).filter(filters.file_condition("APP3"))
+
+
+def _saved(spark) -> DataFrame:
+    return spark.createDataFrame([("errors", "", ["ERROR", "FATAL"], 3), ("user 7", "user=7", [], 2), ("none", "%", [], 1), ("all", "", [], 4)], "name string, text string, levels array<string>, saved_at long")
+
+
+@query("saved_filter_hits", f"SELECT 'errors' AS name, 3 AS saved_at, count(*) AS hits FROM {APP} WHERE level IN ('ERROR', 'FATAL') UNION ALL SELECT 'user 7', 2, count(*) FROM {APP} WHERE {_TEXT.format('user=7')} UNION ALL SELECT 'none', 1, count(*) FROM {APP} WHERE {_TEXT.format('%')} UNION ALL SELECT 'all', 4, count(*) FROM {APP}")
+def saved_filter_hits(spark, sf_dir):
+    return filters.saved_filter_hits(app_entries(spark, sf_dir), _saved(spark)).orderBy(F.desc("saved_at"))
+
+
+def _customers(spark, sf_dir, where) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter(where)
+    return c.select(F.concat(F.lit("f"), (F.col("c_custkey") % 50).cast("string")).alias("name"), F.col("c_mktsegment").alias("text"), F.array(F.lit("WARN")).alias("levels"), F.col("c_custkey").alias("saved_at"))
+
+
+@query("saved_filter_upsert", "SELECT name, c_mktsegment AS text, c_custkey AS saved_at FROM (SELECT *, 'f' || (c_custkey % 50) AS name, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey % 3 = 0 DESC, c_custkey DESC) AS n FROM customer) WHERE n = 1 AND name <> 'f7'")
+def saved_filter_upsert(spark, sf_dir):
+    return filters.upsert_filters(_customers(spark, sf_dir, "c_custkey % 3 <> 0"), _customers(spark, sf_dir, "c_custkey % 3 = 0"), ["f7"]).drop("levels")
+
+
+@query("filter_counts", f"SELECT count(*) AS total, count(*) FILTER ({_TEXT.format('signup')} AND level IN ('INFO')) AS visible FROM {APP}")
+def filter_counts(spark, sf_dir):
+    return filters.filter_counts(app_entries(spark, sf_dir), "signup", ["INFO"])
+
+
+@query("scope_file", f"SELECT {ENTRY} FROM {APP} WHERE file <> 'app2.log'")
+def scope_file(spark, sf_dir):
+    return app_entries(spark, sf_dir).filter("file <> 'app2.log'")
+
+
+@query("log_view", f"SELECT ts_iso AS time, coalesce(level, '–') AS level, message, file, line_no FROM {APP}")
+def log_view(spark, sf_dir):
+    return filters.log_view(app_entries(spark, sf_dir))
+
+
+# ---- rules and pins
+
+
+def _rules(spark) -> DataFrame:
+    rows = [(0, "r0", "purchase user=1", [], "", "#111111"), (1, "r1", "", ["ERROR"], "app1", "#222222"), (2, "r2", "user=1", [], "", "#333333"), (3, "r3", "value=5", ["WARN", "INFO"], "", "#444444"), (4, "r4", "", ["FATAL"], "", "#555555")]
+    return spark.createDataFrame(rows, "priority int, id string, text string, levels array<string>, file string, color string")
+
+
+_CONDITIONS = {"r0": _TEXT.format("purchase user=1"), "r1": "level IN ('ERROR') AND contains(lower(file), 'app1')", "r2": _TEXT.format("user=1"), "r3": f"{_TEXT.format('value=5')} AND level IN ('WARN', 'INFO')", "r4": "level IN ('FATAL')"}
+_WON = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _CONDITIONS.items()) + " END"
+_COLOR = "CASE rule_id " + " ".join(f"WHEN 'r{i}' THEN '#{str(i + 1) * 6}'" for i in range(5)) + " END"
+_CLASSED = f"(SELECT file, line_no, level, {_WON} AS rule_id FROM {APP})"
+
+
+@query("rule_first_match", f"SELECT file, line_no, rule_id, {_COLOR} AS color FROM {_CLASSED}")
+def rule_first_match(spark, sf_dir):
+    return rules.classify(app_entries(spark, sf_dir), _rules(spark)).select("file", "line_no", "rule_id", "color")
+
+
+@query("rule_with_level_fallback", f"SELECT file, line_no, coalesce({_COLOR}, CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TINTS.items()) + f" END) AS color FROM {_CLASSED}")
+def rule_with_level_fallback(spark, sf_dir):
+    return rules.with_level_fallback(rules.classify(app_entries(spark, sf_dir), _rules(spark))).select("file", "line_no", "color")
+
+
+@query("rule_hit_counts", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, count(*) FILTER ({c}) AS matched, count(*) FILTER (({_WON}) = '{k}') AS won FROM {APP}" for k, c in _CONDITIONS.items()))
+def rule_hit_counts(spark, sf_dir):
+    return rules.hit_counts(app_entries(spark, sf_dir), _rules(spark))
+
+
+@query("rules_sanitize", f"SELECT CAST(c_custkey AS INT) AS priority, c_name AS id, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS text, CASE WHEN c_custkey % 2 = 0 THEN 'WARN' ELSE '' END AS levels, '' AS file, CASE WHEN c_custkey % 5 = 0 THEN '#AAbb01' ELSE '{rules.DEFAULT_COLOR}' END AS color FROM customer WHERE c_custkey % 7 <> 0")
+def rules_sanitize(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    raw = c.select(
+        k.cast("int").alias("priority"), F.when(k % 14 == 0, "").when(k % 7 != 0, F.col("c_name")).alias("id"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("text"), F.when(k % 2 == 0, F.array(F.lit("WARN"), F.lit("warn"), F.lit(None))).otherwise(F.array(F.lit("LOUD"))).alias("levels"),
+        F.lit(None).cast("string").alias("file"), F.when(k % 5 == 0, "#AAbb01").when(k % 5 == 1, "red").when(k % 5 == 2, "#12345").alias("color"),
+    )
+    return rules.sanitize_rules(raw).withColumn("levels", F.array_join("levels", ","))
+
+
+@query("saved_filters_sanitize", "SELECT c_name AS name, '' AS text, 'ERROR' AS levels, greatest(c_custkey - 100, 0) AS saved_at FROM customer WHERE c_custkey % 6 <> 0")
+def saved_filters_sanitize(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = c.select(F.when(F.col("c_custkey") % 6 == 0, "").otherwise(F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("text"), F.array(F.lit("ERROR"), F.lit("x")).alias("levels"), (F.col("c_custkey") - 100).alias("saved_at"))
+    return filters.sanitize_filters(raw).withColumn("levels", F.array_join("levels", ","))
+
+
+def _pins(spark, sf_dir, every: int, word: str) -> DataFrame:
+    """Pins on every so many events, each twice: the first counts."""
+    e = render.events(spark, sf_dir).filter(F.col("event_id") % every == 0)
+    return e.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "*").select((F.col("event_id") * 2 + F.col("n")).alias("pos"), F.concat(F.lit(word), F.col("event_id").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("id"), "file", "line_no", F.concat(F.lit(f"{word} note "), F.col("n").cast("string")).alias("note"))
+
+
+@query("pins_annotate", f"SELECT a.file, a.line_no, CASE WHEN e.event_id % 20 = 0 THEN 'p' || e.event_id || '-0' END AS pin_id, CASE WHEN e.event_id % 20 = 0 THEN 'p note 0' END AS note FROM {APP} a JOIN {ev()} e ON a.file = e.file AND a.line_no = e.line_no")
+def pins_annotate(spark, sf_dir):
+    return pins.annotate(app_entries(spark, sf_dir), _pins(spark, sf_dir, 20, "p")).select("file", "line_no", "pin_id", "note")
+
+
+@query("pins_merge", f"SELECT CASE WHEN event_id % 20 = 0 THEN 'p' ELSE 'q' END || event_id || '-0' AS id, file, line_no, CASE WHEN event_id % 30 = 0 THEN 'q note 0' ELSE 'p note 0' END AS note FROM {ev()} WHERE event_id % 20 = 0 OR event_id % 30 = 0")
+def pins_merge(spark, sf_dir):
+    return pins.merge(_pins(spark, sf_dir, 20, "p"), _pins(spark, sf_dir, 30, "q"))
+
+
+@query("pins_sanitize", f"SELECT 'p' || event_id AS id, file, line_no, '' AS note FROM {ev()} WHERE event_id % 3 = 1")
+def pins_sanitize(spark, sf_dir):
+    e, k = render.events(spark, sf_dir), F.col("event_id")
+    raw = e.select(F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("id"), "file", F.when(k % 3 == 2, 0.9).otherwise(F.col("line_no") + 0.5).alias("line_no"), F.lit(None).cast("string").alias("note"))
+    return pins.sanitize(raw)
+
+
+@query("pins_locate", f"SELECT 'p' || event_id || '-0' AS id, v.file, v.line_no, position FROM (SELECT file, line_no, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS position FROM {APP} WHERE level IN ('WARN', 'ERROR')) v JOIN {ev()} e ON v.file = e.file AND v.line_no = e.line_no WHERE event_id % 20 = 0")
+def pins_locate(spark, sf_dir):
+    view = filters.apply_filters(app_entries(spark, sf_dir), levels=["WARN", "ERROR"])
+    return pins.locate(view, _pins(spark, sf_dir, 20, "p")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("pins_orphaned", f"SELECT 'p' || event_id || '-' || n AS id, file, line_no FROM {ev()}, (SELECT unnest([0, 1]) AS n) WHERE event_id % 20 = 0 AND file IN ('app0.log', 'app4.log')")
+def pins_orphaned(spark, sf_dir):
+    left = app_entries(spark, sf_dir).filter("file NOT IN ('app0.log', 'app4.log')")
+    return pins.orphaned(_pins(spark, sf_dir, 20, "p"), left).select("id", "file", "line_no")
+
+
+@query("pins_add", f"SELECT CASE WHEN event_id % 20 = 0 THEN 'p' ELSE 'q' END || event_id || '-0' AS id, file, line_no FROM {ev()} WHERE (event_id % 20 = 0 AND event_id <> 40) OR (event_id % 30 = 0 AND event_id % 20 <> 0)")
+def pins_add(spark, sf_dir):
+    own = pins.first_pins(_pins(spark, sf_dir, 20, "p"))
+    return pins.add(own, _pins(spark, sf_dir, 30, "q").select(*own.columns), ["p40-0"]).select("id", "file", "line_no")
+
+
+# ---- reports
+
+
+@query("report_level_counts", f"SELECT coalesce(level, '(none)') AS level, count(*) AS n FROM {APP} GROUP BY 1")
+def report_level_counts(spark, sf_dir):
+    return reports.level_counts(app_entries(spark, sf_dir))
+
+
+@query("report_entries_per_minute", f"SELECT replace(left(ts_iso, 16), 'T', ' ') AS minute, count(*) AS n FROM {APP} WHERE ts_iso IS NOT NULL GROUP BY 1")
+def report_entries_per_minute(spark, sf_dir):
+    return reports.entries_per_minute(app_entries(spark, sf_dir))
+
+
+@query("report_top_messages", f"SELECT message, count(*) AS n FROM {APP} GROUP BY 1 ORDER BY n DESC, message LIMIT 50")
+def report_top_messages(spark, sf_dir):
+    return reports.top_messages(app_entries(spark, sf_dir))
+
+
+@query("report_entries_per_file", f"SELECT coalesce(file, '(unknown)') AS file, count(*) AS n FROM {APP} GROUP BY 1")
+def report_entries_per_file(spark, sf_dir):
+    return reports.entries_per_file(app_entries(spark, sf_dir))
+
+
+@query("file_inventory", f"SELECT file, greatest(min(user_id) - 5, 0) AS size, CASE WHEN file = 'app7.log' THEN 0 ELSE max(line_no) END AS lines, CASE WHEN file = 'app7.log' THEN 0 ELSE count(*) END AS entries, 'utf-8' AS encoding, CASE WHEN file < 'app4' THEN 'ready' ELSE 'parsing' END AS status FROM {ev()} GROUP BY file")
+def file_inventory(spark, sf_dir):
+    files = render.events(spark, sf_dir).groupBy("file").agg((F.min("user_id") - 5).alias("size"), F.lit("utf-8").alias("encoding"))
+    files = files.withColumn("status", F.when(F.col("file") < "app4", "ready").otherwise("odd"))
+    return reports.file_inventory(app_entries(spark, sf_dir).filter("file <> 'app7.log'"), files)
+
+
+def _sql(name: str, text_: str) -> None:
+    """A query that is free SQL over the entries."""
+    query(name, f"WITH entries AS (SELECT {ENTRY} FROM {APP}) {text_}")(lambda spark, sf_dir: reports.ad_hoc(app_entries(spark, sf_dir), text_))
+
+
+_sql("sql_count", "SELECT count(*) AS n FROM entries")
+_sql("sql_where_level", "SELECT file, line_no, message FROM entries WHERE level = 'WARN'")
+_sql("sql_group_having", "SELECT file, level, count(*) AS n FROM entries GROUP BY file, level HAVING count(*) > 20")
+_sql("sql_self_join", "SELECT a.file, a.line_no, b.line_no AS next_no FROM entries a JOIN entries b ON a.file = b.file AND b.line_no = a.line_no + 1 WHERE a.level = 'FATAL' AND b.level = 'WARN'")
+_sql("sql_distinct_agg", "SELECT level, count(DISTINCT file) AS files, count(DISTINCT message) AS messages FROM entries GROUP BY level")
+_sql("sql_window_rank", "SELECT file, line_no, rank() OVER (PARTITION BY level ORDER BY ts_ms DESC, file, line_no) AS place FROM entries WHERE level IS NOT NULL")
+_sql("sql_set_ops", "SELECT message FROM entries WHERE level = 'WARN' INTERSECT SELECT message FROM entries WHERE file <> 'app1.log' EXCEPT SELECT message FROM entries WHERE file = 'app2.log'")
+_sql("sql_semi_anti", "SELECT file, line_no FROM entries e WHERE EXISTS (SELECT 1 FROM entries w WHERE w.message = e.message AND w.line_no > e.line_no) AND e.level NOT IN (SELECT level FROM entries WHERE line_no = 1 AND level IS NOT NULL)")
+_sql("sql_rollup", "SELECT file, level, count(*) AS n FROM entries GROUP BY ROLLUP (file, level)")
+
+
+@query("result_capped", f"SELECT level, ts_ms, file, line_no, (SELECT count(*) FROM {APP} WHERE level = 'ERROR') AS total, false AS truncated FROM {APP} WHERE level = 'ERROR'")
+def result_capped(spark, sf_dir):
+    shown, total, truncated = reports.capped(app_entries(spark, sf_dir).filter("level = 'ERROR'").select("level", "ts_ms", "file", "line_no"))
+    return shown.withColumns({"total": F.lit(total).cast("long"), "truncated": F.lit(truncated)})
+
+
+# ---- exports and alerts
+
+
+def _cell(c: str) -> str:
+    return _csv(f"coalesce(CAST({c} AS VARCHAR), '')")
+
+
+@query("export_csv_rows", f"SELECT file, line_no, {' || chr(44) || '.join(_cell(c) for c in export.CSV_COLUMNS)} AS line FROM {APP}")
+def export_csv_rows(spark, sf_dir):
+    return export.csv_rows(app_entries(spark, sf_dir))
+
+
+def _js(c: str) -> str:
+    return f"coalesce('\"' || {c} || '\"', 'null')"
+
+
+@query("export_json_rows", f"""SELECT file, line_no, '{{"ts":' || {_js('ts_iso')} || ',"level":' || {_js('level')} || ',"message":' || {_js('message')} || ',"raw":' || {_js('raw')} || ',"file":' || {_js('file')} || ',"lineNo":' || line_no || '}}' AS line FROM {APP}""")
+def export_json_rows(spark, sf_dir):
+    return export.json_rows(app_entries(spark, sf_dir))
+
+
+def _live(spark, sf_dir) -> DataFrame:
+    """Entries with the delivery that brought them: a tenth of a file at a time; the first two are history."""
+    e = app_entries(spark, sf_dir)
+    e = e.withColumn("delivery", F.col("line_no") % 10).withColumn("arrival", F.concat(F.lpad(F.col("line_no").cast("string"), 12, "0"), "file"))
+    return e.withColumn("live", F.col("delivery") >= 2)
+
+
+_LIVE = f"(SELECT *, line_no % 10 AS delivery, lpad(CAST(line_no AS VARCHAR), 12, '0') || file AS arrival FROM {APP})"
+_MATCHED = f"(SELECT * FROM {_LIVE} WHERE delivery >= 2 AND {_TEXT.format('user=')} AND level IN ('ERROR', 'WARN') AND contains(lower(file), 'app'))"
+
+
+def _matched(spark, sf_dir) -> DataFrame:
+    return alerts.alert_matches(_live(spark, sf_dir), "http://host/hook", "User=", ["ERROR", "WARN"], "APP")
+
+
+@query("alert_matches", f"SELECT file, line_no, delivery FROM {_MATCHED}")
+def alert_matches(spark, sf_dir):
+    disarmed = alerts.alert_matches(_live(spark, sf_dir), "  ")
+    return _matched(spark, sf_dir).unionByName(disarmed).select("file", "line_no", "delivery")
+
+
+@query("alert_backlog_cap", f"SELECT file, line_no FROM (SELECT *, row_number() OVER (PARTITION BY delivery ORDER BY arrival DESC) AS n FROM {_MATCHED}) WHERE n <= 100")
+def alert_backlog_cap(spark, sf_dir):
+    return alerts.backlog(_matched(spark, sf_dir), most=100).select("file", "line_no")
+
+
+@query("alert_batches", f"SELECT delivery, (n - 1) // 50 AS batch, count(*) AS items, arg_min(message, n) AS first_message, arg_max(message, n) AS last_message FROM (SELECT *, row_number() OVER (PARTITION BY delivery ORDER BY arrival) AS n FROM {_MATCHED}) GROUP BY 1, 2")
+def alert_batches(spark, sf_dir):
+    got = alerts.alert_batches(_matched(spark, sf_dir))
+    return got.select("delivery", F.col("batch").cast("long").alias("batch"), F.size("entries").cast("long").alias("items"), F.element_at("entries", 1)["message"].alias("first_message"), F.element_at("entries", -1)["message"].alias("last_message"))
+
+
+@query("alert_payloads", f"SELECT file AS f, line_no AS lineno, ts_iso AS stamp, level, message FROM {_MATCHED}")
+def alert_payloads(spark, sf_dir):
+    got = alerts.payload_json(alerts.alert_batches(_matched(spark, sf_dir)))
+    back = F.from_json("payload", "entries array<struct<file:string,lineNo:long,timestamp:string,level:string,message:string>>")
+    return got.select(F.explode(back["entries"]).alias("i")).select(F.col("i.file").alias("f"), F.col("i.lineNo").alias("lineno"), F.col("i.timestamp").alias("stamp"), "i.level", "i.message")
+
+
+# ---- streaming
+
+
+@query("stream_dir_ingest", f"SELECT ts_ms, level, message FROM {APP}")
+def stream_dir_ingest(spark, sf_dir):
+    folder, out, check = _files(spark, render.app(spark, sf_dir)), scratch(spark), scratch(spark)
+    follow.follow_dir(spark, f"{folder}/*", out, check).awaitTermination()
+    return spark.read.parquet(out).select("ts_ms", "level", "message")
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    """Each file's lines as segments of 40."""
+    app = render.app(spark, sf_dir)
+    return app.select(F.concat("file", F.lit("."), F.floor((F.col("line_no") - 1) / 40).cast("string")).alias("segment"), ((F.col("line_no") - 1) % 40 + 1).alias("line_no"), "line")
+
+
+@query("segment_line_numbers", f"SELECT file, line_no, raw AS line FROM {APP}")
+def segment_line_numbers(spark, sf_dir):
+    return alerts.segment_line_numbers(_segments(spark, sf_dir))
+
+
+@query("stream_segments", f"SELECT file, max(line_no) AS lines, count(DISTINCT line_no) AS numbers FROM {APP} GROUP BY file")
+def stream_segments(spark, sf_dir):
+    """Files of a folder as segments: the first part file of each log, then its second half."""
+    folder, out, offsets, check = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
+    app = render.app(spark, sf_dir)
+    named = app.select(F.concat("file", F.lit("."), (F.col("line_no") % 2).cast("string")).alias("segment"), "line_no", "line")
+    rows = named.repartition("segment").sortWithinPartitions("segment", "line_no").select("segment", "line")
+    for half in (0, 1):
+        rows.filter(F.col("segment").endswith(f".{half}")).write.partitionBy("segment").text(f"{folder}/{half}")
+    stream = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 8).text(f"{folder}/*/*")
+    named = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    follow.write_segments(named, out, offsets, check).awaitTermination()
+    return spark.read.parquet(out).groupBy("file").agg(F.max("line_no").alias("lines"), F.countDistinct("line_no").alias("numbers"))
+
+
+@query("latest_epoch", f"SELECT file, line_no FROM {APP} WHERE line_no % 3 = CASE WHEN file = 'app0.log' THEN 1 ELSE 2 END")
+def latest_epoch(spark, sf_dir):
+    e = app_entries(spark, sf_dir).withColumn("epoch", F.col("line_no") % 3).filter("NOT (file = 'app0.log' AND epoch = 2)")
+    return alerts.latest_epoch(e).select("file", "line_no")
+
+
+@query("dir_diff", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'removed' ELSE 'added' END AS event, 'o' || o_orderkey || '.log' AS name, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE o_orderkey + 1 END AS size FROM orders WHERE (o_orderkey % 5 = 0) <> (o_orderkey % 3 = 0)")
+def dir_diff(spark, sf_dir):
+    """Before: all but each third file; after: all but each fifth, every file a byte longer."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".log")).alias("name"), F.col("o_orderkey").alias("size"))
+    return reports.dir_diff(o.filter("size % 3 <> 0"), o.filter("size % 5 <> 0").withColumn("size", F.col("size") + 1))
+
+
+_POLL = f"(SELECT *, CASE WHEN event_id % 11 = 0 THEN -1 ELSE user_id * (event_id % 4) END AS size FROM {ev()})"
+
+
+@query("poll_classify", f"""WITH RECURSIVE p AS (SELECT file, line_no, size FROM {_POLL}),
+s AS (SELECT file, line_no, size, CASE WHEN size < 0 THEN 'removed' WHEN size <= 0 THEN 'none' ELSE 'bytes' END AS event, CAST(greatest(size, 0) AS BIGINT) AS n_bytes, CAST(greatest(size, 0) AS BIGINT) AS pos, CASE WHEN size >= 0 THEN size END AS prev FROM p WHERE line_no = 1
+UNION ALL SELECT p.file, p.line_no, p.size, CASE WHEN p.size < 0 THEN 'removed' WHEN p.size < s.prev THEN 'rotate' WHEN p.size <= s.pos THEN 'none' ELSE 'bytes' END, CASE WHEN p.size < 0 OR p.size < s.prev OR p.size <= s.pos THEN 0 ELSE p.size - s.pos END,
+  CASE WHEN p.size < 0 THEN s.pos WHEN p.size < s.prev THEN 0 ELSE greatest(p.size, s.pos) END, CASE WHEN p.size < 0 THEN s.prev WHEN p.size < s.prev THEN NULL ELSE p.size END FROM s JOIN p ON p.file = s.file AND p.line_no = s.line_no + 1)
+SELECT file, line_no AS poll_no, size, event, n_bytes FROM s""")
+def poll_classify(spark, sf_dir):
+    e = render.events(spark, sf_dir)
+    size = F.when(F.col("event_id") % 11 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id") * (F.col("event_id") % 4))
+    return alerts.poll_classify(e.select("file", F.col("line_no").alias("poll_no"), size.alias("size")))
+
+
+def _app_stream(spark, sf_dir) -> DataFrame:
+    folder = _files(spark, render.app(spark, sf_dir))
+    rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 2).text(f"{folder}/*")
+    rows = rows.select(F.regexp_extract("_metadata.file_path", "/log=([^/]+)/", 1).alias("file"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line"))
+    return parsers.parse_pattern(rows)
+
+
+@query("alert_sink")
+def alert_sink(spark, sf_dir):
+    """Payloads of a followed folder, written batch by batch."""
+    out = scratch(spark)
+    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/of={batch}")
+    follow.alert_sink(_app_stream(spark, sf_dir), sink, scratch(spark), "http://host/hook", levels=["ERROR", "FATAL"]).awaitTermination()
+    return spark.read.parquet(out).select("delivery", "batch", F.length("payload").alias("chars"))
+
+
+@query("stream_progress", "SELECT count(*) AS rows FROM events")
+def stream_progress(spark, sf_dir):
+    q = _app_stream(spark, sf_dir).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(scratch(spark))
+    q.awaitTermination()
+    return spark.createDataFrame([(p["batch"], p["rows"]) for p in follow.progress(q)], "batch long, rows long").agg(F.sum("rows").alias("rows"))

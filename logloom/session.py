@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,9 @@ def ship(spark: SparkSession) -> SparkSession:
             shutil.make_archive(os.path.join(folder, "logloom"), "zip", ROOT, "logloom")
             sc.addPyFile(os.path.join(folder, "logloom.zip"))
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the place that driver and executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logloom-shared")
+    return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"

@@ -73,14 +73,12 @@ def decide_encoding(sample: bytes, whole: bool) -> tuple[str, int]:
     for mark, label in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")):
         if sample.startswith(mark):
             return label, len(mark)
-    head = sample[: min(len(sample), 1024) // 2 * 2]
-    if head:
-        low, high = head[0::2].count(0), head[1::2].count(0)
-        half = len(head) // 2
-        if high >= 0.6 * half and low <= 0.1 * half:
-            return "utf-16le", 0
-        if low >= 0.6 * half and high <= 0.1 * half:
-            return "utf-16be", 0
+    head = sample[:1024]
+    even, odd = head[0::2].count(0), head[1::2].count(0)
+    if len(head) >= 8 and odd >= len(head) / 4 and odd > 4 * even + 2:
+        return "utf-16le", 0
+    if len(head) >= 8 and even >= len(head) / 4 and even > 4 * odd + 2:
+        return "utf-16be", 0
     try:  # a character that the sample cuts in two is no mistake
         codecs.getincrementaldecoder("utf-8")().decode(sample, final=whole)
         return "utf-8", 0

@@ -28,24 +28,29 @@ def follow_dir(spark: SparkSession, folder: str, out: str, checkpoint: str, temp
 
 
 def follow_segments(spark: SparkSession, folder: str, out: str, offsets: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Growth as segments "name.N": lines are numbered through all segments of a name.
+    """Growth that arrives as segments "name.N": see :func:`write_segments`."""
+    rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    rows = rows.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("line"))
+    return write_segments(rows, out, offsets, checkpoint)
+
+
+def write_segments(rows: DataFrame, out: str, offsets: str, checkpoint: str) -> StreamingQuery:
+    """Number the lines of (segment, block, line) through all segments of a name, and write them.
 
     Each batch is numbered from the offsets that the batch before has left, and writes its own; both are kept by
     batch id, so that a batch that runs again overwrites what it wrote.
     """
-    rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    rows = rows.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("line"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = F.row_number().over(W.partitionBy("segment").orderBy("block", "id"))
         numbered = alerts.segment_line_numbers(batch.withColumn("id", F.monotonically_increasing_id()).withColumn("line_no", at).select("segment", F.col("line_no").cast("long"), "line"))
         if batch_id:
-            before = spark.read.parquet(f"{offsets}/batch={batch_id - 1}")
+            before = batch.sparkSession.read.parquet(f"{offsets}/batch={batch_id - 1}")
             numbered = numbered.join(before, "file", "left").withColumn("line_no", F.col("line_no") + F.coalesce("lines", F.lit(0))).drop("lines")
         numbered.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        now = spark.read.parquet(f"{out}/batch={batch_id}").groupBy("file").agg(F.max("line_no").alias("lines"))
+        now = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}").groupBy("file").agg(F.max("line_no").alias("lines"))
         if batch_id:
-            now = now.unionByName(spark.read.parquet(f"{offsets}/batch={batch_id - 1}")).groupBy("file").agg(F.max("lines").alias("lines"))
+            now = now.unionByName(batch.sparkSession.read.parquet(f"{offsets}/batch={batch_id - 1}")).groupBy("file").agg(F.max("lines").alias("lines"))
         now.write.mode("overwrite").parquet(f"{offsets}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
