@@ -29,5 +29,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """Join partitions up (without a shuffle) where a table of so many rows has more of them than the cores and ``each`` rows ask for."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table
+from .common import fewer, materialise, shuffle_partitions, table
 from .components import connected_components
-from .shingles import SIGNATURE, alike, mixed, shingle_sets, signature
+from .shingles import SIGNATURE, alike, linked, mixed, shingle_sets, signature
 
 #: Independent trees, tokens after which a node is passed on, classes of a node that are compared, classes of a block.
 TREES, DEPTH, NODE, BLOCK = 6, 3, 256, 256
+#: Thin rows of a partition.
+ROWS = 400_000
 
 
 def _sketches(k: int):
@@ -177,27 +179,33 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _join_up(percent: int, keys: list[str]):
-    """Verified links of each group: a star around the hub of each joined part, hubs linked to themselves.
+def _parts(sets: list[np.ndarray], percent: int) -> list[list[int]]:
+    """Joined parts of a few sets, the member with the most links first."""
+    if len(sets) <= 6:
+        like = np.array([[i == j or alike(x, y, percent) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    else:
+        like = linked(sets, percent)
+    out, open_ = [], np.ones(len(sets), bool)
+    for hub in np.argsort(-like.sum(1), kind="stable").tolist():
+        if open_[hub]:
+            part, front = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+            part[hub] = front[hub] = True
+            while front.any():
+                front = like[front].any(0) & ~part
+                part |= front
+            open_ &= ~part
+            part[hub] = False
+            out.append([hub, *np.flatnonzero(part).tolist()])
+    return out
 
-    A newcomer is compared with the hub of each part, then with its other members until one is like it.
-    """
+
+def _join_up(percent: int, keys: list[str]):
+    """Verified links of each group: a star around the hub of each joined part, hubs linked to themselves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, keys):
             sets, classes = _sets(t["shingles"]), t["class"].to_pylist()
-            out = []
-            for a, b in _cuts(t, keys):
-                parts: list[list[int]] = []
-                for i in sorted(range(a, b), key=lambda i: (len(sets[i]), classes[i])):
-                    met = [p for p in parts if any(alike(sets[i], sets[j], percent) for j in p)]
-                    if met:
-                        met.sort(key=len, reverse=True)
-                        met[0].extend([i, *(j for p in met[1:] for j in p)])
-                        parts = [p for p in parts if not any(p is q for q in met[1:])]
-                    else:
-                        parts.append([i])
-                out += [(classes[p[0]], classes[j]) for p in parts for j in p]
+            out = [(classes[a + p[0]], classes[a + j]) for a, b in _cuts(t, keys) for p in _parts(sets[a:b], percent) for j in p]
             x, y = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
@@ -205,20 +213,23 @@ def _join_up(percent: int, keys: list[str]):
 
 
 def _cross(percent: int, keys: list[str]):
-    """Verified links between the askers and the members of a block that belong to other parts."""
+    """Verified links between the askers and the members of a block that belong to other parts: one for each asker and part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, keys):
-            sets, classes, part, asks = _sets(t["shingles"]), t["class"].to_pylist(), t["label"].to_pylist(), t["asks"].to_pylist()
+            sets, classes, part, asks = _sets(t["shingles"]), t["class"].to_pylist(), t["label"].to_pylist(), np.array(t["asks"].to_pylist(), bool)
             out = []
             for a, b in _cuts(t, keys):
-                own = [i for i in range(a, b) if not asks[i]]
-                for i in (i for i in range(a, b) if asks[i]):
-                    met: set = set()
-                    for j in own:
-                        if part[i] != part[j] and part[j] not in met and alike(sets[i], sets[j], percent):
-                            met.add(part[j])
-                            out.append((classes[i], classes[j]))
+                own, asking = a + np.flatnonzero(~asks[a:b]), a + np.flatnonzero(asks[a:b])
+                if not len(own) or not len(asking):
+                    continue
+                like = linked([sets[i] for i in asking], percent, [sets[j] for j in own])
+                met = set()
+                for i, j in zip(*np.nonzero(like), strict=True):
+                    i, j = asking[i], own[j]
+                    if part[i] != part[j] and (i, part[j]) not in met:
+                        met.add((i, part[j]))
+                        out.append((classes[i], classes[j]))
             if out:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
@@ -234,13 +245,13 @@ def candidate_links(classes: DataFrame, percent: int, trees: int = TREES) -> Dat
     n = shuffle_partitions(classes.sparkSession)
     j = percent / 100
     least = int(SIGNATURE * (j - 4.2 * (j * (1 - j) / SIGNATURE) ** 0.5))
-    rows, links = classes.select("class", "sig").mapInArrow(_plant(trees), "path long, class binary"), None
+    rows, links, n_rows = classes.select("class", "sig").mapInArrow(_plant(trees), "path long, class binary"), None, 2 * trees * classes.count()
     for depth in range(2, DEPTH + 1):
-        rows = rows if depth == 2 else materialise(rows)
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("class").alias("least")).filter("size > 1").withColumnRenamed("path", "p"))
+        rows = rows if depth == 2 else materialise(fewer(rows, n_rows, ROWS))
+        sizes = materialise(fewer(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("class").alias("least")).filter("size > 1").withColumnRenamed("path", "p"), n_rows, ROWS))
         met = rows.join(sizes, F.col("path") == F.col("p")).drop("p")
         small = met.filter(F.col("size") <= NODE).select("path", "class").join(classes.select("class", "mini"), "class")
-        found = small.repartition(n, "path").sortWithinPartitions("path", "class").select("path", "class", "mini").mapInArrow(_compare_nodes(least), PAIR)
+        found = fewer(small.repartition(n, "path"), n_rows, ROWS // 4).sortWithinPartitions("path", "class").select("path", "class", "mini").mapInArrow(_compare_nodes(least), PAIR)
         links = found if links is None else links.union(found)
         if sizes.filter(F.col("size") > NODE).isEmpty():
             break
@@ -249,7 +260,7 @@ def candidate_links(classes: DataFrame, percent: int, trees: int = TREES) -> Dat
             links = links.union(large.select(F.col("least").alias("a"), F.col("class").alias("b")))
         else:
             rows = large.select("path", "class").join(classes.select("class", "sig"), "class").select("path", "class", "sig").mapInArrow(_branch, "path long, class binary")
-    return materialise(links.filter("a <> b").distinct())
+    return materialise(fewer(links.filter("a <> b").distinct(), n_rows, ROWS))
 
 
 def _resolve_large(members: DataFrame, percent: int) -> DataFrame:
@@ -260,9 +271,9 @@ def _resolve_large(members: DataFrame, percent: int) -> DataFrame:
     def blocked(df: DataFrame) -> DataFrame:
         return df.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK)))
 
-    rows, links = members, None
+    rows, links, n_rows = members, None, members.count()
     while True:
-        dealt = blocked(rows).repartition(n, *keys).sortWithinPartitions(*keys, "class").select(*keys, "class", "shingles")
+        dealt = fewer(blocked(rows).repartition(n, *keys), n_rows, 4 * BLOCK).sortWithinPartitions(*keys, "class").select(*keys, "class", "shingles")
         found = materialise(dealt.mapInArrow(_join_up(percent, keys), PAIR))
         links = found if links is None else links.union(found)
         if rows.filter(F.col("members") > BLOCK).isEmpty():
@@ -301,15 +312,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(texts.mapInArrow(_sketches(k), "id long, h long, n long, class binary, sig binary, mini binary"))
     known = rows.filter("class IS NOT NULL")
-    classes = materialise(known.groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("mini").alias("mini")))
+    n_rows = rows.count()
+    classes = materialise(fewer(known.groupBy("class").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("mini").alias("mini")), n_rows, ROWS // 8))
     clusters = connected_components(candidate_links(classes.select("class", "sig", "mini"), percent, trees)).withColumnRenamed("label", "cluster")
     sizes = clusters.groupBy(F.col("cluster").alias("c")).agg(F.count("*").alias("members"))
     clusters = clusters.join(sizes, F.col("cluster") == F.col("c")).join(classes.select("class", "one"), F.col("node") == F.col("class"))
     wanted = clusters.select("cluster", "members", "class", F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"))
     # one row for each class: rows that repeat id and text have the same class
     fetched = texts.join(wanted.hint("merge"), (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id"))).select("cluster", "members", "class", "text")
-    members = materialise(fetched.mapInArrow(_full_sets(k), "cluster binary, members long, class binary, shingles binary").dropDuplicates(["class"]))
-    small = members.filter(F.col("members") <= BLOCK).repartition(n, "cluster").sortWithinPartitions("cluster", "class").select("cluster", "class", "shingles")
+    members = fewer(fetched, n_rows, ROWS // 40).mapInArrow(_full_sets(k), "cluster binary, members long, class binary, shingles binary")
+    members = materialise(fewer(members.dropDuplicates(["class"]), n_rows, ROWS // 40))
+    small = fewer(members.filter(F.col("members") <= BLOCK).repartition(n, "cluster"), n_rows, ROWS // 40).sortWithinPartitions("cluster", "class").select("cluster", "class", "shingles")
     links = small.mapInArrow(_join_up(percent, ["cluster"]), PAIR)
     large = members.filter(F.col("members") > BLOCK)
     parts = links.select(F.col("a").alias("label"), F.col("b").alias("node"))

@@ -97,3 +97,33 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both.sort()
     shared = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * shared >= percent * (n + m - shared)
+
+
+def shared(sets: list[np.ndarray], others: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sets with each other, or with others, as products of incidence matrices.
+
+    Shingles of a single set can't be shared and are left out, so near copies need few columns.
+    """
+    both = sets + (others or [])
+    values, place, count = np.unique(np.concatenate(both) if both else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    owner, number = owner[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    n = len(sets)
+    out = np.zeros((n, len(others) if others is not None else n), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        a, b = np.searchsorted(number, (at, at + columns))
+        m = np.zeros((len(both), columns), np.float32)
+        m[owner[a:b], number[a:b] - at] = 1
+        out += m[:n] @ (m[n:] if others is not None else m).T
+    return out.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], percent: int, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets are alike (as :func:`alike`), all at once."""
+    inter = shared(sets, others)
+    a = np.array([len(x) for x in sets])
+    b = a if others is None else np.array([len(x) for x in others])
+    return 100 * inter >= percent * (a[:, None] + b[None, :] - inter)
