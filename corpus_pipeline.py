@@ -13,12 +13,12 @@ from logloom.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; those without letters, or no nearer to one language than to another, go."""
+    """Documents in a language that the labelled rows teach; those without text or letters go."""
     model = language_id.fit(docs)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if names != docs.columns:
         raise ValueError("documents must not have columns lang_pred or score")
-    return language_id.predict(docs, model, keep=[F.col(f"`{c}`") for c in docs.columns]).filter("lang_pred <> 'und' AND score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return language_id.predict(docs, model, keep=[F.col(f"`{c}`") for c in docs.columns]).filter("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
