@@ -84,7 +84,7 @@ def test_files_in_blocks_and_encodings(spark, tmp_path):
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("d/", "")
         z.writestr("d/a.log", "é\r\nb\n\nc")
-    files = [("a", "é€\nx".encode("cp1252")), ("b", b"\xff\xfe" + "é\nx".encode("utf-16-le")), ("c", "plain text\nx".encode("utf-16-be")), ("d", b"\xef\xbb\xbfé\n"), ("e", b"ascii"), ("f", b"")]
+    files = [("a", "é€\nx".encode("cp1252")), ("b", b"\xff\xfe" + "é\nx".encode("utf-16-le")), ("c", "plain text\nx".encode("utf-16-be")), ("d", b"\xef\xbb\xbf" + "é\n".encode()), ("e", b"ascii"), ("f", b"")]
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in files], "path string, content binary")
     assert {(r.path, r.encoding, r.line_no, r.line) for r in sources.decode_logs(df).collect()} == {("a", "windows-1252", 1, "é€"), ("a", "windows-1252", 2, "x"), ("b", "utf-16le", 1, "é"), ("b", "utf-16le", 2, "x"), ("c", "utf-16be", 1, "plain text"), ("c", "utf-16be", 2, "x"), ("d", "utf-8", 1, "é"), ("e", "utf-8", 1, "ascii")}
     df = spark.createDataFrame([("z", bytearray(out.getvalue())), ("bad", bytearray(b"PK"))], "path string, content binary")
