@@ -112,15 +112,18 @@ def _fly(seed: int, level: int):
     on to the next level in others."""
 
     def one(rows: list, flight: Flight, last: bool) -> list:
-        out, held, seen = [], [], {}
+        out, held, seen, now, above, top = [], [], 0, None, 0, 0
         for row in rows:
-            size = row[3] * row[4]
-            octave = size.bit_length()
-            if 0 < row[8] < 1 and seen.get(octave, 0) < OCTAVE:
-                seen[octave] = seen.get(octave, 0) + 1
-                held.append((row, row[8]))
+            size, phi = row[3] * row[4], row[8]
+            if size.bit_length() != now:
+                # as many as make up for one document of the size that came before
+                now, seen, above, top = size.bit_length(), 0, top, size
+            room = min(phi, 1 - phi) * size
+            if 0 < phi < 1 and seen < max(OCTAVE, above / room):
+                seen += 1
+                held.append((row, phi))
             else:
-                out += flight.add(row[8], float(size), row)
+                out += flight.add(phi, float(size), row)
         return out + (flight.land(held) if last else flight.left() + held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
