@@ -1,29 +1,36 @@
 """Cross-entropy difference: which documents read more like a target corpus than like the background.
 
-Two interpolated bigram models share one vocabulary (words hashed to ``2 ** VOCABULARY`` numbers; bigrams to
-``2 ** BIGRAMS``): the target model counts the target documents, the background model all others, its counts scaled to the
-target's number of tokens so that both models are matched in size and smoothing.  Each document's score is the mean
-over its tokens of target loss minus background loss (bits); lower reads more like the target.
-
-Counts cover every document and every token: each task counts its texts in numpy and sends the counts of the numbers
-it has seen, which are added up by number.  Hashing bounds the models whatever the corpus's size, so that they can be
-sent to the tasks; distinct words of one number share their counts.  The vocabulary is as large as the corpus needs, up to
-this bound.
+Two interpolated bigram models share one vocabulary, all words of the corpus: the target model counts the target
+documents, the background model all others, its counts scaled to the target's number of tokens so that both models are
+matched in size and smoothing.  Each document's score is the mean over its tokens of target loss minus background loss
+(bits); lower reads more like the target.
+
+Words and bigrams are counted by 64-bit hashes, each on its own.  Documents are dealt into blocks of about ``BLOCK`` bytes.
+Each block sends its distinct words and bigrams with its own counts to the buckets that hold those hashes; a bucket adds
+the counts up and answers each block with the totals, in the order asked, so that answers need no keys.  A hot word is
+asked for once by each block, however many documents have it.  Blocks and buckets grow in number with the corpus, not in
+size; only totals reach the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .shingles import mixed, word_numbers
 
+#: Bits of the numbers of :func:`_counts`.
 VOCABULARY, BIGRAMS = 18, 20
+#: Bytes of text of a block.
+BLOCK = 16_000_000
 #: Weight of the bigram estimate, and of the uniform share in the unigram estimate.
 LAMBDA, UNIFORM = 0.6, 0.05
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +47,8 @@ def _numbers(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, target, background): unigrams as 0.., bigrams behind them, contexts behind those."""
+    """(number, target, background) in a bounded space, shared by words of one number: unigrams as 0.., bigrams behind them,
+    contexts behind those.  Scores don't use it."""
     space = 2 * (1 << VOCABULARY) + (1 << BIGRAMS)
     total = np.zeros((2, space), np.int64)
     for batch in batches:
@@ -57,37 +65,140 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[0, own]), pa.array(total[1, own])], ["number", "target", "background"])
 
 
-class Model:
-    """Bits of loss of a word after another, from hashed counts."""
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one size, in the least width that holds them."""
+    both = np.concatenate(columns)
+    width = next(w for w in (1, 2, 4, 8) if not len(both) or int(both.max()) < 1 << (8 * w))
+    return bytes([width]) + zlib.compress(both.astype(f"<u{width}").tobytes(), 1)
 
-    def __init__(self, counts: np.ndarray, scale: float = 1.0):
-        v, b = 1 << VOCABULARY, 1 << BIGRAMS
-        self.unigram, self.bigram, self.context = (x.astype(np.float32) * np.float32(scale) for x in (counts[:v], counts[v : v + b], counts[v + b :]))
-        n = float(self.unigram.sum())
-        self.unigram = ((1 - UNIFORM) * self.unigram / n if n else self.unigram + np.float32((1 - UNIFORM) / v)) + np.float32(UNIFORM / v)
 
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        # absent contexts leave all the weight to the unigram estimate; one pseudo-count damps rare ones
-        context = self.context[before]
-        share = LAMBDA * context / (context + 1)
-        ratio = np.minimum(1, self.bigram[pair] / np.maximum(context, 1e-9))
-        return -np.log2((share * ratio + (1 - share) * self.unigram[word]).astype(np.float64))
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64).reshape(columns, -1)
 
 
-def _scores(sent):
+def _parcels(labels: bool, most: int = 32_000_000):
+    """Rows (block, id, text) of one block, bound together and compressed."""
+
+    def bound(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.set_column(2, "text", t["text"].cast(pa.large_binary()))
+        t = t.take(pa.compute.sort_indices(t["block"]))
+        blocks = t["block"].to_numpy()
+        first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t.slice(x, y - x))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[x : x + 1]), pa.array([labels]), pa.array([sink.getvalue().to_pybytes()])], ["block", "labels", "parcel"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, scale = sent.value
-        target, background = Model(counts[0]), Model(counts[1], scale)
+        held, size = [], 0
         for batch in batches:
-            n, a, b = [], [], []
-            for _, sizes, word, before, pair in _numbers(batch.column("text").cast(pa.binary()).to_pylist()):
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                n.append(sizes)
-                a.append(np.bincount(owner, target.loss(word, before, pair), len(sizes)))
-                b.append(np.bincount(owner, background.loss(word, before, pair), len(sizes)))
-            n, a, b = (np.concatenate(x) if x else np.zeros(0) for x in (n, a, b))
-            least = np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), pa.array(a / least), pa.array(b / least), pa.array((a - b) / least)], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                if size > most:
+                    yield from bound(held)
+                    held, size = [], 0
+        if held:
+            yield from bound(held)
+
+    return work
+
+
+class Block:
+    """The tokens of a block's documents, and its distinct words (0 before the first of a text) and bigrams in order."""
+
+    def __init__(self, parcels: list[bytes]):
+        tables = [pa.ipc.open_stream(x).read_all() for x in parcels]
+        self.ids = pa.chunked_array([c for t in tables for c in t["id"].chunks], pa.int64())
+        sizes, words = [], []
+        for t in tables:
+            for _, n, w in word_numbers(t["text"].to_pylist()):
+                sizes.append(n)
+                words.append(w)
+        self.sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        before = np.r_[np.zeros(1, np.uint64), word[:-1]] if len(word) else word
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        self.pairs, self.pair = np.unique(mixed(before * _NEXT + word), return_inverse=True)
+        self.words, place = np.unique(np.concatenate([word, before]), return_inverse=True)
+        self.word, self.before = place[: len(word)], place[len(word) :]
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the keys of each bucket begin and end, in sorted keys."""
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+ASKED = "bucket int, block int, pairs binary, pair_counts binary, words binary, word_counts binary"
+
+
+def _ask(buckets: int):
+    """A block's own counts: of bigrams (target, background), of words (as word, as word before; target, background)."""
+
+    def work(t: pa.Table) -> pa.Table:
+        parcels = list(zip(t["labels"].to_pylist(), t["parcel"].to_pylist(), strict=True))
+        b = Block([x for labels, x in sorted(parcels) if not labels])
+        targets = [pa.ipc.open_stream(x).read_all()["id"] for labels, x in parcels if labels]
+        wanted = pa.chunked_array([c for x in targets for c in x.chunks], pa.int64())
+        side = np.repeat(np.array(pa.compute.is_in(b.ids, value_set=wanted).to_pylist(), bool), b.sizes)
+        count = lambda place, keys: [np.bincount(place[side], minlength=len(keys)), np.bincount(place[~side], minlength=len(keys))]
+        pair, word = count(b.pair, b.pairs), [*count(b.word, b.words), *count(b.before, b.words)]
+        p, w = _cuts(b.pairs, buckets), _cuts(b.words, buckets)
+        block, out = t["block"][0].as_py(), []
+        for k in range(buckets):
+            x, y = slice(p[k], p[k + 1]), slice(w[k], w[k + 1])
+            if p[k] < p[k + 1] or w[k] < w[k + 1]:
+                out.append((k, block, b.pairs[x].tobytes(), _packed(*(c[x] for c in pair)), b.words[y].tobytes(), _packed(*(c[y] for c in word))))
+        names, kinds = ["bucket", "block", "pairs", "pair_counts", "words", "word_counts"], [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+    return work
+
+
+ANSWERED = "bucket int, block int, pair_counts binary, word_counts binary, vocabulary long, own long, others long"
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """The totals of all that blocks asked a bucket for; the bucket's numbers of words and tokens are in its first row."""
+
+    def totals(keys: str, counts: str, columns: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        asked = [np.frombuffer(x, np.uint64) for x in t[keys].to_pylist()]
+        known, place = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.zeros((columns, len(known)), np.int64)
+        cut = np.r_[0, np.cumsum([len(x) for x in asked])]
+        for i, data in enumerate(t[counts].to_pylist()):
+            total[:, place[cut[i] : cut[i + 1]]] += _unpacked(data, columns)  # a block asks for a key once
+        return [_packed(*total[:, place[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)], known, total
+
+    pairs, _, _ = totals("pairs", "pair_counts", 2)
+    words, known, total = totals("words", "word_counts", 4)
+    once = [[int((known != 0).sum()), int(total[0].sum()), int(total[1].sum())]] + [[0, 0, 0]] * (t.num_rows - 1)
+    return pa.table([t["bucket"], t["block"], pa.array(pairs, pa.binary()), pa.array(words, pa.binary()), *(pa.array([x[i] for x in once], pa.int64()) for i in range(3))], ["bucket", "block", "pair_counts", "word_counts", "vocabulary", "own", "others"])
+
+
+def _losses(word: np.ndarray, context: np.ndarray, bigram: np.ndarray, tokens: int, scale: float, vocabulary: int) -> np.ndarray:
+    """Bits of loss of words after others, from the counts of word, word before and both."""
+    unigram = ((1 - UNIFORM) * word / tokens if tokens else np.full(len(word), (1 - UNIFORM) / vocabulary)) + UNIFORM / vocabulary
+    # absent contexts leave all the weight to the unigram estimate; one pseudo-count damps rare ones
+    share = LAMBDA * context * scale / (context * scale + 1)
+    return -np.log2(share * (bigram / np.maximum(context, 1)) + (1 - share) * unigram)
+
+
+def _scores(own: int, others: int, vocabulary: int):
+    scale = own / others if own and others else 1.0
+
+    def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        b = Block(sorted(docs["parcel"].to_pylist()))
+        answers = answers.take(pa.compute.sort_indices(answers["bucket"])) if answers.num_rows else answers
+        pair, word = (np.concatenate([np.zeros((n, 0), np.int64), *(_unpacked(x, n) for x in answers[c].to_pylist())], axis=1) for c, n in (("pair_counts", 2), ("word_counts", 4)))
+        owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
+        least = np.maximum(b.sizes, 1)
+        target, background = (
+            np.bincount(owner, _losses(word[s][b.word], word[2 + s][b.before], pair[s][b.pair], tokens, by, vocabulary), len(b.sizes)) / least for s, tokens, by in ((0, own, 1.0), (1, others, scale))
+        )
+        return pa.table([b.ids, pa.array(b.sizes), pa.array(target), pa.array(background), pa.array(target - background)], ["id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return work
 
@@ -99,20 +210,20 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
     targets).  Words are lower-cased (A-Z) runs without white space.  Texts that are null or blank score 0 with no tokens.  Without
     target or background documents that model is uniform over the vocabulary.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    target = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("t")).filter("t IS NOT NULL").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # always a shuffle join: the labels grow with the documents
-    sides = rows.join(target.hint("merge"), F.col("id") == F.col("t"), "left").select(F.col("t").isNotNull().alias("target"), "text")
-    counted = materialise(sides.mapInArrow(_counts, "number int, target long, background long").groupBy("number").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    space = 2 * (1 << VOCABULARY) + (1 << BIGRAMS)
-    counts = np.zeros((2, space), np.int64)
-    for batch in counted.toArrow().to_batches():  # bounded by the hashed space, whatever the corpus
-        number = batch.column("number").to_numpy()
-        counts[0, number], counts[1, number] = batch.column("target").to_numpy(), batch.column("background").to_numpy()
-    own, others = (float(counts[s, : 1 << VOCABULARY].sum()) for s in (0, 1))
-    sent = spark.sparkContext.broadcast((counts, own / others if own and others else 1.0))
-    return rows.mapInArrow(_scores(sent), "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK))
+    block = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n)).cast("int").alias("block")
+    kind = "block int, labels boolean, parcel binary"
+    rows = texts.select(block, "id", F.col("text").cast("binary").alias("text")).mapInArrow(_parcels(False), kind)
+    target = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("id"), F.lit(None).cast("string").alias("text")).filter("id IS NOT NULL")
+    target = target.select(block, "id", F.col("text").cast("binary").alias("text")).mapInArrow(_parcels(True), kind)
+    asked = rows.unionByName(target).repartition(n, "block").groupBy("block").applyInArrow(_ask(n), ASKED)
+    answers = materialise(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer, ANSWERED))
+    vocabulary, own, others = (x or 0 for x in answers.agg(F.sum("vocabulary"), F.sum("own"), F.sum("others")).first())
+    dealt, told = (x.repartition(n, "block").groupBy("block") for x in (rows, answers.select("block", "bucket", "pair_counts", "word_counts")))
+    scored = dealt.cogroup(told).applyInArrow(_scores(own, others, max(1, vocabulary)), "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("id", id_col)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

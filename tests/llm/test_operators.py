@@ -338,6 +338,35 @@ def test_bigram_counts_are_exact(spark):
     assert {r.u: tuple(r)[1:] for r in got}[True] == (4, 1)
 
 
+def test_lm_scores_equal_exact_counts(spark, monkeypatch):
+    """No word or bigram shares its counts with another, over several blocks; repeated rows and null ids count."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 2000)
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(4000 * r.random() ** 2)}" for _ in range(60))) for i in range(200)]
+    rows += [(None, "w1 w2 w1"), (3, rows[3][1]), (1000, None), (1001, " "), (1002, "w1 W2 only\there")]
+    ids = {*range(0, 200, 3), 1002}
+    one, two, ctx, totals = ({}, {}), ({}, {}), ({}, {}), [0, 0]
+    for i, text in rows:
+        s, w = int(i not in ids), (text or "").lower().split()
+        totals[s] += len(w)
+        for a, b in zip(["", *w], w):
+            for d, k in ((one[s], b), (two[s], (a, b)), (ctx[s], a)):
+                d[k] = d.get(k, 0) + 1
+    v, by = len({*one[0], *one[1]}), (1.0, totals[0] / totals[1])
+    want = []
+    for i, text in rows:
+        w, loss = (text or "").lower().split(), [0.0, 0.0]
+        for a, b in zip(["", *w], w):
+            for s in (0, 1):
+                c = ctx[s].get(a, 0)
+                share = 0.6 * c * by[s] / (c * by[s] + 1)
+                loss[s] -= np.log2(share * two[s].get((a, b), 0) / max(c, 1) + (1 - share) * (0.95 * one[s].get(b, 0) / totals[s] + 0.05 / v))
+        want.append((-1 if i is None else i, len(w), loss[0] / max(1, len(w)), loss[1] / max(1, len(w))))
+    got = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in ids], "i long")).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got)
+    assert len(got) == len(want) and np.allclose(np.array(got), np.array(sorted(want)), rtol=0, atol=1e-9)
+
+
 # ---- 10
 
 
