@@ -9,7 +9,9 @@ equal anchors.  Consecutive strings with one anchor form a *stretch*.  Stretches
 in numpy, to the task of their anchor.  Of stretches with the same bytes the earliest one stays and the others are
 removed as a whole: this happens where they are read already, so a hot passage costs one record for each task.  Only
 anchors with two or more different stretches are left; for these the bytes are fetched and a suffix array is built for
-each block of anchors.
+each block of anchors.  The stretches of an anchor that has more of them than a block holds (a hot phrase between bytes of
+each document's own) are cut into their single strings, the earliest of equal ones is kept where they are fetched, and
+the rest is dealt by a hash of the whole string into blocks of their own.
 
 The suffix array is made by two-stage sorting: the suffixes smaller than their successors are sorted directly; all others
 are induced from them by scanning the buckets of first bytes in order.  Adjacent common prefixes of 100 bytes or more
@@ -36,6 +38,8 @@ LENGTH, GRAM, DEPTH, CHUNK, RECORDS, BLOCK = 100, 32, 104, 2_000_000, 2_000_000,
 
 #: An occurrence of a stretch: anchor hash, hash of its bytes, document (null flag, id, hash of the text), first and number of starts.
 STRETCH = np.dtype([("anchor", "<u8"), ("bytes", "<u8"), ("null", "u1"), ("id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("n", "u1")])
+#: A string of an anchor that is dealt by strings, with its row in the bytes beside.
+SINGLE = np.dtype([*((c, STRETCH[c]) for c in STRETCH.names), ("row", "<i4")])
 SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -49,6 +53,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(sixteen[:n] * _C[3] + sixteen[16 : n + 16])
 
 
+def _whole(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes at each place."""
+    return mixed(grams[at] * _C[0] + mixed(grams[at + GRAM] * _C[1] + mixed(grams[at + 2 * GRAM] * _C[2] + grams[at + LENGTH - GRAM])))
+
+
 def _stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document's place, first start, number of starts, anchor hash, hash of the bytes) of all stretches of a buffer."""
     width = LENGTH - GRAM + 1
@@ -72,10 +81,7 @@ def _stretches(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[
     count = np.diff(np.r_[first, len(starts)])
     a, b = starts[first], starts[first] + count - 1
 
-    def whole(at: np.ndarray) -> np.ndarray:
-        return mixed(grams[at] * _C[0] + mixed(grams[at + GRAM] * _C[1] + mixed(grams[at + 2 * GRAM] * _C[2] + grams[at + LENGTH - GRAM])))
-
-    return owner[first], a, count, grams[anchor[first]], mixed(whole(a) * _C[3] + whole(b) + count.astype(np.uint64))
+    return owner[first], a, count, grams[anchor[first]], mixed(_whole(grams, a) * _C[3] + _whole(grams, b) + count.astype(np.uint64))
 
 
 def _earliest(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +118,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 SENT = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 SENT_DDL = "bucket int, id long, th long, kind int, payload binary"
-REMOVED, WANTED, RECORD = 0, 1, 2
+REMOVED, WANTED, RECORD, STRINGS = 0, 1, 2, 3
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -219,12 +225,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batched((-1, i, th, REMOVED, spans) for i, th, spans in _spans(later))
     pair = kept["anchor"][1:] == kept["anchor"][:-1]
     wanted = kept[np.r_[False, pair] | np.r_[pair, False]]
-    wanted = wanted[np.lexsort((wanted["th"], wanted["id"], wanted["null"]))]
+    parts = _blocks_of(wanted)
+    order = np.lexsort((wanted["th"], wanted["id"], wanted["null"]))
+    wanted, parts = wanted[order], parts[order]
+    want = np.zeros(len(wanted), _WANT)
+    want["anchor"], want["start"], want["n"], want["parts"] = wanted["anchor"], wanted["start"], wanted["n"], parts
     new = np.flatnonzero(np.r_[True, (wanted["id"][1:] != wanted["id"][:-1]) | (wanted["th"][1:] != wanted["th"][:-1]) | (wanted["null"][1:] != wanted["null"][:-1])][: len(wanted)])
-    yield from _batched((-1, None if wanted["null"][a] else int(wanted["id"][a]), int(wanted["th"][a]), WANTED, wanted[["anchor", "start", "n"]][a:b].astype(_WANT).tobytes()) for a, b in zip(new, np.r_[new[1:], len(wanted)], strict=True))
+    yield from _batched((-1, None if wanted["null"][a] else int(wanted["id"][a]), int(wanted["th"][a]), WANTED, want[a:b].tobytes()) for a, b in zip(new, np.r_[new[1:], len(wanted)], strict=True))
+
+
+_WANT = np.dtype([("anchor", "<u8"), ("start", "<i4"), ("n", "u1"), ("parts", "<u4")])
 
 
-_WANT = np.dtype([("anchor", "<u8"), ("start", "<i4"), ("n", "u1")])
+def _blocks_of(wanted: np.ndarray) -> np.ndarray:
+    """Blocks that each record's anchor is dealt into by its single strings; 0 where its stretches fit one block (records sorted by anchor)."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, wanted["anchor"][1:] != wanted["anchor"][:-1]])
+    strings = np.add.reduceat(wanted["n"].astype(np.int64), first)
+    count = np.diff(np.r_[first, len(wanted)])
+    return np.repeat(np.where(strings + LENGTH * count > BLOCK, -(-strings * LENGTH // BLOCK), 0), count)
 
 
 def _fetch(buckets: int):
@@ -234,7 +254,29 @@ def _fetch(buckets: int):
         held: dict[int, list] = defaultdict(list)
         size = 0
 
+        singles: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def strings():
+            """Single strings: the earliest of equal ones, dealt into blocks; the others are removed."""
+            r, data = np.concatenate([x[0] for x in singles]), np.concatenate([x[1] for x in singles])
+            grams = _gram_hashes(np.r_[data.ravel(), np.zeros(64, np.uint8)])
+            r["bytes"], r["row"] = _whole(grams, np.arange(len(r)) * LENGTH), np.arange(len(r))
+            parts = np.concatenate([x[2] for x in singles])
+            singles.clear()
+            kept, later = _earliest(r)
+            for i, th, spans in _spans(later):
+                yield (th % buckets), i, th, REMOVED, spans
+            kept["anchor"] = mixed(kept["anchor"] ^ mixed(kept["bytes"] % parts[kept["row"]] + np.uint64(1)))
+            bucket = (kept["anchor"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                own = kept[order[cut[b] : cut[b + 1]]]
+                yield b, None, None, STRINGS, len(own).to_bytes(4, "little") + own.tobytes() + data[own["row"]].tobytes()
+
         def out():
+            if singles:
+                yield from strings()
             for b, own in sorted(held.items()):
                 yield b, None, None, RECORD, b"".join([len(own).to_bytes(4, "little"), *(x[0] for x in own), *(x[1] for x in own)])
             held.clear()
@@ -243,6 +285,17 @@ def _fetch(buckets: int):
             for doc, th, text, wants in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "wants")), strict=True):
                 raw = text.encode()
                 want = np.frombuffer(b"".join(wants), _WANT)
+                for w in want[want["parts"] > 0]:
+                    n, s = int(w["n"]), int(w["start"])
+                    r = np.zeros(n, SINGLE)
+                    r["anchor"], r["start"], r["n"], r["id"], r["null"], r["th"] = w["anchor"], s + np.arange(n), 1, doc or 0, doc is None, th
+                    rows_ = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8, n - 1 + LENGTH, s), LENGTH)
+                    singles.append((r, rows_, np.full(n, w["parts"], np.uint64)))
+                    size += n * (LENGTH + SINGLE.itemsize)
+                    if size > 16_000_000:
+                        yield from out()
+                        size = 0
+                want = want[want["parts"] == 0]
                 r = np.zeros(len(want), STRETCH)
                 r["anchor"], r["start"], r["n"], r["id"], r["null"], r["th"] = want["anchor"], want["start"], want["n"], doc or 0, doc is None, th
                 r["bytes"] = want["n"].astype(np.uint64) - np.uint64(1) + np.uint64(LENGTH)
@@ -332,18 +385,46 @@ def _equal_strings(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[starts], offset[starts], group
 
 
+def _sort_strings(r: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Later ones of equal single strings, block by block."""
+    order = np.argsort(r["anchor"], kind="stable")
+    anchor = r["anchor"][order]
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
+        own = order[a:b]
+        s = r[own]
+        # UTF-8 has no byte above 0xF7: moved up by one, none is 0, which numpy takes for an end
+        s["anchor"], s["bytes"] = np.unique((data[own] + np.uint8(1)).view(f"S{LENGTH}").ravel(), return_inverse=True)[1], 0
+        _, later = _earliest(s)
+        yield from _batched((-1, i, th, REMOVED, spans) for i, th, spans in _spans(later))
+
+
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over blocks of whole anchors; later strings of each class are removed."""
-    records, contents = [], []
+    """Suffix arrays over blocks of whole anchors; later strings of each class are removed.
+
+    Strings that come one by one are blocks of LENGTH bytes each: only the suffix that is all of one can match, so these alone
+    are sorted.
+    """
+    records, contents, singles, data = [], [], [], []
     for batch in batches:
-        for payload in batch.column("payload").to_pylist():
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            payload = row[4]
+            if row[3] == REMOVED:
+                yield _rows([row])
+                continue
             n = int.from_bytes(payload[:4], "little")
+            if row[3] == STRINGS:
+                singles.append(np.frombuffer(payload, SINGLE, n, 4))
+                data.append(np.frombuffer(payload, np.uint8, n * LENGTH, 4 + n * SINGLE.itemsize).reshape(n, LENGTH))
+                continue
             r = np.frombuffer(payload, STRETCH, n, 4)
             at = 4 + n * STRETCH.itemsize
             for size in r["bytes"].tolist():
                 contents.append(payload[at : at + size])
                 at += size
             records.append(r)
+    if singles:
+        yield from _sort_strings(np.concatenate(singles), np.concatenate(data))
     if not records:
         return
     r = np.concatenate(records)

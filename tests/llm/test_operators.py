@@ -399,6 +399,34 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_deals_a_hot_anchor_by_strings(monkeypatch):
+    """A phrase between bytes of each document's own: no block is much larger than BLOCK, and no match is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4000)
+    r = random.Random(8)
+    hot = "".join(r.choice("abcdefgh") for _ in range(90))
+    rows = [(i, words(20, i, 10**6) + f" {r.randrange(9):02}{hot}{r.randrange(30):08} " + words(20, 500 + i, 10**6)) for i in range(300)]
+    rows += [(400, rows[5][1]), (401, None)]
+    sizes, equal, unique = [], suffix_dedup._equal_strings, np.unique
+    monkeypatch.setattr(suffix_dedup, "_equal_strings", lambda contents: sizes.append(sum(map(len, contents))) or equal(contents))
+    monkeypatch.setattr(np, "unique", lambda x, **k: (sizes.append(x.nbytes) if x.dtype.kind == "S" else 0) or unique(x, **k))
+    batches = [pa.RecordBatch.from_pylist([{"id": d, "th": d, "text": t or ""} for d, t in rows[at : at + 101]]) for at in range(0, len(rows), 101)]
+    sent = [x for b in batches for out in suffix_dedup._read(1)(iter([b])) for x in out.to_pylist()]
+    table = lambda own: iter([pa.RecordBatch.from_pylist(own, suffix_dedup.SENT)])
+    met = [x for out in suffix_dedup._meet(table(sent)) for x in out.to_pylist()]
+    text, gone = dict(rows), [x for x in met if x["kind"] == suffix_dedup.REMOVED]
+    wants = [{"id": x["id"], "th": x["th"], "text": text[x["id"]], "wants": [x["payload"]]} for x in met if x["kind"] == suffix_dedup.WANTED]
+    fetched = [x for at in (0, 150) for out in suffix_dedup._fetch(1)(iter([pa.RecordBatch.from_pylist(wants[at : at + 150])])) for x in out.to_pylist()]
+    gone += [x for out in suffix_dedup._sort_blocks(table(fetched)) for x in out.to_pylist()]
+    spans: dict = {}
+    for x in gone:
+        spans.setdefault(x["id"], []).append(np.frombuffer(x["payload"], suffix_dedup.SPAN))
+    want = {d: v[1] for d, v in brute_repeats(rows).items() if v[1]}
+    assert {d: sum(int(e - b) for b, e in suffix_dedup.merged(np.concatenate(v)).tolist()) for d, v in spans.items()} == want and len(want) > 200
+    assert max(sizes) <= 2 * 4000, max(sizes)
+
+
 def test_two_stage_suffix_array():
     rng = np.random.default_rng(1)
     for letters in (1, 2, 4, 30):
