@@ -2,10 +2,9 @@
 
 1. A text becomes its set of word shingles and 64 minwise values of it.  Rows with equal sets are one *class* (a hot group
    of copies is one row from here on).
-2. Trees: at the root of each independent tree a class follows its two smallest minwise tokens under the tree's own order,
-   at each deeper node the smallest under the node's order.  Two sets of similarity s stay together at a step with
-   probability s, so that with the given number of trees a link of the threshold similarity is missed with a
-   probability of about 1e-5.  Nodes of up to ``NODE`` classes are compared exhaustively on minwise values; larger nodes
+2. Trees: at the root of each tree a class follows its minwise values at two positions of the tree's own, at each deeper node
+   the value at a position that the node's hash chooses.  Two sets of similarity s stay together at a step with
+   probability s; see ``TREES`` for what is missed.  Nodes of up to ``NODE`` classes are compared exhaustively on minwise values; larger nodes
    branch on, and what is still together after ``DEPTH`` tokens is passed on as one group.
 3. Components of those candidate links are *clusters*: every link lies within one.  Each cluster is resolved exactly on
    full shingle sets.  A small cluster is compared exhaustively in one task.  A large one (a hot group of near copies) is
@@ -29,8 +28,10 @@ from .common import fewer, materialise, shuffle_partitions, table
 from .components import connected_components
 from .shingles import SIGNATURE, alike, linked, mixed, shingle_sets, signature
 
-#: Independent trees, tokens after which a node is passed on, classes of a node that are compared, classes of a block.
-TREES, DEPTH, NODE, BLOCK = 6, 3, 256, 256
+#: With 2 * TREES paths a link of similarity s is missed with about (1 - s ** 2) ** (2 * TREES) where nodes of the second level
+#: are small, and (1 - s ** 3) ** (2 * TREES) where they are larger than NODE; the spread of 64 values comes on top.
+#: Trees, tokens after which a node is passed on, classes of a node that are compared, classes of a block.
+TREES, DEPTH, NODE, BLOCK = 10, 3, 256, 256
 #: Thin rows of a partition.
 ROWS = 400_000
 
@@ -60,10 +61,9 @@ def _tokens(sig: pa.Array) -> np.ndarray:
     return mixed(values | (np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)))
 
 
-def _follow(path: np.ndarray, tokens: np.ndarray, nth: int = 0) -> np.ndarray:
-    """The child of each row's node: by its smallest token (or second smallest) in the node's own order."""
-    order = mixed(tokens ^ mixed(path)[:, None])
-    pick = order.argmin(1) if nth == 0 else np.argpartition(order, nth, axis=1)[:, nth]
+def _follow(path: np.ndarray, tokens: np.ndarray, position: int | None = None) -> np.ndarray:
+    """The child of each row's node: by its token at the given position, or at the one that the node chooses."""
+    pick = mixed(path) % np.uint64(SIGNATURE) if position is None else position % SIGNATURE
     return mixed(path * np.uint64(3) + tokens[np.arange(len(path)), pick])
 
 
@@ -77,7 +77,7 @@ def _plant(trees: int):
                 for tree in range(trees):
                     root = mixed(np.full(n, tree + 1, np.uint64))
                     for nth in (0, 1):
-                        yield pa.RecordBatch.from_arrays([pa.array(_follow(_follow(root, tokens, nth), tokens).view(np.int64)), batch.column("class")], ["path", "class"])
+                        yield pa.RecordBatch.from_arrays([pa.array(_follow(_follow(root, tokens, 2 * tree + nth), tokens).view(np.int64)), batch.column("class")], ["path", "class"])
 
     return work
 

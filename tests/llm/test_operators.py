@@ -206,6 +206,30 @@ def test_near_dedup(docs, empty, k, percent):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared,own,least", [(80, 10, 0.79), (85, 15, 0.84)])
+def test_near_dedup_paths_keep_links_at_the_threshold(shared, own, least):
+    """Pairs of Jaccard 0.80 (80 of 100) and 0.85 (85 of 100): share of steps that keep them together, and of pairs that no path keeps, with production constants."""
+    import pyarrow as pa
+
+    from logloom.llm.shingles import signature
+
+    rng, n = np.random.default_rng(3), 5000
+    left = 0 if own == 15 else own  # 85 of 85 and 100, or 80 of 90 and 90
+    sigs = [[], []]
+    for _ in range(n):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        sigs[0].append(signature(x[: shared + left]).tobytes())
+        sigs[1].append(signature(np.r_[x[:shared], x[shared + left :]]).tobytes())
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array([b""] * n, pa.binary())], ["sig", "class"]) for x in sigs]
+    ways = [[o.column("path").to_numpy().view(np.uint64) for o in near_dedup._plant(near_dedup.TREES)(iter([b]))] for b in batches]
+    tokens = [near_dedup._tokens(b.column("sig")) for b in batches]
+    second = np.array([a == b for a, b in zip(*ways)])
+    third = np.array([near_dedup._follow(a, tokens[0]) == near_dedup._follow(b, tokens[1]) for a, b in zip(*ways)])
+    print("kept at levels 2, 3:", second.mean(), third.mean(), "missed:", 1 - second.any(0).mean(), 1 - third.any(0).mean())
+    assert second.mean() > least**2 and third.mean() > least**3
+    assert 1 - second.any(0).mean() <= 0.0002 and 1 - third.any(0).mean() <= 0.001
+
+
 def test_near_dedup_of_large_groups(spark, monkeypatch):
     """Groups far larger than a node and a block: copies of two bases that differ in places, and chains."""
     for name, value in (("NODE", 8), ("BLOCK", 8), ("DEPTH", 4)):
