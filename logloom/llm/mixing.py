@@ -5,11 +5,13 @@ once more with the remaining fraction as inclusion probability.  Which ones is d
 method: the vector of probabilities moves through the null space of the balancing constraints until its entries are 0 or
 1, so that both the number of documents and the number of words of the sample stay what the probabilities promise.
 
-Only a few numbers of each document take part.  They are dealt by hash into blocks of a source of about ``block``
-documents, so that a task holds one block's numbers and a hot source is many blocks.  A flight leaves at most two
-documents undecided, and leaves out a few of every size.  Those fly again, level by level, until one block a source is
-left.  There the landing phase rounds the undecided and the left-out ones so that the words taken come as near as they
-can to what was promised.
+Only a few numbers of each document take part.  A source's *heavy* documents, of more than a ``HEAVY``-th of its words (so there are less than
+``HEAVY`` of them), come first, in one task a source: they fly in strata of like size, the largest first, and what
+rounding a stratum's last two leaves over or short is made up for by the probabilities of all that follow.  Then
+all others, whose probabilities make up for the heavy ones in the same way, are dealt by hash into blocks of about
+``block`` documents, so that a task holds one block's numbers and a hot source is many blocks.  A flight leaves at most two documents
+undecided.  Those fly again, level by level, until one block a source is left; there the landing phase rounds the last two and the ``HELD``
+smallest documents that waited for it, so that the words taken come as near as they can to what was promised.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Units of which the landing tries all roundings; units of each power of two that wait; blocks that meet in one of the next level.
-HELD, OCTAVE, FAN = 14, 6, 256
+#: Units that wait for the landing, which tries all roundings of them and two more; parts of a source's words above which a unit is
+#: heavy; blocks that meet in one of the next level.
+HELD, HEAVY, FAN = 12, 4096, 256
 UNIT = "unit_id long, h long, source string, size long, n long, source_size long, target double, base int, phi double, blocks long, shard long"
 
 
@@ -81,50 +84,72 @@ class Flight:
         self.active = rest
         return out
 
-    def land(self, held: list) -> list:
-        """Round what is left with the ``held`` units: the larger ones one by one, so that the error in words stays least, and of
-        all roundings of the last ``HELD`` the one nearest to the promised words, then documents."""
-        units = sorted([*self.left(), *held], key=lambda x: -x[0][3] * x[0][4])
-        if not units:
-            return []
-        phi = np.array([x[1] for x in units])
-        size = np.array([float(x[0][3] * x[0][4]) for x in units])
-        out, error = [], 0.0  # words taken beyond the promise so far
-        most = max(0, len(units) - HELD)
-        for i in range(most):
-            take = error + (1 - phi[i]) * size[i] <= phi[i] * size[i] - error
-            error += (take - phi[i]) * size[i]
-            out.append((units[i][0], float(take)))
-        units, phi, size = units[most:], phi[most:], size[most:]
-        choice = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
-        best = np.lexsort((np.abs(choice.sum(1) - phi.sum()), np.round(np.abs(choice @ size - phi @ size + error), 6)))[0]
-        return out + [(tag, float(x)) for (tag, _), x in zip(units, choice[best], strict=True)]
-
     def left(self) -> list:
         out = [(tag, phi) for phi, _, tag in self.active]
         self.active = []
         return out
 
 
-def _fly(seed: int, level: int):
-    """Units come by source, block and falling size; each block is one flight.  ``OCTAVE`` units of each power of two in size
-    wait, so that what is rounded at last can be made up for at every scale: they land in a source's only block, and go
-    on to the next level in others."""
-
-    def one(rows: list, flight: Flight, last: bool) -> list:
-        out, held, seen, now, above, top = [], [], 0, None, 0, 0
-        for row in rows:
-            size, phi = row[3] * row[4], row[8]
-            if size.bit_length() != now:
-                # as many as make up for one document of the size that came before
-                now, seen, above, top = size.bit_length(), 0, top, size
-            room = min(phi, 1 - phi) * size
-            if 0 < phi < 1 and seen < max(OCTAVE, above / room):
-                seen += 1
-                held.append((row, phi))
-            else:
-                out += flight.add(phi, float(size), row)
-        return out + (flight.land(held) if last else flight.left() + held)
+def land(units: list, promised: float, room: float = 0.0, want: float | None = None) -> list:
+    """Of all roundings of a few units (tag, phi, size) the best one, as (tag, 0 or 1).
+
+    What is left of the promised words has to fit the ``room`` words of the units that follow; of the roundings that miss this least, the
+    words taken come nearest to ``want``, then the number taken does to what the probabilities say.
+    """
+    if not units:
+        return []
+    phi, size = np.array([x[1] for x in units]), np.array([float(x[2]) for x in units])
+    choice = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    words = choice @ size
+    missed = np.round(np.maximum(0, words - promised) + np.maximum(0, promised - words - room), 6)
+    best = np.lexsort((np.abs(choice.sum(1) - phi.sum()), np.round(np.abs(words - (promised if want is None else want)), 6), missed))[0]
+    return [(tag, float(x)) for (tag, _, _), x in zip(units, choice[best], strict=True)]
+
+
+def _weigh(row: tuple) -> int:
+    return row[3] * row[4]
+
+
+def _block(rows: list[tuple], flight: Flight, last: bool, waits: bool) -> list:
+    """One flight over the rows of a block, the ``HELD`` smallest left out of it where they wait."""
+    held = [(row, row[8], _weigh(row)) for row in rows[-HELD:] if 0 < row[8] < 1] if waits else []
+    out = []
+    for row in rows[: len(rows) - HELD] + [r for r in rows[-HELD:] if not 0 < r[8] < 1] if waits else rows:
+        out += flight.add(row[8], float(_weigh(row)), row)
+    rest = [(tag, phi, _weigh(tag)) for tag, phi in flight.left()]
+    waiting = rest + held
+    return out + (land(waiting, sum(phi * size for _, phi, size in waiting)) if last else [(tag, phi) for tag, phi, _ in waiting])
+
+
+def _descend(rows: list[tuple], flight: Flight, last: bool, light: int) -> list:
+    """A source's heavy rows, the largest first: strata of like size fly one after the other, and after each the probabilities
+    of all that follow, ``light`` words of light rows among them, are set to what is still promised."""
+    rows = [r for r in rows if 0 < r[8] < 1]
+    promised = sum(r[8] * _weigh(r) for r in rows) + (rows[0][8] * light if rows else 0)
+    left, at, out = sum(map(_weigh, rows)) + light, 0, []
+    keep = len(rows) - (0 if light else HELD)  # with no light rows behind them, the smallest wait
+    while at < keep:
+        end = at + 1
+        while end < keep and _weigh(rows[end]).bit_length() == _weigh(rows[at]).bit_length():
+            end += 1
+        phi = min(1.0, max(0.0, promised / left))
+        decided = [x for row in rows[at:end] for x in flight.add(phi, float(_weigh(row)), row)]
+        rest = [(tag, p, _weigh(tag)) for tag, p in flight.left()]
+        taken = sum(x * _weigh(tag) for tag, x in decided)
+        words = sum(map(_weigh, rows[at:end]))
+        decided += land(rest, promised - taken, left - words, phi * words - taken)
+        promised -= sum(x * _weigh(tag) for tag, x in decided)
+        left -= words
+        out += decided
+        at = end
+    held = rows[max(0, keep) :] if not light else []
+    if held:
+        out += land([(r, min(1.0, max(0.0, promised / left)), _weigh(r)) for r in held], promised)
+    return out
+
+
+def _fly(seed: int, level: int, one):
+    """Units come by source, block and falling size; ``one`` decides a group of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, schema, block = None, None, []
@@ -189,13 +214,30 @@ def shares(df: DataFrame, weights: tuple[float, ...] | dict, total: float, cap:
     known = spark.createDataFrame(rows, "s string, source_size long, target double, base int, phi double, blocks long")
     known = F.broadcast(known) if len(rows) <= 10_000 else known
     flying = units.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    flying = flying.withColumn("phi", F.when(F.col("size") == 0, 0.0).otherwise(F.col("phi"))).withColumn("shard", F.pmod("h", "blocks")).select(*[c.split()[0] for c in UNIT.split(", ")])
-    blocks, level, done = max((r[5] for r in rows), default=1), 0, None
+    flying = flying.withColumn("phi", F.when(F.col("size") == 0, 0.0).otherwise(F.col("phi"))).withColumn("shard", F.pmod("h", "blocks"))
+    named = [c.split()[0] for c in UNIT.split(", ")]
+    done = flying.filter("phi <= 0 OR phi >= 1").select(*named)
+    flying = flying.filter("phi > 0 AND phi < 1")
+    heavy = F.col("size") * F.col("n") * HEAVY > F.col("source_size")
+    n = shuffle_partitions(spark)
+    rest = flying.groupBy("source").agg(F.sum(F.when(heavy, 0).otherwise(F.col("size") * F.col("n"))).alias("light")).select(F.col("source").alias("l"), "light")
+    # one task holds a source's heavy units, less than HEAVY; the light words beside them travel in the column of the shard
+    own = flying.filter(heavy).join(rest, F.col("source").eqNullSafe(F.col("l"))).withColumn("shard", F.col("light")).withColumn("blocks", F.lit(1).cast("long"))
+    dealt = own.select(*named).repartition(n, "source").sortWithinPartitions("source", F.desc(F.col("size") * F.col("n")), "h", "unit_id")
+    heavies = materialise(dealt.mapInArrow(_fly(seed, -1, lambda rows, flight, last: _descend(rows, flight, last, rows[0][10])), UNIT))
+    done = done.unionByName(heavies)
+    taken = heavies.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("phi") * F.col("size") * F.col("n")).alias("taken"), F.sum(F.col("size") * F.col("n")).alias("words"))
+    flying = flying.filter(~heavy).join(taken, F.col("source").eqNullSafe(F.col("s")), "left")
+    words, gone = F.coalesce("words", F.lit(0)), F.coalesce("taken", F.lit(0.0))
+    still = F.col("phi") * F.col("source_size") - gone
+    flying = flying.withColumn("phi", F.greatest(F.lit(0.0), F.least(F.lit(1.0), still / (F.col("source_size") - words)))).select(*named)
+    blocks, level = max((r[5] for r in rows), default=1), 0
     while True:
-        dealt = flying.repartition(shuffle_partitions(spark), "source", "shard").sortWithinPartitions("source", "shard", F.desc("size"), "h", "unit_id")
-        flown = materialise(dealt.mapInArrow(_fly(seed, level), UNIT))
-        decided = flown.filter("phi = 0 OR phi = 1")
-        done = decided if done is None else done.unionByName(decided)
+        # a source's smallest wait in its first block alone
+        step = lambda own, flight, last: _block(own, flight, last, own[0][10] == 0)
+        dealt = flying.repartition(n, "source", "shard").sortWithinPartitions("source", "shard", F.desc(F.col("size") * F.col("n")), "h", "unit_id")
+        flown = materialise(dealt.mapInArrow(_fly(seed, level, step), UNIT))
+        done = done.unionByName(flown.filter("phi = 0 OR phi = 1"))
         if blocks == 1:
             break
         blocks, level = -(-blocks // FAN), level + 1
