@@ -2,8 +2,8 @@ r"""Chat formatting by event-sourced reconstruction.
 
 A conversation is a log of events: a message is opened, grows by streamed deltas, is edited (its text replaced) or
 regenerated (its text dropped and streamed anew), or is deleted.  The log is partitioned by conversation, sorted by
-sequence number and folded into final messages, which are rendered with a template.  Windows over the messages of a
-conversation and an ordered gathering of the already escaped pieces do the work; the only thing that is put together in
+sequence number and folded into final messages, which are rendered with a template.  An ordered gathering of each message's
+events, and of the already escaped turns, does the work; the only thing that is put together in
 one place is a conversation's own text, which the output holds in one row.
 
 The template writes a turn as ``<|turn|>role\ntext<|end|>\n``.  In roles and texts a backslash becomes ``\0``, ``<|``
@@ -36,30 +36,25 @@ def unescape(c: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of an event log with columns conv_id, seq, message, op, role, text.
 
-    Operations: "open" (role, first text), "delta" (more text), "edit" (new text), "regenerate" (the text starts anew) and
-    "delete".  Returns conv_id, message, at (sequence number of its first event), role and text.  A message that never
-    was opened has the role of its first event with one; unknown operations count as deltas; null texts are empty; a
-    deleted message is left out unless it is opened or regenerated later.  Events of one sequence number apply in the
-    order opened, regenerated, edited, deleted, streamed, then by text.  Null conversations and messages are keys of their own.
+    Operations: "open" (role, first text), "regenerate" (the text starts anew), "edit" (new text), "delete" and "delta" (more text).
+    Events of a message apply one after the other by sequence number (null first), those of one number in the order
+    in which the operations stand here, then by text; a replacing event (all but deltas) drops what came before it, so that of two edits with
+    one number the later text stands.  Events that repeat number, operation and text were delivered again and
+    apply once.  Returns conv_id, message, at (sequence number of its first event), role (of the first event with one) and text.  Unknown operations count as deltas; null texts are empty; a
+    message whose last replacing event is "delete" is left out, whatever was streamed after it.  Null conversations and messages are keys of their own.
     """
     rank = F.coalesce(F.element_at(F.create_map(*[x for i, op in enumerate(("open", "regenerate", "edit", "delete")) for x in (F.lit(op), F.lit(i))]), F.coalesce("op", F.lit(""))), F.lit(4))
-    rows = events.select("conv_id", "message", F.struct(F.col("seq").cast("long").alias("seq"), rank.alias("rank"), F.coalesce("text", F.lit("")).alias("text")).alias("e"), "role")
-    message = W.partitionBy("conv_id", "message")
-    # where the text last began: at or after the last event that replaces it
-    rows = rows.withColumn("start", F.max(F.when(F.col("e.rank") < 4, F.struct("e.seq", "e.rank"))).over(message))
-    live = F.col("start").isNull() | (F.struct("e.seq", "e.rank") >= F.col("start"))
-    parts = F.sort_array(F.collect_list(F.when(live, F.col("e"))))
-    return (
-        rows.groupBy("conv_id", "message")
-        .agg(
-            F.min("e.seq").alias("at"),
-            F.min(F.when(F.col("role").isNotNull(), F.struct(F.col("e.seq").alias("s"), F.col("e.rank").alias("k"), "role")))["role"].alias("role"),
-            parts.alias("parts"),
-            F.max(F.col("start.rank")).alias("last"),
-        )
-        .filter(F.coalesce(F.col("last"), F.lit(4)) != 3)
-        .select("conv_id", "message", "at", "role", F.concat_ws("", F.transform("parts", lambda p: p["text"])).alias("text"))
-    )
+    e = F.struct(F.col("seq").cast("long").alias("seq"), rank.alias("rank"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.min(F.when(F.col("role").isNotNull(), F.struct(F.col("e.seq").alias("s"), F.col("e.rank").alias("k"), "role")))["role"]
+    logs = events.select("conv_id", "message", e.alias("e"), "role").groupBy("conv_id", "message").agg(F.min("e.seq").alias("at"), first.alias("role"), F.sort_array(F.collect_list("e")).alias("log"))
+    once = F.filter("log", lambda e, i: (i == 0) | ~e.eqNullSafe(F.get("log", i - 1)))
+    logs = logs.select("conv_id", "message", "at", "role", once.alias("log"))
+    # the place of the last event that replaces the text
+    start = F.array_max(F.transform("log", lambda e, i: F.when(e["rank"] < 4, i)))
+    logs = logs.select("conv_id", "message", "at", "role", "log", start.alias("start"))
+    live = F.slice("log", F.coalesce("start", F.lit(0)) + 1, F.size("log"))
+    gone = F.coalesce(F.get("log", F.col("start"))["rank"] == 3, F.lit(False))
+    return logs.filter(~gone).select("conv_id", "message", "at", "role", F.concat_ws("", F.transform(live, lambda e: e["text"])).alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -93,16 +88,41 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def events_of(rows: DataFrame) -> DataFrame:
+    """An event log (``EVENTS``) that ends in the turns (conv_id, turn, role, text), as a chat service would have written it.
+
+    A user's message is typed in two deltas; one in three is sent with its second half alone and then edited.  An assistant's
+    message is streamed in three deltas; of each three the second was begun wrong and regenerated, and the third was streamed
+    in another order than numbered.  Events come in no particular order; a delivery is repeated here and there.
+    """
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    numbered = rows.select("conv_id", "role", text.alias("text"), (F.row_number().over(order).cast("long") - 1).alias("message"))
+    n = F.length("text")
+    third = F.greatest(F.lit(1), F.floor(n / 3).cast("int"))
+    one, two, three = F.substr("text", F.lit(1), third), F.substr("text", third + 1, third), F.substr("text", 2 * third + 1, n)
+
+    def event(i: int, op: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct((F.col("message") * 8 + i).alias("seq"), F.lit(op).alias("op"), (role if role is not None else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+
+    opened = lambda text: event(0, "open", text, F.col("role"))
+    typed = F.array(opened(F.lit("")), event(1, "delta", F.concat(one, two)), event(2, "delta", three))
+    edited = F.array(opened(three), event(1, "edit", F.col("text")), event(1, "edit", F.col("text")))
+    streamed = F.array(opened(F.lit("")), event(1, "delta", one), event(2, "delta", two), event(3, "delta", three))
+    anew = F.array(opened(F.lit("")), event(1, "delta", three), event(2, "regenerate", F.lit("")), event(3, "delta", one), event(4, "delta", two), event(5, "delta", three))
+    mixed = F.array(event(3, "delta", three), event(1, "delta", one), event(2, "delta", two), event(2, "delta", two), opened(F.lit("")))
+    kind, said = F.col("message") % 3, F.coalesce(F.col("role") == "assistant", F.lit(False))
+    log = F.when(said & (kind == 1), anew).when(said & (kind == 2), mixed).when(said, streamed).when(kind == 2, edited).otherwise(typed)
+    return numbered.select("conv_id", "message", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "e.op", "e.role", "e.text")
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """Formatted conversations of a table of turns (conv_id, turn, role, text): see :func:`render`.
 
-    Every row is the opening event of a message of its own; rows are ordered by turn (null first), then role, then text,
+    Every row is a message of its own, whose event log (:func:`events_of`) is folded; rows are ordered by turn (null first), then role, then text,
     rows that repeat are turns of their own.  Other columns are ignored; an empty table gives an empty result.
     """
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = rows.select("conv_id", F.row_number().over(order).cast("long").alias("seq"), "role", "text")
-    events = events.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("open").alias("op"), "role", "text")
-    return render(fold(events))
+    return render(fold(events_of(rows)))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
