@@ -3,7 +3,8 @@
 Two interpolated bigram models share one vocabulary, all words of the corpus: the target model counts the target
 documents, the background model all others, its counts scaled to the target's number of tokens so that both models are
 matched in size and smoothing.  Each document's score is the mean over its tokens of target loss minus background loss
-(bits); lower reads more like the target.
+(bits); lower reads more like the target.  A document's own counts are taken out of the model that has counted it, so that no
+document is scored by what it has taught.
 
 Words and bigrams are counted by 64-bit hashes, each on its own.  Documents are dealt into blocks of about ``BLOCK`` bytes.
 Each block sends its distinct words and bigrams with its own counts to the buckets that hold those hashes; a bucket adds
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .shingles import mixed, word_numbers
 
-#: Bits of the numbers of :func:`_counts`.
-VOCABULARY, BIGRAMS = 18, 20
 #: Bytes of text of a block.
 BLOCK = 16_000_000
 #: Weight of the bigram estimate, and of the uniform share in the unigram estimate.
@@ -36,35 +35,6 @@ LAMBDA, UNIFORM = 0.6, 0.05
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _numbers(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of texts: place of the first text, words of each text, word numbers, and the bigram numbers with the word before (0 at the start)."""
-    for first, sizes, words in word_numbers(texts):
-        before = np.r_[np.zeros(1, np.uint64), words[:-1]] if len(words) else words
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        before[starts] = 0
-        pair = (mixed(before * _NEXT + words) >> np.uint64(64 - BIGRAMS)).astype(np.int64)
-        yield first, sizes, (words >> np.uint64(64 - VOCABULARY)).astype(np.int64), (before >> np.uint64(64 - VOCABULARY)).astype(np.int64), pair
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, target, background) in a bounded space, shared by words of one number: unigrams as 0.., bigrams behind them,
-    contexts behind those.  Scores don't use it."""
-    space = 2 * (1 << VOCABULARY) + (1 << BIGRAMS)
-    total = np.zeros((2, space), np.int64)
-    for batch in batches:
-        side = np.where(np.array(batch.column("target").to_pylist(), bool), 0, 1)
-        for first, sizes, word, before, pair in _numbers(batch.column("text").cast(pa.binary()).to_pylist()):
-            of = np.repeat(side[first : first + len(sizes)], sizes)
-            for s in (0, 1):
-                own = of == s
-                if own.any():
-                    total[s] += np.bincount(np.concatenate([word[own], pair[own] + (1 << VOCABULARY), before[own] + (1 << VOCABULARY) + (1 << BIGRAMS)]), minlength=space)
-    seen = np.flatnonzero(total.any(0))
-    for at in range(0, len(seen), 50_000):
-        own = seen[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[0, own]), pa.array(total[1, own])], ["number", "target", "background"])
-
-
 def _packed(*columns: np.ndarray) -> bytes:
     """Arrays of one size, in the least width that holds them."""
     both = np.concatenate(columns)
@@ -109,9 +79,13 @@ def _parcels(labels: bool, most: int = 32_000_000):
 class Block:
     """The tokens of a block's documents, and its distinct words (0 before the first of a text) and bigrams in order."""
 
-    def __init__(self, parcels: list[bytes]):
-        tables = [pa.ipc.open_stream(x).read_all() for x in parcels]
+    def __init__(self, labels: list[bool], parcels: list[bytes]):
+        opened = sorted(zip(labels, parcels, strict=True))
+        tables = [pa.ipc.open_stream(x).read_all() for is_label, x in opened if not is_label]
         self.ids = pa.chunked_array([c for t in tables for c in t["id"].chunks], pa.int64())
+        wanted = pa.chunked_array([c for is_label, x in opened if is_label for c in pa.ipc.open_stream(x).read_all()["id"].chunks], pa.int64())
+        #: Which documents are targets.
+        self.target = np.array(pa.compute.is_in(self.ids, value_set=wanted).to_pylist(), bool)
         sizes, words = [], []
         for t in tables:
             for _, n, w in word_numbers(t["text"].to_pylist()):
@@ -124,6 +98,12 @@ class Block:
         self.pairs, self.pair = np.unique(mixed(before * _NEXT + word), return_inverse=True)
         self.words, place = np.unique(np.concatenate([word, before]), return_inverse=True)
         self.word, self.before = place[: len(word)], place[len(word) :]
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def own(self, place: np.ndarray) -> np.ndarray:
+        """How often each token's word, word before or bigram (its place) occurs in the token's own document."""
+        _, at, count = np.unique(self.owner * np.int64(len(self.words) + len(self.pairs) + 1) + place, return_inverse=True, return_counts=True)
+        return count[at]
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -138,11 +118,8 @@ def _ask(buckets: int):
     """A block's own counts: of bigrams (target, background), of words (as word, as word before; target, background)."""
 
     def work(t: pa.Table) -> pa.Table:
-        parcels = list(zip(t["labels"].to_pylist(), t["parcel"].to_pylist(), strict=True))
-        b = Block([x for labels, x in sorted(parcels) if not labels])
-        targets = [pa.ipc.open_stream(x).read_all()["id"] for labels, x in parcels if labels]
-        wanted = pa.chunked_array([c for x in targets for c in x.chunks], pa.int64())
-        side = np.repeat(np.array(pa.compute.is_in(b.ids, value_set=wanted).to_pylist(), bool), b.sizes)
+        b = Block(t["labels"].to_pylist(), t["parcel"].to_pylist())
+        side = np.repeat(b.target, b.sizes)
         count = lambda place, keys: [np.bincount(place[side], minlength=len(keys)), np.bincount(place[~side], minlength=len(keys))]
         pair, word = count(b.pair, b.pairs), [*count(b.word, b.words), *count(b.before, b.words)]
         p, w = _cuts(b.pairs, buckets), _cuts(b.words, buckets)
@@ -178,9 +155,9 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table([t["bucket"], t["block"], pa.array(pairs, pa.binary()), pa.array(words, pa.binary()), *(pa.array([x[i] for x in once], pa.int64()) for i in range(3))], ["bucket", "block", "pair_counts", "word_counts", "vocabulary", "own", "others"])
 
 
-def _losses(word: np.ndarray, context: np.ndarray, bigram: np.ndarray, tokens: int, scale: float, vocabulary: int) -> np.ndarray:
-    """Bits of loss of words after others, from the counts of word, word before and both."""
-    unigram = ((1 - UNIFORM) * word / tokens if tokens else np.full(len(word), (1 - UNIFORM) / vocabulary)) + UNIFORM / vocabulary
+def _losses(word: np.ndarray, context: np.ndarray, bigram: np.ndarray, tokens: np.ndarray, scale: float, vocabulary: int) -> np.ndarray:
+    """Bits of loss of words after others, from the counts of word, word before and both, and the tokens of the model."""
+    unigram = np.where(tokens > 0, (1 - UNIFORM) * word / np.maximum(tokens, 1), (1 - UNIFORM) / vocabulary) + UNIFORM / vocabulary
     # absent contexts leave all the weight to the unigram estimate; one pseudo-count damps rare ones
     share = LAMBDA * context * scale / (context * scale + 1)
     return -np.log2(share * (bigram / np.maximum(context, 1)) + (1 - share) * unigram)
@@ -190,14 +167,17 @@ def _scores(own: int, others: int, vocabulary: int):
     scale = own / others if own and others else 1.0
 
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(sorted(docs["parcel"].to_pylist()))
+        b = Block(docs["labels"].to_pylist(), docs["parcel"].to_pylist())
         answers = answers.take(pa.compute.sort_indices(answers["bucket"])) if answers.num_rows else answers
         pair, word = (np.concatenate([np.zeros((n, 0), np.int64), *(_unpacked(x, n) for x in answers[c].to_pylist())], axis=1) for c, n in (("pair_counts", 2), ("word_counts", 4)))
-        owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
-        least = np.maximum(b.sizes, 1)
-        target, background = (
-            np.bincount(owner, _losses(word[s][b.word], word[2 + s][b.before], pair[s][b.pair], tokens, by, vocabulary), len(b.sizes)) / least for s, tokens, by in ((0, own, 1.0), (1, others, scale))
-        )
+        mine = [b.own(x) for x in (b.word, b.before, b.pair)]
+        losses = []
+        for s, tokens, by in ((0, own, 1.0), (1, others, scale)):
+            # the document's own counts leave the model of its side
+            left = (b.target if s == 0 else ~b.target)[b.owner]
+            counts = [x - left * m for x, m in zip((word[s][b.word], word[2 + s][b.before], pair[s][b.pair]), mine, strict=True)]
+            losses.append(np.bincount(b.owner, _losses(*counts, tokens - left * b.sizes[b.owner], by, vocabulary), len(b.sizes)) / np.maximum(b.sizes, 1))
+        target, background = losses
         return pa.table([b.ids, pa.array(b.sizes), pa.array(target), pa.array(background), pa.array(target - background)], ["id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return work
@@ -207,8 +187,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
     """One row for each row of ``docs``: id_col, n_tokens, target_loss, background_loss, score (bits a token).
 
     ``target_ids``: the ids of the target documents in its first column (repeats and nulls do no harm; null ids are never
-    targets).  Words are lower-cased (A-Z) runs without white space.  Texts that are null or blank score 0 with no tokens.  Without
-    target or background documents that model is uniform over the vocabulary.  Other columns are ignored.
+    targets).  Words are lower-cased (A-Z) runs without white space.  Texts that are null or blank score 0 with no tokens.  A model that has
+    no other documents than the one it scores is uniform over the vocabulary.  Rows that repeat are documents of their own, which know each other.  Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -218,10 +198,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text_col: s
     rows = texts.select(block, "id", F.col("text").cast("binary").alias("text")).mapInArrow(_parcels(False), kind)
     target = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("id"), F.lit(None).cast("string").alias("text")).filter("id IS NOT NULL")
     target = target.select(block, "id", F.col("text").cast("binary").alias("text")).mapInArrow(_parcels(True), kind)
-    asked = rows.unionByName(target).repartition(n, "block").groupBy("block").applyInArrow(_ask(n), ASKED)
+    both = rows.unionByName(target)
+    asked = both.repartition(n, "block").groupBy("block").applyInArrow(_ask(n), ASKED)
     answers = materialise(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer, ANSWERED))
     vocabulary, own, others = (x or 0 for x in answers.agg(F.sum("vocabulary"), F.sum("own"), F.sum("others")).first())
-    dealt, told = (x.repartition(n, "block").groupBy("block") for x in (rows, answers.select("block", "bucket", "pair_counts", "word_counts")))
+    dealt, told = (x.repartition(n, "block").groupBy("block") for x in (both, answers.select("block", "bucket", "pair_counts", "word_counts")))
     scored = dealt.cogroup(told).applyInArrow(_scores(own, others, max(1, vocabulary)), "id long, n_tokens long, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", id_col)
 
