@@ -7,16 +7,15 @@ gives the candidates, and only those are verified with the regex.  A rule withou
 digits) scans every text.
 
 The text key is the SHA-256 of the text: candidates and verified spans are found once for each distinct text, a hot
-group of copies costs one key.  Only texts that hold the rarest-looking trigram of some alternative are shuffled to meet
-their candidate key; all others stay where they were read.  Everything is DataFrame functions.
+group of copies costs one key and one verification.  Only texts that hold the rarest-looking trigram of some alternative are
+looked at again, and one of each candidate text is shuffled; all others stay where they were read.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
-from re import _constants as sre
-from re import _parser as regex_parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +28,63 @@ def _either(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
-def _finite(op, arg, most: int = 16) -> set[str] | None:
-    """The lower-cased texts that a part of a pattern stands for, if they are few."""
-    if op == sre.LITERAL:
-        return {chr(arg).lower()}
-    if op == sre.IN and all(o == sre.LITERAL for o, _ in arg):
-        return {chr(c).lower() for _, c in arg}
-    if op == sre.SUBPATTERN:
-        return _product([_finite(*x) for x in arg[3]], most)
-    if op == sre.BRANCH:
-        each = [_product([_finite(*x) for x in branch], most) for branch in arg[1]]
-        return set().union(*each) if None not in each else None
-    if op == sre.MAX_REPEAT and arg[1] <= 2:
-        one = _product([_finite(*x) for x in arg[2]], most)
-        return None if one is None else set().union(*(_product([one] * n, most) or set() for n in range(arg[0], arg[1] + 1)))
-    return None
+#: What patterns are made of: a class, an escaped character, a group's begin, its end, an alternative, how often, a character.
+_TOKEN = re.compile(r"(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<code>\\x[0-9A-Fa-f]{2}|\\.)|(?P<open>\((?:\?:)?)|(?P<close>\))|(?P<bar>\|)|(?P<times>[?*+]|\{\d+(?:,\d*)?\})|(?P<char>.)", re.DOTALL)
+
+
+def _times(t: str) -> tuple[int, int]:
+    if t in ("?", "*", "+"):
+        return int(t == "+"), 1 if t == "?" else 1 << 30
+    low, _, high = t[1:-1].partition(",")
+    return int(low), int(high or 1 << 30) if "," in t else int(low)
+
+
+def _character(code: str) -> str | None:
+    """The character that an escape stands for; None for classes such as \\d and marks such as \\b."""
+    return chr(int(code[2:], 16)) if code[1] == "x" and len(code) == 4 else None if code[1].isalnum() else code[1]
+
+
+def _members(chars: str, most: int) -> set[str] | None:
+    """The lower-cased characters of a class that lists them one by one."""
+    codes = re.findall(r"\\x[0-9A-Fa-f]{2}|\\.|.", chars[1:-1])
+    if codes[:1] == ["^"] or "-" in codes[1:-1]:
+        return None
+    found = {_character(c) if len(c) > 1 else c for c in codes}
+    return None if None in found or len(found) > most else {c.lower() for c in found}
+
+
+class _Parts:
+    """A pattern as branches of parts (texts the part stands for if they are few, or None; parts inside a group)."""
+
+    def __init__(self, pattern: str, most: int = 16):
+        self.tokens, self.at, self.most = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(pattern)], 0, most
+
+    def branches(self) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[]]
+        while self.at < len(self.tokens):
+            kind, t = self.tokens[self.at]
+            self.at += 1
+            if kind == "close":
+                break
+            if kind == "bar":
+                out.append([])
+            elif kind == "times":
+                low, high = _times(t)
+                texts, inner = out[-1].pop()
+                few = texts is not None and high <= 2
+                each = [_product([texts] * n, self.most) for n in range(low, high + 1)] if few else [None]
+                # what stands before and behind a repeated group isn't next to all of it
+                out[-1].append((None if None in each else set().union(*each), inner if low == high == 1 else None))
+            elif kind == "open":
+                inner = self.branches()
+                each = [_product([x for x, _ in b], self.most) for b in inner]
+                out[-1].append((None if None in each else set().union(*each), inner[0] if len(inner) == 1 else None))
+            elif kind == "set":
+                out[-1].append((_members(t, self.most), None))
+            else:
+                c = _character(t) if kind == "code" else None if t in ".^$" else t
+                out[-1].append((None if c is None else {c.lower()}, None))
+        return out
 
 
 def _product(parts: list[set[str] | None], most: int) -> set[str] | None:
@@ -58,16 +99,18 @@ def _product(parts: list[set[str] | None], most: int) -> set[str] | None:
 def mandatory(pattern: str) -> set[str]:
     """Texts of which every match of the pattern holds one (lower-cased); empty if there are none of three characters."""
 
-    def flat(tree):
-        for op, arg in tree:
-            if op == sre.SUBPATTERN and _finite(op, arg) is None:
-                yield from flat(arg[3])
+    def flat(parts):
+        for texts, inner in parts:
+            if texts is None and inner is not None:
+                yield from flat(inner)
             else:
-                yield op, arg
+                yield texts
 
+    branches = _Parts(pattern).branches()
+    if len(branches) > 1:
+        return set()
     runs, now = [], {""}
-    for op, arg in flat(regex_parser.parse(pattern)):
-        got = _finite(op, arg)
+    for got in flat(branches[0]):
         longer = None if got is None else _product([now, got], 64)
         if longer is None:
             runs.append(now)
@@ -167,13 +210,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, te
         return thin.select(F.col("id").alias(id_col), F.array_sort("found").alias("spans"))
     grams = sorted({g for r in indexed for c in r.clauses() for g in c})
     keys = materialise(candidates(trigram_index(some.select(F.col("text_sha").alias("key"), "text"), grams), indexed))
-    verified = (
-        some.join(keys, F.col("text_sha") == F.col("key"))
-        .select("key", F.concat(*[F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, rank[r.kind])).otherwise(F.array().cast(SPAN)) for r in indexed]).alias("more"))
-        .filter(F.size("more") > 0)
-        .groupBy("key")
-        .agg(F.first("more").alias("more"))
-    )
+    # one text of each key, taken where it is read; the cut keeps the regexes behind the aggregation
+    few = materialise(some.join(keys, F.col("text_sha") == F.col("key")).groupBy("key").agg(F.first("text").alias("text"), F.first("kinds").alias("kinds")))
+    verified = few.select("key", F.concat(*[F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, rank[r.kind])).otherwise(F.array().cast(SPAN)) for r in indexed]).alias("more")).filter(F.size("more") > 0)
     out = thin.join(verified, F.col("text_sha") == F.col("key"), "left")
     return out.select(F.col("id").alias(id_col), F.array_sort(F.concat("found", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
