@@ -36,6 +36,9 @@ from .shingles import mixed
 #: time, records that are combined at a time, bytes of a suffix array.
 LENGTH, GRAM, DEPTH, CHUNK, RECORDS, BLOCK = 100, 32, 104, 2_000_000, 2_000_000, 1_500_000
 
+#: Bytes of text whose records meet in a task.
+BUCKET = 32_000_000
+
 #: An occurrence of a stretch: anchor hash, hash of its bytes, document (null flag, id, hash of the text), first and number of starts.
 STRETCH = np.dtype([("anchor", "<u8"), ("bytes", "<u8"), ("null", "u1"), ("id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("n", "u1")])
 #: A string of an anchor that is dealt by strings, with its row in the bytes beside.
@@ -469,8 +472,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     repeat id and text are one document, and are given one result each.  What is kept may cut a character in two, so it is
     binary.  Other columns are ignored; an empty table gives an empty result.
     """
-    n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    # the records of a text are about its size: as many buckets as keep a task's share in memory
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET))
     sent = rows.mapInArrow(_read(n), SENT_DDL)
     # what is removed already only passes through, spread over all tasks
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("id", "th"), F.lit(n)).cast("int"))
