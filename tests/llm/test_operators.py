@@ -126,6 +126,44 @@ def test_mixing_reaches_targets_over_many_blocks_and_partitions(spark):
     assert all(abs(taken[s] - target[s]) <= max(2, 0.002 * target[s]) for s in target), (taken, target)
 
 
+@pytest.mark.parametrize("phi", [0.5, 0.01, 0.0005, 1e-6])
+def test_mixing_leaves_two_undecided_a_block(phi):
+    """However small a probability is, a flight leaves two units of a block, and twelve more in a source's first block alone."""
+    r = random.Random(3)
+    rows = sorted(((i, i, "s", r.randrange(1, 400), 1, 10**6, 1.0, 0, phi, 9, 1) for i in range(8192)), key=lambda x: -x[3])
+    for waits in (False, True):
+        out = mixing._block(rows, mixing.Flight(1), False, waits)
+        assert len(out) == 8192 and sum(0 < p < 1 for _, p in out) <= 2 + waits * mixing.HELD
+        assert abs(sum(p * x[3] for x, p in out) - phi * sum(x[3] for x in rows)) < 1e-3
+
+
+def brute_water_fill(sizes, weights, total, cap):
+    """Targets by halving the level of water at which all targets are the total."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (low, level) if sum(min(cap * sizes[k], level * weights[k]) for k in sizes) > total else (level, high)
+    return {k: min(cap * sizes[k], low * weights[k]) for k in sizes}
+
+
+def test_mixing_targets_equal_brute_force(spark):
+    """Targets by another way than the library's, and each source's words beside them, over uneven, tiny and empty sources and repeated rows."""
+    r, rows = random.Random(6), []
+    for s, n, size in (("a", 40, 900), ("b", 900, 30), (None, 300, 60), ("c", 3, 5000), ("d", 5, 0), ("e", 1500, 9)):
+        rows += [(len(rows) + i, " ".join(["w"] * int(size * (0.5 + r.random()) ** 3)), s) for i in range(n)]
+    rows += rows[100:110]
+    got = [x.asDict() for x in mixing.shares(spark.createDataFrame(rows, "doc_id long, text string, source string"), (3, 1, 2), 1.5, 2.0, block=128).collect()]
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    weights = dict(zip([*sorted(s for s in sizes if s), None], itertools.cycle((3.0, 1.0, 2.0)), strict=False))
+    target, taken = brute_water_fill(sizes, weights, 1.5 * sum(sizes.values()), 2.0), dict.fromkeys(sizes, 0)
+    for x in got:
+        taken[x["source"]] += x["copies"] * x["size"] * x["n"]
+        assert x["target"] == pytest.approx(target[x["source"]], rel=1e-6) and 0 <= x["copies"] <= 2
+    assert all(abs(taken[s] - target[s]) <= max(2, 0.001 * target[s]) or (s == "c" and abs(taken[s] - target[s]) < 4000) for s in sizes), (taken, target)
+
+
 def test_water_fill():
     assert mixing.water_fill({"a": 10, "b": 100}, {"a": 3.0, "b": 1.0}, 165, 2.0) == {"a": 20.0, "b": 145.0}
     assert mixing.water_fill({"a": 0, "b": 10}, {"a": 1.0, "b": 1.0}, 15, 2.0) == {"a": 0.0, "b": 15.0}
@@ -159,6 +197,48 @@ def test_phrases_are_longest_matches():
     assert phrases[:, 0].tolist()[0] == n and sizes.tolist() == [len(symbols), 0, 0]
 
 
+def test_phrases_of_whole_texts_equal_brute_force(monkeypatch):
+    """Texts over many pieces, letters that no language knows, runs that never meet, at several piece sizes."""
+    r = random.Random(1)
+    for piece in (256, 16, 5):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for trial in range(6):
+            letters = "abcdefg"[: r.randrange(1, 8)]
+            trained = {"x": " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 8))) for _ in range(40)), "y": "zzz yyy abab abab"}
+            texts = ["".join(r.choice(letters + "zq ") for _ in range(r.randrange(400))) for _ in range(6)] + ["a" * 700, "qaqaqaqa", "\u00e91 \u00df", "", "ab" * 300 + "q" + "ba" * 200]
+            phrases, sizes = language_id.Model(trained).phrases(texts)
+            for text, row, size in zip(texts, phrases.tolist(), sizes.tolist(), strict=True):
+                own = language_id._letters(text)
+                own = f" {own} " if own else ""
+                for found, known in zip(row, trained.values(), strict=True):
+                    at = n = 0
+                    while at < len(own):
+                        at, n = at + next((k for k in range(min(60, len(own) - at), 0, -1) if own[at : at + k] in known), 1), n + 1
+                    assert (found, size) == (n, len(own)), (piece, text)
+
+
+def test_rare_letters_are_numbers():
+    """A script of a thousand letters: its own passages take few phrases, those of other letters many."""
+    r = random.Random(2)
+    trained = "".join(chr(0x4E00 + r.randrange(1000)) for _ in range(3000))
+    model = language_id.Model({"en": "the cat sat on the mat " * 20, "zh": trained})
+    phrases, sizes = model.phrases([trained[100:160], "the cat", "".join(chr(0x5200 + i) for i in range(50))])
+    assert model.digits == 3 and phrases[0, 1] <= 4 and phrases[1, 0] == 1 and phrases[2].tolist() == [52, 52] == [int(sizes[2])] * 2
+
+
+def test_known_language(spark, docs, empty):
+    """Words of the language stay, also few of them and words in between; letters without words go."""
+    text = "the cat sat on the mat and the dog was with them in the house "
+    rows = [(i, " ".join(random.Random(i).choices(text.split(), k=30)), "en", "s") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(rows, DDL), sample_chars=8000)
+    junk = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz ", k=400))
+    asked = [(1, "the dog sat", None, "s"), (2, "mat", None, "s"), (3, junk, "en", "s"), (4, None, "en", "s"), (5, "12 34", None, "s"), (6, "the house and the cat " * 50 + "xq zk", None, None), (7, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 30, "ru", "s"), (1, "the dog sat", None, "s")]
+    df = spark.createDataFrame(asked, DDL).withColumns({c: F.lit("x") for c in ("lang_pred", "score", "fits", "doc", "__text")})
+    left = language_id.known_language(df, model)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 1, 2, 6]
+    assert language_id.known_language(docs, language_id.fit(empty)).count() == len(corpus()) and language_id.known_language(empty, model).count() == 0
+
+
 # ---- 4
 
 
@@ -202,10 +282,22 @@ def test_near_dedup(docs, empty, k, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute_components([(d, t) for d, t, _, _ in corpus()], k, percent)
     left = near_dedup.drop_near_duplicates(docs, k, percent)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.kept and r.doc_id is not None)
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted({r.doc_id for r in got if r.kept and r.doc_id is not None})
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_drop_near_duplicates_keeps_one_row_of_each_group(spark):
+    """Repeated rows, rows of one id with near texts, groups without ids; columns with the names that are used inside."""
+    a, b, c = words(90, 1, 5000), words(90, 2, 5000), words(90, 3, 5000)
+    rows = [(1, a, 1), (1, a, 2), (1, a + " x", 3), (2, a, 4), (None, a, 5), (None, b, 6), (None, b, 7), (None, b + " y", 8), (3, c, 9), (4, None, 10), (4, None, 10), (5, " ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumns({x: F.lit(1) for x in ("id", "h", "d", "__id", "__h", "stays", "t_id", "class")})
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = sorted((str(r.doc_id), r.text, r.n) for r in left.collect() if r.text and r.text.strip())
+    assert [x[0] for x in got] == ["1", "3", "None"] and {x[1][:40] for x in got} == {a[:40], b[:40], c[:40]}
+    assert sorted(r.n for r in left.collect() if not (r.text or "").strip()) == [10, 10, 11]
+
+
 @pytest.mark.parametrize("shared,own,least", [(80, 10, 0.79), (85, 15, 0.84)])
 def test_near_dedup_paths_keep_links_at_the_threshold(shared, own, least):
     """Pairs of Jaccard 0.80 (80 of 100) and 0.85 (85 of 100): share of steps that keep them together, and of pairs that no path keeps, with production constants."""
@@ -246,6 +338,44 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows, 3, 85)
 
 
+def test_near_dedup_of_a_cluster_of_many_parts(spark, monkeypatch):
+    """Candidates that join many groups into one cluster without a dominant part: nodes of the trees are compared."""
+    for name, value in (("NODE", 8), ("BLOCK", 4), ("DEPTH", 2), ("FIRST", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r, rows = random.Random(11), []
+    for base in range(40):
+        text = words(30, 300 + base // 8, 5000).split() + words(30, 900 + base, 5000).split()
+        for _ in range(4):
+            own = list(text)
+            own[r.randrange(60)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    joined = lambda classes, percent, trees: classes.select("key", F.lit(7).cast("long").alias("cluster"), F.lit(len(rows)).cast("long").alias("members"))
+    monkeypatch.setattr(near_dedup, "candidate_clusters", joined)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows, 3, 85)
+
+
+def test_candidates_are_a_few_links_a_class(spark):
+    """A hot group of near copies gives no more candidate links than a few a class, whatever the number of trees."""
+    from logloom.llm.shingles import shingle_sets, signature
+
+    r, text = random.Random(2), words(100, 7, 5000).split()
+    rows = []
+    for key in range(600):
+        own = list(text)
+        own[r.randrange(100)] = f"x{key}"
+        sig = signature(next(shingle_sets([" ".join(own).encode()], 3)))
+        rows.append((key, key, bytearray(sig.tobytes()), bytearray(sig.astype(np.uint16).tobytes())))
+    classes = spark.createDataFrame(rows, "key long, label long, sig binary, mini binary")
+    first = near_dedup.candidate_links(classes, 85, range(2))
+    assert first.count() <= 4 * len(rows)
+    parts = connected_components(first).withColumnRenamed("label", "part")
+    again = classes.join(parts, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("part", "label"))
+    assert near_dedup.candidate_links(again, 85, range(2, near_dedup.TREES)).count() <= 60
+    got = near_dedup.candidate_clusters(classes.select("key", "sig", "mini"), 85).collect()
+    assert len(got) == 600 and {x.members for x in got} == {600}
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -270,9 +400,21 @@ def test_secrets(spark, docs, empty):
 
 def test_trigram_queries_follow_from_the_pattern():
     assert secrets.mandatory("ab[cC]d(e|f)?[0-9]+") == {"abcd", "abcde", "abcdf"}
+    assert secrets.mandatory("(q(abc)+xy)") == set() and secrets.mandatory(r"(\x41bc\.\d{2}(?:x|yz){0,1})") == {"abc."} and secrets.mandatory("abc|def") == set()
+    assert secrets.mandatory("q(abc){2}[^a]") == {"qabcabc"} and secrets.mandatory("(ab[c-e]?fgh|x)") == set()
     assert secrets.mandatory("[0-9a-f]{32,}") == set() and secrets.mandatory("x.*(alpha|beta)") == {"alpha", "beta"}
 
 
+def test_matches_hold_a_clause_of_trigrams():
+    """Every text that a rule matches holds all trigrams of one of its clauses."""
+    r = random.Random(4)
+    samples = {"assign": ["PassWord='abcdefghi", "API_KEY = abcdefgh", "apikey:\"abcdefgh", "token=12345678", "passwd  = aaaaaaaa", "Secret: ab=12345"], "access": ["AKIA" + "Z" * 14], "pem": ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"], "forge": [f"gh{c}_" + "a" * 40 for c in "pousr"], "jwt": ["eyJabcdefgh.eyJabcdefgh.sig"]}
+    for rule in secrets.BASE_RULES + secrets.EXTRA_RULES:
+        for text in samples.get(rule.kind, []):
+            text = "".join(r.choice("xy ") for _ in range(5)) + text
+            assert re.search(rule.pattern, text) and any(all(g in text.lower() for g in c) for c in rule.clauses()), text
+
+
 # ---- 7
 
 
@@ -329,6 +471,34 @@ def test_chat_folds_events(spark):
     assert sorted(map(str, ((r.conv_id, r.message, r.role, r.text) for r in got.collect()))) == sorted(map(str, [(1, 1, "user", "Hello"), (1, 2, "assistant", "right"), (None, 1, "user", ""), (2, 1, "tool", "yx")]))
 
 
+def test_chat_fold_equals_brute_force(spark):
+    """Random logs with repeated events, equal sequence numbers, nulls and unknown operations, folded one event after the other."""
+    r = random.Random(7)
+    ops = ["open", "delta", "delta", "delta", "edit", "regenerate", "delete", "other", None]
+    log = [(r.choice([1, 2, None]), r.choice([None, *range(6)]), r.choice([None, *range(8)]), r.choice(ops), r.choice(["user", "assistant", None]), r.choice(["a", "b", "", None, "cc"])) for _ in range(400)]
+    log += r.sample(log, 80)
+    order = {"open": 0, "regenerate": 1, "edit": 2, "delete": 3}
+    expected = {}
+    for key in {(c, m) for c, _, m, _, _, _ in log}:
+        own = sorted({(s is not None, s or 0, order.get(op, 4), t or "") for c, s, m, op, _, t in log if (c, m) == key})
+        text, gone = "", False
+        for _, _, rank, t in own:
+            text, gone = (text + t, gone) if rank == 4 else (t, rank == 3)
+        roles = sorted((s is not None, s or 0, order.get(op, 4), role) for c, s, m, op, role, _ in log if (c, m) == key and role)
+        if not gone:
+            expected[key] = (roles[0][3] if roles else None, text)
+    got = chat.fold(spark.createDataFrame(log, "conv_id long, seq long, message long, op string, role string, text string").repartition(5)).collect()
+    assert {(x.conv_id, x.message): (x.role, x.text) for x in got} == expected and len(got) == len(expected) > 10
+
+
+def test_chat_events_end_in_the_turns(spark):
+    rows = [(i % 4, i // 4, "assistant" if i % 8 >= 4 else "user", "x" * (i % 5) + "é😀"[: i % 3] + str(i)) for i in range(80)]
+    events = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {x.op for x in events.select("op").distinct().collect()} == {"open", "delta", "edit", "regenerate"} and events.count() > 3 * len(rows)
+    got = chat.fold(events.repartition(7)).collect()
+    assert sorted((x.conv_id, x.message, x.role, x.text) for x in got) == sorted(rows)
+
+
 def test_chat_reads_back(spark):
     rows = [(1, 0, "user", "a<|end|>\n\\1<|turn|>"), (1, 1, "assistant", "\\0\\\\ <|"), (1, 1, "assistant", "\\0\\\\ <|"), (2, None, None, None), (None, 3, "as\nsistant", ""), (3, 0, "assistant", "é😀"), (3, 1, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("seq", "message", "at", "turns", "i")})
@@ -355,15 +525,9 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.cross_entropy_difference(docs, docs.select("doc_id")).count() == len(corpus()) and lm_scoring.cross_entropy_difference(empty, empty.select("doc_id")).count() == 0
 
 
-def test_bigram_counts_are_exact(spark):
-    rows = [(1, "a b a b"), (2, "a"), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id = 1 AS target", "text")
-    got = df.mapInArrow(lm_scoring._counts, "number int, target long, background long").selectExpr("number < {} AS u".format(1 << lm_scoring.VOCABULARY), "target", "background").groupBy("u").sum().collect()
-    assert {r.u: tuple(r)[1:] for r in got}[True] == (4, 1)
-
-
 def test_lm_scores_equal_exact_counts(spark, monkeypatch):
-    """No word or bigram shares its counts with another, over several blocks; repeated rows and null ids count."""
+    """No word or bigram shares its counts with another, over several blocks; repeated rows and null ids count.  A document's own
+    counts are out of the model of its side."""
     monkeypatch.setattr(lm_scoring, "BLOCK", 2000)
     r = random.Random(5)
     rows = [(i, " ".join(f"w{int(4000 * r.random() ** 2)}" for _ in range(60))) for i in range(200)]
@@ -380,17 +544,31 @@ def test_lm_scores_equal_exact_counts(spark, monkeypatch):
     want = []
     for i, text in rows:
         w, loss = (text or "").lower().split(), [0.0, 0.0]
-        for a, b in zip(["", *w], w):
-            for s in (0, 1):
-                c = ctx[s].get(a, 0)
+        pairs = list(zip(["", *w], w))
+        for s in (0, 1):
+            mine = s == int(i not in ids)
+            for a, b in pairs:
+                c, both, word, tokens = ctx[s].get(a, 0), two[s].get((a, b), 0), one[s].get(b, 0), totals[s]
+                if mine:
+                    c, both, word, tokens = c - sum(x == a for x, _ in pairs), both - pairs.count((a, b)), word - w.count(b), tokens - len(w)
                 share = 0.6 * c * by[s] / (c * by[s] + 1)
-                loss[s] -= np.log2(share * two[s].get((a, b), 0) / max(c, 1) + (1 - share) * (0.95 * one[s].get(b, 0) / totals[s] + 0.05 / v))
+                loss[s] -= np.log2(share * both / max(c, 1) + (1 - share) * (0.95 * word / tokens + 0.05 / v))
         want.append((-1 if i is None else i, len(w), loss[0] / max(1, len(w)), loss[1] / max(1, len(w))))
     got = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in ids], "i long")).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got)
     assert len(got) == len(want) and np.allclose(np.array(got), np.array(sorted(want)), rtol=0, atol=1e-9)
 
 
+def test_lm_scores_leave_the_own_document_out(spark):
+    """A document of words that are nobody else's is as strange to its own side as to the other; one that occurs twice is known."""
+    rows = [(i, words(60, i, 30)) for i in range(40)] + [(100, " ".join(f"a{i}" for i in range(60))), (101, " ".join(f"b{i}" for i in range(60))), (102, " ".join(f"b{i}" for i in range(60)))]
+    out = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(100,)], "doc_id long"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert abs(got[100].score) < 0.1 and got[101].score > 4 and abs(got[101].score - got[102].score) < 1e-9
+    alone = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows[:1], "doc_id long, text string"), spark.createDataFrame([(7,)], "doc_id long")).collect()
+    assert abs(alone[0].score) < 1e-9 and alone[0].n_tokens == 60
+
+
 # ---- 10
 
 
