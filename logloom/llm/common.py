@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,5 +35,14 @@ def fewer(df: DataFrame, rows: int, each: int) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
+#: Rows of fixed width (some 60 bytes each) that are sent to every task.
+BROADCAST = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A side of a join with thin rows: sent to every task if it has at most ``BROADCAST`` rows, else shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

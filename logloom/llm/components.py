@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fewer, materialise
+from .common import BROADCAST, fewer, materialise
 
-#: Rows of a partition; nodes whose labels (some 40 bytes each) are sent to every task.
-ROWS, BROADCAST = 200_000, 100_000
+#: Rows of a partition.
+ROWS = 200_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,12 +24,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = materialise(fewer(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), n, ROWS))
     # a label table below a fixed size goes to every task, a larger one is shuffled
     side = F.broadcast if labels.count() <= BROADCAST else (lambda df: df)
-    while True:
-        own = side(labels)
+    while n:
+        own, over = side(labels), side(labels.select(F.col("node").alias("up"), F.col("label").alias("up_label")))
         near = both.join(own, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         hooked = near.join(own, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        over = side(labels.select(F.col("node").alias("up"), F.col("label").alias("up_label")))
         jumped = materialise(fewer(hooked.join(over, F.col("label") == F.col("up")).select("node", "old", F.least("label", "up_label").alias("label")), n, ROWS))
         if jumped.filter("old <> label").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
+    return labels

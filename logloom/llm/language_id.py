@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -283,7 +284,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return Model(texts, unseen)
 
 
-def _predict(sent, excess: float, slack: float):
+def _predict(sent, excess: float, slack: float, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         for batch in batches:
@@ -310,17 +311,19 @@ def _predict(sent, excess: float, slack: float):
                 like = model.fits(best, phrases[np.arange(len(bits)), best], sizes, excess, slack)
                 for i in np.flatnonzero(sizes):
                     langs[at + i], scores[at + i], fits[at + i] = model.langs[best[i]], float(sure[i]), bool(like[i])
-            columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text"]
-            names = [name for name in batch.schema.names if name != "text"]
+            names = [name for name in batch.schema.names if with_text or name != "text"]
+            columns = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], [*names, "lang_pred", "score", "fits"])
 
     return work
 
 
-def _predicted(df: DataFrame, kept: list[Column], model: Model, text_col: str, excess: float = math.inf, slack: float = math.inf) -> DataFrame:
-    """The kept columns as ``doc.c0``, ``doc.c1`` and so on, with lang_pred, score and fits."""
+def _predicted(df: DataFrame, kept: list[Column], model: Model, text_col: str, excess: float = math.inf, slack: float = math.inf, with_text: bool = False) -> DataFrame:
+    """The kept columns as ``doc.c0``, ``doc.c1`` and so on, the text if wanted, lang_pred, score and fits."""
     packed = df.select(F.struct(F.lit(0).alias("none"), *[c.alias(f"c{i}") for i, c in enumerate(kept)]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return packed.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model), excess, slack), packed.drop("text").schema.add("lang_pred", "string").add("score", "double").add("fits", "boolean"))
+    schema = packed.schema if with_text else packed.drop("text").schema
+    added = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())])
+    return packed.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(model), excess, slack, with_text), added)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
@@ -343,8 +346,10 @@ def known_language(df: DataFrame, model: Model, text_col: str = "text", excess:
     """
     if not model.langs:
         return df
-    out = _predicted(df, [F.col(f"`{c}`") for c in df.columns], model, text_col, excess, slack).filter("fits")
-    return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(df.columns)])
+    others = [c for c in df.columns if c != text_col]
+    out = _predicted(df, [F.col(f"`{c}`") for c in others], model, text_col, excess, slack, True).filter("fits")
+    text = F.col("text").cast(df.schema[text_col].dataType)
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"doc.c{others.index(c)}").alias(c) for c in df.columns])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -44,7 +44,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed(np.add.reduceat(_BYTE[raw[inside]] * power[offset], first) + sizes.astype(np.uint64))
 
 
-def _slices(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """The texts in slices of bounded size, each with the place of its first text."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
