@@ -6,19 +6,17 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate, language_id, mixing, near_dedup, packing
 from logloom.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; those without text or letters go."""
-    model = language_id.fit(docs)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    if names != docs.columns:
-        raise ValueError("documents must not have columns lang_pred or score")
-    return language_id.predict(docs, model, keep=[F.col(f"`{c}`") for c in docs.columns]).filter("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that read like one of the languages which the labelled rows teach; others go, as do those without letters.
+
+    A text goes if it needs more than 2.2 times the phrases of unseen labelled texts, and 6 more.  Without labelled rows all stay.
+    """
+    return language_id.known_language(docs, language_id.fit(docs), excess=2.2, slack=6.0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
