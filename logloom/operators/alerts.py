@@ -66,10 +66,25 @@ def poll_classify(polls: DataFrame) -> DataFrame:
     return out.unionByName(polls.filter("size < 0").select("file", "poll_no", "size", F.lit("removed").alias("event"), zero.alias("n_bytes")))
 
 
-def segment_line_numbers(segments: DataFrame) -> DataFrame:
-    """Lines (segment "name.N", line_no in it, line) numbered through all segments of a logical file."""
+def epochs(polls: DataFrame) -> DataFrame:
+    """The epoch that each poll (file, poll_no, size) of a followed file sees: 0, and one more with each rotation."""
+    turned = poll_classify(polls).withColumn("__turn", (F.col("event") == "rotate").cast("long"))
+    return turned.select("file", "poll_no", F.sum("__turn").over(W.partitionBy("file").orderBy("poll_no")).alias("epoch"))
+
+
+def segment_line_numbers(segments: DataFrame, polls: DataFrame | None = None) -> DataFrame:
+    """Lines (segment "name.N", line_no in it, line) numbered through all segments of a logical file: file, epoch, line_no, line.
+
+    With ``polls`` (file, poll_no, size), of which segment N is what poll N brought, numbers begin anew with each rotation.
+    """
     name = F.regexp_extract("segment", r"^(.*)\.(\d+)\z", 1)
     rows = segments.select(name.alias("file"), F.regexp_extract("segment", r"\.(\d+)\z", 1).cast("long").alias("n"), F.col("line_no").alias("at"), "line")
     sizes = rows.groupBy("file", "n").agg(F.max("at").alias("size"))
-    starts = sizes.select(F.col("file").alias("__f"), F.col("n").alias("__n"), F.coalesce(F.sum("size").over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    return rows.join(starts, (F.col("file") == F.col("__f")) & (F.col("n") == F.col("__n"))).select("file", (F.col("__start") + F.col("at")).alias("line_no"), "line")
+    if polls is None:
+        sizes = sizes.withColumn("epoch", F.lit(0).cast("long"))
+    else:
+        seen = epochs(polls).select(F.col("file").alias("__p"), "poll_no", "epoch")
+        sizes = sizes.join(seen, (F.col("file") == F.col("__p")) & (F.col("n") == F.col("poll_no")), "left").select("file", "n", "size", F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("file", "epoch").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("file").alias("__f"), F.col("n").alias("__n"), "epoch", before.alias("__start"))
+    return rows.join(starts, (F.col("file") == F.col("__f")) & (F.col("n") == F.col("__n"))).select("file", "epoch", (F.col("__start") + F.col("at")).alias("line_no"), "line")

@@ -104,6 +104,7 @@ def detect_format(lines: DataFrame) -> DataFrame:
     )
     all_ = files.join(stats, "file", "left").join(detect_dsv(some), "file", "left").join(detect_template(some), "file", "left").join(resolve_json_keys(some), "file", "left")
     n = F.col("n")
+    # The order in which formats are tried, and the share or number of lines that each asks for.
     kind = (
         F.when(n.isNull(), "pattern")
         .when(F.col("objects") >= F.greatest(F.lit(1), F.ceil(n * 0.9)), "json")
@@ -121,29 +122,37 @@ def detect_format(lines: DataFrame) -> DataFrame:
 
 
 def parse_logs(lines: DataFrame, specs: DataFrame | None = None, start_year: int = 2024, tz: str = "UTC") -> DataFrame:
-    """Entries of files of any format: one branch for each distinct spec (there are a few, however many files)."""
+    """Entries of files of any format.
+
+    The lines are read once and written by distinct spec (there are a few, however many files); each spec's parser then reads its own
+    lines.  Log4j events have no sequence number yet, so none has.
+    """
+    spark = lines.sparkSession
     specs = detect_format(lines) if specs is None else specs
     columns = [c for c in specs.columns if c != "file"]
+    path, kinds = scratch(spark), scratch(spark)
+    named = specs.withColumn("__spec", F.sha2(F.to_json(F.struct(*columns)), 256))
+    named.write.parquet(kinds)
+    named = spark.read.parquet(kinds)
+    of_file = named.select(F.col("file").alias("__f"), "__spec")
+    part = ["file", "line_no", "line"]
+    lines.join(of_file, F.col("file").eqNullSafe(F.col("__f"))).select(*part, F.col("__spec").alias("spec")).write.partitionBy("spec").parquet(path)
     out = None
-    for r in specs.select(*columns).distinct().collect():
-        own = specs
-        for c in columns:
-            value = F.lit(None) if r[c] is None else F.array(*map(F.lit, r[c])) if isinstance(r[c], list) else F.lit(r[c])
-            own = own.filter(F.col(c).eqNullSafe(value))
-        part = lines.join(own.select("file"), "file", "left_semi")
+    for r in named.select("__spec", *columns).dropDuplicates(["__spec"]).orderBy("__spec").collect():
+        own = spark.read.schema(lines.select(*part).schema).parquet(f"{path}/spec={r['__spec']}")
         if r["kind"] == "json":
-            got = parsers.parse_json_lines(part, r["ts_key"], r["level_key"], r["msg_key"], tz)
+            got = parsers.parse_json_lines(own, r["ts_key"], r["level_key"], r["msg_key"], tz)
         elif r["kind"] == "w3c":
-            got = parsers.parse_w3c(part, r["fields"], tz)
+            got = parsers.parse_w3c(own, r["fields"], tz)
         elif r["kind"] == "combined":
-            got = parsers.parse_access_log(part, tz)
+            got = parsers.parse_access_log(own, tz)
         elif r["kind"] == "log4j-xml":
-            got = parsers.parse_log4j_xml(part, tz)
+            got = parsers.parse_log4j_xml(own, tz)
         elif r["kind"] == "dsv":
-            got = parsers.parse_dsv(part, r["delimiter"], r["ts_col"], r["level_col"], tz)
+            got = parsers.parse_dsv(own, r["delimiter"], r["ts_col"], r["level_col"], tz)
         elif "%S" in r["template"]:
-            got = parsers.parse_syslog_lines(part, start_year, r["template"], tz)
+            got = parsers.parse_syslog_lines(own, start_year, r["template"], tz)
         else:
-            got = parsers.parse_pattern(part, r["template"], tz)
+            got = parsers.parse_pattern(own, r["template"], tz)
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else parsers.parse_pattern(lines)
+    return out if out is not None else parsers.parse_pattern(lines.select(*part))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,5 +74,7 @@ def sanitize_filters(saved: DataFrame) -> DataFrame:
     return saved.filter("coalesce(name, '') <> ''").select("name", F.coalesce("text", F.lit("")).alias("text"), known_levels(F.col("levels")).alias("levels"), F.greatest(F.coalesce("saved_at", F.lit(0)), F.lit(0)).alias("saved_at"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def sanitize_alerts(configs: DataFrame) -> DataFrame:
+    """Alert configurations (url, text, levels, file) with texts that aren't there empty and unknown levels left out; other columns are kept."""
+    fixed = {"url": F.coalesce("url", F.lit("")), "text": F.coalesce("text", F.lit("")), "file": F.coalesce("file", F.lit("")), "levels": known_levels(F.col("levels"))}
+    return configs.select(*[fixed[c].alias(c) if c in fixed else F.col(f"`{c}`") for c in configs.columns])

@@ -6,13 +6,12 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_from_severity, level_from_status, normalize_level
 from ..functions.text import ANY, SPACE, collapse_space, is_blank, js_trim, let, xml_unescape
 from ..functions.timestamps import parse_epoch, parse_json_timestamp, parse_syslog, parse_timestamp
-from .entries import entries, running_sum
+from .entries import entries, running_last, running_sum
 
 # What each specifier of a template matches.
 SPECIFIERS = {
@@ -77,17 +76,13 @@ def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m
 
     rows = lines.filter("line <> ''").withColumn("__e", fields(F.col("line"), template, entry))
     rows = rows.withColumn("__t", parse_syslog(F.col("__e.date"), F.lit(2001), tz))
-    before = F.last("__t", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    gap = F.col("__t") - before
+    rows = running_last(rows, "__t", "__before_t")
+    gap = F.col("__t") - F.col("__before_t")
     rows = rows.withColumn("__step", F.when(gap > forward, -1).when(gap < -backward, 1).otherwise(0).cast("long"))
     rows = running_sum(rows, "__step", "__steps")
     return entries(rows, parse_syslog(F.col("__e.date"), F.lit(start_year) + F.col("__steps") + F.col("__step"), tz), F.col("__e.level"), F.col("__e.message"))
 
 
-def _key(name: Column) -> Column:
-    return F.concat(F.lit("$[0]['"), name, F.lit("']"))
-
-
 def json_object(line: Column) -> Column:
     """The line as a variant (in an array of one), null unless it is exactly one JSON object."""
     v = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
@@ -97,23 +92,23 @@ def json_object(line: Column) -> Column:
 
 def parse_json_lines(lines: DataFrame, ts_key: str | None = "ts", level_key: str | None = "level", msg_key: str | None = "msg", tz: str = "UTC") -> DataFrame:
     """One JSON object a line; levels may be names or syslog severities; without a message the whole line is it."""
-    rows = lines.filter(~is_blank(F.col("line"))).withColumn("__v", json_object(F.col("line")))
+    number = r"^(BIGINT|DECIMAL|DOUBLE)"
+    nothing = F.lit(None).cast("string")
 
-    def value(key: str | None) -> tuple[Column, Column, Column]:
-        """As text, its JSON type, and as JSON."""
+    def value(v: Column, key: str | None) -> Column:
+        """As text, its JSON type, and as JSON; looked up once."""
         if key is None:
-            return (F.lit(None).cast("string"),) * 3
-        path = f"$[0]['{key}']"
-        v = F.try_variant_get("__v", path, "variant")
-        return F.try_variant_get("__v", path, "string"), F.schema_of_variant(v), F.to_json(v)
+            return F.struct(nothing.alias("text"), nothing.alias("kind"), nothing.alias("json"))
+        one = F.try_variant_get(v, f"$[0]['{key}']", "variant")
+        return let(one, lambda x: F.struct(x.try_cast("string").alias("text"), F.schema_of_variant(x).alias("kind"), F.to_json(x).alias("json")))
 
-    number = r"^(BIGINT|DECIMAL|DOUBLE)"
-    text, kind, _ = value(ts_key)
+    rows = lines.filter(~is_blank(F.col("line"))).withColumn("__v", json_object(F.col("line")))
+    rows = rows.withColumn("__f", F.struct(value(F.col("__v"), ts_key).alias("t"), value(F.col("__v"), level_key).alias("l"), value(F.col("__v"), msg_key).alias("m")))
+    text, kind = F.col("__f.t.text"), F.col("__f.t.kind")
     ts = F.when(kind.rlike(number) | (kind == "STRING"), parse_json_timestamp(text, kind.rlike(number), tz))
-    text, kind, _ = value(level_key)
+    text, kind = F.col("__f.l.text"), F.col("__f.l.kind")
     level = F.when(kind == "STRING", normalize_level(text)).when(kind == "BIGINT", level_from_severity(text.try_cast("long")))
-    text, kind, full = value(msg_key)
-    own = F.coalesce(F.when(kind == "STRING", text).when(kind != "VOID", full), F.lit(""))
+    own = F.coalesce(F.when(F.col("__f.m.kind") == "STRING", F.col("__f.m.text")).when(F.col("__f.m.kind") != "VOID", F.col("__f.m.json")), F.lit(""))
     message = F.when(F.col("__v").isNull(), F.col("line")).when(own != "", own).otherwise(js_trim(F.col("line")))
     return entries(rows, ts, level, message)
 
@@ -171,20 +166,36 @@ _WHOLE = r"(?s)<log4j:event[^>]*/>|<LogRecord[^>]*/>|<log4j:event[^>]*>.*?</log4
 _CLOSED = r"(</log4j:event>|</LogRecord>|<(?:log4j:event|LogRecord)\b[^>]*/>)"
 
 
-def parse_log4j_xml(lines: DataFrame, tz: str = "UTC") -> DataFrame:
+#: Fixed value: characters after which an event that doesn't close is given up.
+IDLE = 200_000
+
+
+def parse_log4j_xml(lines: DataFrame, tz: str = "UTC", idle: int = IDLE) -> DataFrame:
     """Events of Log4j 1 and 2 over any number of lines; line_no is the line on which an event ends.
 
     Lines are cut behind each end of an event; the pieces between two ends belong together.  Text between events is
-    dropped; what is left at the end of a file becomes an event if it holds the beginning of one, else a raw entry.
+    dropped; what is left at the end of a file becomes an event if it holds the beginning of one, else a raw entry.  More than
+    ``idle`` characters without an end are cut, on whole lines, into raw entries of about that many.
     """
+    if "seq" in lines.columns:
+        lines = lines.drop("seq")  # events are numbered, not lines
     cut = lines.select("file", "line_no", F.posexplode(F.split(F.regexp_replace(F.concat("line", F.lit("\n")), _CLOSED, "$1" + _CUT), _CUT, -1)).alias("pos", "piece"))
-    cut = cut.filter("piece <> ''").withColumn("__ends", F.col("piece").rlike(_CLOSED).cast("long"))
+    cut = cut.filter("piece <> ''").withColumn("__ends", F.col("piece").rlike(_CLOSED).cast("long")).withColumn("__size", F.length("piece").cast("long"))
     cut = running_sum(cut, "__ends", "__event", then="pos")
-    events = cut.groupBy("file", "__event").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "pos", "piece"))), lambda p: p["piece"]), "").alias("text"), F.max("line_no").alias("line_no"), F.max("__ends").alias("closed"))
-    whole = events.filter("closed = 1").select("file", "line_no", F.explode(F.regexp_extract_all("text", F.lit(_WHOLE), F.lit(0))).alias("line"), F.lit(True).alias("complete"))
-    rest = events.filter("closed = 0").withColumn("line", js_trim(F.col("text"))).filter("line <> ''").select("file", "line_no", "line", F.lit(False).alias("complete"))
+    # what is too long is found first: there are few such pieces, if any, and no group is larger than the limit
+    long = cut.groupBy("file", "__event").agg(F.sum("__size").alias("__all")).filter(F.col("__all") > idle).select(F.col("file").alias("__f"), F.col("__event").alias("__e"))
+    if long.isEmpty():
+        cut = cut.withColumn("__part", F.lit(0).cast("long"))
+    else:
+        over = running_sum(cut, "__size", "__chars", then="pos").join(long, F.col("file").eqNullSafe(F.col("__f")) & (F.col("__event") == F.col("__e")), "left")
+        cut = over.withColumn("__part", F.when(F.col("__f").isNull(), 0).otherwise(1 + F.floor(F.col("__chars") / idle)).cast("long"))
+    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "pos", "piece"))), lambda p: p["piece"]), "")
+    events = cut.groupBy("file", "__event", "__part").agg(pieces.alias("text"), F.max("line_no").alias("line_no"), F.max("__ends").alias("closed"))
+    whole = events.filter("closed = 1").select("file", "line_no", F.explode(F.regexp_extract_all("text", F.lit(_WHOLE), F.lit(0))).alias("line"), F.lit(True).alias("complete"), F.lit(False).alias("given_up"))
+    rest = events.filter("closed = 0").withColumn("line", F.when(F.col("__part") > 0, F.regexp_replace("text", f"[{SPACE}]+\\z", "")).otherwise(js_trim(F.col("text"))))
+    rest = rest.filter("line <> ''").select("file", "line_no", "line", F.lit(False).alias("complete"), (F.col("__part") > 0).alias("given_up"))
     line = F.col("line")
-    begun = F.regexp_extract(line, _EVENT + r"\b[^>]*", 0)
+    begun = F.when(F.col("given_up"), "").otherwise(F.regexp_extract(line, _EVENT + r"\b[^>]*", 0))
     rows = whole.unionByName(rest).withColumn("__tag", F.when(F.col("complete"), F.regexp_extract(line, _EVENT + "[^>]*>", 0)).when(begun != "", F.concat(begun, F.lit(">"))))
     first = F.col("__tag").startswith("<log4j")
 

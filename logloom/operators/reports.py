@@ -41,13 +41,19 @@ def file_inventory(entries: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def ad_hoc(entries: DataFrame, sql: str, view: str = "entries") -> DataFrame:
-    """Free SQL over the view ``entries``; mistakes raise ValueError and leave the session as it was."""
+    """Free SQL over the view ``entries``; mistakes raise ValueError.  The session's own view of that name, if any, is put back."""
     spark = entries.sparkSession
+    before = spark.table(view) if any(t.isTemporary and t.name.lower() == view.lower() for t in spark.catalog.listTables()) else None
     entries.createOrReplaceTempView(view)
     try:
-        return spark.sql(sql)
+        return spark.sql(sql)  # resolved here, so the view isn't needed any more
     except (ParseException, AnalysisException) as e:
         raise ValueError(str(e).split("\n")[0]) from e
+    finally:
+        if before is None:
+            spark.catalog.dropTempView(view)
+        else:
+            before.createOrReplaceTempView(view)
 
 
 def capped(df: DataFrame, most: int = 50_000) -> tuple[DataFrame, int, bool]:

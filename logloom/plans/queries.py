@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, text, timestamps
 from ..operators import alerts, detect, export, filters, parsers, pins, reports, rules
-from ..operators.entries import with_seq
+from ..operators.entries import number_lines, with_seq
 from ..session import scratch
 from ..sources import lines as sources
 from ..streaming import follow
@@ -47,8 +47,13 @@ def iso(ms: str) -> str:
     return f"(strftime(make_timestamp(CAST({ms} AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z')"
 
 
+def place(key: str, prefix: str, suffix: str, files: int) -> str:
+    """As :func:`render.placed`."""
+    return f"'{prefix}' || ({key} % {files} + {files} * ({key} // {files * render.EACH})) || '.{suffix}' AS file, CAST({key} % {files * render.EACH} // {files} + 1 AS BIGINT) AS line_no"
+
+
 def ev(prefix: str = "app", suffix: str = "log", files: int = 8) -> str:
-    return f"(SELECT *, '{prefix}' || (event_id % {files}) || '.{suffix}' AS file, CAST(row_number() OVER (PARTITION BY event_id % {files} ORDER BY event_id) AS BIGINT) AS line_no FROM events)"
+    return f"(SELECT *, {place('event_id', prefix, suffix, files)} FROM events)"
 
 
 def parsed(source: str, ts_ms: str, level: str, message: str, raw: str, where: str = "true") -> str:
@@ -62,12 +67,14 @@ THREADS = parsed(ev("thr"), SEC, LEVEL, MSG, f"strftime(ts, '%Y-%m-%d %H:%M:%S')
 ENTRY = "seq, ts_ms, ts_iso, level, message, raw, file, line_no"
 
 
-def app_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_seq(parsers.parse_pattern(render.app(spark, sf_dir)))
+def app_entries(spark: SparkSession, sf_dir: str, seq: bool = True) -> DataFrame:
+    """Entries of the app logs; what doesn't look at sequence numbers goes without them."""
+    lines = render.app(spark, sf_dir)
+    return with_seq(parsers.parse_pattern(number_lines(lines))) if seq else parsers.parse_pattern(lines)
 
 
 def thread_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_seq(parsers.parse_pattern(render.threads(spark, sf_dir), "%d [%t] %l: %m"))
+    return with_seq(parsers.parse_pattern(number_lines(render.threads(spark, sf_dir)), "%d [%t] %l: %m"))
 
 
 # ---- sources
@@ -103,10 +110,19 @@ def seq_per_file(spark, sf_dir):
     return app_entries(spark, sf_dir).select("file", "line_no", "seq")
 
 
-@query("src_dir_accept", "SELECT ext, count(*) AS n FROM (SELECT list_extract(['log', 'TXT', 'csv', 'bin', 'xml', 'log.gz', 'yml'], CAST(event_id % 7 AS INT) + 1) AS ext FROM events) WHERE ext NOT IN ('bin', 'log.gz') GROUP BY ext")
+_EXT = "list_extract(['log', 'TXT', 'csv', 'bin', 'xml', 'out', 'yml', 'exe'], CAST(event_id % 8 AS INT) + 1)"
+
+
+@query("src_dir_accept", f"SELECT {_EXT} AS ext, count(*) AS lines, sum(event_id)::BIGINT AS ids FROM events WHERE {_EXT} NOT IN ('bin', 'exe') GROUP BY 1")
 def src_dir_accept(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("element_at(array('log', 'TXT', 'csv', 'bin', 'xml', 'log.gz', 'yml'), cast(event_id % 7 AS int) + 1)").alias("ext"), "event_id")
-    return names.filter(sources.accepted(F.concat(F.col("event_id").cast("string"), F.lit("."), F.col("ext")))).groupBy("ext").agg(F.count("*").alias("n"))
+    """A folder of files with eight endings, one file in a subfolder; the lines of those that are logs."""
+    folder = scratch(spark)
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_id").cast("string").alias("line"))
+    for i, ext in enumerate(("log", "TXT", "csv", "bin", "xml", "out", "yml", "exe")):
+        ids.filter(F.col("event_id") % 8 == i).select("line").write.mode("append").option("extension", ext).csv(folder)
+    ids.select("line").write.option("extension", "log").csv(f"{folder}/below")
+    got = sources.read_log_dir(spark, folder)
+    return got.groupBy(F.regexp_extract("file", r"\.(\w+)\z", 1).alias("ext")).agg(F.count("*").alias("lines"), F.sum(F.col("line").cast("long")).alias("ids"))
 
 
 def _zipped(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -136,8 +152,9 @@ def src_lines_from_column(spark, sf_dir):
 
 @query("merge_files", f"SELECT {ENTRY} FROM {APP} UNION ALL SELECT {ENTRY} FROM {THREADS} WHERE file <> 'thr3.log'")
 def merge_files(spark, sf_dir):
-    ready = [f"app{i}.log" for i in range(8)] + [f"thr{i}.log" for i in range(8) if i != 3]
-    return sources.merge_files(app_entries(spark, sf_dir), thread_entries(spark, sf_dir), ready=ready)
+    both = app_entries(spark, sf_dir), thread_entries(spark, sf_dir)
+    files = render.app(spark, sf_dir).select("file").union(render.threads(spark, sf_dir).select("file")).distinct()
+    return sources.merge_files(*both, files=files.withColumn("status", F.when(F.col("file") == "thr3.log", "parsing").otherwise("ready")))
 
 
 _ENC = "CASE doc_id % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' WHEN 3 THEN CASE WHEN strlen(text) > length(text) THEN 'windows-1252' ELSE 'utf-8' END ELSE 'utf-8' END"
@@ -154,9 +171,19 @@ def encoding_census(spark, sf_dir):
     return sources.encoding_census(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
 
 
-@query("table_preview", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS o_orderdate, o_orderpriority, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 50000 AS truncated FROM orders LIMIT 50000")
+@query("decode_chosen", "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN 'ï»¿' ELSE '' END || regexp_replace(text, '[^\x20-\x7E\x0A\u00A0-\u00FF]', '?', 'g'), chr(10)) AS l FROM documents WHERE length(text) > 0)) WHERE line <> ''")
+def decode_chosen(spark, sf_dir):
+    """Windows-1252 is chosen, whatever the bytes say: a mark of UTF-8 before every other text isn't its own, so it is read as letters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 0")
+    latin = F.encode(F.regexp_replace("text", "[^\\x20-\\x7E\\x0A\\u00A0-\\u00FF]", "?"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), latin)).otherwise(latin)
+    got = sources.decode_logs(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")), "windows-1252")
+    return got.select(F.col("path").cast("long").alias("doc_id"), "line_no", "line")
+
+
+@query("table_preview", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS o_orderdate, o_orderpriority, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 1000 AS truncated FROM orders ORDER BY orders.o_orderkey LIMIT 1000")
 def table_preview(spark, sf_dir):
-    shown, total, truncated = reports.preview(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    shown, total, truncated = reports.preview(spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey"), 1000)
     return shown.withColumns({"total": F.lit(total).cast("long"), "truncated": F.lit(truncated)})
 
 
@@ -185,7 +212,7 @@ PLAIN = parsed(ev("gc"), "(epoch_us(ts) // 1000)", "NULL", MSG, f"strftime(ts, '
 
 @query("parse_pattern_dm", f"SELECT {ENTRY.replace('level', 'CAST(level AS VARCHAR) AS level')} FROM {PLAIN}")
 def parse_pattern_dm(spark, sf_dir):
-    return with_seq(parsers.parse_pattern(render.plain(spark, sf_dir), "%d %m"))
+    return with_seq(parsers.parse_pattern(number_lines(render.plain(spark, sf_dir)), "%d %m"))
 
 
 EPOCH = "CASE event_id % 3 WHEN 0 THEN CAST((epoch_us(ts) // 1000) // 1000 AS VARCHAR) WHEN 1 THEN CAST((epoch_us(ts) // 1000) AS VARCHAR) ELSE ((epoch_us(ts) // 1000) // 1000) || '.' || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') END"
@@ -193,22 +220,23 @@ EPOCH = "CASE event_id % 3 WHEN 0 THEN CAST((epoch_us(ts) // 1000) // 1000 AS VA
 
 @query("parse_pattern_epoch", f"SELECT {ENTRY} FROM {parsed(ev('ep'), f'CASE WHEN event_id % 3 = 0 THEN {SEC} ELSE (epoch_us(ts) // 1000) END', LEVEL, MSG, f'''{EPOCH} || ' ' || {TOKEN} || ': ' || {MSG}''')}")
 def parse_pattern_epoch(spark, sf_dir):
-    return with_seq(parsers.parse_pattern(render.epochs(spark, sf_dir), "%s %l: %m"))
+    return with_seq(parsers.parse_pattern(number_lines(render.epochs(spark, sf_dir)), "%s %l: %m"))
+
 
+_SYSFILE, _SYSAT = f"(event_id // {render.SYSLOG_EACH})", f"(event_id % {render.SYSLOG_EACH})"
+_JUMPED = f"({_SYSFILE} % 2 = 1 AND {_SYSAT} >= 1500)"
+_SYS = f"(SELECT *, CASE WHEN jumped THEN day - INTERVAL 1 YEAR ELSE day END AS inferred FROM (SELECT *, 'sys' || {_SYSFILE} || '.log' AS file, {_SYSAT} + 1 AS line_no, {_JUMPED} AS jumped, TIMESTAMP '2023-07-01 06:00:00' + to_hours({_SYSAT} * {render.SYSLOG_HOURS} + CASE WHEN {_JUMPED} THEN 120 ELSE 0 END) AS day FROM events))"
 
-@query("detect_template", f"SELECT DISTINCT file, '%d %l: %m' AS template FROM {ev()} UNION ALL SELECT DISTINCT file, '%d [%t] %l: %m' FROM {ev('thr')} UNION ALL SELECT DISTINCT file, '%d %m' FROM {ev('gc')} UNION ALL SELECT DISTINCT file, '%S %m' FROM {ev('sys', files=4)} WHERE line_no <= 200")
+
+@query("detect_template", f"SELECT DISTINCT file, '%d %l: %m' AS template FROM {ev()} UNION ALL SELECT DISTINCT file, '%d [%t] %l: %m' FROM {ev('thr')} UNION ALL SELECT DISTINCT file, '%d %m' FROM {ev('gc')} UNION ALL SELECT DISTINCT file, '%S %m' FROM {_SYS}")
 def detect_template(spark, sf_dir):
     parts = [f(spark, sf_dir) for f in (render.app, render.threads, render.plain, render.syslog)]
     return detect.detect_template(detect.sample(parts[0].union(parts[1]).union(parts[2]).union(parts[3])))
 
 
-_DAY = "(TIMESTAMP '2023-07-01 06:00:00' + INTERVAL (line_no) DAY)"
-_SYS = f"(SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS k FROM {ev('sys', files=4)} WHERE line_no <= 900 AND strftime({_DAY}, '%m-%d') NOT IN ('02-28', '02-29', '03-01'))"
-
-
-@query("parse_syslog", f"SELECT k AS seq, epoch_ms({_DAY}) AS ts_ms, {iso(f'epoch_ms({_DAY})')} AS ts_iso, CAST(NULL AS VARCHAR) AS level, 'host app[' || user_id || ']: ' || event_type AS message, strftime({_DAY}, '%b %d %H:%M:%S') || ' host app[' || user_id || ']: ' || event_type AS raw, file, line_no FROM {_SYS}")
+@query("parse_syslog", f"SELECT line_no - 1 AS seq, epoch_ms(inferred) AS ts_ms, {iso('epoch_ms(inferred)')} AS ts_iso, CAST(NULL AS VARCHAR) AS level, 'host app[' || user_id || ']: ' || event_type AS message, strftime(day, '%b %d %H:%M:%S') || ' host app[' || user_id || ']: ' || event_type AS raw, file, line_no FROM {_SYS}")
 def parse_syslog(spark, sf_dir):
-    return with_seq(parsers.parse_syslog_lines(render.syslog(spark, sf_dir), 2023, forward=10**15, backward=30 * 86_400_000))
+    return with_seq(parsers.parse_syslog_lines(number_lines(render.syslog(spark, sf_dir)), 2023))
 
 
 _WHOLE = f"""'{{' || CASE event_id % 3 WHEN 0 THEN '"@timestamp":"' || {iso('(epoch_us(ts) // 1000)')} || '"' WHEN 1 THEN '"ts":' || (epoch_us(ts) // 1000) ELSE '"time":"' || ((epoch_us(ts) // 1000) // 1000) || '"' END || ',' || CASE WHEN event_id % 3 = 1 THEN '"severity":' || (user_id % 9) ELSE '"level":"' || {TOKEN} || '"' END || CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"msg":"' || {MSG} || '"' END || '}}'"""
@@ -220,14 +248,14 @@ JSON = parsed(ev("json", "json", 3), f"CASE WHEN {_JBAD} THEN NULL WHEN event_id
 
 @query("parse_json_lines", f"SELECT {ENTRY} FROM {JSON}")
 def parse_json_lines(spark, sf_dir):
-    lines, out = render.json(spark, sf_dir), None
+    lines, out = number_lines(render.json(spark, sf_dir), blank=False), None
     for i, (ts, level) in enumerate((("@timestamp", "level"), ("ts", "severity"), ("time", "level"))):
-        own = parsers.parse_json_lines(lines.filter(F.col("file") == f"json{i}.json"), ts, level, "msg")
+        own = parsers.parse_json_lines(lines.filter(F.regexp_extract("file", r"(\d+)", 1).cast("long") % 3 == i), ts, level, "msg")
         out = own if out is None else out.union(own)
     return with_seq(out)
 
 
-@query("json_key_resolution", "SELECT 'json' || k || '.json' AS file, list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) AS ts_key, CASE WHEN k = 1 THEN 'severity' ELSE 'level' END AS level_key, 'msg' AS msg_key FROM (SELECT DISTINCT event_id % 3 AS k FROM events)")
+@query("json_key_resolution", f"SELECT file, list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) AS ts_key, CASE WHEN k = 1 THEN 'severity' ELSE 'level' END AS level_key, 'msg' AS msg_key FROM (SELECT DISTINCT file, event_id % 3 AS k FROM {ev('json', 'json', 3)})")
 def json_key_resolution(spark, sf_dir):
     return detect.resolve_json_keys(render.json(spark, sf_dir))
 
@@ -243,7 +271,7 @@ UNION ALL SELECT DISTINCT 1, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(N
 
 @query("parse_w3c", f"SELECT {ENTRY} FROM {W3C}")
 def parse_w3c(spark, sf_dir):
-    return with_seq(parsers.parse_w3c(render.w3c(spark, sf_dir), render.W3C_FIELDS))
+    return with_seq(parsers.parse_w3c(number_lines(render.w3c(spark, sf_dir), blank=False), render.W3C_FIELDS))
 
 
 _AWALL = "CASE WHEN user_id % 2 = 1 THEN strftime(ts + INTERVAL '5 hours 30 minutes', '%d/%b/%Y:%H:%M:%S') || ' +0530' ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' END"
@@ -255,16 +283,16 @@ ACCESS = parsed(ev("access", files=2), f"CASE WHEN {_ABAD} THEN NULL ELSE {SEC}
 
 @query("parse_access_log", f"SELECT {ENTRY} FROM {ACCESS}")
 def parse_access_log(spark, sf_dir):
-    return with_seq(parsers.parse_access_log(render.access(spark, sf_dir)))
+    return with_seq(parsers.parse_access_log(number_lines(render.access(spark, sf_dir), blank=False)))
 
 
-_ORD = "(SELECT *, 'orders' || (o_orderkey % 2) || '.txt' AS file, CAST(row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS BIGINT) AS line_no, o_orderdate AS ts FROM orders)"
+_ORD = f"(SELECT *, {place('o_orderkey', 'orders', 'txt', 2)}, o_orderdate AS ts FROM orders)"
 DSV = parsed(_ORD, SEC, "CASE o_orderstatus WHEN 'O' THEN 'INFO' WHEN 'F' THEN 'ERROR' END", "o_orderpriority || ' | ' || o_orderkey", "strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(9) || CASE o_orderstatus WHEN 'O' THEN 'info' WHEN 'F' THEN 'Error' ELSE '?' END || chr(9) || o_orderpriority || chr(9) || o_orderkey")
 
 
 @query("parse_dsv", f"SELECT {ENTRY} FROM {DSV}")
 def parse_dsv(spark, sf_dir):
-    return with_seq(parsers.parse_dsv(render.dsv(spark, sf_dir), "\t", 0, 1))
+    return with_seq(parsers.parse_dsv(number_lines(render.dsv(spark, sf_dir), blank=False), "\t", 0, 1))
 
 
 _XKIND = "CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 2 ELSE 3 END"
@@ -279,7 +307,21 @@ def parse_log4j_xml(spark, sf_dir):
     return with_seq(parsers.parse_log4j_xml(render.log4j(spark, sf_dir)))
 
 
-@query("detect_format", f"""SELECT DISTINCT file, 'pattern' AS kind, '%d %l: %m' AS detail FROM {ev()} UNION ALL SELECT 'json' || k || '.json', 'json', list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) || CASE WHEN k = 1 THEN ' severity' ELSE ' level' END || ' msg' FROM (SELECT DISTINCT event_id % 3 AS k FROM events)
+_SPLIT = f"(SELECT *, {place('event_id', 'pipe', 'txt', 4)}, event_id % 4 AS k, list_extract(['|', ';', ',', chr(9)], CAST(event_id % 4 AS INT) + 1) AS delimiter FROM events)"
+
+
+@query("detect_dsv", f"SELECT DISTINCT file, delimiter, CAST(k % 3 AS INT) AS ts_col, CASE WHEN k < 3 THEN CAST((k + 1) % 3 AS INT) END AS level_col FROM {_SPLIT}")
+def detect_dsv(spark, sf_dir):
+    """Files with four delimiters; the timestamp and the level change places, and some have no level."""
+    e, k = render.placed(_events(spark, sf_dir), "event_id", "pipe", "txt", 4), F.col("event_id") % 4
+    stamp, level, text_ = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(k == 3, "none").otherwise(render.token()), F.col("event_type")
+    cells = F.when(k % 3 == 0, F.array(stamp, level, text_)).when(k == 1, F.array(text_, stamp, level)).otherwise(F.array(level, text_, stamp))
+    mark = F.element_at(F.array(*map(F.lit, ("|", ";", ",", "\t"))), (k + 1).cast("int"))
+    lines = e.withColumns({"cells": cells, "mark": mark}).select("file", "line_no", F.expr("array_join(cells, mark)").alias("line"))
+    return detect.detect_dsv(detect.sample(lines))
+
+
+@query("detect_format", f"""SELECT DISTINCT file, 'pattern' AS kind, '%d %l: %m' AS detail FROM {ev()} UNION ALL SELECT file, 'json', list_extract(['@timestamp', 'ts', 'time'], CAST(k AS INT) + 1) || CASE WHEN k = 1 THEN ' severity' ELSE ' level' END || ' msg' FROM (SELECT DISTINCT file, event_id % 3 AS k FROM {ev('json', 'json', 3)})
 UNION ALL SELECT DISTINCT file, 'combined', '' FROM {ev('access', files=2)} UNION ALL SELECT DISTINCT file, 'w3c', '{" ".join(render.W3C_FIELDS)}' FROM {ev('iis', files=2)} UNION ALL SELECT DISTINCT file, 'dsv', chr(9) || ' 0 1' FROM {_ORD} UNION ALL SELECT DISTINCT file, 'log4j-xml', '' FROM {ev('l4j', 'xml', 2)}""")
 def detect_format(spark, sf_dir):
     got = detect.detect_format(render.mixed(spark, sf_dir))
@@ -296,7 +338,7 @@ def parse_mixed_corpus(spark, sf_dir):
 
 @query("parse_quality", f"SELECT file, count(*) AS total, count(*) FILTER (ts_ms IS NULL AND level IS NULL) AS raw_entries FROM {APP} GROUP BY file")
 def parse_quality(spark, sf_dir):
-    return reports.parse_quality(app_entries(spark, sf_dir))
+    return reports.parse_quality(app_entries(spark, sf_dir, False))
 
 
 # ---- functions
@@ -364,7 +406,7 @@ def ts_epoch_parse(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", timestamps.parse_epoch(token).alias("ms"), timestamps.parse_epoch(F.left(s, F.lit(8))).alias("short"))
 
 
-@query("ts_syslog_year", f"SELECT file, year({_DAY}) AS year, count(*) AS n FROM {_SYS} GROUP BY ALL")
+@query("ts_syslog_year", f"SELECT file, year(inferred) AS year, count(*) AS n FROM {_SYS} GROUP BY ALL")
 def ts_syslog_year(spark, sf_dir):
     got = parse_syslog(spark, sf_dir)
     return got.groupBy("file", F.year(F.timestamp_millis("ts_ms")).cast("long").alias("year")).agg(F.count("*").alias("n"))
@@ -432,7 +474,7 @@ def _saved(spark) -> DataFrame:
 
 @query("saved_filter_hits", f"SELECT 'errors' AS name, 3 AS saved_at, count(*) AS hits FROM {APP} WHERE level IN ('ERROR', 'FATAL') UNION ALL SELECT 'user 7', 2, count(*) FROM {APP} WHERE {_TEXT.format('user=7')} UNION ALL SELECT 'none', 1, count(*) FROM {APP} WHERE {_TEXT.format('%')} UNION ALL SELECT 'all', 4, count(*) FROM {APP}")
 def saved_filter_hits(spark, sf_dir):
-    return filters.saved_filter_hits(app_entries(spark, sf_dir), _saved(spark)).orderBy(F.desc("saved_at"))
+    return filters.saved_filter_hits(app_entries(spark, sf_dir, False), _saved(spark)).orderBy(F.desc("saved_at"))
 
 
 def _customers(spark, sf_dir, where) -> DataFrame:
@@ -447,7 +489,7 @@ def saved_filter_upsert(spark, sf_dir):
 
 @query("filter_counts", f"SELECT count(*) AS total, count(*) FILTER ({_TEXT.format('signup')} AND level IN ('INFO')) AS visible FROM {APP}")
 def filter_counts(spark, sf_dir):
-    return filters.filter_counts(app_entries(spark, sf_dir), "signup", ["INFO"])
+    return filters.filter_counts(app_entries(spark, sf_dir, False), "signup", ["INFO"])
 
 
 @query("scope_file", f"SELECT {ENTRY} FROM {APP} WHERE file <> 'app2.log'")
@@ -457,7 +499,7 @@ def scope_file(spark, sf_dir):
 
 @query("log_view", f"SELECT ts_iso AS time, coalesce(level, '–') AS level, message, file, line_no FROM {APP}")
 def log_view(spark, sf_dir):
-    return filters.log_view(app_entries(spark, sf_dir))
+    return filters.log_view(app_entries(spark, sf_dir, False))
 
 
 # ---- rules and pins
@@ -476,17 +518,26 @@ _CLASSED = f"(SELECT file, line_no, level, {_WON} AS rule_id FROM {APP})"
 
 @query("rule_first_match", f"SELECT file, line_no, rule_id, {_COLOR} AS color FROM {_CLASSED}")
 def rule_first_match(spark, sf_dir):
-    return rules.classify(app_entries(spark, sf_dir), _rules(spark)).select("file", "line_no", "rule_id", "color")
+    return rules.classify(app_entries(spark, sf_dir, False), _rules(spark)).select("file", "line_no", "rule_id", "color")
 
 
 @query("rule_with_level_fallback", f"SELECT file, line_no, coalesce({_COLOR}, CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TINTS.items()) + f" END) AS color FROM {_CLASSED}")
 def rule_with_level_fallback(spark, sf_dir):
-    return rules.with_level_fallback(rules.classify(app_entries(spark, sf_dir), _rules(spark))).select("file", "line_no", "color")
+    return rules.with_level_fallback(rules.classify(app_entries(spark, sf_dir, False), _rules(spark))).select("file", "line_no", "color")
 
 
 @query("rule_hit_counts", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, count(*) FILTER ({c}) AS matched, count(*) FILTER (({_WON}) = '{k}') AS won FROM {APP}" for k, c in _CONDITIONS.items()))
 def rule_hit_counts(spark, sf_dir):
-    return rules.hit_counts(app_entries(spark, sf_dir), _rules(spark))
+    return rules.hit_counts(app_entries(spark, sf_dir, False), _rules(spark))
+
+
+_LAST_FIRST = "CASE " + " ".join(f"WHEN {_CONDITIONS[k]} THEN '{k}'" for k in ("r4", "r0", "r1", "r2", "r3")) + " END"
+
+
+@query("rule_reorder", f"SELECT file, line_no, {_LAST_FIRST} AS rule_id FROM {APP}")
+def rule_reorder(spark, sf_dir):
+    """The last rule is moved to the top: it now wins where others did."""
+    return rules.classify(app_entries(spark, sf_dir, False), rules.reorder(_rules(spark), "r4", 0)).select("file", "line_no", "rule_id")
 
 
 @query("rules_sanitize", f"SELECT CAST(c_custkey AS INT) AS priority, c_name AS id, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS text, CASE WHEN c_custkey % 2 = 0 THEN 'WARN' ELSE '' END AS levels, '' AS file, CASE WHEN c_custkey % 5 = 0 THEN '#AAbb01' ELSE '{rules.DEFAULT_COLOR}' END AS color FROM customer WHERE c_custkey % 7 <> 0")
@@ -507,6 +558,15 @@ def saved_filters_sanitize(spark, sf_dir):
     return filters.sanitize_filters(raw).withColumn("levels", F.array_join("levels", ","))
 
 
+@query("alert_config_sanitize", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'http://h/' || c_custkey ELSE '' END AS url, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS text, 'WARN,FATAL' AS levels, '' AS file FROM customer")
+def alert_config_sanitize(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit("http://h/"), k.cast("string"))).alias("url"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("text"), F.array(F.lit("WARN"), F.lit("loud"), F.lit(None), F.lit("FATAL")).alias("levels"), F.lit(None).cast("string").alias("file")
+    )
+    return filters.sanitize_alerts(raw).withColumn("levels", F.array_join("levels", ","))
+
+
 def _pins(spark, sf_dir, every: int, word: str) -> DataFrame:
     """Pins on every so many events, each twice: the first counts."""
     e = render.events(spark, sf_dir).filter(F.col("event_id") % every == 0)
@@ -515,7 +575,7 @@ def _pins(spark, sf_dir, every: int, word: str) -> DataFrame:
 
 @query("pins_annotate", f"SELECT a.file, a.line_no, CASE WHEN e.event_id % 20 = 0 THEN 'p' || e.event_id || '-0' END AS pin_id, CASE WHEN e.event_id % 20 = 0 THEN 'p note 0' END AS note FROM {APP} a JOIN {ev()} e ON a.file = e.file AND a.line_no = e.line_no")
 def pins_annotate(spark, sf_dir):
-    return pins.annotate(app_entries(spark, sf_dir), _pins(spark, sf_dir, 20, "p")).select("file", "line_no", "pin_id", "note")
+    return pins.annotate(app_entries(spark, sf_dir, False), _pins(spark, sf_dir, 20, "p")).select("file", "line_no", "pin_id", "note")
 
 
 @query("pins_merge", f"SELECT CASE WHEN event_id % 20 = 0 THEN 'p' ELSE 'q' END || event_id || '-0' AS id, file, line_no, CASE WHEN event_id % 30 = 0 THEN 'q note 0' ELSE 'p note 0' END AS note FROM {ev()} WHERE event_id % 20 = 0 OR event_id % 30 = 0")
@@ -532,13 +592,13 @@ def pins_sanitize(spark, sf_dir):
 
 @query("pins_locate", f"SELECT 'p' || event_id || '-0' AS id, v.file, v.line_no, position FROM (SELECT file, line_no, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS position FROM {APP} WHERE level IN ('WARN', 'ERROR')) v JOIN {ev()} e ON v.file = e.file AND v.line_no = e.line_no WHERE event_id % 20 = 0")
 def pins_locate(spark, sf_dir):
-    view = filters.apply_filters(app_entries(spark, sf_dir), levels=["WARN", "ERROR"])
+    view = filters.apply_filters(app_entries(spark, sf_dir, False), levels=["WARN", "ERROR"])
     return pins.locate(view, _pins(spark, sf_dir, 20, "p")).withColumn("position", F.col("position").cast("long"))
 
 
 @query("pins_orphaned", f"SELECT 'p' || event_id || '-' || n AS id, file, line_no FROM {ev()}, (SELECT unnest([0, 1]) AS n) WHERE event_id % 20 = 0 AND file IN ('app0.log', 'app4.log')")
 def pins_orphaned(spark, sf_dir):
-    left = app_entries(spark, sf_dir).filter("file NOT IN ('app0.log', 'app4.log')")
+    left = app_entries(spark, sf_dir, False).filter("file NOT IN ('app0.log', 'app4.log')")
     return pins.orphaned(_pins(spark, sf_dir, 20, "p"), left).select("id", "file", "line_no")
 
 
@@ -553,29 +613,29 @@ def pins_add(spark, sf_dir):
 
 @query("report_level_counts", f"SELECT coalesce(level, '(none)') AS level, count(*) AS n FROM {APP} GROUP BY 1")
 def report_level_counts(spark, sf_dir):
-    return reports.level_counts(app_entries(spark, sf_dir))
+    return reports.level_counts(app_entries(spark, sf_dir, False))
 
 
 @query("report_entries_per_minute", f"SELECT replace(left(ts_iso, 16), 'T', ' ') AS minute, count(*) AS n FROM {APP} WHERE ts_iso IS NOT NULL GROUP BY 1")
 def report_entries_per_minute(spark, sf_dir):
-    return reports.entries_per_minute(app_entries(spark, sf_dir))
+    return reports.entries_per_minute(app_entries(spark, sf_dir, False))
 
 
 @query("report_top_messages", f"SELECT message, count(*) AS n FROM {APP} GROUP BY 1 ORDER BY n DESC, message LIMIT 50")
 def report_top_messages(spark, sf_dir):
-    return reports.top_messages(app_entries(spark, sf_dir))
+    return reports.top_messages(app_entries(spark, sf_dir, False))
 
 
 @query("report_entries_per_file", f"SELECT coalesce(file, '(unknown)') AS file, count(*) AS n FROM {APP} GROUP BY 1")
 def report_entries_per_file(spark, sf_dir):
-    return reports.entries_per_file(app_entries(spark, sf_dir))
+    return reports.entries_per_file(app_entries(spark, sf_dir, False))
 
 
 @query("file_inventory", f"SELECT file, greatest(min(user_id) - 5, 0) AS size, CASE WHEN file = 'app7.log' THEN 0 ELSE max(line_no) END AS lines, CASE WHEN file = 'app7.log' THEN 0 ELSE count(*) END AS entries, 'utf-8' AS encoding, CASE WHEN file < 'app4' THEN 'ready' ELSE 'parsing' END AS status FROM {ev()} GROUP BY file")
 def file_inventory(spark, sf_dir):
     files = render.events(spark, sf_dir).groupBy("file").agg((F.min("user_id") - 5).alias("size"), F.lit("utf-8").alias("encoding"))
     files = files.withColumn("status", F.when(F.col("file") < "app4", "ready").otherwise("odd"))
-    return reports.file_inventory(app_entries(spark, sf_dir).filter("file <> 'app7.log'"), files)
+    return reports.file_inventory(app_entries(spark, sf_dir, False).filter("file <> 'app7.log'"), files)
 
 
 def _sql(name: str, text_: str) -> None:
@@ -594,9 +654,10 @@ _sql("sql_semi_anti", "SELECT file, line_no FROM entries e WHERE EXISTS (SELECT
 _sql("sql_rollup", "SELECT file, level, count(*) AS n FROM entries GROUP BY ROLLUP (file, level)")
 
 
-@query("result_capped", f"SELECT level, ts_ms, file, line_no, (SELECT count(*) FROM {APP} WHERE level = 'ERROR') AS total, false AS truncated FROM {APP} WHERE level = 'ERROR'")
+@query("result_capped", f"SELECT level, ts_ms, file, line_no, (SELECT count(*) FROM {APP} WHERE level = 'DEBUG') AS total, (SELECT count(*) FROM {APP} WHERE level = 'DEBUG') > 150 AS truncated FROM {APP} WHERE level = 'DEBUG' ORDER BY file, line_no LIMIT 150")
 def result_capped(spark, sf_dir):
-    shown, total, truncated = reports.capped(app_entries(spark, sf_dir).filter("level = 'ERROR'").select("level", "ts_ms", "file", "line_no"))
+    found = app_entries(spark, sf_dir, False).filter("level = 'DEBUG'").select("level", "ts_ms", "file", "line_no").orderBy("file", "line_no")
+    shown, total, truncated = reports.capped(found, 150)
     return shown.withColumns({"total": F.lit(total).cast("long"), "truncated": F.lit(truncated)})
 
 
@@ -609,7 +670,7 @@ def _cell(c: str) -> str:
 
 @query("export_csv_rows", f"SELECT file, line_no, {' || chr(44) || '.join(_cell(c) for c in export.CSV_COLUMNS)} AS line FROM {APP}")
 def export_csv_rows(spark, sf_dir):
-    return export.csv_rows(app_entries(spark, sf_dir))
+    return export.csv_rows(app_entries(spark, sf_dir, False))
 
 
 def _js(c: str) -> str:
@@ -618,12 +679,12 @@ def _js(c: str) -> str:
 
 @query("export_json_rows", f"""SELECT file, line_no, '{{"ts":' || {_js('ts_iso')} || ',"level":' || {_js('level')} || ',"message":' || {_js('message')} || ',"raw":' || {_js('raw')} || ',"file":' || {_js('file')} || ',"lineNo":' || line_no || '}}' AS line FROM {APP}""")
 def export_json_rows(spark, sf_dir):
-    return export.json_rows(app_entries(spark, sf_dir))
+    return export.json_rows(app_entries(spark, sf_dir, False))
 
 
 def _live(spark, sf_dir) -> DataFrame:
     """Entries with the delivery that brought them: a tenth of a file at a time; the first two are history."""
-    e = app_entries(spark, sf_dir)
+    e = app_entries(spark, sf_dir, False)
     e = e.withColumn("delivery", F.col("line_no") % 10).withColumn("arrival", F.concat(F.lpad(F.col("line_no").cast("string"), 12, "0"), "file"))
     return e.withColumn("live", F.col("delivery") >= 2)
 
@@ -663,11 +724,15 @@ def alert_payloads(spark, sf_dir):
 # ---- streaming
 
 
-@query("stream_dir_ingest", f"SELECT ts_ms, level, message FROM {APP}")
+#: The name of a log whose lines were written below a folder of that name.
+_NAME = "regexp_extract(_metadata.file_path, '/log=([^/]+)/', 1)"
+
+
+@query("stream_dir_ingest", f"SELECT {ENTRY} FROM {APP}")
 def stream_dir_ingest(spark, sf_dir):
     folder, out, check = _files(spark, render.app(spark, sf_dir)), scratch(spark), scratch(spark)
-    follow.follow_dir(spark, f"{folder}/*", out, check).awaitTermination()
-    return spark.read.parquet(out).select("ts_ms", "level", "message")
+    follow.follow_dir(spark, f"{folder}/*", out, check, files_per_batch=3, name=F.expr(_NAME)).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
 
 
 def _segments(spark, sf_dir) -> DataFrame:
@@ -678,7 +743,7 @@ def _segments(spark, sf_dir) -> DataFrame:
 
 @query("segment_line_numbers", f"SELECT file, line_no, raw AS line FROM {APP}")
 def segment_line_numbers(spark, sf_dir):
-    return alerts.segment_line_numbers(_segments(spark, sf_dir))
+    return alerts.segment_line_numbers(_segments(spark, sf_dir)).drop("epoch")
 
 
 @query("stream_segments", f"SELECT file, max(line_no) AS lines, count(DISTINCT line_no) AS numbers FROM {APP} GROUP BY file")
@@ -691,14 +756,33 @@ def stream_segments(spark, sf_dir):
     for half in (0, 1):
         rows.filter(F.col("segment").endswith(f".{half}")).write.partitionBy("segment").text(f"{folder}/{half}")
     stream = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 8).text(f"{folder}/*/*")
-    named = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    named = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value")
     follow.write_segments(named, out, offsets, check).awaitTermination()
     return spark.read.parquet(out).groupBy("file").agg(F.max("line_no").alias("lines"), F.countDistinct("line_no").alias("numbers"))
 
 
+_TURNS = f"(SELECT *, (line_no - 1) // 40 AS n, (line_no - 1) // 120 AS epoch FROM {APP})"
+
+
+@query("stream_rotation", f"SELECT file, epoch, line_no - epoch * 120 AS line_no, raw AS line FROM {_TURNS} QUALIFY epoch = max(epoch) OVER (PARTITION BY file)")
+def stream_rotation(spark, sf_dir):
+    """Segments of 40 lines, and a log that is rotated with each third: sizes grow from 40 to 120 and fall to 40 again."""
+    folder, out, offsets, check = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
+    named = _segments(spark, sf_dir)
+    n = F.regexp_extract("segment", r"\.(\d+)\z", 1).cast("long")
+    # a rotation is a size that is less than the one before; the poll after it reads the new file from its begin
+    seen = named.select(F.regexp_extract("segment", r"^(.*)\.\d+\z", 1).alias("file"), n.alias("n")).distinct()
+    grown = seen.select("file", F.col("n").alias("poll_no"), (F.col("n") % 3 * 40 + 40).alias("size"))
+    named.repartition("segment").sortWithinPartitions("segment", "line_no").select("segment", "line").write.partitionBy("segment").text(folder)
+    stream = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 10_000).text(f"{folder}/*")
+    rows = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value")
+    follow.write_segments(rows, out, offsets, check, grown).awaitTermination()
+    return alerts.latest_epoch(spark.read.parquet(out).drop("batch")).select("file", "epoch", "line_no", "line")
+
+
 @query("latest_epoch", f"SELECT file, line_no FROM {APP} WHERE line_no % 3 = CASE WHEN file = 'app0.log' THEN 1 ELSE 2 END")
 def latest_epoch(spark, sf_dir):
-    e = app_entries(spark, sf_dir).withColumn("epoch", F.col("line_no") % 3).filter("NOT (file = 'app0.log' AND epoch = 2)")
+    e = app_entries(spark, sf_dir, False).withColumn("epoch", F.col("line_no") % 3).filter("NOT (file = 'app0.log' AND epoch = 2)")
     return alerts.latest_epoch(e).select("file", "line_no")
 
 
@@ -723,24 +807,22 @@ def poll_classify(spark, sf_dir):
     return alerts.poll_classify(e.select("file", F.col("line_no").alias("poll_no"), size.alias("size")))
 
 
-def _app_stream(spark, sf_dir) -> DataFrame:
-    folder = _files(spark, render.app(spark, sf_dir))
-    rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 2).text(f"{folder}/*")
-    rows = rows.select(F.regexp_extract("_metadata.file_path", "/log=([^/]+)/", 1).alias("file"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line"))
-    return parsers.parse_pattern(rows)
-
-
-@query("alert_sink")
+@query("alert_sink", f"SELECT file AS f, level, message FROM {APP} WHERE level = 'FATAL'")
 def alert_sink(spark, sf_dir):
-    """Payloads of a followed folder, written batch by batch."""
+    """Payloads of a followed folder, written batch by batch, and what is in them."""
     out = scratch(spark)
+    rows = follow.stream_rows(spark, f"{_files(spark, render.app(spark, sf_dir))}/*", 2, F.expr(_NAME))
+    entries = parsers.parse_pattern(rows.select("file", F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line")))
     sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/of={batch}")
-    follow.alert_sink(_app_stream(spark, sf_dir), sink, scratch(spark), "http://host/hook", levels=["ERROR", "FATAL"]).awaitTermination()
-    return spark.read.parquet(out).select("delivery", "batch", F.length("payload").alias("chars"))
+    follow.alert_sink(entries, sink, scratch(spark), "http://host/hook", levels=["FATAL"], history=0).awaitTermination()
+    item = F.explode(F.from_json("payload", "entries array<struct<file:string,level:string,message:string>>")["entries"])
+    return spark.read.parquet(out).select(item.alias("i")).select(F.col("i.file").alias("f"), "i.level", "i.message")
 
 
-@query("stream_progress", "SELECT count(*) AS rows FROM events")
+@query("stream_progress", f"SELECT count(*) AS lines, count(*) AS entries, sum(strlen(raw) + 1)::BIGINT AS bytes, 0.5::DOUBLE AS fraction FROM {APP}")
 def stream_progress(spark, sf_dir):
-    q = _app_stream(spark, sf_dir).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(scratch(spark))
-    q.awaitTermination()
-    return spark.createDataFrame([(p["batch"], p["rows"]) for p in follow.progress(q)], "batch long, rows long").agg(F.sum("rows").alias("rows"))
+    """What a query has read of twice as many bytes."""
+    lines, progress = render.app(spark, sf_dir), scratch(spark)
+    follow.follow_dir(spark, f"{_files(spark, lines)}/*", scratch(spark), scratch(spark), files_per_batch=2, progress=progress).awaitTermination()
+    total = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0]
+    return follow.progress_of(spark, progress, 2 * total).select("lines", "entries", "bytes", "fraction")

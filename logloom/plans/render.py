@@ -17,11 +17,22 @@ def message() -> Column:
     return F.concat(F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"), F.lit(" value="), F.floor("value").cast("string"))
 
 
+#: Lines of a rendered file: the number of files grows with the table.
+EACH = 1000
+
+
+def placed(df: DataFrame, key: str, prefix: str, suffix: str, files: int) -> DataFrame:
+    """Rows of consecutive keys (from 0) with the file and the line that each is written to: dealt in turn to so many files until
+    each has ``EACH`` lines, then to as many new ones."""
+    k = F.col(key)
+    number = k % files + files * F.floor(k / (files * EACH))
+    return df.withColumn("file", F.concat(F.lit(prefix), number.cast("string"), F.lit(f".{suffix}"))).withColumn("line_no", (F.floor((k % (files * EACH)) / files) + 1).cast("long"))
+
+
 def events(spark: SparkSession, sf_dir: str, prefix: str = "app", suffix: str = "log", files: int = 8) -> DataFrame:
     """The events with the file and the line that each is written to."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    df = df.withColumn("file", F.concat(F.lit(prefix), (F.col("event_id") % files).cast("string"), F.lit(f".{suffix}")))
-    return df.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("event_id")).cast("long"))
+    return placed(df, "event_id", prefix, suffix, files)
 
 
 def lines(df: DataFrame, line: Column) -> DataFrame:
@@ -49,12 +60,22 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(events(spark, sf_dir, "ep"), F.concat(stamp, F.lit(" "), token(), F.lit(": "), message()))
 
 
+#: Events of a syslog file, and the hours between two of them: two years and a quarter, so that the year has to be inferred twice.
+SYSLOG_EACH, SYSLOG_HOURS = 2000, 10
+
+
 def syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event for each day of two years and a half, so that the year has to be inferred twice."""
-    df = events(spark, sf_dir, "sys", files=4).filter("line_no <= 900")
-    day = F.expr("timestamp'2023-07-01 06:00:00' + make_interval(0, 0, 0, cast(line_no AS int))")
-    # the last days of each February are left out: leap days have no place in a date without a year
-    return lines(df.withColumn("day", day).filter("date_format(day, 'MM-dd') NOT IN ('02-28', '02-29', '03-01')"), F.concat(F.date_format("day", "MMM dd HH:mm:ss"), F.lit(" host app["), F.col("user_id").cast("string"), F.lit("]: "), F.col("event_type")))
+    """Dates without a year over two years and a quarter in each file, a leap day among them.
+
+    In every other file the clock jumps five days ahead in line 1501, which the rule of 48 hours takes for a step back by a year.
+    """
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    number, at = F.floor(k / SYSLOG_EACH), k % SYSLOG_EACH
+    jump = F.when((number % 2 == 1) & (at >= 1500), 120).otherwise(0)
+    day = F.timestamp_millis(F.unix_millis(F.expr("timestamp'2023-07-01 06:00:00'")) + (at * SYSLOG_HOURS + jump) * 3_600_000)
+    df = df.withColumn("file", F.concat(F.lit("sys"), number.cast("string"), F.lit(".log"))).withColumn("line_no", (at + 1).cast("long")).withColumn("day", day)
+    return lines(df, F.concat(F.date_format("day", "MMM dd HH:mm:ss"), F.lit(" host app["), F.col("user_id").cast("string"), F.lit("]: "), F.col("event_type")))
 
 
 def json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +120,7 @@ def w3c(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tab-separated lines."""
     df = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
-    df = df.withColumn("file", F.concat(F.lit("orders"), (F.col("o_orderkey") % 2).cast("string"), F.lit(".txt"))).withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("o_orderkey")).cast("long"))
+    df = placed(df, "o_orderkey", "orders", "txt", 2)
     level = F.when(F.col("o_orderstatus") == "O", "info").when(F.col("o_orderstatus") == "F", "Error").otherwise("?")
     return lines(df, F.concat_ws("\t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "o_orderpriority", F.col("o_orderkey").cast("string")))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import codecs
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+
 SUFFIXES = ("log", "txt", "out", "json", "csv", "gc", "yml", "xml")
 #: Fixed value: archives are read up to this many members.
 MEMBERS = 200
@@ -26,21 +29,38 @@ def _tidy(line):
     return F.regexp_replace(line, "\r\\z", "")
 
 
-def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, path, line_no and line of UTF-8 files, numbered per file however many tasks read it.
+def number_rows(rows: DataFrame, key: str = "path", blank: bool = True) -> DataFrame:
+    """Number the lines of text rows (key, block, value, and others): line_no, seq and line in place of block and value.
 
     Rows of a block of a file come in order, so that a line's number is its place in the block plus the lines of the blocks
-    before; only one count for each block is accumulated.
+    before.  One pass counts each block's lines, and those that become entries (not empty; with ``blank`` false, more than white space); only
+    those counts are accumulated, and nothing is shuffled but them.
     """
-    rows = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
-    )
-    blocks = rows.groupBy(F.col("path").alias("p"), F.col("block").alias("b")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("p").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("p", "b", "first", before.alias("before"))
-    numbered = rows.join(starts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
     line = _tidy(F.col("value"))
-    return numbered.select("file", "path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), line.alias("line")).filter("line <> ''")
+    counts = (line != "") if blank else ~is_blank(line)
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    each = rows.groupBy(F.col(key).alias("__k"), F.col("block").alias("__b")).agg(F.count("*").alias("n"), F.count_if(counts).alias("e"), F.min("__id").alias("first"))
+    of_file = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    # a task's rows are counted on over the blocks that it reads, in the order in which it reads them
+    task = F.shiftright("first", 33)
+    of_task = W.partitionBy(task).orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = each.select(
+        "__k", "__b", (F.coalesce(F.sum("n").over(of_file), zero) - F.col("first")).alias("__lines"),
+        (F.coalesce(F.sum("e").over(of_file), zero) - F.shiftleft(task, 33) - F.coalesce(F.sum("e").over(of_task), zero)).alias("__entries"),
+    )
+    kept = rows.filter(counts).withColumn("__e", F.monotonically_increasing_id())
+    numbered = kept.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("block").eqNullSafe(F.col("__b")))
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("block", "value", "__id")]
+    return numbered.select(*others, (F.col("__lines") + F.col("__id") + 1).alias("line_no"), (F.col("__entries") + F.col("__e")).alias("seq"), line.alias("line"))
+
+
+def read_log_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, blank: bool = True) -> DataFrame:
+    """file, path, line_no, seq and line of UTF-8 files, numbered per file however many tasks read it; see :func:`number_rows`."""
+    reader = spark.read.option("lineSep", "\n")
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return number_rows(rows, "path", blank)
 
 
 def accepted(name):
@@ -48,9 +68,13 @@ def accepted(name):
     return F.lower(name).rlike(r"\.(" + "|".join(SUFFIXES) + r")\z")
 
 
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
 def read_log_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """The logs of a folder's top level."""
-    return read_log_lines(spark, folder).filter(accepted(F.col("file")))
+    """The logs of a folder's top level; files with other names are not read."""
+    return read_log_lines(spark, folder, "*.{" + ",".join(map(_any_case, SUFFIXES)) + "}")
 
 
 def lines_from_column(df: DataFrame, text_col: str, file: str | object) -> DataFrame:
@@ -60,25 +84,48 @@ def lines_from_column(df: DataFrame, text_col: str, file: str | object) -> DataF
     return rows.select("file", (F.col("pos") + 1).cast("long").alias("line_no"), _tidy(F.col("line")).alias("line")).filter("line <> ''")
 
 
-def merge_files(*parts: DataFrame, ready: list[str] | None = None) -> DataFrame:
-    """Entries of several sources in one table; with ``ready``, those of the named files alone."""
+def merge_files(*parts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Entries of several sources in one table; with ``files`` (file, status), those of the files that are ready alone."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.filter(F.col("file").isin(*ready)) if ready is not None else out
+    return out if files is None else out.join(files.filter("status = 'ready'").select("file").distinct(), "file", "left_semi").select(*out.columns)
+
+
+#: What a reader may choose; "auto" decides by the bytes.
+ENCODINGS = ("auto", "utf-8", "utf-16le", "utf-16be", "windows-1252")
+#: Bytes whose zeros are counted, and the least number of them; a side is UTF-16's high bytes if a quarter of all bytes are
+#: zeros of that side, and more than this many times those of the other side and this many besides.
+ZEROS, FEWEST, TIMES, BESIDES = 1024, 8, 4, 2
+
+
+def _utf16_by_zeros(sample: bytes) -> str | None:
+    """Text in ASCII letters as UTF-16 has a zero in each pair of bytes, always on the same side."""
+    head = sample[:ZEROS]
+    zeros = [sum(b == 0 for b in head[side::2]) for side in (0, 1)]
+    for side, label in ((1, "utf-16le"), (0, "utf-16be")):
+        if len(head) >= FEWEST and 4 * zeros[side] >= len(head) and zeros[side] > TIMES * zeros[1 - side] + BESIDES:
+            return label
+    return None
 
 
-def decide_encoding(sample: bytes, whole: bool) -> tuple[str, int]:
-    """Encoding and size of the byte order mark of a file that begins with ``sample``."""
+def decide_encoding(sample: bytes, whole: bool, encoding: str = "auto") -> tuple[str, int]:
+    """Encoding and size of the byte order mark of a file that begins with ``sample``.
+
+    A chosen ``encoding`` always counts; a mark is then skipped only if it is that encoding's own.
+    """
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding: {encoding}")
+    marked, size = None, 0
     for mark, label in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")):
         if sample.startswith(mark):
-            return label, len(mark)
-    head = sample[:1024]
-    even, odd = head[0::2].count(0), head[1::2].count(0)
-    if len(head) >= 8 and odd >= len(head) / 4 and odd > 4 * even + 2:
-        return "utf-16le", 0
-    if len(head) >= 8 and even >= len(head) / 4 and even > 4 * odd + 2:
-        return "utf-16be", 0
+            marked, size = label, len(mark)
+    if encoding != "auto":
+        return encoding, size if marked == encoding else 0
+    if marked:
+        return marked, size
+    if found := _utf16_by_zeros(sample):
+        return found, 0
     try:  # a character that the sample cuts in two is no mistake
         codecs.getincrementaldecoder("utf-8")().decode(sample, final=whole)
         return "utf-8", 0
@@ -94,27 +141,32 @@ def decode(data: bytes, label: str) -> str:
     return "".join(_CP1252[b] for b in data) if label == "windows-1252" else data.decode({"utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}.get(label, label), "replace")
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            content = bytes(content)
-            label, mark = decide_encoding(content[:SAMPLE], len(content) <= SAMPLE)
-            lines = decode(content[mark:], label).split("\n")
-            for at in range(0, len(lines), 50_000):
-                own = lines[at : at + 50_000]
-                yield pd.DataFrame({"path": path, "encoding": label, "bom_len": mark, "line_no": range(at + 1, at + 1 + len(own)), "line": [x.removesuffix("\r") for x in own]})
+def _decoded(encoding: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                content = bytes(content)
+                label, mark = decide_encoding(content[:SAMPLE], len(content) <= SAMPLE, encoding)
+                lines = decode(content[mark:], label).split("\n")
+                for at in range(0, len(lines), 50_000):
+                    own = lines[at : at + 50_000]
+                    yield pd.DataFrame({"path": path, "encoding": label, "bom_len": mark, "line_no": range(at + 1, at + 1 + len(own)), "line": [x.removesuffix("\r") for x in own]})
+
+    return work
 
 
 DECODED = "path string, encoding string, bom_len int, line_no long, line string"
 
 
-def decode_logs(files: DataFrame) -> DataFrame:
-    """Lines of files given as (path, content), each in its own encoding."""
-    return files.select("path", "content").mapInPandas(_decoded, DECODED).filter("line <> ''")
+def decode_logs(files: DataFrame, encoding: str = "auto") -> DataFrame:
+    """Lines of files given as (path, content), each in its own encoding, or all in the one that is chosen."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding: {encoding}")
+    return files.select("path", "content").mapInPandas(_decoded(encoding), DECODED).filter("line <> ''")
 
 
-def read_encoded_logs(spark: SparkSession, path: str) -> DataFrame:
-    return decode_logs(spark.read.format("binaryFile").load(path))
+def read_encoded_logs(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+    return decode_logs(spark.read.format("binaryFile").load(path), encoding)
 
 
 def encoding_census(files: DataFrame) -> DataFrame:
@@ -122,23 +174,44 @@ def encoding_census(files: DataFrame) -> DataFrame:
     return decode_logs(files).groupBy("encoding").agg(F.countDistinct("path").alias("files"), F.count("*").alias("lines"))
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                    for info in [x for x in archive.infolist() if not x.is_dir()][:MEMBERS]:
-                        data = archive.read(info)
+def _members(most: int):
+    def error(path: str, name: str | None, what: str) -> pd.DataFrame:
+        return pd.DataFrame({"path": [path], "file": [name], "line_no": [0], "line": [None], "error": [what]})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                except (zipfile.BadZipFile, ValueError, OSError, EOFError) as e:
+                    yield error(path, None, str(e))
+                    continue
+                with archive:
+                    for i, info in enumerate(x for x in archive.infolist() if not x.is_dir()):
+                        if i >= most:
+                            yield error(path, info.filename, f"beyond the first {most} members")
+                            continue
+                        try:
+                            data = archive.read(info)
+                        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError, OSError, EOFError) as e:
+                            yield error(path, info.filename, str(e) or type(e).__name__)
+                            continue
                         label, mark = decide_encoding(data[:SAMPLE], len(data) <= SAMPLE)
                         lines = decode(data[mark:], label).split("\n")
-                        yield pd.DataFrame({"path": path, "file": info.filename, "line_no": range(1, 1 + len(lines)), "line": [x.removesuffix("\r") for x in lines], "error": None})
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-                yield pd.DataFrame({"path": [path], "file": [None], "line_no": [0], "line": [None], "error": [str(e)]})
+                        for at in range(0, len(lines), 50_000):
+                            own = lines[at : at + 50_000]
+                            yield pd.DataFrame({"path": path, "file": info.filename, "line_no": range(at + 1, at + 1 + len(own)), "line": [x.removesuffix("\r") for x in own], "error": None})
 
+    return work
 
-def zip_members(files: DataFrame) -> DataFrame:
-    """Lines of the members of zip archives given as (path, content); an archive that can't be read gives one row with its error."""
-    rows = files.select("path", "content").mapInPandas(_members, "path string, file string, line_no long, line string, error string")
+
+def zip_members(files: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """Lines of the members of zip archives given as (path, content).
+
+    An archive that can't be read gives one row with its error, as does each member that can't be, and each beyond the first
+    ``most``; all other members are read.
+    """
+    rows = files.select("path", "content").mapInPandas(_members(most), "path string, file string, line_no long, line string, error string")
     return rows.filter("line <> '' OR error IS NOT NULL")
 
 

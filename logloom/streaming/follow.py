@@ -1,75 +1,107 @@
-"""Following folders: new files, growth that arrives in segments, alerts for what is new."""
+"""Following folders: new files, growth that arrives in segments, rotation, alerts for what is new.
+
+Every query stops when it has read what is there, or, given ``every``, looks again each time so long has passed until it is
+stopped.  Each micro-batch writes folders of its own, named by its id, so that a batch that runs again overwrites what it wrote.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators import alerts
+from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
-from ..sources.lines import accepted
+from ..sources.lines import accepted, number_rows
+
+#: How often the one who follows looks, if it doesn't stop.
+EVERY = "1 second"
+
+
+def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Lines of a folder's logs as they come: file and line."""
+def stream_rows(spark: SparkSession, folder: str, files_per_batch: int = 100, name: Column | None = None) -> DataFrame:
+    """Text rows of a folder's logs as they come: file (``name`` of the file's metadata), path, block and value."""
     rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\\z", "").alias("line"))
-    return rows.filter(accepted(F.col("file")) & (F.col("line") != ""))
+    file = name if name is not None else F.col("_metadata.file_name")
+    rows = rows.filter(accepted(F.col("_metadata.file_name")))
+    return rows.select(file.alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def follow_dir(spark: SparkSession, folder: str, out: str, checkpoint: str, template: str = DEFAULT_TEMPLATE, files_per_batch: int = 100) -> StreamingQuery:
-    """Parse what is there and what comes into the Parquet table ``out``, then stop."""
-    lines = stream_lines(spark, folder, files_per_batch).withColumn("line_no", F.lit(None).cast("long"))
-    return parse_pattern(lines, template).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+def follow_dir(spark: SparkSession, folder: str, out: str, checkpoint: str, template: str = DEFAULT_TEMPLATE, files_per_batch: int = 100, every: str | None = None, name: Column | None = None, progress: str | None = None) -> StreamingQuery:
+    """Parse the logs that are there and that come into the Parquet table ``out``, with line and sequence numbers.
 
+    A file is read once, as a whole, so its numbers are those of its batch.  ``progress`` is a folder for what each batch
+    has read: see :func:`progress_of`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parse_pattern(number_rows(batch), template).select(*COLUMNS).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if progress:
+            read = batch.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
+            entries = batch.sparkSession.read.schema("seq long").parquet(f"{out}/batch={batch_id}").agg(F.count("*").alias("entries"))
+            read.join(F.broadcast(entries)).write.mode("overwrite").parquet(f"{progress}/batch={batch_id}")  # a row each
 
-def follow_segments(spark: SparkSession, folder: str, out: str, offsets: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
+    return _start(stream_rows(spark, folder, files_per_batch, name).writeStream.foreachBatch(write), checkpoint, every)
+
+
+def progress_of(spark: SparkSession, progress: str, total_bytes: int | None = None) -> DataFrame:
+    """What a query has read, all batches together: batches, lines, entries, bytes and, of a known total, the fraction."""
+    read = spark.read.schema("lines long, bytes long, entries long").parquet(f"{progress}/batch=*")
+    sums = read.agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in ("lines", "entries", "bytes")])
+    fraction = F.least(F.lit(1.0), F.col("bytes") / total_bytes) if total_bytes else F.lit(None).cast("double")
+    return sums.withColumn("fraction", fraction)
+
+
+def follow_segments(spark: SparkSession, folder: str, out: str, offsets: str, checkpoint: str, files_per_batch: int = 1, polls: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
     """Growth that arrives as segments "name.N": see :func:`write_segments`."""
     rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    rows = rows.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("line"))
-    return write_segments(rows, out, offsets, checkpoint)
+    return write_segments(rows.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value"), out, offsets, checkpoint, polls, every)
 
 
-def write_segments(rows: DataFrame, out: str, offsets: str, checkpoint: str) -> StreamingQuery:
-    """Number the lines of (segment, block, line) through all segments of a name, and write them.
+def write_segments(rows: DataFrame, out: str, offsets: str, checkpoint: str, polls: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
+    """Number the lines of (segment, block, value) through all segments of a name, and write them with their epoch.
 
     Each batch is numbered from the offsets that the batch before has left, and writes its own; both are kept by
-    batch id, so that a batch that runs again overwrites what it wrote.
+    batch id.  ``polls`` (file, poll_no, size) are the sizes that were seen, by which a rotation begins a new
+    epoch (:func:`logloom.operators.alerts.epochs`); the view of a rotated file is its last one
+    (:func:`logloom.operators.alerts.latest_epoch`).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.row_number().over(W.partitionBy("segment").orderBy("block", "id"))
-        numbered = alerts.segment_line_numbers(batch.withColumn("id", F.monotonically_increasing_id()).withColumn("line_no", at).select("segment", F.col("line_no").cast("long"), "line"))
+        # empty lines count, so they are numbered here and left out by the parsers
+        lines = number_rows(batch.withColumn("value", F.concat(F.lit("."), "value")), "segment").withColumn("line", F.substr("line", F.lit(2)))
+        numbered = alerts.segment_line_numbers(lines.select("segment", "line_no", "line"), polls)
+        spark = batch.sparkSession
         if batch_id:
-            before = batch.sparkSession.read.parquet(f"{offsets}/batch={batch_id - 1}")
-            numbered = numbered.join(before, "file", "left").withColumn("line_no", F.col("line_no") + F.coalesce("lines", F.lit(0))).drop("lines")
+            before = spark.read.parquet(f"{offsets}/batch={batch_id - 1}")
+            numbered = numbered.join(before, ["file", "epoch"], "left").withColumn("line_no", F.col("line_no") + F.coalesce("lines", F.lit(0))).drop("lines")
         numbered.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        now = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}").groupBy("file").agg(F.max("line_no").alias("lines"))
+        now = spark.read.parquet(f"{out}/batch={batch_id}").groupBy("file", "epoch").agg(F.max("line_no").alias("lines"))
         if batch_id:
-            now = now.unionByName(batch.sparkSession.read.parquet(f"{offsets}/batch={batch_id - 1}")).groupBy("file").agg(F.max("lines").alias("lines"))
+            now = now.unionByName(spark.read.parquet(f"{offsets}/batch={batch_id - 1}")).groupBy("file", "epoch").agg(F.max("lines").alias("lines"))
         now.write.mode("overwrite").parquet(f"{offsets}/batch={batch_id}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(rows.writeStream.foreachBatch(write), checkpoint, every)
 
 
-def alert_sink(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, url: str, text: str = "", levels: list[str] | None = None, file: str = "", history: int = 1) -> StreamingQuery:
+def alert_sink(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, url: str, text: str = "", levels: list[str] | None = None, file: str = "", history: int = 1, most: int = alerts.BACKLOG, every: str | None = None) -> StreamingQuery:
     """Payloads of new entries, batch by batch; the first ``history`` batches are what was there before and never alert.
 
-    ``sink`` gets (batch, payload) and the id of the batch.
+    ``sink`` gets (delivery, batch, payload) and the id of the batch.  Of a batch the latest ``most`` matches alert.  With ``every``
+    (:data:`EVERY` for what is usual) a delivery goes out each time so long has passed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         live = batch.withColumn("live", F.lit(batch_id >= history)).withColumn("delivery", F.lit(batch_id)).withColumn("arrival", F.monotonically_increasing_id())
-        matched = alerts.backlog(alerts.alert_matches(live, url, text, levels, file))
+        # one delivery: the latest of each task, then of those
+        matched = alerts.alert_matches(live, url, text, levels, file).orderBy(F.desc("arrival")).limit(most)
         sink(alerts.payload_json(alerts.alert_batches(matched)).select("delivery", "batch", "payload"), batch_id)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def progress(query: StreamingQuery) -> list[dict]:
-    """Batches of a query with the rows that each has read."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
+    return _start(stream.writeStream.foreachBatch(write), checkpoint, every)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import detect, filters, parsers, pins, reports, rules
-from logloom.operators.entries import running_sum, with_seq
+from logloom.operators.entries import number_lines, running_sum, with_seq
 from logloom.sources import lines as sources
 
 
@@ -62,12 +62,74 @@ def test_syslog_years(spark):
     assert [t and t[:10] for (t,) in rows(got, "ts_iso")] == ["2025-12-30", "2025-12-31", "2026-01-01", "2025-12-31", None]
 
 
+def test_log4j_gives_up_on_what_never_closes(spark):
+    """More than so many characters without an end are cut into raw entries; shorter events around them stay whole."""
+    body = '<log4j:event timestamp="1" level="INFO"><log4j:message>a</log4j:message></log4j:event>\n' + "\n".join(f"noise {i:04}" for i in range(100))
+    got = parsers.parse_log4j_xml(lines(spark, x_xml=body, y_xml="<log4j:event level=\"WARN\"/>\nshort"), idle=200)
+    out = {f: rows(got.filter(F.col("file") == f), "level", "message", "line_no") for f in ("x.xml", "y.xml")}
+    assert out["y.xml"] == [("WARN", "", 1), (None, "short", 2)]
+    first, *raw = out["x.xml"]
+    assert first == ("INFO", "a", 1) and all(level is None and len(m) <= 220 for level, m, _ in raw) and len(raw) >= 5
+    assert "\n".join(m.strip("\n") for _, m, _ in raw).split("\n") == body.split("\n")[1:] and raw[-1][2] == 101
+
+
+def test_syslog_years_over_blocks(spark):
+    """Dates of several years, lines without a date between them, in blocks of a few lines: as one after the other."""
+    import datetime
+
+    from logloom.operators.entries import running_last
+
+    stamps = [datetime.datetime(2022, 11, 1, 7) + datetime.timedelta(hours=20 * i) for i in range(1000)]
+    body = "\n".join("no date" if i % 5 == 0 and i else f"{t:%b} {t.day:>2} {t:%H:%M:%S} m" for i, t in enumerate(stamps))
+    got = parsers.parse_syslog_lines(lines(spark, s_log=body), 2022)
+    assert [t and t[:19] for (t,) in rows(got, "ts_iso")] == [None if i % 5 == 0 and i else t.isoformat() for i, t in enumerate(stamps)]
+    df = spark.range(100).select(F.lit("f").alias("file"), (F.col("id") + 1).alias("line_no"), F.when(F.col("id") % 23 == 4, F.col("id")).alias("v"))
+    out = running_last(df, "v", "p", block=7).orderBy("line_no").collect()
+    assert [r.p for r in out] == [max((j for j in range(i) if j % 23 == 4), default=None) for i in range(100)]
+
+
 def test_running_sum_over_blocks(spark):
     df = spark.range(100).select(F.lit("f").alias("file"), (F.col("id") + 1).alias("line_no"), (F.col("id") % 3).alias("v"))
     got = running_sum(df, "v", "s", block=7).orderBy("line_no").collect()
     assert [r.s for r in got] == [sum(i % 3 for i in range(k)) for k in range(100)]
 
 
+def test_archives_with_broken_members(spark):
+    """A member that can't be inflated, and those beyond the limit, give an error row each; all others are read."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(5):
+            z.writestr(f"m{i}.log", f"line of {i}\n" * 50)
+    data = bytearray(out.getvalue())
+    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+        at = z.infolist()[1].header_offset + 30 + len("m1.log")
+    data[at : at + 6] = b"\xff" * 6
+    got = sources.zip_members(spark.createDataFrame([("z", data), ("bad", bytearray(b"PK"))], "path string, content binary"), most=4).collect()
+    assert {r.file for r in got if r.error is None} == {"m0.log", "m2.log", "m3.log"} and sum(r.file == "m0.log" for r in got) == 50
+    assert sorted((r.path, r.file or "") for r in got if r.error is not None) == [("bad", ""), ("z", "m1.log"), ("z", "m4.log")]
+
+
+def test_numbers_hold_over_files_and_blocks(spark, tmp_path):
+    """Several files in one task, several blocks of a file in another; blank lines, and files that end without a line feed."""
+    bodies = {}
+    for f in range(7):
+        bodies[f"f{f}.log"] = "\n".join("" if (i + f) % 6 == 0 else "  " if (i + f) % 11 == 0 else f"{f} {i}" for i in range(f * 300 + 1))
+        (tmp_path / f"f{f}.log").write_text(bodies[f"f{f}.log"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("700", "4000", "100000"):
+        for conf, v in (("spark.sql.files.maxPartitionBytes", size), ("spark.sql.files.openCostInBytes", "100")):
+            spark.conf.set(conf, v)
+        for blank in (True, False):
+            got = sorted((r.file, r.line_no, r.seq, r.line) for r in sources.read_log_lines(spark, str(tmp_path), blank=blank).collect())
+            want = []
+            for f, body in bodies.items():
+                kept = [(i, x) for i, x in enumerate(body.split("\n"), 1) if (x if blank else x.strip())]
+                want += [(f, i, k, x) for k, (i, x) in enumerate(kept)]
+            assert got == sorted(want)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_files_in_blocks_and_encodings(spark, tmp_path):
     os.makedirs(tmp_path / "logs")
     body = "".join(f"line {i}{chr(13) if i % 5 == 0 else ''}\n" + ("\n" if i % 7 == 0 else "") for i in range(5000))
@@ -80,6 +142,7 @@ def test_files_in_blocks_and_encodings(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.line_no, r.line) for r in got] == [(i, x.removesuffix("\r")) for i, x in enumerate(body.split("\n"), 1) if x] and {r.file for r in got} == {"big.log"}
+    assert [r.seq for r in got] == list(range(len(got)))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("d/", "")
@@ -87,20 +150,34 @@ def test_files_in_blocks_and_encodings(spark, tmp_path):
     files = [("a", "é€\nx".encode("cp1252")), ("b", b"\xff\xfe" + "é\nx".encode("utf-16-le")), ("c", "plain text\nx".encode("utf-16-be")), ("d", b"\xef\xbb\xbf" + "é\n".encode()), ("e", b"ascii"), ("f", b"")]
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in files], "path string, content binary")
     assert {(r.path, r.encoding, r.line_no, r.line) for r in sources.decode_logs(df).collect()} == {("a", "windows-1252", 1, "é€"), ("a", "windows-1252", 2, "x"), ("b", "utf-16le", 1, "é"), ("b", "utf-16le", 2, "x"), ("c", "utf-16be", 1, "plain text"), ("c", "utf-16be", 2, "x"), ("d", "utf-8", 1, "é"), ("e", "utf-8", 1, "ascii")}
+    marked = spark.createDataFrame([("m", bytearray(b"\xef\xbb\xbf" + "é".encode("cp1252"))), ("n", bytearray(b"\xff\xfea\0"))], "path string, content binary")
+    assert {(r.path, r.line, r.bom_len) for r in sources.decode_logs(marked, "windows-1252").collect()} == {("m", "ï»¿é", 0), ("n", "ÿþa\0", 0)}
+    assert {(r.path, r.line, r.bom_len) for r in sources.decode_logs(marked, "utf-16le").filter("path = 'n'").collect()} == {("n", "a", 2)}
+    with pytest.raises(ValueError):
+        sources.decode_logs(marked, "latin-9")
     df = spark.createDataFrame([("z", bytearray(out.getvalue())), ("bad", bytearray(b"PK"))], "path string, content binary")
     got = sources.zip_members(df).collect()
     assert [(r.file, r.line_no, r.line) for r in got if r.path == "z"] == [("d/a.log", 1, "é"), ("d/a.log", 2, "b"), ("d/a.log", 4, "c")] and [r.error is not None for r in got if r.path == "bad"] == [True]
 
 
-def test_rules_by_join_equal_rules_by_expression(spark, monkeypatch):
-    e = with_seq(parsers.parse_pattern(lines(spark, app_log=APP)))
-    some = [(0, "a", "CONFIG", [], "", "#111111"), (1, "b", "", ["ERROR"], "app", "#222222"), (2, "c", "%", [], "", "#333333"), (3, "d", "", [], "", "#444444")]
-    schema = "priority int, id string, text string, levels array<string>, file string, color string"
-    few = spark.createDataFrame(some, schema)
-    many = spark.createDataFrame(some + [(9 + i, f"z{i}", "nowhere", [], "", "#555555") for i in range(100)], schema)
-    assert rows(rules.classify(e, few), "rule_id") == rows(rules.classify(e, many), "rule_id") == [("a",), ("d",), ("b",), ("d",)]
-    assert {r.rule_id: (r.matched, r.won) for r in rules.hit_counts(e, few).collect()} == {"a": (1, 1), "b": (1, 1), "c": (0, 0), "d": (4, 2)}
-    assert {r.rule_id: (r.matched, r.won) for r in rules.hit_counts(e, many).filter("won > 0").collect()} == {"a": (1, 1), "b": (1, 1), "d": (4, 2)}
+RULES = "priority int, id string, text string, levels array<string>, file string, color string"
+
+
+def test_rules_of_any_number_behave_alike(spark):
+    """Few rules and hundreds; entries without a file or a line number; equal priorities go by id."""
+    e = with_seq(parsers.parse_pattern(number_lines(lines(spark, app_log=APP))))
+    e = e.unionByName(e.withColumns({"file": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long")}))
+    some = [(0, "a", "CONFIG", [], "", "#111111"), (1, "b", "", ["ERROR"], "app", "#222222"), (2, "c", "%", [], "", "#333333"), (3, "e", "", [], "", "#555555"), (3, "d", "", [], "", "#444444")]
+    more = [(1, f"z{i}", "nowhere", [], "", "#666666") for i in range(300)]
+    for own in (some, some[::-1] + more):
+        table = spark.createDataFrame(own, RULES)
+        got = rules.classify(e, table).orderBy(F.col("file").desc_nulls_last(), "seq").collect()
+        assert [r.rule_id for r in got] == ["a", "d", "b", "d", "a", "d", "d", "d"] and got[1].color == "#444444"
+        counts = {r.rule_id: (r.matched, r.won) for r in rules.hit_counts(e, table).collect()}
+        assert {k: v for k, v in counts.items() if k[0] != "z"} == {"a": (2, 2), "b": (1, 1), "c": (0, 0), "d": (8, 5), "e": (8, 0)} and len(counts) == len(own)
+    assert {r.rule_id for r in rules.classify(e, spark.createDataFrame([], RULES)).collect()} == {None}
+    moved = rules.reorder(spark.createDataFrame(some, RULES).filter("id <> 'e'"), "d", 0)
+    assert {r.rule_id for r in rules.classify(e, moved).collect()} == {"d"} and sorted(r.priority for r in moved.collect()) == [0, 1, 2, 3]
 
 
 def test_pins_and_filters(spark):
@@ -112,3 +189,10 @@ def test_pins_and_filters(spark):
     assert reports.ad_hoc(e, "SELECT count(*) AS n FROM entries").first().n == 4
     with pytest.raises(ValueError):
         reports.ad_hoc(e, "SELEC nothing")
+    assert not [t for t in spark.catalog.listTables() if t.name == "entries"]
+    spark.range(3).createOrReplaceTempView("entries")
+    assert reports.ad_hoc(e, "SELECT count(*) AS n FROM entries").first().n == 4 and spark.table("entries").count() == 3
+    spark.range(1).createOrReplaceTempView("ENTRIES2")
+    assert [r.name for r in reports.table_list(spark).collect() if r.name.lower().startswith("entries")] == ["entries", "ENTRIES2"] or [r.name.lower() for r in reports.table_list(spark).collect() if r.name.lower().startswith("entries")] == ["entries", "entries2"]
+    for name in ("entries", "ENTRIES2"):
+        spark.catalog.dropTempView(name)
