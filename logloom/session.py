@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the place that driver and executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logloom-shared")
+    """A new folder's path in the place that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder does if driver and executors are one process; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "logloom-shared")
     return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
