@@ -43,25 +43,21 @@ ROWS = 400_000
 def _sketches(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, full, short = [], [], [], []
+            sizes, digests, sigs = [], [], []
             for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k):
                 sizes.append(len(s))
-                if len(s):
-                    values = signature(s)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    full.append(values.tobytes())
-                    short.append(values.astype(np.uint16).tobytes())
-                else:
-                    for x in (digests, full, short):
-                        x.append(None)
-            columns = [batch.column("id"), batch.column("h"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, full, short))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "class", "sig", "mini"])
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                # the low halves tell different values apart as well as candidates need
+                sigs.append(signature(s).astype(np.uint16).tobytes() if len(s) else None)
+            columns = [batch.column("id"), batch.column("h"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "n", "class", "sig"])
 
     return work
 
 
 def _tokens(sig: pa.Array) -> np.ndarray:
-    values = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
+    joined = b"".join(sig.to_pylist())
+    values = np.frombuffer(joined, f"<u{len(joined) // (len(sig) * SIGNATURE)}").reshape(-1, SIGNATURE).astype(np.uint64)
     return mixed(values | (np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)))
 
 
@@ -152,7 +148,7 @@ def _compare_nodes(least: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["path"]):
             path, label = t["path"].to_numpy(), t["label"].to_numpy()
-            mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+            mini = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SIGNATURE)
             parts, step = None, 1
             left = np.arange(len(path))
             while True:
@@ -262,7 +258,7 @@ def _nodes(rows: DataFrame, sigs: DataFrame, key: str, n_rows: int, deep: int, m
     ``rows``: (path, key, label) of the second level; nodes of more than ``most`` rows branch on up to ``deep`` tokens.
     """
     for depth in range(2, deep + 1):
-        rows = materialise(fewer(rows, n_rows, ROWS))
+        rows = rows if depth == 2 else materialise(fewer(rows, n_rows, ROWS))
         sizes = rows.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("last"))
         sizes = materialise(fewer(sizes.filter("size > 1 AND least <> last").drop("last"), n_rows, ROWS))
         met = rows.join(sizes, F.col("path") == F.col("p")).drop("p")
@@ -274,14 +270,14 @@ def _nodes(rows: DataFrame, sigs: DataFrame, key: str, n_rows: int, deep: int, m
 
 
 def candidate_links(classes: DataFrame, percent: int, trees: int | range = TREES) -> DataFrame:
-    """Candidate links (a, b) between different labels of classes (key, label, sig, mini) by the chosen-path trees."""
+    """Candidate links (a, b) between different labels of classes (key, label, sig) by the chosen-path trees."""
     j = percent / 100
     least = int(SIGNATURE * (j - 4.2 * (j * (1 - j) / SIGNATURE) ** 0.5))
     n_rows, links = 2 * (trees if isinstance(trees, int) else len(trees)) * classes.count(), None
     planted = classes.select("key", "label", "sig").mapInArrow(_plant(trees), "path long, key long, label long")
     for met, last in _nodes(planted, classes.select("key", "sig"), "key", n_rows, DEPTH, NODE):
-        small = met.filter(F.col("size") <= NODE).select("path", "key", "label").join(classes.select("key", "mini"), "key")
-        found = _dealt(small, n_rows, ROWS // 4, "path").sortWithinPartitions("path", "label").select("path", "label", "mini").mapInArrow(_compare_nodes(least), "a long, b long")
+        small = met.filter(F.col("size") <= NODE).select("path", "key", "label").join(classes.select("key", "sig"), "key")
+        found = _dealt(small, n_rows, ROWS // 4, "path").sortWithinPartitions("path", "label").select("path", "label", "sig").mapInArrow(_compare_nodes(least), "a long, b long")
         links = found if links is None else links.union(found)
         if last:
             links = links.union(met.filter(F.col("size") > NODE).select(F.col("least").alias("a"), F.col("label").alias("b")))
@@ -289,7 +285,7 @@ def candidate_links(classes: DataFrame, percent: int, trees: int | range = TREES
 
 
 def candidate_clusters(classes: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
-    """(key, cluster, members) of the classes (key, sig, mini) that candidate links join, a cluster being named by its smallest key.
+    """(key, cluster, members) of the classes (key, sig) that candidate links join, a cluster being named by its smallest key.
 
     The first trees' links are components before the others grow: these see labels, and most of a hot group has one.
     """
@@ -298,7 +294,7 @@ def candidate_clusters(classes: DataFrame, percent: int, trees: int = TREES) ->
     for own in (range(first), range(first, trees)):
         parts = connected_components(candidate_links(labelled, percent, own)).withColumnRenamed("label", "part")
         joined = labelled.join(parts, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("part", "label"))
-        labelled = materialise(joined.select("key", "label", "sig", "mini") if own.start == 0 else joined.select("key", "label"))
+        labelled = materialise(joined.select("key", "label", "sig") if own.start == 0 else joined.select("key", "label"))
     sizes = labelled.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("members")).filter("members > 1")
     return labelled.join(sizes, F.col("label") == F.col("cluster")).select("key", "cluster", "members")
 
@@ -364,11 +360,11 @@ def _units(thin: DataFrame, sigs: DataFrame, trees: int) -> DataFrame | None:
 def _resolved(docs: DataFrame, k: int, percent: int, text_col: str, id_col: str, trees: int) -> DataFrame:
     """One row for each row of ``docs``: id, h, n, class (null without shingles), component_id, and whether (id, h) stays in its component."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(texts.mapInArrow(_sketches(k), "id long, h long, n long, class binary, sig binary, mini binary"))
+    rows = materialise(texts.mapInArrow(_sketches(k), "id long, h long, n long, class binary, sig binary"))
     known = rows.filter("class IS NOT NULL").withColumn("one", F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     n_rows = rows.count()
-    classes = materialise(fewer(known.groupBy("class").agg(F.min("one").alias("one"), F.first("sig").alias("sig"), F.first("mini").alias("mini")).withColumn("key", F.xxhash64("class")), n_rows, ROWS // 8))
-    clusters = candidate_clusters(classes.select("key", "sig", "mini"), percent, trees)
+    classes = materialise(fewer(known.groupBy("class").agg(F.min("one").alias("one"), F.first("sig").alias("sig")).withColumn("key", F.xxhash64("class")), n_rows, ROWS // 8))
+    clusters = candidate_clusters(classes.select("key", "sig"), percent, trees)
     wanted = materialise(clusters.join(classes.select("key", "class", "one"), "key").select("cluster", "members", "class", F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h")))
     # one row for each class: rows that repeat id and text have the same class
     fetched = texts.join(bounded(wanted), (F.col("h") == F.col("w_h")) & F.col("id").eqNullSafe(F.col("w_id"))).select("cluster", "members", "class", "text")

@@ -310,8 +310,8 @@ def test_near_dedup_paths_keep_links_at_the_threshold(shared, own, least):
     sigs = [[], []]
     for _ in range(n):
         x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
-        sigs[0].append(signature(x[: shared + left]).tobytes())
-        sigs[1].append(signature(np.r_[x[:shared], x[shared + left :]]).tobytes())
+        sigs[0].append(signature(x[: shared + left]).astype(np.uint16).tobytes())
+        sigs[1].append(signature(np.r_[x[:shared], x[shared + left :]]).astype(np.uint16).tobytes())
     batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array([b""] * n, pa.binary())], ["sig", "class"]) for x in sigs]
     ways = [[o.column("path").to_numpy().view(np.uint64) for o in near_dedup._plant(near_dedup.TREES)(iter([b]))] for b in batches]
     tokens = [near_dedup._tokens(b.column("sig")) for b in batches]
@@ -365,14 +365,14 @@ def test_candidates_are_a_few_links_a_class(spark):
         own = list(text)
         own[r.randrange(100)] = f"x{key}"
         sig = signature(next(shingle_sets([" ".join(own).encode()], 3)))
-        rows.append((key, key, bytearray(sig.tobytes()), bytearray(sig.astype(np.uint16).tobytes())))
-    classes = spark.createDataFrame(rows, "key long, label long, sig binary, mini binary")
+        rows.append((key, key, bytearray(sig.astype(np.uint16).tobytes())))
+    classes = spark.createDataFrame(rows, "key long, label long, sig binary")
     first = near_dedup.candidate_links(classes, 85, range(2))
     assert first.count() <= 4 * len(rows)
     parts = connected_components(first).withColumnRenamed("label", "part")
     again = classes.join(parts, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("part", "label"))
     assert near_dedup.candidate_links(again, 85, range(2, near_dedup.TREES)).count() <= 60
-    got = near_dedup.candidate_clusters(classes.select("key", "sig", "mini"), 85).collect()
+    got = near_dedup.candidate_clusters(classes.select("key", "sig"), 85).collect()
     assert len(got) == 600 and {x.members for x in got} == {600}
 
 
