@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ASCII_UPPER, materialise, table
 
@@ -131,7 +130,7 @@ def _marks(key: bytes, sent, window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, sent.value, window)
         for batch in batches:
-            bits, items, sizes = [], [], []
+            bits, items, sizes, counts = [], [], [], []
             before = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
             for text, old_bits, old_items in zip(batch.column("text").cast(pa.binary()).to_pylist(), *before, strict=True):
                 words = words_of(text)
@@ -141,7 +140,8 @@ def _marks(key: bytes, sent, window: int):
                 bits.append(np.packbits(hit).tobytes() if hit.any() else None)
                 items.append(sorted({*(old_items or ()), *found}))
                 sizes.append(len(words))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"hits": pa.array(bits, pa.binary()), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(sizes, pa.int64())}
+                counts.append(int(hit.sum()))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"hits": pa.array(bits, pa.binary()), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array(counts, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return work
@@ -153,16 +153,11 @@ def _packed(docs: DataFrame, text_col: str):
 
 
 def _unpacked(docs: DataFrame, text_col: str) -> list:
-    return [F.col("text").alias(c) if c == text_col else F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != "contamination"]
+    return [F.col("text").alias(c) if c == text_col else F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
-    """``docs`` with one more column, ``contamination``: struct of n_words, hits (bitmap of words, null if none) and items.
-
-    Null texts have no words; items without words match nothing; a null item_id counts as the text "null"; items that
-    repeat an id are one item with several texts.  With an empty benchmark nothing is hit.  Columns of ``docs`` are
-    kept, whatever their names (a column called contamination is replaced).
-    """
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, window: int, max_words: int) -> DataFrame:
+    """doc (the other columns), text, hits, items, n_words and n_hit."""
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     # A word has one byte at least and is followed by another byte: half of the bytes bounds the words.
     total = texts.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
@@ -170,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if len(set(docs.columns)) != len(docs.columns):
         raise ValueError("columns of docs must have different names")
     df = docs.select(
-        _packed(docs, text_col), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words")
+        _packed(docs, text_col), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit")
     )
     for block in range(blocks):
         own = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
@@ -179,13 +174,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         df = df.mapInArrow(_marks(key, docs.sparkSession.sparkContext.broadcast(items), window), df.schema)
         if block < blocks - 1:
             df = materialise(df)
-    return df.select(*_unpacked(docs, text_col), F.struct("n_words", "hits", "items").alias("contamination"))
+    return df
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column("hits").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64())], [*batch.schema.names, "n_hit"])
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
+    """``docs`` with one more column, ``contamination``: struct of n_words, n_hit (words that are hit),
+    hits (bitmap of words, null if none) and items.
+
+    Null texts have no words; items without words match nothing; a null item_id counts as the text "null"; items that
+    repeat an id are one item with several texts.  With an empty benchmark nothing is hit.  Columns of ``docs`` are
+    kept, whatever their names (a column called contamination is replaced).
+    """
+    named = [c for c, name in zip(_unpacked(docs, text_col), docs.columns, strict=True) if name != "contamination"]
+    return _marked(docs, benchmark, text_col, item_col, window, max_words).select(*named, F.struct("n_words", "n_hit", "hits", "items").alias("contamination"))
 
 
 def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.05, action: str = "drop", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.05, action: str = "drop", window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
     """Remove benchmark passages from ``docs`` (needs a column text; keeps all columns).
 
     A document is contaminated when words are hit and they are ``max_coverage`` of its words or more.  "drop" removes
@@ -217,9 +218,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
     """
     if action not in ("drop", "strip"):
         raise ValueError("action must be 'drop' or 'strip'")
-    marked = contamination(docs, benchmark, window=window)
-    flat = marked.select(_packed(docs, "text"), "text", F.col("contamination.n_words").alias("n_words"), F.col("contamination.hits").alias("hits"))
-    flat = flat.mapInArrow(_counted, T.StructType([*flat.schema.fields, T.StructField("n_hit", T.LongType())]))
+    flat = _marked(docs, benchmark, "text", "item_id", window, max_words)
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * max_coverage)
     if action == "drop":
         return flat.filter(~bad).select(*_unpacked(docs, "text"))
@@ -229,8 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    flat = marked.select("doc_id", F.col("contamination.n_words").alias("n_words"), F.col("contamination.items").alias("items"), F.col("contamination.hits").alias("hits"))
-    flat = flat.mapInArrow(_counted, T.StructType([*flat.schema.fields, T.StructField("n_hit", T.LongType())]))
+    flat = marked.select("doc_id", *[F.col(f"contamination.{c}").alias(c) for c in ("n_words", "n_hit", "items")])
     return flat.select(
         "doc_id",
         "n_words",
