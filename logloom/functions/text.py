@@ -19,8 +19,12 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+#: The characters of ``SPACE`` one by one.
+_SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -5,7 +5,7 @@ The session's time zone has to be UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import js_trim, let
@@ -14,6 +14,7 @@ from .text import js_trim, let
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _TIME = r"\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?"
 ISO = r"^\d{4}-\d{2}-\d{2}[T ]" + _TIME + r"\z"
+SHORT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\z"
 ORDINAL = r"^\d{4}-\d{3}(?:[T ]" + _TIME + r")?\z"
 CLF = r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?\z"
 SYSLOG = r"^[A-Za-z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}\z"
@@ -72,6 +73,14 @@ def parse_timestamp(c: Column, tz: str = "UTC") -> Column:
     return let(js_trim(c), lambda v: _timestamp(v, tz))
 
 
+def with_timestamp(df: DataFrame, value: Column, out: str, tz: str = "UTC") -> DataFrame:
+    """``df`` with a column of :func:`parse_timestamp`, as code that Spark compiles: the trimmed value is a column of its own, and only values with
+    a fraction, a zone or another form go the long way."""
+    v = F.col("__trimmed")
+    fast = F.when(F.length(v) == 19, _short(v, tz)).otherwise(let(v, lambda x: _timestamp(x, tz)))
+    return df.withColumn("__trimmed", js_trim(value)).withColumn(out, fast).drop("__trimmed")
+
+
 def is_timestamp(c: Column) -> Column:
     """Whether :func:`parse_timestamp` finds one, at less cost."""
     v = js_trim(c)
@@ -82,6 +91,11 @@ def is_timestamp(c: Column) -> Column:
     return F.coalesce(v.rlike(ISO) | ordinal | (v.rlike(CLF) & v.rlike(month)), F.lit(False))
 
 
+def _short(v: Column, tz: str) -> Column:
+    """Of an ISO date with time but without fraction and zone: no other form has its 19 characters."""
+    return F.when(v.rlike(SHORT), _to_utc(_days(_int(v, 1, 4), _int(v, 6, 2), _int(v, 9, 2)) * DAY + _clock(v, 12), tz))
+
+
 def _timestamp(v: Column, tz: str) -> Column:
     zone = F.regexp_extract(v, r"(Z|[+-]\d{2}:?\d{2})\z", 1)
     iso = _zoned(_days(_int(v, 1, 4), _int(v, 6, 2), _int(v, 9, 2)) * DAY + _clock(v, 12) + _fraction(F.substr(v, F.lit(20))), zone, tz)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_from_severity, level_from_status, normalize_level
 from ..functions.text import ANY, SPACE, collapse_space, is_blank, js_trim, let, xml_unescape
-from ..functions.timestamps import parse_epoch, parse_json_timestamp, parse_syslog, parse_timestamp
+from ..functions.timestamps import parse_epoch, parse_json_timestamp, parse_syslog, parse_timestamp, with_timestamp
 from .entries import entries, running_last, running_sum
 
 # What each specifier of a template matches.
@@ -43,11 +44,22 @@ def compile_pattern(template: str) -> tuple[str, list[str]]:
     return "^" + quoted[0] + "".join(f"({SPECIFIERS[g]}){q}" for g, q in zip(groups, quoted[1:], strict=True)) + r"\z", groups
 
 
+def cells(line: Column, template: str) -> tuple[Column, list[str]]:
+    """The parts of a line that a template's groups match, behind an empty first part (the line alone if it doesn't fit), and the specifiers."""
+    pattern, groups = compile_pattern(template)
+
+    def cut(pattern: str, mark: str) -> Column:
+        return F.split(F.regexp_replace(line, pattern, mark + mark.join(f"${i}" for i in range(1, len(groups) + 1))), mark, -1)
+
+    # most lines have no odd line end and not the mark: for them a message is the rest, and splitting at one character needs no regex
+    odd = [F.contains(line, F.lit(c)) for c in (_CUT[0], "\r", "\u2028", "\u2029")]
+    return F.when(reduce(lambda x, y: x | y, odd), cut(pattern, _CUT)).otherwise(cut(pattern.replace(ANY + "*", "(?s:.*)"), _CUT[0])), groups
+
+
 def fields(line: Column, template: str, f: Callable[[Column, dict[str, Column]], Column]) -> Column:
     """``f`` of whether a line fits a template and of its fields; the first of a specifier counts.  The regex runs once."""
-    pattern, groups = compile_pattern(template)
-    cells = F.split(F.regexp_replace(line, pattern, _CUT + _CUT.join(f"${i}" for i in range(1, len(groups) + 1))), _CUT, -1)
-    return let(cells, lambda x: f(F.size(x) == len(groups) + 1, {g: F.get(x, F.lit(groups.index(g) + 1)) for g in groups}))
+    found, groups = cells(line, template)
+    return let(found, lambda x: f(F.size(x) == len(groups) + 1, {g: F.get(x, F.lit(groups.index(g) + 1)) for g in groups}))
 
 
 def parse_pattern(lines: DataFrame, template: str = DEFAULT_TEMPLATE, tz: str = "UTC") -> DataFrame:
@@ -55,13 +67,17 @@ def parse_pattern(lines: DataFrame, template: str = DEFAULT_TEMPLATE, tz: str =
     if "%S" in template and "%d" not in template and "%s" not in template:
         raise ValueError("dates without a year need parse_syslog_lines")
 
-    def entry(fits: Column, f: dict[str, Column]) -> Column:
-        ts = parse_timestamp(f["%d"], tz) if "%d" in f else parse_epoch(f["%s"]) if "%s" in f else F.lit(None).cast("long")
-        level = normalize_level(f["%l"]) if "%l" in f else F.lit(None).cast("string")
-        return F.struct(F.when(fits, ts).alias("ts"), F.when(fits, level).alias("level"), F.when(fits, f.get("%m", F.lit(""))).otherwise(F.col("line")).alias("message"))
-
-    rows = lines.filter("line <> ''").withColumn("__e", fields(F.col("line"), template, entry))
-    return entries(rows, F.col("__e.ts"), F.col("__e.level"), F.col("__e.message"))
+    found, groups = cells(F.col("line"), template)
+    rows = lines.filter("line <> ''").withColumn("__c", found)
+    fits = F.size("__c") == len(groups) + 1
+    field = lambda g: F.when(fits, F.get("__c", F.lit(groups.index(g) + 1)))
+    if "%d" in groups:
+        rows = with_timestamp(rows, field("%d"), "__ts", tz)
+    else:
+        rows = rows.withColumn("__ts", parse_epoch(field("%s")) if "%s" in groups else F.lit(None).cast("long"))
+    level = normalize_level(field("%l")) if "%l" in groups else F.lit(None).cast("string")
+    message = F.when(fits, field("%m") if "%m" in groups else F.lit("")).otherwise(F.col("line"))
+    return entries(rows, F.col("__ts"), level, message)
 
 
 def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m", tz: str = "UTC", forward: int = 48 * 3_600_000, backward: int = 355 * 86_400_000) -> DataFrame:
