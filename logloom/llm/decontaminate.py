@@ -5,9 +5,10 @@ through it once; at every word the length of the longest match that ends there i
 length, the window's words are hit; items shorter than the window count as a whole.  Words outside the items' vocabulary
 break every match, so only runs of known words that are long enough to hold a window are streamed.
 
-The benchmark is measured first.  Up to ``max_words`` words it becomes one automaton, which is sent to the tasks; a
-larger one is dealt by hash into blocks under that bound, and the documents pass over them one by one, their marks being
-carried in a bitmap.  Memory is so bounded whatever the benchmark's size.
+The benchmark is measured first.  Up to ``max_words`` words it becomes one automaton, which is sent to the tasks (some 800 bytes a
+word in each Python worker); a larger one is dealt by hash into blocks under that bound, and the documents pass over them one by
+one, their marks being carried in a bitmap.  Long items are cut into pieces that overlap by a window less one word, and pieces
+that repeat are one piece of several items, so that no item and no hot group of items makes a block larger.  Memory is so bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_UPPER, materialise, table
 
 WINDOW = 13
+#: Words of a piece of an item.
+PIECE = 4096
 #: Words are maximal runs of a-z, 0-9 and non-ASCII characters, A-Z lower-cased: all other bytes become spaces.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -36,12 +39,14 @@ class Automaton:
     """Longest matches against a set of items, and which items' windows they hold."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
+        """``items``: (item, words); a list or tuple in place of an item is several items with the same words."""
         self.window = window
+        self.names = [i if isinstance(i, (list, tuple)) else (i,) for i, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.owners: dict[tuple[int, ...], set] = {}  # the items of each window
-        for item, words in items:
+        self.owners: dict[tuple[int, ...], set[int]] = {}  # the places of the items of each window
+        for place, (_, words) in enumerate(items):
             if not words:
                 continue
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
@@ -50,7 +55,7 @@ class Automaton:
                 last = self._extend(last, c)
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
-                self.owners.setdefault(tuple(ids[i : i + size]), set()).add(item)
+                self.owners.setdefault(tuple(ids[i : i + size]), set()).add(place)
         self.sizes = sorted({len(w) for w in self.owners})
         self.shortest = self.sizes[0] if self.sizes else 0
 
@@ -87,7 +92,7 @@ class Automaton:
     def match(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items with occurring windows."""
         hit = np.zeros(len(words), bool)
-        found: set = set()
+        found: set[int] = set()
         if not self.sizes or len(words) < self.shortest:
             return hit, found
         ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int32, len(words))
@@ -95,7 +100,7 @@ class Automaton:
         for a, b in edges.reshape(-1, 2):
             if b - a >= self.shortest:
                 self._stream(ids[a:b].tolist(), hit[a:b], found)
-        return hit, found
+        return hit, {name for place in found for name in self.names[place]}
 
     def _stream(self, ids: list[int], hit: np.ndarray, found: set) -> None:
         nxt, link, length = self.next, self.link, self.length
@@ -147,6 +152,22 @@ def _marks(key: bytes, sent, window: int):
     return work
 
 
+def _pieces(window: int, most: int):
+    """Items as pieces of at most ``most`` words that hold all their windows, words being one blank apart; items without words give none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                words = words_of(text)
+                step = most - window + 1
+                out += [(item, b" ".join(words[at : at + most]), min(most, len(words) - at)) for at in range(0, max(1, len(words) - window + 1), step)] if words else []
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["item", "piece", "words"])
+
+    return work
+
+
 def _packed(docs: DataFrame, text_col: str):
     """The columns besides the text, in one struct whose field names can't clash with ours."""
     return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]).alias("doc")
@@ -159,8 +180,11 @@ def _unpacked(docs: DataFrame, text_col: str) -> list:
 def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, window: int, max_words: int) -> DataFrame:
     """doc (the other columns), text, hits, items, n_words and n_hit."""
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    # A word has one byte at least and is followed by another byte: half of the bytes bounds the words.
-    total = texts.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    piece = max(2 * window, min(PIECE, max_words // 8))
+    # the items of a piece are one row, however many there are
+    pieces = texts.mapInArrow(_pieces(window, piece), "item string, piece binary, words long").groupBy("piece").agg(F.first("words").alias("words"), F.sort_array(F.collect_set("item")).alias("items"))
+    pieces = materialise(pieces.withColumn("at", F.xxhash64("piece")))
+    total = pieces.agg(F.sum("words")).first()[0] or 0
     blocks = 1 if total <= max_words else int(-(-2 * total // max_words))
     if len(set(docs.columns)) != len(docs.columns):
         raise ValueError("columns of docs must have different names")
@@ -168,8 +192,8 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         _packed(docs, text_col), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit")
     )
     for block in range(blocks):
-        own = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        items = sorted((r.item, words_of(r.text.encode())) for r in own.collect())
+        own = pieces if blocks == 1 else pieces.filter(F.pmod("at", F.lit(blocks)) == block)
+        items = sorted((tuple(r["items"]), bytes(r.piece).split()) for r in own.collect())
         key = hashlib.sha256(repr((window, items)).encode()).digest()
         df = df.mapInArrow(_marks(key, docs.sparkSession.sparkContext.broadcast(items), window), df.schema)
         if block < blocks - 1:
@@ -177,7 +201,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     return df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = 250_000) -> DataFrame:
     """``docs`` with one more column, ``contamination``: struct of n_words, n_hit (words that are hit),
     hits (bitmap of words, null if none) and items.
 
@@ -209,7 +233,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.05, action: str = "drop", window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.05, action: str = "drop", window: int = WINDOW, max_words: int = 250_000) -> DataFrame:
     """Remove benchmark passages from ``docs`` (needs a column text; keeps all columns).
 
     A document is contaminated when words are hit and they are ``max_coverage`` of its words or more.  "drop" removes

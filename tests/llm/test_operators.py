@@ -448,6 +448,19 @@ def test_decontaminate(docs, empty, bench, most):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == len(corpus())
 
 
+def test_decontaminate_with_long_and_repeated_items(spark):
+    """An item far longer than a block, and items that repeat: pieces lose no window, and every item is named."""
+    long_ = words(600, 71, 10**6)
+    items = [(1, long_), (2, "alpha beta gamma"), (3, long_.upper()), (4, words(30, 72, 10**6)), (4, words(30, 73, 10**6)), (5, words(13, 74, 10**6))] + [(i, words(30, 72, 10**6)) for i in range(10, 40)]
+    w = long_.split()
+    texts = [" ".join(w[a : a + n]) + " tail" for a, n in ((0, 13), (33, 13), (34, 12), (587, 13), (100, 400), (0, 600))] + ["x alpha BETA gamma y", items[3][1][3:], items[4][1], items[5][1] + " z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (200, 100_000):
+        got = {r.doc_id: (r.contamination.n_words, r.contamination.n_hit, r.contamination["items"]) for r in decontaminate.contamination(docs, bench, max_words=most).collect()}
+        assert got == {d: brute_contamination(t, items) for d, t in enumerate(texts)}
+
+
 def test_automaton_against_every_substring():
     r = random.Random(3)
     items = [(i, [b"%d" % r.randrange(3) for _ in range(r.randrange(1, 12))]) for i in range(8)]
