@@ -17,41 +17,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import scratch
 
 SUFFIXES = ("log", "txt", "out", "json", "csv", "gc", "yml", "xml")
 #: Fixed value: archives are read up to this many members.
 MEMBERS = 200
+#: Blocks of files (five numbers each, some 100 bytes in a task) whose counts are sent to all tasks.
+BLOCKS = 1_000_000
 #: Bytes of a file that decide on its encoding.
 SAMPLE = 64 * 1024
 
 
 def _tidy(line):
-    return F.regexp_replace(line, "\r\\z", "")
+    """The line without the one carriage return before its end."""
+    return F.when(F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
 
 
 def number_rows(rows: DataFrame, key: str = "path", blank: bool = True) -> DataFrame:
     """Number the lines of text rows (key, block, value, and others): line_no, seq and line in place of block and value.
 
     Rows of a block of a file come in order, so that a line's number is its place in the block plus the lines of the blocks
-    before.  One pass counts each block's lines, and those that become entries (not empty; with ``blank`` false, more than white space); only
-    those counts are accumulated, and nothing is shuffled but them.
+    before.  One pass, at once, counts each block's lines, and those that become entries (not empty; with ``blank`` false, more than white
+    space).  Only those counts are accumulated; up to ``BLOCKS`` of them are sent to all tasks, so that no line is shuffled (more are joined).
     """
-    line = _tidy(F.col("value"))
-    counts = (line != "") if blank else ~is_blank(line)
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    each = rows.groupBy(F.col(key).alias("__k"), F.col("block").alias("__b")).agg(F.count("*").alias("n"), F.count_if(counts).alias("e"), F.min("__id").alias("first"))
-    of_file = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    spark = rows.sparkSession
+    value, line = F.col("value"), _tidy(F.col("value"))
+    counts = ((value != "") & (value != "\r")) if blank else ~is_blank(value)
+    rows = rows.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__h": F.xxhash64(key), "__g": F.xxhash64(F.col(key), F.lit(1))})
+    each = rows.groupBy("__h", "__g", "block").agg(F.count("*").alias("n"), F.count_if(counts).alias("e"), F.min("__id").alias("first"))
+    of_file = W.partitionBy("__h", "__g").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     # a task's rows are counted on over the blocks that it reads, in the order in which it reads them
     task = F.shiftright("first", 33)
     of_task = W.partitionBy(task).orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     starts = each.select(
-        "__k", "__b", (F.coalesce(F.sum("n").over(of_file), zero) - F.col("first")).alias("__lines"),
+        F.col("__h").alias("h"), F.col("__g").alias("g"), F.col("block").alias("b"), (F.coalesce(F.sum("n").over(of_file), zero) - F.col("first")).alias("__lines"),
         (F.coalesce(F.sum("e").over(of_file), zero) - F.shiftleft(task, 33) - F.coalesce(F.sum("e").over(of_task), zero)).alias("__entries"),
     )
+    path = scratch(spark)
+    starts.write.parquet(path)
+    starts = spark.read.schema("h long, g long, b long, __lines long, __entries long").parquet(path)
+    side = F.broadcast(starts) if starts.count() <= BLOCKS else starts
     kept = rows.filter(counts).withColumn("__e", F.monotonically_increasing_id())
-    numbered = kept.join(starts, F.col(key).eqNullSafe(F.col("__k")) & F.col("block").eqNullSafe(F.col("__b")))
-    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("block", "value", "__id")]
+    numbered = kept.join(side, (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")) & (F.col("block") == F.col("b")))
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("block", "value", "__id", "__h", "__g")]
     return numbered.select(*others, (F.col("__lines") + F.col("__id") + 1).alias("line_no"), (F.col("__entries") + F.col("__e")).alias("seq"), line.alias("line"))
 
 
