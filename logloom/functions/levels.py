@@ -24,11 +24,8 @@ SEVERITIES = {0: "FATAL", 1: "FATAL", 2: "FATAL", 3: "ERROR", 4: "WARN", 5: "INF
 
 def normalize_level(c: Column) -> Column:
     """The level that a token stands for, in either case and with white space around it; null for others."""
-    names = F.upper(js_trim(c))
-    out = F
-    for level, aliases in ALIASES.items():
-        out = out.when(names.isin(*aliases), level)
-    return out
+    names = F.create_map(*[F.lit(x) for level, aliases in ALIASES.items() for alias in aliases for x in (alias, level)])
+    return F.try_element_at(names, F.upper(js_trim(c)))
 
 
 def level_from_status(c: Column) -> Column:
