@@ -34,7 +34,7 @@ from .shingles import mixed
 
 #: Length of a removed string, of an anchor gram, and of the sorted part of a suffix; bytes of text that are hashed at a
 #: time, records that are combined at a time, bytes of a suffix array.
-LENGTH, GRAM, DEPTH, CHUNK, RECORDS, BLOCK = 100, 32, 104, 2_000_000, 2_000_000, 1_500_000
+LENGTH, GRAM, DEPTH, CHUNK, RECORDS, BLOCK = 100, 32, 104, 2_000_000, 2_000_000, 1_000_000
 
 #: Bytes of text whose records meet in a task.
 BUCKET = 32_000_000
@@ -328,9 +328,9 @@ def two_stage_suffix_array(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     b = np.flatnonzero(ascending)
     padded = np.r_[text, np.zeros(depth, np.uint8)]
     keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[b].copy()
-    if len(b):  # what lies behind a suffix's end doesn't count
-        ended = np.maximum.accumulate(keys == 0, axis=1)
-        keys[ended] = 0
+    for at in range(0, len(b), 65_536):  # what lies behind a suffix's end doesn't count
+        own = keys[at : at + 65_536]
+        own[np.maximum.accumulate(own == 0, axis=1)] = 0
     b = b[np.argsort(keys.view(f"S{depth}").ravel(), kind="stable")] if len(b) else b
     size = np.bincount(text, minlength=256)
     start = np.cumsum(size) - size
