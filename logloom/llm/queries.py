@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, secrets, suffix_dedup
+from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, manifest, mixing, near_dedup, packing, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -20,4 +22,5 @@ ORACLES = {
     "op6_secrets": secrets.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_chat": chat.SQL,
+    "op13_merkle_manifest": manifest.SQL,
 }
