@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, manifest, mixing, near_dedup, packing, secrets, suffix_dedup, token_counts
+from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, manifest, mixing, near_dedup, packing, secrets, structure_repair, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_structure_repair": structure_repair.op12_structure_repair,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op6_secrets": secrets.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op8_chat": chat.SQL,
+    "op12_structure_repair": structure_repair.SQL,
     "op13_merkle_manifest": manifest.SQL,
 }
