@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialise, shuffle_partitions, table
 
+#: Children of a node, and levels of a block: 2,187 nodes.
 FAN, LEVELS = 3, 7
-BLOCK = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A node of a tree: tree, place in it, the number of nodes that the tree has on this level, digest.
 PATH = "tree string, place long, up binary, top string"
@@ -126,24 +126,24 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 5_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
 
-def _levels(n: int) -> int | None:
+def _levels(n: int, levels: int) -> int | None:
     """A block of a tree with more than one block is joined all the way; a lone block until one node is left."""
-    return LEVELS if n > BLOCK else None
+    return levels if n > FAN**levels else None
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     """Roots of blocks: rows are tree, block, place, n, digest by block and place."""
     schema = pa.schema([("tree", pa.string()), ("place", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
 
     def found():
         for (tree, block), rows in _groups(batches, 2):
-            t = Tree([r[4] for r in rows], _levels(rows[0][3]))
-            yield tree, block, -(-rows[0][3] // BLOCK), t.digest[t.root]
+            t = Tree([r[4] for r in rows], _levels(rows[0][3], levels))
+            yield tree, block, -(-rows[0][3] // FAN**levels), t.digest[t.root]
 
     yield from _batched(found(), schema)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     """Ways up of nodes: rows are tree, block, place, n, digest, up, top; the first of a block may be its own way up (place -1)."""
     schema = pa.schema([("tree", pa.string()), ("place", pa.int64()), ("up", pa.binary()), ("top", pa.string())])
 
@@ -151,37 +151,37 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, _), rows in _groups(batches, 2):
             above, top = (rows[0][5], rows[0][6]) if rows[0][2] < 0 else (b"", None)
             rows = [r for r in rows if r[2] >= 0]
-            t = Tree([r[4] for r in rows], _levels(rows[0][3]))
+            t = Tree([r[4] for r in rows], _levels(rows[0][3], levels))
             for i, r in enumerate(rows):
                 yield tree, r[2], pack(t.siblings(i)) + above, top or t.digest[t.root]
 
     yield from _batched(found(), schema)
 
 
-def _block(place):
-    return F.floor(place / BLOCK).cast("long")
+def _block(place, levels: int):
+    return F.floor(place / FAN**levels).cast("long")
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """tree, place, n, digest of the level of block roots above nodes (tree, place, n, digest)."""
-    rows = nodes.select("tree", _block(F.col("place")).alias("block"), "place", "n", "digest")
+    rows = nodes.select("tree", _block(F.col("place"), levels).alias("block"), "place", "n", "digest")
     dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "tree", "block").sortWithinPartitions("tree", "block", "place")
-    return dealt.mapInArrow(_roots, "tree string, place long, n long, digest string")
+    return dealt.mapInArrow(lambda batches: _roots(batches, levels), "tree string, place long, n long, digest string")
 
 
-def ways_up(nodes: DataFrame) -> DataFrame:
+def ways_up(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(tree, place, up, top) of all nodes: packed siblings from the node to its tree's root, and that root.
 
     A tree of more than one block continues above: the roots of its blocks are nodes of a tree that is a 2,187th as large.
     """
     nodes = materialise(nodes)
-    rows = nodes.select("tree", _block(F.col("place")).alias("block"), "place", "n", "digest", F.lit(None).cast("binary").alias("up"), F.lit(None).cast("string").alias("top"))
-    large = nodes.filter(F.col("n") > BLOCK)
+    rows = nodes.select("tree", _block(F.col("place"), levels).alias("block"), "place", "n", "digest", F.lit(None).cast("binary").alias("up"), F.lit(None).cast("string").alias("top"))
+    large = nodes.filter(F.col("n") > FAN**levels)
     if not large.isEmpty():
-        above = ways_up(block_roots(large))
+        above = ways_up(block_roots(large, levels), levels)
         rows = rows.unionByName(above.select("tree", F.col("place").alias("block"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("digest"), "up", "top"))
     dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "tree", "block").sortWithinPartitions("tree", "block", "place")
-    return dealt.mapInArrow(_paths, PATH)
+    return dealt.mapInArrow(lambda batches: _paths(batches, levels), PATH)
 
 
 def placed(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
@@ -201,7 +201,7 @@ def placed(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return both.withColumn("place", F.col("__at") + F.col("__shift")).drop("__at", "__t", "__p", "__shift")
 
 
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _proofs(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     """Proofs of leaves: rows are tree, block, place, n, id, leaf, other, up, subroot, above, root; a block's way up comes first."""
     schema = pa.schema([("id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("root", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string())])
 
@@ -211,7 +211,7 @@ def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leaves = [r for r in rows if r[2] >= 0]
             higher = unpack(up) + unpack(above)
             tail = "".join(a + b for a, b in higher)
-            t = Tree([r[5] for r in leaves], _levels(leaves[0][3]))
+            t = Tree([r[5] for r in leaves], _levels(leaves[0][3], levels))
             whole = fold(t.digest[t.root], higher)
             for i, r in enumerate(leaves):
                 proof = _hash("".join([a + b for a, b in t.siblings(i)]) + tail)
@@ -230,7 +230,7 @@ def leaf(columns: list) -> F.Column:
     return F.sha2(F.concat(*each).cast("binary"), 256)
 
 
-def manifest(df: DataFrame, tampered: F.Column, text: F.Column, id_col: str = "doc_id", source_col: str = "source", fields: tuple[str, ...] = FIELDS, text_col: str = "text") -> DataFrame:
+def manifest(df: DataFrame, tampered: F.Column, text: F.Column, id_col: str = "doc_id", source_col: str = "source", fields: tuple[str, ...] = FIELDS, text_col: str = "text", levels: int = LEVELS) -> DataFrame:
     """Leaves, roots and proofs of a table, and the root that each row would fold to if, where ``tampered``, ``text`` stood in its text column.
 
     One row for each row of ``df``: id, leaf, subroot (of its source), root, proof_sha256 (of the leaf's siblings up to the root),
@@ -244,17 +244,17 @@ def manifest(df: DataFrame, tampered: F.Column, text: F.Column, id_col: str = "d
     thin = materialise(df.select(tree.alias("tree"), F.col(id_col).cast("long").alias("id"), own.alias("leaf"), F.when(F.coalesce(tampered, F.lit(False)), other).alias("other")))
     nodes = materialise(placed(thin, "tree", ["id", "leaf", "other"]))
     level = nodes.select("tree", "place", "n", F.col("leaf").alias("digest"))
-    ups = ways_up(block_roots(level))  # of blocks, up to the source's root
+    ups = ways_up(block_roots(level, levels), levels)  # of blocks, up to the source's root
     ups = materialise(ups)
     roots = ups.filter("place = 0").select(F.col("tree").alias("name"), F.col("top").alias("digest"), F.lit("").alias("tree"))
     roots = materialise(placed(roots, "tree", ["name"]))
-    higher = ways_up(roots.select("tree", "place", "n", "digest")).select(F.col("place").alias("__place"), F.col("up").alias("above"), F.col("top").alias("root"))
+    higher = ways_up(roots.select("tree", "place", "n", "digest"), levels).select(F.col("place").alias("__place"), F.col("up").alias("above"), F.col("top").alias("root"))
     of_source = materialise(roots.join(bounded(materialise(higher)), F.col("place") == F.col("__place")).select(F.col("name").alias("__name"), "above", "root"))
     none, long = (lambda kind, name: F.lit(None).cast(kind).alias(name)), F.lit(-1).cast("long")
     heads = ups.join(bounded(of_source), F.col("tree") == F.col("__name")).select("tree", F.col("place").alias("block"), long.alias("place"), long.alias("n"), none("long", "id"), none("string", "leaf"), none("string", "other"), "up", F.col("top").alias("subroot"), "above", "root")
-    rows = nodes.select("tree", _block(F.col("place")).alias("block"), "place", "n", "id", "leaf", "other", none("binary", "up"), none("string", "subroot"), none("binary", "above"), none("string", "root"))
+    rows = nodes.select("tree", _block(F.col("place"), levels).alias("block"), "place", "n", "id", "leaf", "other", none("binary", "up"), none("string", "subroot"), none("binary", "above"), none("string", "root"))
     dealt = rows.unionByName(heads).repartition(shuffle_partitions(df.sparkSession), "tree", "block").sortWithinPartitions("tree", "block", "place")
-    found = dealt.mapInArrow(_proofs, "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
+    found = dealt.mapInArrow(lambda batches: _proofs(batches, levels), "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
     return found.select(F.col("id").alias(id_col), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 

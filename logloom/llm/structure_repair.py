@@ -243,7 +243,7 @@ def _same(names: list[str], left: DataFrame, right: DataFrame, how: str) -> Data
     return left.join(renamed, on, how).drop(*[f"__{c}" for c in names])
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], most: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows that come sorted: part, blk, at (in the block), and whether the conversation surely begins in this partition."""
     part, blk, at, size = TaskContext.get().partitionId(), -1, 0, 0
     last, first = object(), object()  # the conversation before, and the partition's first one
@@ -252,7 +252,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, more in zip(batch.column("conv_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
             if type(last) is object:
                 first = conv
-            if type(last) is object or conv != last or at == ROWS or size + more > BYTES:
+            if type(last) is object or conv != last or at == most or size + more > most_bytes:
                 # the first block of a conversation that isn't the partition's first
                 begins = type(last) is not object and conv != last and conv != first
                 blk, at, size, last = blk + 1, 0, 0, conv
@@ -403,7 +403,7 @@ class Repair(NamedTuple):
     edits: DataFrame
 
 
-def plan(df: DataFrame) -> Repair:
+def plan(df: DataFrame, block_rows: int = ROWS, block_bytes: int = BYTES) -> Repair:
     """Find the edits of conversations (conv_id, turn, role, text, and copies if rows stand for several).
 
     A conversation's rows stand in the order of their turns, null first; those of one turn by role, then by the SHA-256 of their text, rows
@@ -426,7 +426,7 @@ def plan(df: DataFrame) -> Repair:
     known = known.withColumns({"kind": lead, "initial": initial})
     dealt = known.repartitionByRange(n, *key).sortWithinPartitions(*key)
     schema = f"conv_id {kind}, turn long, role string, digest binary, copies long, blank boolean, cut boolean, size long, own boolean, kind string, initial string, part int, blk long, at int, begins boolean"
-    placed = materialise(dealt.select(*key, "copies", "blank", "cut", "size", "own", "kind", "initial").mapInArrow(_place, schema))
+    placed = materialise(dealt.select(*key, "copies", "blank", "cut", "size", "own", "kind", "initial").mapInArrow(lambda batches: _place(batches, block_rows, block_bytes), schema))
 
     ordered = F.sort_array(F.collect_list(F.struct("at", "kind", "initial", "copies")))
     blocks = placed.groupBy("conv_id", "part", "blk").agg(ordered.alias("r"), F.first("begins").alias("begins"))
@@ -473,10 +473,10 @@ def repaired(df: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("conv_id", "number", "at", F.concat(_turns(F.col("before")), own, _turns(F.col("behind"))).alias("turns"), "blocks", "tail")
 
 
-def repair_report(df: DataFrame) -> DataFrame:
+def repair_report(df: DataFrame, block_rows: int = ROWS, block_bytes: int = BYTES) -> DataFrame:
     """gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of every conversation that has rows."""
     spark = df.sparkSession
-    found = plan(df)
+    found = plan(df, block_rows, block_bytes)
     kind = dict(df.dtypes)["conv_id"]
     edits = materialise(found.edits)
     tail = F.when(F.col("tail") == "I", "assistant:").when(F.col("tail") == "II", "user:\nassistant:").otherwise("")
@@ -495,15 +495,19 @@ def repair_report(df: DataFrame) -> DataFrame:
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
-def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    report = repair_report(damage(conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")))
+def repaired_damage(conversations: DataFrame, block_rows: int = ROWS, block_bytes: int = BYTES) -> DataFrame:
+    """Damage conversations and report on their repair: a row for every conversation, also if it has no rows left."""
+    report = repair_report(damage(conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")), block_rows, block_bytes)
     all_ = _same(["conv_id"], conversations.select("conv_id").distinct(), report, "left")
     zero = F.lit(0).cast("long")
     counts = [F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return all_.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_damage(table(spark, sf_dir, "conversations"))
+
+
 #: CRC-32 of an ASCII text by its polynomial, bit by bit; DuckDB has no function for it.
 _CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), [n::UBIGINT for n in range(8)]), lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"
 _KEY = "(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))"
