@@ -290,7 +290,7 @@ def _walk(name: str, base: str, runs: str) -> str:
 _CRC = "list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), [n::UBIGINT for n in range(8)]), lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"
 
 SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf, CASE WHEN xor({_CRC.format("doc_id")}, 4294967295::UBIGINT) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND xor({_CRC.format("doc_id")}, 4294967295::UBIGINT) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents),
 leaves AS (SELECT *, leaf AS h, row_number() OVER () AS k, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d),
 {_climb("low", "leaves")},
 sources AS (SELECT tree AS name, h, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
