@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from ..functions.levels import normalize_level
 from ..functions.text import is_blank
 from ..functions.timestamps import is_timestamp, parse_syslog
 from ..session import scratch
+from ..sources.heads import read_heads
 from . import parsers
 from .parsers import ACCESS, AUTO_TEMPLATES, DEFAULT_TEMPLATE, fields, json_object
 
@@ -81,12 +82,24 @@ def detect_dsv(lines: DataFrame) -> DataFrame:
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
-    """One row for each file: kind (json, w3c, combined, log4j-xml, dsv or pattern) and what its parser needs."""
-    files = lines.select("file").distinct()
-    spark = lines.sparkSession
-    path = scratch(spark)
-    sample(lines).write.parquet(path)  # a few hundred lines of each file, which several counts look at
-    some = spark.read.parquet(path)
+    """One row for each file: kind (json, w3c, combined, log4j-xml, dsv or pattern) and what its parser needs.
+
+    Of lines that are a table already, all are looked at for the files that there are; :func:`detect_files` reads the heads of files alone.
+    """
+    return _detect(lines.filter(F.col("line_no") <= SAMPLE), lines.select("file").distinct())
+
+
+def detect_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """As :func:`detect_format`, of files, of which the first MiB alone is read: see :func:`logloom.sources.heads.read_heads`."""
+    return _detect(read_heads(spark, path, glob, lines=SAMPLE), None)
+
+
+def _detect(first: DataFrame, files: DataFrame | None) -> DataFrame:
+    spark, path = first.sparkSession, scratch(first.sparkSession)
+    first = first.select("file", "line_no", "line")
+    first.write.parquet(path)  # a few hundred lines of each file, which several counts look at
+    some = spark.read.schema(first.schema).parquet(path)
+    files, some = some.select("file").distinct() if files is None else files, sample(some)
     line = F.col("line")
     first_fields = F.first(F.when(line.startswith("#Fields:"), line), ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     some = some.withColumn("fields", F.filter(F.split(F.trim(F.substr(first_fields, F.lit(9))), r"\s+"), lambda x: x != ""))

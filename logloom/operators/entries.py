@@ -2,44 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..functions.timestamps import to_iso
+from ..session import scratch
 
 COLUMNS = ["seq", "ts_ms", "ts_iso", "level", "message", "raw", "file", "line_no"]
 
 
-def running_sum(df: DataFrame, value: str, out: str, key: str = "file", order: str = "line_no", then: str | None = None, block: int = 100_000) -> DataFrame:
-    """``out``: sum of ``value`` over the rows of a key before the current one.
+#: ``order`` numbers of a block of a scan; summaries of blocks that are sent to all tasks.
+BLOCK, SUMMARIES = 100_000, 500_000
+
+
+def scan(df: DataFrame, inside: Callable[[WindowSpec], dict[str, Column]], summary: dict[str, Column], across: Callable[[WindowSpec], dict[str, Column]], key: str = "file", order: tuple[str, ...] = ("line_no",), block: int = BLOCK) -> DataFrame:
+    """A scan along the rows of each key in two levels, so that a large file isn't one task.
 
-    A key's rows are cut into blocks of ``order`` numbers; sums within blocks run in parallel, and only one sum for each
-    block is accumulated, so that a large file isn't one task.
+    A key's rows are cut into blocks of ``block`` numbers of the first column of ``order``.  ``inside`` gives columns over the rows of a block up to
+    the current one (the window it gets ends before the current row), ``summary`` aggregates a block's rows with them, and ``across``
+    gives columns over the summaries of the blocks of a key (its window ends before the current block).  The input is read once, at once:
+    rows are written with the columns of ``inside``, so that only summaries are read again and accumulated.
     """
-    at = F.floor(F.col(order) / block)
-    inside = W.partitionBy(key, "__block").orderBy(order, *([then] if then else [])).rowsBetween(W.unboundedPreceding, -1)
-    sums = df.groupBy(F.col(key).alias("__key"), at.alias("__at")).agg(F.sum(value).alias("__sum"))
-    sums = sums.select("__key", "__at", F.coalesce(F.sum("__sum").over(W.partitionBy("__key").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rows = df.withColumn("__block", at).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    both = rows.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at")))
-    return both.withColumn(out, F.col("__before") + F.col("__inside")).drop("__block", "__inside", "__key", "__at", "__before")
-
-
-def running_last(df: DataFrame, value: str, out: str, key: str = "file", order: str = "line_no", block: int = 100_000) -> DataFrame:
-    """``out``: the last value that isn't null in the rows of a key before the current one, in two levels like :func:`running_sum`."""
-    at = F.floor(F.col(order) / block)
-    inside = W.partitionBy(key, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    lasts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("__key"), at.alias("__at")).agg(F.max_by(value, order).alias("__last"))
-    # blocks without a value have no row: each block's predecessor is the last one below it
-    blocks = df.groupBy(F.col(key).alias("__k"), at.alias("__b")).agg(F.count("*").alias("__n"))
-    known = blocks.join(lasts, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__b") == F.col("__at")), "left")
-    before = F.last("__last", ignorenulls=True).over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    known = known.select("__k", "__b", before.alias("__before"))
-    rows = df.withColumn("__block", at).withColumn("__inside", F.last(value, ignorenulls=True).over(inside))
-    both = rows.join(known, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__block") == F.col("__b")))
-    return both.withColumn(out, F.coalesce("__inside", "__before")).drop("__block", "__inside", "__k", "__b", "__before")
+    spark = df.sparkSession
+    w = W.partitionBy(key, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    path = scratch(spark)
+    rows = df.withColumn("__block", F.floor(F.col(order[0]) / block).cast("long"))
+    for name, value in inside(w).items():  # one sort serves all: they have one window
+        rows = rows.withColumn(name, value)
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    blocks = rows.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__at")).agg(*[c.alias(n) for n, c in summary.items()])
+    over = W.partitionBy("__key").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    for name, value in across(over).items():
+        blocks = blocks.withColumn(name, value)
+    blocks.drop(*summary).write.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(blocks.drop(*summary).schema).parquet(f"{path}/blocks")
+    side = F.broadcast(blocks) if blocks.count() <= SUMMARIES else blocks
+    return rows.join(side, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__at"))).drop("__block", "__key", "__at")
+
+
+def running_sum(df: DataFrame, value: str, out: str, key: str = "file", order: str = "line_no", then: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``out``: sum of ``value`` over the rows of a key before the current one; a :func:`scan`."""
+    zero = F.lit(0)
+    found = scan(
+        df, lambda w: {"__inside": F.coalesce(F.sum(value).over(w), zero)}, {"__sum": F.sum(value)}, lambda w: {"__before": F.coalesce(F.sum("__sum").over(w), zero)},
+        key, (order, then) if then else (order,), block,
+    )
+    return found.withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def running_last(df: DataFrame, value: str, out: str, key: str = "file", order: str = "line_no", block: int = BLOCK) -> DataFrame:
+    """``out``: the last value that isn't null in the rows of a key before the current one; a :func:`scan`."""
+    found = scan(
+        df, lambda w: {"__inside": F.last(value, ignorenulls=True).over(w)}, {"__last": F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))},
+        lambda w: {"__before": F.last("__last", ignorenulls=True).over(w)}, key, (order,), block,
+    )
+    return found.withColumn(out, F.coalesce("__inside", "__before")).drop("__before", "__inside")
 
 
 def entries(df: DataFrame, ts_ms: Column, level: Column, message: Column) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.levels import level_from_severity, level_from_status, normalize_level
 from ..functions.text import ANY, SPACE, collapse_space, is_blank, js_trim, let, xml_unescape
 from ..functions.timestamps import parse_epoch, parse_json_timestamp, parse_syslog, parse_timestamp, with_timestamp
-from .entries import entries, running_last, running_sum
+from .entries import BLOCK, entries, scan
+from .log4j import cut_events
 
 # What each specifier of a template matches.
 SPECIFIERS = {
@@ -80,11 +81,11 @@ def parse_pattern(lines: DataFrame, template: str = DEFAULT_TEMPLATE, tz: str =
     return entries(rows, F.col("__ts"), level, message)
 
 
-def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m", tz: str = "UTC", forward: int = 48 * 3_600_000, backward: int = 355 * 86_400_000) -> DataFrame:
+def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m", tz: str = "UTC", forward: int = 48 * 3_600_000, backward: int = 355 * 86_400_000, block: int = BLOCK) -> DataFrame:
     """Lines whose dates have no year: it is inferred in file order.
 
     A date more than ``forward`` ms after the one before belongs to the year before, one more than ``backward`` ms
-    behind to the next year.  A step depends on two neighbouring dates alone, so the year is a running sum of steps.
+    behind to the next year.  A step depends on two neighbouring dates alone, so the year is a sum of steps: one scan.
     """
     def entry(fits: Column, f: dict[str, Column]) -> Column:
         level = normalize_level(f["%l"]) if "%l" in f else F.lit(None).cast("string")
@@ -92,11 +93,21 @@ def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m
 
     rows = lines.filter("line <> ''").withColumn("__e", fields(F.col("line"), template, entry))
     rows = rows.withColumn("__t", parse_syslog(F.col("__e.date"), F.lit(2001), tz))
-    rows = running_last(rows, "__t", "__before_t")
-    gap = F.col("__t") - F.col("__before_t")
-    rows = rows.withColumn("__step", F.when(gap > forward, -1).when(gap < -backward, 1).otherwise(0).cast("long"))
-    rows = running_sum(rows, "__step", "__steps")
-    return entries(rows, parse_syslog(F.col("__e.date"), F.lit(start_year) + F.col("__steps") + F.col("__step"), tz), F.col("__e.level"), F.col("__e.message"))
+
+    def step(before: Column, now: Column) -> Column:
+        gap = now - before
+        return F.when(gap > forward, -1).when(gap < -backward, 1).otherwise(0).cast("long")
+
+    t, zero = F.col("__t"), F.lit(0).cast("long")
+    # inside a block: the date before, this row's step from it, and the steps before; the first date's own step is the block's
+    rows = scan(
+        rows,
+        lambda w: {"__last": F.last("__t", ignorenulls=True).over(w), "__step": F.when(F.col("__last").isNotNull(), step(F.col("__last"), t)).otherwise(zero), "__steps": F.coalesce(F.sum("__step").over(w), zero)},
+        {"__first_t": F.min_by("__t", F.when(t.isNotNull(), F.col("line_no"))), "__last_t": F.max_by("__t", F.when(t.isNotNull(), F.col("line_no"))), "__sum": F.sum("__step")},
+        lambda w: {"__own": F.coalesce(step(F.last("__last_t", ignorenulls=True).over(w), F.col("__first_t")), zero), "__years": F.coalesce(F.sum(F.col("__own") + F.col("__sum")).over(w), zero) + F.col("__own")},
+        block=block,
+    )
+    return entries(rows, parse_syslog(F.col("__e.date"), F.lit(start_year) + F.col("__years") + F.col("__steps") + F.col("__step"), tz), F.col("__e.level"), F.col("__e.message"))
 
 
 def json_object(line: Column) -> Column:
@@ -178,9 +189,6 @@ def parse_dsv(lines: DataFrame, delimiter: str, ts_col: int | None = None, level
 
 
 _EVENT = r"<(?:log4j:event|LogRecord)"
-_WHOLE = r"(?s)<log4j:event[^>]*/>|<LogRecord[^>]*/>|<log4j:event[^>]*>.*?</log4j:event>|<LogRecord[^>]*>.*?</LogRecord>"
-_CLOSED = r"(</log4j:event>|</LogRecord>|<(?:log4j:event|LogRecord)\b[^>]*/>)"
-
 
 #: Fixed value: characters after which an event that doesn't close is given up.
 IDLE = 200_000
@@ -189,30 +197,18 @@ IDLE = 200_000
 def parse_log4j_xml(lines: DataFrame, tz: str = "UTC", idle: int = IDLE) -> DataFrame:
     """Events of Log4j 1 and 2 over any number of lines; line_no is the line on which an event ends.
 
-    Lines are cut behind each end of an event; the pieces between two ends belong together.  Text between events is
-    dropped; what is left at the end of a file becomes an event if it holds the beginning of one, else a raw entry.  More than
-    ``idle`` characters without an end are cut, on whole lines, into raw entries of about that many.
+    Text ahead of an event is dropped; what is left at the end of a file becomes an event if it holds the beginning of one, else a raw
+    entry.  If more than ``idle`` characters are held, of text without an event or of one that doesn't end, they become a raw entry, and
+    the next line begins anew: see :mod:`logloom.operators.log4j`.
     """
     if "seq" in lines.columns:
         lines = lines.drop("seq")  # events are numbered, not lines
-    cut = lines.select("file", "line_no", F.posexplode(F.split(F.regexp_replace(F.concat("line", F.lit("\n")), _CLOSED, "$1" + _CUT), _CUT, -1)).alias("pos", "piece"))
-    cut = cut.filter("piece <> ''").withColumn("__ends", F.col("piece").rlike(_CLOSED).cast("long")).withColumn("__size", F.length("piece").cast("long"))
-    cut = running_sum(cut, "__ends", "__event", then="pos")
-    # what is too long is found first: there are few such pieces, if any, and no group is larger than the limit
-    long = cut.groupBy("file", "__event").agg(F.sum("__size").alias("__all")).filter(F.col("__all") > idle).select(F.col("file").alias("__f"), F.col("__event").alias("__e"))
-    if long.isEmpty():
-        cut = cut.withColumn("__part", F.lit(0).cast("long"))
-    else:
-        over = running_sum(cut, "__size", "__chars", then="pos").join(long, F.col("file").eqNullSafe(F.col("__f")) & (F.col("__event") == F.col("__e")), "left")
-        cut = over.withColumn("__part", F.when(F.col("__f").isNull(), 0).otherwise(1 + F.floor(F.col("__chars") / idle)).cast("long"))
-    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "pos", "piece"))), lambda p: p["piece"]), "")
-    events = cut.groupBy("file", "__event", "__part").agg(pieces.alias("text"), F.max("line_no").alias("line_no"), F.max("__ends").alias("closed"))
-    whole = events.filter("closed = 1").select("file", "line_no", F.explode(F.regexp_extract_all("text", F.lit(_WHOLE), F.lit(0))).alias("line"), F.lit(True).alias("complete"), F.lit(False).alias("given_up"))
-    rest = events.filter("closed = 0").withColumn("line", F.when(F.col("__part") > 0, F.regexp_replace("text", f"[{SPACE}]+\\z", "")).otherwise(js_trim(F.col("text"))))
-    rest = rest.filter("line <> ''").select("file", "line_no", "line", F.lit(False).alias("complete"), (F.col("__part") > 0).alias("given_up"))
+    rows = cut_events(lines.select("file", "line_no", "line"), idle)
+    rest = js_trim(F.col("line"))
+    rows = rows.withColumn("line", F.when(F.col("complete"), F.col("line")).when(F.col("given_up"), F.regexp_replace("line", f"[{SPACE}]+\\z", "")).otherwise(rest)).filter("complete OR given_up OR line <> ''")
     line = F.col("line")
     begun = F.when(F.col("given_up"), "").otherwise(F.regexp_extract(line, _EVENT + r"\b[^>]*", 0))
-    rows = whole.unionByName(rest).withColumn("__tag", F.when(F.col("complete"), F.regexp_extract(line, _EVENT + "[^>]*>", 0)).when(begun != "", F.concat(begun, F.lit(">"))))
+    rows = rows.withColumn("__tag", F.when(F.col("complete"), F.regexp_extract(line, _EVENT + "[^>]*>", 0)).when(begun != "", F.concat(begun, F.lit(">"))))
     first = F.col("__tag").startswith("<log4j")
 
     def attribute(name: str) -> Column:

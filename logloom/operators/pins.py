@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .entries import running_sum
+
 KEY = ["file", "line_no"]
 
 
@@ -39,7 +41,7 @@ def sanitize(pins: DataFrame) -> DataFrame:
 
 def locate(view: DataFrame, pins: DataFrame) -> DataFrame:
     """Where pinned lines stand in a view (from 0 in each file); those not in it are left out."""
-    placed = view.select(*KEY, (F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1).alias("position"))
+    placed = running_sum(view.select(*KEY).withColumn("__one", F.lit(1).cast("long")), "__one", "position").select(*KEY, "position")
     return placed.join(first_pins(pins).select(*KEY, "id"), KEY).select("id", *KEY, "position")
 
 

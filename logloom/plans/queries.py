@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import levels, text, timestamps
 from ..operators import alerts, detect, export, filters, parsers, pins, reports, rules
 from ..operators.entries import number_lines, with_seq
-from ..session import scratch
+from ..session import filesystem, scratch
+from ..sources import heads
 from ..sources import lines as sources
-from ..streaming import follow
+from ..streaming import deliver, follow, tail
 from . import render
 
 QUERIES = {}
@@ -741,6 +742,9 @@ def _segments(spark, sf_dir) -> DataFrame:
     return app.select(F.concat("file", F.lit("."), F.floor((F.col("line_no") - 1) / 40).cast("string")).alias("segment"), ((F.col("line_no") - 1) % 40 + 1).alias("line_no"), "line")
 
 
+_SEGMENT = "regexp_extract(_metadata.file_path, 'segment=([^/]+)/', 1)"
+
+
 @query("segment_line_numbers", f"SELECT file, line_no, raw AS line FROM {APP}")
 def segment_line_numbers(spark, sf_dir):
     return alerts.segment_line_numbers(_segments(spark, sf_dir)).drop("epoch")
@@ -749,15 +753,13 @@ def segment_line_numbers(spark, sf_dir):
 @query("stream_segments", f"SELECT file, max(line_no) AS lines, count(DISTINCT line_no) AS numbers FROM {APP} GROUP BY file")
 def stream_segments(spark, sf_dir):
     """Files of a folder as segments: the first part file of each log, then its second half."""
-    folder, out, offsets, check = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
+    folder, out, check = scratch(spark), scratch(spark), scratch(spark)
     app = render.app(spark, sf_dir)
     named = app.select(F.concat("file", F.lit("."), (F.col("line_no") % 2).cast("string")).alias("segment"), "line_no", "line")
     rows = named.repartition("segment").sortWithinPartitions("segment", "line_no").select("segment", "line")
     for half in (0, 1):
         rows.filter(F.col("segment").endswith(f".{half}")).write.partitionBy("segment").text(f"{folder}/{half}")
-    stream = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 8).text(f"{folder}/*/*")
-    named = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value")
-    follow.write_segments(named, out, offsets, check).awaitTermination()
+    follow.follow_segments(spark, f"{folder}/*/*", out, check, 8, name=F.expr(_SEGMENT)).awaitTermination()
     return spark.read.parquet(out).groupBy("file").agg(F.max("line_no").alias("lines"), F.countDistinct("line_no").alias("numbers"))
 
 
@@ -767,17 +769,15 @@ _TURNS = f"(SELECT *, (line_no - 1) // 40 AS n, (line_no - 1) // 120 AS epoch FR
 @query("stream_rotation", f"SELECT file, epoch, line_no - epoch * 120 AS line_no, raw AS line FROM {_TURNS} QUALIFY epoch = max(epoch) OVER (PARTITION BY file)")
 def stream_rotation(spark, sf_dir):
     """Segments of 40 lines, and a log that is rotated with each third: sizes grow from 40 to 120 and fall to 40 again."""
-    folder, out, offsets, check = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
+    folder, out, check = scratch(spark), scratch(spark), scratch(spark)
     named = _segments(spark, sf_dir)
     n = F.regexp_extract("segment", r"\.(\d+)\z", 1).cast("long")
     # a rotation is a size that is less than the one before; the poll after it reads the new file from its begin
     seen = named.select(F.regexp_extract("segment", r"^(.*)\.\d+\z", 1).alias("file"), n.alias("n")).distinct()
     grown = seen.select("file", F.col("n").alias("poll_no"), (F.col("n") % 3 * 40 + 40).alias("size"))
     named.repartition("segment").sortWithinPartitions("segment", "line_no").select("segment", "line").write.partitionBy("segment").text(folder)
-    stream = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 10_000).text(f"{folder}/*")
-    rows = stream.select(F.regexp_extract("_metadata.file_path", "segment=([^/]+)/", 1).alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value")
-    follow.write_segments(rows, out, offsets, check, grown).awaitTermination()
-    return alerts.latest_epoch(spark.read.parquet(out).drop("batch")).select("file", "epoch", "line_no", "line")
+    follow.follow_segments(spark, f"{folder}/*", out, check, 10_000, grown, name=F.expr(_SEGMENT)).awaitTermination()
+    return alerts.latest_epoch(spark.read.parquet(out)).select("file", "epoch", "line_no", "line")
 
 
 @query("latest_epoch", f"SELECT file, line_no FROM {APP} WHERE line_no % 3 = CASE WHEN file = 'app0.log' THEN 1 ELSE 2 END")
@@ -826,3 +826,98 @@ def stream_progress(spark, sf_dir):
     follow.follow_dir(spark, f"{_files(spark, lines)}/*", scratch(spark), scratch(spark), files_per_batch=2, progress=progress).awaitTermination()
     total = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0]
     return follow.progress_of(spark, progress, 2 * total).select("lines", "entries", "bytes", "fraction")
+
+
+# ---- one file of many splits, blocks of scans, text between events, heads, growth
+
+
+def _one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the app logs in the order of the events: k, from 0, and line."""
+    lines = render.app(spark, sf_dir)
+    n = F.regexp_extract("file", r"(\d+)\.log", 1).cast("long")
+    return lines.select((8 * render.EACH * F.floor(n / 8) + (F.col("line_no") - 1) * 8 + n % 8).alias("k"), "line")
+
+
+@query("src_one_file_splits", f"SELECT event_id + 1 AS line_no, event_id AS seq, {APP_RAW} AS line FROM {ev()}")
+def src_one_file_splits(spark, sf_dir):
+    """All events in one file, which is read in splits of 64 KiB; other splits hold when the result is read."""
+    folder, size = scratch(spark), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    _one_file(spark, sf_dir).repartition(1).sortWithinPartitions("k").select("line").write.text(folder)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = sources.read_log_lines(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return got.select("line_no", "seq", "line")
+
+
+@query("parse_syslog_blocks", ORACLES["parse_syslog"])
+def parse_syslog_blocks(spark, sf_dir):
+    """Years over blocks of 300 lines."""
+    return with_seq(parsers.parse_syslog_lines(number_lines(render.syslog(spark, sf_dir)), 2023, block=300))
+
+
+@query("parse_log4j_between", f"SELECT {ENTRY.replace('line_no', '2 * line_no AS line_no')} FROM {LOG4J}")
+def parse_log4j_between(spark, sf_dir):
+    """Other text ahead of each event; more of it than the limit holds in all, less before any event."""
+    lines = render.log4j(spark, sf_dir)
+    begins = F.col("line").startswith("<log4j:event") | F.col("line").startswith("<LogRecord")
+    noise = lines.filter(begins).select("file", (2 * F.col("line_no") - 1).alias("line_no"), F.lit("<!-- no event -->").alias("line"))
+    return with_seq(parsers.parse_log4j_xml(lines.withColumn("line_no", 2 * F.col("line_no")).unionByName(noise), idle=600))
+
+
+@query("detect_heads", f"SELECT DISTINCT file, 'pattern' AS kind FROM {ev()} UNION ALL SELECT DISTINCT file, 'json' FROM {ev('json', 'json', 3)} UNION ALL SELECT DISTINCT file, 'combined' FROM {ev('access', files=2)}")
+def detect_heads(spark, sf_dir):
+    """Formats of written files by their first 16 KiB."""
+    lines = render.app(spark, sf_dir).unionByName(render.json(spark, sf_dir)).unionByName(render.access(spark, sf_dir))
+    first = heads.read_heads(spark, f"{_files(spark, lines)}/*", most=16_384)
+    return detect.detect_format(first.withColumn("file", F.regexp_extract("path", "/log=([^/]+)/", 1))).select("file", "kind")
+
+
+def _rewritten(spark: SparkSession, lines: DataFrame, folder: str) -> None:
+    """Write each file of lines (file, line_no, line, ends) anew, under its own name, in a task of its own."""
+
+    def work(key, frame: pd.DataFrame) -> pd.DataFrame:
+        system, path = filesystem(f"{folder}/{key[0]}")
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        frame = frame.sort_values("line_no")
+        data = "".join(x + ("\n" if ends else "") for x, ends in zip(frame["line"], frame["ends"], strict=True)).encode()
+        with system.open_output_stream(path) as f:
+            f.write(data)
+        return pd.DataFrame({"size": [len(data)]})
+
+    lines.groupBy("file").applyInPandas(work, "size long").agg(F.sum("size")).collect()
+
+
+@query("stream_growth", f"SELECT file, 0::BIGINT AS epoch, line_no, seq, level, message FROM {APP} UNION ALL SELECT file, 1, line_no, seq, level, message FROM {APP} WHERE line_no <= 100 AND file IN ('app1.log', 'app3.log', 'app5.log', 'app7.log')")
+def stream_growth(spark, sf_dir):
+    """Files that hold 60 lines and half of one, then all of them, of which four begin anew with 100 lines: three polls of one query."""
+    folder, out, check = scratch(spark), scratch(spark), scratch(spark)
+    lines = render.app(spark, sf_dir).withColumn("ends", F.lit(True))
+    half = F.when(F.col("line_no") == 61, F.substring("line", 1, 9)).otherwise(F.col("line"))
+    begun = lines.filter("line_no <= 61").withColumn("line", half).withColumn("ends", F.col("line_no") < 61)
+    turned = lines.filter("line_no <= 100 AND file IN ('app1.log', 'app3.log', 'app5.log', 'app7.log')")
+    for now in (begun, lines, turned):
+        _rewritten(spark, now, folder)
+        tail.follow_growing(spark, folder, out, check, range_bytes=8192).awaitTermination()
+    return spark.read.parquet(out).select("file", "epoch", "line_no", "seq", "level", "message")
+
+
+@query("alert_deliveries", f"SELECT file AS f, level, message FROM {APP} WHERE level = 'FATAL'")
+def alert_deliveries(spark, sf_dir):
+    """Alerts of a followed folder, seven to a payload, by count and, for those that are left, by time; each payload is a file, which its key names."""
+    folder, check, ledger, got = f"{_files(spark, render.app(spark, sf_dir))}", scratch(spark), scratch(spark), scratch(spark)
+
+    def send(target: str, key: str, payload: str) -> None:
+        system, path = filesystem(got)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{key.encode().hex()}.json") as f:
+            f.write(payload.encode())
+
+    rows = follow.stream_rows(spark, f"{folder}/*", 4, F.expr(_NAME))
+    entries = parsers.parse_pattern(rows.select("file", F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line")))
+    live = alerts.alert_matches(entries.withColumn("live", F.lit(True)), "http://host/hook", levels=["FATAL"])
+    out = deliver.payloads(live, F.lit("http://host/hook"), 7, most=1_000_000, window=1)
+    deliver.finish(deliver.deliver(out, send, ledger, check, every="200 milliseconds"))
+    item = F.explode(F.from_json("value", "entries array<struct<file:string,level:string,message:string>>")["entries"])
+    return spark.read.text(got, wholetext=True).select(item.alias("i")).select(F.col("i.file").alias("f"), "i.level", "i.message")

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -37,3 +38,8 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "logloom-shared")
     return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """A file system that pyarrow opens, and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))

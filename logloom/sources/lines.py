@@ -33,35 +33,38 @@ def _tidy(line):
     return F.when(F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
 
 
-def number_rows(rows: DataFrame, key: str = "path", blank: bool = True) -> DataFrame:
+def number_rows(rows: DataFrame, key: str = "path", blank: bool = True, folder: str | None = None) -> DataFrame:
     """Number the lines of text rows (key, block, value, and others): line_no, seq and line in place of block and value.
 
     Rows of a block of a file come in order, so that a line's number is its place in the block plus the lines of the blocks
-    before.  One pass, at once, counts each block's lines, and those that become entries (not empty; with ``blank`` false, more than white
-    space).  Only those counts are accumulated; up to ``BLOCKS`` of them are sent to all tasks, so that no line is shuffled (more are joined).
+    before.  The rows are read once, at once, and written with their places to ``folder`` (else a new one in the shared folder); everything else, counts and
+    result, comes from what was written.  So neither other splits nor other cores nor a file that changes between two reads can lose or repeat a line.
+    Only counts of blocks are accumulated, of all lines and of those that become entries (not empty; with ``blank`` false, more than
+    white space); up to ``BLOCKS`` of them are sent to all tasks, so that no line is shuffled (more are joined).
     """
     spark = rows.sparkSession
-    value, line = F.col("value"), _tidy(F.col("value"))
+    value = F.col("value")
     counts = ((value != "") & (value != "\r")) if blank else ~is_blank(value)
-    rows = rows.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__h": F.xxhash64(key), "__g": F.xxhash64(F.col(key), F.lit(1))})
-    each = rows.groupBy("__h", "__g", "block").agg(F.count("*").alias("n"), F.count_if(counts).alias("e"), F.min("__id").alias("first"))
+    # places among the rows that a task reads, and among those that count: the second one is counted on only where it is asked for
+    place, entry = F.monotonically_increasing_id(), F.when(counts, F.monotonically_increasing_id())
+    path = folder or scratch(spark)
+    hashed = {"__h": F.xxhash64(key), "__g": F.xxhash64(F.col(key), F.lit(1))}
+    rows.withColumns(hashed | {"__id": place, "__e": entry}).write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.withColumns(hashed | {"__id": place, "__e": entry}).schema).parquet(f"{path}/rows")
+    each = rows.groupBy("__h", "__g", "block").agg(F.count("*").alias("n"), F.count("__e").alias("e"), F.min("__id").alias("first"), F.min("__e").alias("first_e"), F.max("__id").alias("last"), F.max("__e").alias("last_e"))
     of_file = W.partitionBy("__h", "__g").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    # a task's rows are counted on over the blocks that it reads, in the order in which it reads them
-    task = F.shiftright("first", 33)
-    of_task = W.partitionBy(task).orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
+    whole = (F.col("last") - F.col("first") + 1 == F.col("n")) & F.coalesce(F.col("last_e") - F.col("first_e") + 1 == F.col("e"), F.lit(True))
     starts = each.select(
         F.col("__h").alias("h"), F.col("__g").alias("g"), F.col("block").alias("b"), (F.coalesce(F.sum("n").over(of_file), zero) - F.col("first")).alias("__lines"),
-        (F.coalesce(F.sum("e").over(of_file), zero) - F.shiftleft(task, 33) - F.coalesce(F.sum("e").over(of_task), zero)).alias("__entries"),
+        (F.coalesce(F.sum("e").over(of_file), zero) - F.col("first_e")).alias("__entries"), F.when(whole, F.lit(0)).otherwise(F.raise_error(F.lit("a block's rows don't stand side by side"))).alias("__whole"),
     )
-    path = scratch(spark)
-    starts.write.parquet(path)
-    starts = spark.read.schema("h long, g long, b long, __lines long, __entries long").parquet(path)
+    starts.write.mode("overwrite").parquet(f"{path}/starts")
+    starts = spark.read.schema("h long, g long, b long, __lines long, __entries long").parquet(f"{path}/starts")
     side = F.broadcast(starts) if starts.count() <= BLOCKS else starts
-    kept = rows.filter(counts).withColumn("__e", F.monotonically_increasing_id())
-    numbered = kept.join(side, (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")) & (F.col("block") == F.col("b")))
-    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("block", "value", "__id", "__h", "__g")]
-    return numbered.select(*others, (F.col("__lines") + F.col("__id") + 1).alias("line_no"), (F.col("__entries") + F.col("__e")).alias("seq"), line.alias("line"))
+    numbered = rows.filter("__e IS NOT NULL").join(side, (F.col("__h") == F.col("h")) & (F.col("__g") == F.col("g")) & (F.col("block") == F.col("b")))
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in ("block", "value", "__id", "__e", "__h", "__g")]
+    return numbered.select(*others, (F.col("__lines") + F.col("__id") + 1).alias("line_no"), (F.col("__entries") + F.col("__e")).alias("seq"), _tidy(value).alias("line"))
 
 
 def read_log_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, blank: bool = True) -> DataFrame:

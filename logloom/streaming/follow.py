@@ -16,6 +16,7 @@ from ..operators import alerts
 from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
 from ..sources.lines import accepted, number_rows
+from . import tail
 
 #: How often the one who follows looks, if it doesn't stop.
 EVERY = "1 second"
@@ -59,36 +60,15 @@ def progress_of(spark: SparkSession, progress: str, total_bytes: int | None = No
     return sums.withColumn("fraction", fraction)
 
 
-def follow_segments(spark: SparkSession, folder: str, out: str, offsets: str, checkpoint: str, files_per_batch: int = 1, polls: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
-    """Growth that arrives as segments "name.N": see :func:`write_segments`."""
-    rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return write_segments(rows.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"), "value"), out, offsets, checkpoint, polls, every)
-
-
-def write_segments(rows: DataFrame, out: str, offsets: str, checkpoint: str, polls: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
-    """Number the lines of (segment, block, value) through all segments of a name, and write them with their epoch.
+def follow_segments(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 100, polls: DataFrame | None = None, every: str | None = None, name: Column | None = None) -> StreamingQuery:
+    """Growth that someone else cuts into segments "name.N", N from 0: file, epoch, line_no and line, numbered through all segments of a name.
 
-    Each batch is numbered from the offsets that the batch before has left, and writes its own; both are kept by
-    batch id.  ``polls`` (file, poll_no, size) are the sizes that were seen, by which a rotation begins a new
-    epoch (:func:`logloom.operators.alerts.epochs`); the view of a rotated file is its last one
-    (:func:`logloom.operators.alerts.latest_epoch`).
+    A segment (which isn't empty: it is growth) that comes before its predecessor waits for it; state of a file is kept by Spark, not by tables (:mod:`logloom.streaming.tail`).  ``polls``
+    (file, poll_no, size) are the sizes that were seen, by which a rotation begins a new epoch (:func:`logloom.operators.alerts.epochs`); the view of
+    a rotated file is its last one (:func:`logloom.operators.alerts.latest_epoch`).
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # empty lines count, so they are numbered here and left out by the parsers
-        lines = number_rows(batch.withColumn("value", F.concat(F.lit("."), "value")), "segment").withColumn("line", F.substr("line", F.lit(2)))
-        numbered = alerts.segment_line_numbers(lines.select("segment", "line_no", "line"), polls)
-        spark = batch.sparkSession
-        if batch_id:
-            before = spark.read.parquet(f"{offsets}/batch={batch_id - 1}")
-            numbered = numbered.join(before, ["file", "epoch"], "left").withColumn("line_no", F.col("line_no") + F.coalesce("lines", F.lit(0))).drop("lines")
-        numbered.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        now = spark.read.parquet(f"{out}/batch={batch_id}").groupBy("file", "epoch").agg(F.max("line_no").alias("lines"))
-        if batch_id:
-            now = now.unionByName(spark.read.parquet(f"{offsets}/batch={batch_id - 1}")).groupBy("file", "epoch").agg(F.max("lines").alias("lines"))
-        now.write.mode("overwrite").parquet(f"{offsets}/batch={batch_id}")
-
-    return _start(rows.writeStream.foreachBatch(write), checkpoint, every)
+    lines = tail.numbered(tail.segment_chunks(spark, folder, files_per_batch, polls, name))
+    return tail.start(lines.select("file", "epoch", "line_no", "line"), out, checkpoint, every)
 
 
 def alert_sink(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, url: str, text: str = "", levels: list[str] | None = None, file: str = "", history: int = 1, most: int = alerts.BACKLOG, every: str | None = None) -> StreamingQuery:

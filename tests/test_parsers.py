@@ -2,6 +2,7 @@
 
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -196,3 +197,94 @@ def test_pins_and_filters(spark):
     assert [r.name for r in reports.table_list(spark).collect() if r.name.lower().startswith("entries")] == ["entries", "ENTRIES2"] or [r.name.lower() for r in reports.table_list(spark).collect() if r.name.lower().startswith("entries")] == ["entries", "entries2"]
     for name in ("entries", "ENTRIES2"):
         spark.catalog.dropTempView(name)
+
+
+def test_no_line_is_lost_when_splits_change(spark, tmp_path):
+    """Counts and rows come from one read: other splits, fewer cores and a file that is cut meanwhile change nothing."""
+    text = "".join(f"line {i}\n" + "\n" * (i % 7 == 0) for i in range(60_000))
+    (tmp_path / "big.log").write_text(text)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n, None) for n in names]
+    want = [(n, i, x) for i, (n, x) in enumerate((n, x) for n, x in enumerate(text.split("\n"), 1) if x)]
+    try:
+        for before, after in ((("40k", "4", "1k"), ("29k", "3", "1k")), (("1m", "4", "1k"), ("1m", "3", "1k"))):
+            for n, v in zip(names, before):
+                spark.conf.set(n, v)
+            got = sources.read_log_lines(spark, str(tmp_path / "big.log"))
+            for n, v in zip(names, after):
+                spark.conf.set(n, v)
+            assert sorted(map(tuple, got.select("line_no", "seq", "line").collect())) == want
+        got = sources.read_log_lines(spark, str(tmp_path / "big.log"))
+        (tmp_path / "big.log").write_text("rotated\n")
+        assert got.count() == len(want)
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def held_line_by_line(text, idle):
+    """The event parser as it reads: a buffer, line by line."""
+    buffer, out = "", []
+    for number, line in enumerate(text.split("\n"), 1):
+        if not line:
+            continue
+        buffer += line + "\n"
+        if len(buffer) > idle:
+            out.append((number, buffer, "raw"))
+            buffer = ""
+            continue
+        while True:
+            begins = [(i, b, e) for b, e in (("<log4j:event", "</log4j:event>"), ("<LogRecord", "</LogRecord>")) if (i := buffer.find(b)) >= 0]
+            if not begins:
+                break
+            i, _, end = min(begins)
+            buffer = buffer[i:]
+            tag = buffer.find(">")
+            if tag < 0:
+                break
+            stop = tag + 1
+            if not buffer[:tag].endswith("/"):
+                if buffer.find(end, tag) < 0:
+                    break
+                stop = buffer.find(end, tag) + len(end)
+            out.append((number, buffer[:stop], "event"))
+            buffer = buffer[stop:]
+    return out, buffer
+
+
+@pytest.mark.parametrize("size,rounds", [(4096, 8), (3, 8), (1, 2)])
+def test_events_and_other_text_around_the_limit(spark, size, rounds):
+    """Blocks of any size, in rounds or in order, give what reading line by line gives; text ahead of an event doesn't count once it begins."""
+    from logloom.operators.log4j import cut_events
+
+    event = '<log4j:event timestamp="1788220801000" level="ERROR">\n<log4j:message>boom</log4j:message>\n</log4j:event>'
+    r = random.Random(size)
+    pieces = ["x" * 60, "x" * 40, event, '<LogRecord level="WARN"/>', "<LogRecord>\n<Message>é</Message></LogRecord> tail", event + event, "<log4j:event", 'level="INFO">', "</log4j:event>", "<log4j:eventSet>", "\U0001f600" * 30]
+    texts = {f"f{i}": "\n".join(r.choice(pieces) for _ in range(r.randrange(0, 60))) for i in range(12)} | {"probe": "x" * 60 + "\n" + event, "noise": "\n".join(["no event here"] * 200)}
+    rows = [(f, n, x) for f, t in texts.items() for n, x in enumerate(t.split("\n"), 1) if x]
+    df = spark.createDataFrame(rows, "file string, line_no long, line string").repartition(3)
+    got = cut_events(df, 130, size, rounds).collect()
+    units = lambda x: len(x.encode("utf-16-le")) // 2
+    assert all(units(x) == len(x) for x in texts["noise"])
+    for f, t in texts.items():
+        if any(ord(c) > 0xFFFF for c in t):
+            t = t.replace("\U0001f600", "\ud83d\ude00")  # as it is counted
+        want, rest = held_line_by_line(t, 130)
+        whole = lambda x: x.encode("utf-16-le", "surrogatepass").decode("utf-16-le")
+        found = sorted((x.line_no, x.line, "event" if x.complete else "raw") for x in got if x.file == f and (x.complete or x.given_up))
+        assert found == sorted((n, whole(x), k) for n, x, k in want)
+        assert [x.line for x in got if x.file == f and not (x.complete or x.given_up)] == ([whole(rest)] if any(x for x in t.split("\n")) else [])
+    probe = rows_of(parsers.parse_log4j_xml(df.filter("file = 'probe'"), idle=130))
+    assert probe == [("ERROR", "boom", 4)]
+
+
+def rows_of(df):
+    return [(r.level, r.message, r.line_no) for r in df.collect()]
+
+
+def test_syslog_reads_its_input_once(spark, tmp_path):
+    """Parsed dates are written once: what is planned reads no line again."""
+    lines(spark, s_log="Jan  1 00:00:00 a\nJan  2 00:00:00 b").write.parquet(str(tmp_path / "lines"))
+    got = parsers.parse_syslog_lines(spark.read.parquet(str(tmp_path / "lines")), 2024)
+    assert "tmp_path" not in str(got.inputFiles()) and not any("/lines/" in f for f in got.inputFiles())
+    assert [r.ts_iso[:10] for r in got.orderBy("line_no").collect()] == ["2024-01-01", "2024-01-02"]
