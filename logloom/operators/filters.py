@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.levels import LEVELS
+from .matching import with_matches
 
 
 def holds(c: Column, text: Column | str) -> Column:
@@ -40,21 +41,11 @@ def log_view(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("ts_iso").alias("time"), F.coalesce("level", F.lit("–")).alias("level"), "message", "file", "line_no")
 
 
-def matches(text: Column, levels: Column, file: Column | None = None) -> Column:
-    """The condition of a row of a table of filters or rules: the non-empty parts all have to hold."""
-    found = ((text == "") | holds(F.col("message"), text) | holds(F.col("raw"), text)) & ((F.size(levels) == 0) | F.coalesce(F.array_contains(levels, F.col("level")), F.lit(False)))
-    return found if file is None else found & ((file == "") | holds(F.col("file"), file))
-
-
-def small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """Broadcast a table of settings if it is as small as those are; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def saved_filter_hits(entries: DataFrame, saved: DataFrame) -> DataFrame:
     """How many entries each saved filter (name, text, levels, saved_at) finds."""
-    f = small(saved.select("name", F.col("text").alias("f_text"), F.col("levels").alias("f_levels"), "saved_at"))
-    hits = entries.join(f, matches(F.col("f_text"), F.col("f_levels"))).groupBy("name").agg(F.count("*").alias("hits"))
+    none = F.lit("")
+    f = saved.select(F.lit(0).alias("priority"), F.col("name").alias("id"), "text", "levels", none.alias("file"), none.alias("color"))
+    hits = with_matches(entries, f).select(F.explode("__hits.id").alias("name")).groupBy("name").agg(F.count("*").alias("hits"))
     return saved.select("name", "saved_at").join(hits, "name", "left").select("name", "saved_at", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 

@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from .filters import known_levels
+from .matching import with_matches
 
 # Tints of the levels, and the colour of a rule whose own is no colour.
 TINTS = {"TRACE": "rgba(158,158,158,0.10)", "DEBUG": "rgba(102,187,106,0.10)", "INFO": "", "WARN": "rgba(255,152,0,0.16)", "ERROR": "rgba(244,67,54,0.18)", "FATAL": "rgba(183,28,28,0.42)"}
 DEFAULT_COLOR = "#f85149"
 
-def _beside(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Entries with ``__rules``, all rules as one array in the order in which they are tried: by priority, then id.
-
-    It is a scalar subquery: the list, which people write, is gathered once by Spark and stands beside each entry as a constant, so
-    that a list of any length is tried in one pass over the entries.
-    """
-    rule = F.struct("priority", "id", F.lower("text").alias("text"), "levels", F.lower("file").alias("file"), "color")
-    return entries.withColumn("__rules", rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar())
-
-
-def _matching() -> Column:
-    """Of the rules beside an entry those that it matches, in order."""
-    low = F.struct(F.lower(F.coalesce("message", F.lit(""))).alias("message"), F.lower(F.coalesce("raw", F.lit(""))).alias("raw"), F.lower(F.coalesce("file", F.lit(""))).alias("file"), F.col("level").alias("level"))
-
-    def one(r: Column, e: Column) -> Column:
-        text = (r["text"] == "") | F.contains(e["message"], r["text"]) | F.contains(e["raw"], r["text"])
-        level = (F.size(r["levels"]) == 0) | F.coalesce(F.array_contains(r["levels"], e["level"]), F.lit(False))
-        return level & text & ((r["file"] == "") | F.contains(e["file"], r["file"]))
-
-    return let(low, lambda e: F.filter("__rules", lambda r: one(r, e)))
-
 
 def classify(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """Entries with rule_id and color of the first matching rule (priority, id, text, levels, file, color), else null.
@@ -41,7 +20,7 @@ def classify(entries: DataFrame, rules: DataFrame) -> DataFrame:
     Of rules with one priority the one with the smaller id goes first.  Any number of rules is tried in the same way, in one pass; null files and
     line numbers are no obstacle.
     """
-    return _beside(entries, rules).withColumn("__hit", F.get(_matching(), F.lit(0))).select(*entries.columns, F.col("__hit.id").alias("rule_id"), "__hit.color")
+    return with_matches(entries, rules).withColumn("__hit", F.get("__hits", F.lit(0))).select(*entries.columns, F.col("__hit.id").alias("rule_id"), "__hit.color")
 
 
 def with_level_fallback(classified: DataFrame) -> DataFrame:
@@ -54,7 +33,7 @@ def with_level_fallback(classified: DataFrame) -> DataFrame:
 
 def hit_counts(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """For each rule how many entries match it, and how many of them it wins."""
-    found = _beside(entries, rules).select(F.posexplode(F.transform(_matching(), lambda r: r["id"])).alias("place", "rule_id"))
+    found = with_matches(entries, rules).select(F.posexplode("__hits.id").alias("place", "rule_id"))
     counts = found.groupBy("rule_id").agg(F.count("*").alias("matched"), F.count_if(F.col("place") == 0).alias("won"))
     zero = F.lit(0).cast("long")
     return rules.select(F.col("id").alias("rule_id")).join(counts, "rule_id", "left").select("rule_id", F.coalesce("matched", zero).alias("matched"), F.coalesce("won", zero).alias("won"))

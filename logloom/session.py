@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
+_scratch: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -37,7 +38,22 @@ def scratch(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "logloom-shared")
-    return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the folders that :func:`scratch` has named for this application, and what was read from them: their number.
+
+    For programs that go on; DataFrames that numbering, detection, scans and XML events gave before can't be read afterwards.
+    """
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        system, at = filesystem(path)
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+    return len(paths)
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:

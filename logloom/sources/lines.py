@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..session import scratch
+from ..session import filesystem, scratch
 
 SUFFIXES = ("log", "txt", "out", "json", "csv", "gc", "yml", "xml")
 #: Fixed value: archives are read up to this many members.
@@ -26,6 +26,8 @@ MEMBERS = 200
 BLOCKS = 1_000_000
 #: Bytes of a file that decide on its encoding.
 SAMPLE = 64 * 1024
+#: Bytes of files or members that a task reads one after the other, and that it holds of one.
+MEMBER_BYTES, PIECE = 64 << 20, 1 << 20
 
 
 def _tidy(line):
@@ -177,8 +179,37 @@ def decode_logs(files: DataFrame, encoding: str = "auto") -> DataFrame:
     return files.select("path", "content").mapInPandas(_decoded(encoding), DECODED).filter("line <> ''")
 
 
+def _encoded(encoding: str):
+    """Lines of files, read a piece at a time."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for path in frame["path"]:
+                system, at = filesystem(path)
+                with system.open_input_stream(at) as f:
+                    data, line_no = f.read(PIECE), 0
+                    label, mark = decide_encoding(data[:SAMPLE], len(data) < PIECE, encoding)
+                    splitter = Splitter(data, len(data) < PIECE, encoding)
+                    while True:
+                        after = f.read(PIECE)
+                        lines = splitter.feed(data, not after)
+                        if lines:
+                            yield pd.DataFrame({"path": path, "encoding": label, "bom_len": mark, "line_no": range(line_no + 1, line_no + 1 + len(lines)), "line": [x.removesuffix("\r") for x in lines]})
+                        line_no, data = line_no + len(lines), after
+                        if not after:
+                            break
+
+    return work
+
+
 def read_encoded_logs(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    return decode_logs(spark.read.format("binaryFile").load(path), encoding)
+    """Lines of files as :func:`decode_logs` gives them; no file is one value, each is read by one task a piece at a time."""
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unknown encoding: {encoding}")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    total, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(n, -(-total // MEMBER_BYTES)))
+    return files.select("path").repartition(tasks).mapInPandas(_encoded(encoding), DECODED).filter("line <> ''")
 
 
 def encoding_census(files: DataFrame) -> DataFrame:
@@ -227,5 +258,82 @@ def zip_members(files: DataFrame, most: int = MEMBERS) -> DataFrame:
     return rows.filter("line <> '' OR error IS NOT NULL")
 
 
-def read_zip_logs(spark: SparkSession, path: str) -> DataFrame:
-    return zip_members(spark.read.format("binaryFile").load(path))
+class Splitter:
+    """Lines of bytes that come piece by piece; the encoding is decided by the first bytes."""
+
+    def __init__(self, first: bytes, whole: bool, encoding: str = "auto"):
+        label, mark = decide_encoding(first[:SAMPLE], whole, encoding)
+        self.table = _CP1252 if label == "windows-1252" else None
+        self.decoder = None if self.table else codecs.getincrementaldecoder({"utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}.get(label, label))("replace")
+        self.skip, self.held = mark, ""
+
+    def feed(self, data: bytes, final: bool = False) -> list[str]:
+        """Lines that are finished; the last one with ``final``."""
+        data, self.skip = data[self.skip :], 0
+        text = "".join(self.table[b] for b in data) if self.table else self.decoder.decode(data, final)
+        *done, self.held = (self.held + text).split("\n")
+        return [*done, self.held] if final else done
+
+
+MEMBER = "path string, file string, number int, size long, error string"
+
+
+def _directory(most: int):
+    """The members that an archive's directory lists: its end is read, no member is."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for path in frame["path"]:
+                system, at = filesystem(path)
+                try:
+                    with system.open_input_file(at) as f, zipfile.ZipFile(f) as archive:
+                        files = [(i, x) for i, x in enumerate(archive.infolist()) if not x.is_dir()]
+                        out += [(path, x.filename, i, x.file_size, None if k < most else f"beyond the first {most} members") for k, (i, x) in enumerate(files)]
+                except (zipfile.BadZipFile, ValueError, OSError, EOFError) as e:
+                    out.append((path, None, -1, 0, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "file", "number", "size", "error"])
+
+    return work
+
+
+def _member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of single members, read from their own bytes, a piece at a time."""
+    columns = ["path", "file", "line_no", "line", "error"]
+    for frame in batches:
+        for path, name, number in zip(frame["path"], frame["file"], frame["number"], strict=True):
+            system, at = filesystem(path)
+            line_no = 0
+            try:
+                with system.open_input_file(at) as f, zipfile.ZipFile(f) as archive, archive.open(archive.infolist()[number]) as member:
+                    data = member.read(PIECE)
+                    splitter = Splitter(data, len(data) < PIECE)
+                    while True:
+                        after = member.read(PIECE)
+                        lines = splitter.feed(data, not after)
+                        if lines:
+                            yield pd.DataFrame({"path": path, "file": name, "line_no": range(line_no + 1, line_no + 1 + len(lines)), "line": [x.removesuffix("\r") for x in lines], "error": None}, columns=columns)
+                        line_no, data = line_no + len(lines), after
+                        if not after:
+                            break
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError, OSError, EOFError) as e:
+                yield pd.DataFrame({"path": [path], "file": [name], "line_no": [0], "line": [None], "error": [str(e) or type(e).__name__]})
+
+
+def read_zip_logs(spark: SparkSession, path: str, most: int = MEMBERS) -> DataFrame:
+    """Lines of the members of zip archives, as :func:`zip_members` gives them, without an archive or a member ever being one value.
+
+    The archives' directories make a table of members; members are dealt in turn to as many tasks as their sizes ask for, and each is read from its own
+    bytes, a piece at a time.  A member whose bytes turn out to be broken gives the lines before that, then an error row.
+    """
+    archives = spark.read.format("binaryFile").load(path).select("path")
+    listed = archives.repartition(max(1, -(-archives.count() // 200))).mapInPandas(_directory(most), MEMBER)
+    base = scratch(spark)
+    listed.write.parquet(base)
+    listed = spark.read.schema(MEMBER).parquet(base)
+    total, n = listed.filter("error IS NULL").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(n, -(-total // MEMBER_BYTES)))
+    out = "path string, file string, line_no long, line string, error string"
+    rows = listed.filter("error IS NULL").repartition(tasks).select("path", "file", "number").mapInPandas(_member, out)
+    failed = listed.filter("error IS NOT NULL").select("path", "file", F.lit(0).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"), "error")
+    return rows.unionByName(failed).filter("line <> '' OR error IS NOT NULL")

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators import alerts
 from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
+from ..session import filesystem
 from ..sources.lines import accepted, number_rows
 from . import tail
 
@@ -38,24 +40,38 @@ def stream_rows(spark: SparkSession, folder: str, files_per_batch: int = 100, na
 def follow_dir(spark: SparkSession, folder: str, out: str, checkpoint: str, template: str = DEFAULT_TEMPLATE, files_per_batch: int = 100, every: str | None = None, name: Column | None = None, progress: str | None = None) -> StreamingQuery:
     """Parse the logs that are there and that come into the Parquet table ``out``, with line and sequence numbers.
 
-    A file is read once, as a whole, so its numbers are those of its batch.  ``progress`` is a folder for what each batch
-    has read: see :func:`progress_of`.
+    A file is read once, as a whole, so its numbers are those of its batch.  ``progress`` is a folder for what was read, which is
+    counted while it is: see :func:`progress_of`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parse_pattern(number_rows(batch), template).select(*COLUMNS).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        read, made = Observation(), Observation()
+        seen = batch.observe(read, F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
+        # the rows of each batch take the place of the last one's
+        parsed = parse_pattern(number_rows(seen, folder=f"{checkpoint.rstrip('/')}-rows"), template).select(*COLUMNS)
+        parsed.observe(made, F.count(F.lit(1)).alias("entries")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         if progress:
-            read = batch.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
-            entries = batch.sparkSession.read.schema("seq long").parquet(f"{out}/batch={batch_id}").agg(F.count("*").alias("entries"))
-            read.join(F.broadcast(entries)).write.mode("overwrite").parquet(f"{progress}/batch={batch_id}")  # a row each
+            _add_progress(batch.sparkSession, progress, batch_id, {**read.get, **made.get})
 
     return _start(stream_rows(spark, folder, files_per_batch, name).writeStream.foreachBatch(write), checkpoint, every)
 
 
+PROGRESS = "batches long, lines long, bytes long, entries long"
+
+
+def _add_progress(spark: SparkSession, progress: str, batch_id: int, found: dict[str, int]) -> None:
+    """Add what a batch has read to the sums of those before: one row a batch, of which the last two are kept (a batch may run again)."""
+    before = spark.read.schema(PROGRESS).parquet(f"{progress}/batch={batch_id - 1}").first() if batch_id else None
+    row = [(before[c] if before else 0) + {"batches": 1, **found}[c] for c in ("batches", "lines", "bytes", "entries")]
+    spark.createDataFrame([row], PROGRESS).write.mode("overwrite").parquet(f"{progress}/batch={batch_id}")
+    system, path = filesystem(f"{progress}/batch={batch_id - 2}")
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def progress_of(spark: SparkSession, progress: str, total_bytes: int | None = None) -> DataFrame:
     """What a query has read, all batches together: batches, lines, entries, bytes and, of a known total, the fraction."""
-    read = spark.read.schema("lines long, bytes long, entries long").parquet(f"{progress}/batch=*")
-    sums = read.agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in ("lines", "entries", "bytes")])
+    sums = spark.read.schema(PROGRESS).parquet(f"{progress}/batch=*").agg(*[F.max(c).alias(c) for c in ("batches", "lines", "entries", "bytes")])
     fraction = F.least(F.lit(1.0), F.col("bytes") / total_bytes) if total_bytes else F.lit(None).cast("double")
     return sums.withColumn("fraction", fraction)
 
