@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import chat, decontaminate, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, secrets, suffix_dedup
-from logloom.llm.components import connected_components
+from logloom.llm.components import connected_components, contract
 
 DDL = "doc_id long, text string, lang string, source string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -380,6 +380,21 @@ def test_connected_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_a_zigzag_path_take_few_rounds(spark):
+    """A path whose labels go up and down: a thousand nodes are contracted within twelve rounds."""
+    order = [x for pair in zip(range(500), range(999, 499, -1), strict=True) for x in pair]
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    both = links.union(links.select("b", "a"))
+    rounds = contract(both)
+    assert len(rounds) <= 12
+    sizes = [up.count() for up in rounds]
+    assert sizes[0] == 1000 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+    star = spark.range(1, 300).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert len(contract(star.union(star.select("b", "a")))) == 1
+    assert {r.label for r in connected_components(links).collect()} == {0}
 
 
 # ---- 6
