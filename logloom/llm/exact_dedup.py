@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_UPPER, materialise, shuffle_partitions, table
 
+#: Rows of a digest range: a task merges a range's share of some runs, so ranges grow with the rows.
+RANGE = 1_000_000
 RUN = "rng int, node int, digest binary, n_bytes long, best long, part int, pos long, n long"
 
 
@@ -127,7 +129,7 @@ def exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = materialise(
         df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests(normalise), "id long, digest binary, n_bytes long, part int, pos long")
     )
-    ranges = shuffle_partitions(spark)
+    ranges = max(shuffle_partitions(spark), -(-rows.count() // RANGE))
     runs = rows.mapInArrow(_leaf_runs(ranges, largest), RUN)
     nodes = rows.rdd.getNumPartitions()
     better = F.col("best").desc_nulls_last() if largest else F.col("best").asc_nulls_last()
