@@ -31,6 +31,7 @@ def sample(lines: DataFrame) -> DataFrame:
 
 def resolve_json_keys(lines: DataFrame) -> DataFrame:
     """file, ts_key, level_key, msg_key: the first known name that any object of the file has."""
+    parsers.last_key_wins(lines.sparkSession)
     v = json_object(F.col("line"))
     text = F.when(v.isNotNull(), F.col("line"))
     keys = lines.select("file", F.explode(F.json_object_keys(text)).alias("key"))
@@ -96,6 +97,7 @@ def detect_files(spark: SparkSession, path: str | list[str], glob: str | None =
 
 def _detect(first: DataFrame, files: DataFrame | None) -> DataFrame:
     spark, path = first.sparkSession, scratch(first.sparkSession)
+    parsers.last_key_wins(spark)
     first = first.select("file", "line_no", "line")
     first.write.parquet(path)  # a few hundred lines of each file, which several counts look at
     some = spark.read.schema(first.schema).parquet(path)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_from_severity, level_from_status, normalize_level
@@ -110,6 +110,11 @@ def parse_syslog_lines(lines: DataFrame, start_year: int, template: str = "%S %m
     return entries(rows, parse_syslog(F.col("__e.date"), F.lit(start_year) + F.col("__years") + F.col("__steps") + F.col("__step"), tz), F.col("__e.level"), F.col("__e.message"))
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Of keys that a JSON object has twice the last one counts, as elsewhere; Spark takes such objects for broken unless the session says so."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def json_object(line: Column) -> Column:
     """The line as a variant (in an array of one), null unless it is exactly one JSON object."""
     v = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
@@ -118,7 +123,11 @@ def json_object(line: Column) -> Column:
 
 
 def parse_json_lines(lines: DataFrame, ts_key: str | None = "ts", level_key: str | None = "level", msg_key: str | None = "msg", tz: str = "UTC") -> DataFrame:
-    """One JSON object a line; levels may be names or syslog severities; without a message the whole line is it."""
+    """One JSON object a line; levels may be names or syslog severities; without a message the whole line is it.
+
+    Of keys that come twice the last one counts (a setting of the session, which this makes).
+    """
+    last_key_wins(lines.sparkSession)
     number = r"^(BIGINT|DECIMAL|DOUBLE)"
     nothing = F.lit(None).cast("string")
 

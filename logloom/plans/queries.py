@@ -921,3 +921,11 @@ def alert_deliveries(spark, sf_dir):
     deliver.finish(deliver.deliver(out, send, ledger, check, every="200 milliseconds"))
     item = F.explode(F.from_json("value", "entries array<struct<file:string,level:string,message:string>>")["entries"])
     return spark.read.text(got, wholetext=True).select(item.alias("i")).select(F.col("i.file").alias("f"), "i.level", "i.message")
+
+
+@query("parse_json_repeated_keys", f"SELECT file, line_no, CASE WHEN event_id % 3 = 2 THEN {SEC} ELSE (epoch_us(ts) // 1000) END AS ts_ms, CASE WHEN event_id % 3 = 1 THEN {_SEVERITY} ELSE {LEVEL} END AS level, CASE WHEN event_id % 13 = 0 THEN 'first' ELSE {MSG} END AS message FROM {ev('json', 'json', 3)} WHERE NOT {_JBAD}")
+def parse_json_repeated_keys(spark, sf_dir):
+    """Objects that have their level and message twice: the last ones count."""
+    first = F.when(F.col("line").contains('"severity"'), '{"severity":9,"msg":"first",').otherwise('{"level":"TRACE","msg":"first",')
+    lines = render.json(spark, sf_dir).filter("startswith(line, '{') AND endswith(line, '}')").withColumn("line", F.concat(first, F.substring("line", 2, 1_000_000)))
+    return detect.parse_logs(lines).select("file", "line_no", "ts_ms", "level", "message")

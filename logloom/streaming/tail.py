@@ -105,13 +105,14 @@ class GrowingReader(DataSourceStreamReader):
         system, folder = filesystem(self.folder)
         found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         sizes = {f.base_name: f.size for f in found if f.is_file and f.extension.lower() in SUFFIXES}
-        self.seen = polled(self.seen, sizes)
-        # so that a query which begins again knows what it has seen: Spark tells a source its offset only with a batch
-        out, path = filesystem(self.state)
-        out.create_dir(posixpath.dirname(path), recursive=True)
-        with out.open_output_stream(path + ".new") as f:
-            f.write(json.dumps(self.seen).encode())
-        out.move(path + ".new", path)
+        before, self.seen = self.seen, polled(self.seen, sizes)
+        if self.seen != before:
+            # so that a query which begins again knows what it has seen: Spark tells a source its offset only with a batch
+            out, path = filesystem(self.state)
+            out.create_dir(posixpath.dirname(path), recursive=True)
+            with out.open_output_stream(path + ".new") as f:
+                f.write(json.dumps(self.seen).encode())
+            out.move(path + ".new", path)
         return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[Range]:

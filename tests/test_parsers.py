@@ -288,3 +288,8 @@ def test_syslog_reads_its_input_once(spark, tmp_path):
     got = parsers.parse_syslog_lines(spark.read.parquet(str(tmp_path / "lines")), 2024)
     assert "tmp_path" not in str(got.inputFiles()) and not any("/lines/" in f for f in got.inputFiles())
     assert [r.ts_iso[:10] for r in got.orderBy("line_no").collect()] == ["2024-01-01", "2024-01-02"]
+
+
+def test_of_repeated_keys_the_last_counts(spark):
+    got = parsers.parse_json_lines(lines(spark, j_log='{"ts":1,"level":"info","msg":"a","level":"error","msg":"b"}\n{"msg":"c"} {"msg":"d"}'))
+    assert [(r.ts_ms, r.level, r.message) for r in got.orderBy("line_no").collect()] == [(1000, "ERROR", "b"), (None, None, '{"msg":"c"} {"msg":"d"}')]

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["report_level_counts", "parse_pattern_dlm", "parse_json_lines", "parse_access_log", "parse_log4j_xml", "parse_syslog", "rule_hit_counts", "pins_merge", "alert_batches", "poll_classify", "src_zip_members", "stream_segments", "latest_epoch", "export_json_rows", "detect_dsv", "decode_chosen", "rule_reorder", "alert_sink", "stream_rotation", "stream_progress", "stream_dir_ingest", "src_dir_accept", "alert_config_sanitize", "result_capped", "table_preview", "parse_mixed_corpus", "src_one_file_splits", "parse_syslog_blocks", "parse_log4j_between", "detect_heads", "stream_growth", "alert_deliveries", "pins_locate"]
+SOME = ["report_level_counts", "parse_pattern_dlm", "parse_json_lines", "parse_access_log", "parse_log4j_xml", "parse_syslog", "rule_hit_counts", "pins_merge", "alert_batches", "poll_classify", "src_zip_members", "stream_segments", "latest_epoch", "export_json_rows", "detect_dsv", "decode_chosen", "rule_reorder", "alert_sink", "stream_rotation", "stream_progress", "stream_dir_ingest", "src_dir_accept", "alert_config_sanitize", "result_capped", "table_preview", "parse_mixed_corpus", "src_one_file_splits", "parse_syslog_blocks", "parse_log4j_between", "detect_heads", "stream_growth", "alert_deliveries", "pins_locate", "parse_json_repeated_keys"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
 
 
