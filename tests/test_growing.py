@@ -12,6 +12,15 @@ from logloom.sources import heads
 from logloom.streaming import deliver, follow, tail
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a state starts a worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def until(condition, seconds=90):
     end = time.time() + seconds
     while not condition():
