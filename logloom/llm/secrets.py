@@ -106,19 +106,20 @@ def mandatory(pattern: str) -> set[str]:
             else:
                 yield texts
 
-    branches = _Parts(pattern).branches()
-    if len(branches) > 1:
-        return set()
-    runs, now = [], {""}
-    for got in flat(branches[0]):
-        longer = None if got is None else _product([now, got], 64)
-        if longer is None:
-            runs.append(now)
-            now = got or {""}
-        else:
-            now = longer
-    best = max([*runs, now], key=lambda r: (min(map(len, r)), -len(r)))
-    return best if min(map(len, best)) >= 3 else set()
+    def best(parts) -> set[str]:
+        runs, now = [], {""}
+        for got in flat(parts):
+            longer = None if got is None else _product([now, got], 64)
+            if longer is None:
+                runs.append(now)
+                now = got or {""}
+            else:
+                now = longer
+        return max([*runs, now], key=lambda r: (min(map(len, r)), -len(r)))
+
+    # a match is one of a branch: each has to have texts of its own
+    found = [best(parts) for parts in _Parts(pattern).branches()]
+    return set().union(*found) if all(min(map(len, x)) >= 3 for x in found) else set()
 
 
 @dataclass(frozen=True)
