@@ -8,7 +8,8 @@ document's length, estimates the cross entropy, and the smallest estimate wins.
 
 Training uses a bounded sample of labelled rows: at most ``sample_chars`` normalised characters for each language,
 rows in the order of a hash.  An automaton has less than two states a character, so its dense table
-(states x symbols, 16 or 32 bits) has a known bound and can be sent to every task.  The sample's rows that the training text
+(states x symbols, 16 bits) has a known bound; with many languages each has a smaller sample, so that all tables together keep
+theirs (``model_bytes``) and can be sent to every task.  The sample's rows that the training text
 doesn't use tell how many phrases a text of the language needs (see :meth:`Model.fits`).
 
 Whole texts are parsed, many at a time.  Texts are cut into pieces of ``PIECE`` symbols, which advance together, one symbol
@@ -248,12 +249,15 @@ class Model:
                     break
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_chars: int = 24_000, rows: int = 400, row_chars: int = 3_000, languages: int = 1_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_chars: int = 24_000, rows: int = 400, row_chars: int = 3_000, languages: int = 1_000, model_bytes: int = 256_000_000, gathered: int = 64_000_000) -> Model:
     """Train on a bounded sample of labelled rows.
 
     Bounds: the ``languages`` with the most rows; of each ``rows`` different texts in the order of a hash; of each text
     its first ``row_chars`` characters, and of those together the first ``sample_chars`` make the training text.  Where all rows together don't
     fill it, whole texts (still up to ``sample_chars``) do.  The rows behind it calibrate :meth:`Model.fits`.  Null texts or labels are left out; texts that repeat count once.
+
+    The tables of all languages together have at most ``model_bytes``, and at most ``gathered`` characters of rows reach the driver (twice
+    ``sample_chars`` of each language at least): where there are more than some 40 languages, each has fewer ``sample_chars``.
     """
     known = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
@@ -261,12 +265,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     share = {r["lang"]: min(1.0, 4 * rows / r["count"]) for r in counts}
     if not share:
         return Model({})
+    # less than two states a character, a row of symbols each
+    sample_chars = max(1, min(sample_chars, model_bytes // (len(share) * 2 * SYMBOLS * np.dtype(np.uint16).itemsize)))
     at = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     few = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
     cut = known.withColumn("at", at).filter(F.col("at") < few[F.col("lang")]).withColumn("text", F.substring("text", 1, sample_chars))
     # a row for each text: a hot group of copies is one before any of it is sorted
     texts_ = cut.groupBy("lang", "at").agg(F.min("text").alias("text"))
-    ranked = texts_.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("at"))).filter(F.col("rank") <= rows)
+    in_turn = W.partitionBy("lang").orderBy("at")
+    before = F.sum(F.length("text")).over(in_turn.rowsBetween(W.unboundedPreceding, 0)) - F.length("text")
+    ranked = texts_.withColumn("rank", F.row_number().over(in_turn)).withColumn("before", before)
+    ranked = ranked.filter((F.col("rank") <= rows) & (F.col("before") < max(2 * sample_chars, gathered // len(share))))
     chosen: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):
         chosen.setdefault(r["lang"], []).append(_letters(r["text"]))
