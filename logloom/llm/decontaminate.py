@@ -6,9 +6,12 @@ length, the window's words are hit; items shorter than the window count as a who
 break every match, so only runs of known words that are long enough to hold a window are streamed.
 
 The benchmark is measured first.  Up to ``max_words`` words it becomes one automaton, which is sent to the tasks (some 800 bytes a
-word in each Python worker); a larger one is dealt by hash into blocks under that bound, and the documents pass over them one by
-one, their marks being carried in a bitmap.  Long items are cut into pieces that overlap by a window less one word, and pieces
-that repeat are one piece of several items, so that no item and no hot group of items makes a block larger.  Memory is so bounded whatever the benchmark's size.
+word in each Python worker).  A larger one is dealt by hash into blocks under that bound.  The documents are then read once, whatever
+the number of blocks: a bitmap of all windows' hashes tells which of a document's words may lie in a window, and of which blocks.
+These stretches of words alone go to the blocks, whose automata they stream through; the bytes, not the number, of a block's stretches make
+the parts in which it is met, so that a passage that many documents hold is no hot task.  The bitmap has at most ``FILTER`` bits;
+a fuller one lets more stretches through in vain, but none is lost.  Long items are cut into pieces that overlap by a window less one word, and pieces
+that repeat are one piece of several items, so that no item and no hot group of items makes a block larger.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_UPPER, materialise, table
+from .shingles import mixed, word_numbers
 
 WINDOW = 13
 #: Words of a piece of an item.
 PIECE = 4096
+#: Most bits of the bitmap of windows (64 MB), bits of one of its slices, and bytes of stretches that meet a block in one task.
+FILTER, SLICE, PART = 1 << 29, 1 << 20, 8_000_000
 #: Words are maximal runs of a-z, 0-9 and non-ASCII characters, A-Z lower-cased: all other bytes become spaces.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -131,27 +138,181 @@ def _automaton(key: bytes, items: list, window: int) -> Automaton:
     return _built[key]
 
 
+MARKS = ("hits", "items", "n_words", "n_hit")
+
+
+def _with_marks(batch: pa.RecordBatch, names: list[str], marks: list[tuple]) -> pa.RecordBatch:
+    """The named columns, and of each row the hit words, its items and its number of words."""
+    bits = [np.packbits(hit).tobytes() if hit.any() else None for hit, _, _ in marks]
+    columns = [pa.array(bits, pa.binary()), pa.array([sorted(items) for _, items, _ in marks], pa.list_(pa.string())), pa.array([n for _, _, n in marks], pa.int64()), pa.array([int(hit.sum()) for hit, _, _ in marks], pa.int64())]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *MARKS])
+
+
 def _marks(key: bytes, sent, window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, sent.value, window)
         for batch in batches:
-            bits, items, sizes, counts = [], [], [], []
-            before = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            for text, old_bits, old_items in zip(batch.column("text").cast(pa.binary()).to_pylist(), *before, strict=True):
-                words = words_of(text)
-                hit, found = automaton.match(words)
-                if old_bits:
-                    hit |= np.unpackbits(np.frombuffer(old_bits, np.uint8), count=len(words)).astype(bool)
-                bits.append(np.packbits(hit).tobytes() if hit.any() else None)
-                items.append(sorted({*(old_items or ()), *found}))
-                sizes.append(len(words))
-                counts.append(int(hit.sum()))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"hits": pa.array(bits, pa.binary()), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array(counts, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            texts = map(words_of, batch.column("text").cast(pa.binary()).to_pylist())
+            yield _with_marks(batch, ["doc", "text"], [(*automaton.match(w), len(w)) for w in texts])
+
+    return work
+
+
+def _hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of so many words."""
+    out = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for j in range(size):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(out)])
+    return out
+
+
+def _of_block(hashes: np.ndarray, block: np.ndarray | int) -> np.ndarray:
+    """What stands in the bitmap for windows of a block."""
+    return mixed(hashes + (np.asarray(block).astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys & np.uint64(bits - 1), (keys >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = ((bitmap[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 for x in _places(keys, 8 * len(bitmap)))
+    return (a & b).astype(bool)
+
+
+def _runs(texts: list[bytes], sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of slices of normalised texts: place of the first text, size of the windows, their texts (from the first one), first words and hashes."""
+    for first, counts, words in word_numbers(texts):
+        cut = np.r_[0, np.cumsum(counts)]
+        for size in sizes:
+            hashes = _hashes(words, size)
+            at = np.arange(len(hashes))
+            owner = np.searchsorted(cut, at, side="right") - 1
+            inside = at + size <= cut[owner + 1]
+            yield first, size, owner[inside], (at - cut[owner])[inside], hashes[inside]
+
+
+def _bits(bits: int, size: int, window: int):
+    """The places in the bitmap of a piece's windows, by themselves and as windows of its block, by slices."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces, own, blocks = batch.column("piece").to_pylist(), np.minimum(batch.column("words").to_numpy(), window), batch.column("block").to_numpy()
+            found = [np.zeros(0, np.uint64)]
+            for first, words, owner, _, hashes in _runs(pieces, sorted({int(x) for x in own})):
+                fits = own[first + owner] == words
+                hashes, block = hashes[fits], blocks[first + owner[fits]]
+                found += [x for keys in (hashes, _of_block(hashes, block)) for x in _places(keys, bits)]
+            flat = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array((flat // np.uint64(size)).astype(np.int32)), pa.array((flat % np.uint64(size)).astype(np.int32))], ["slice", "bit"])
 
     return work
 
 
+def _slice(size: int):
+    def work(t: pa.Table) -> pa.Table:
+        out = np.zeros(size, np.uint8)
+        out[t["bit"].to_numpy()] = 1
+        return pa.table([t["slice"].slice(0, 1), pa.array([np.packbits(out, bitorder="little").tobytes()])], ["slice", "bits"])
+
+    return work
+
+
+def _bitmap(pieces: DataFrame, total: int, window: int) -> bytes:
+    """The bitmap of all windows; tasks make its slices, at most ``FILTER`` bits reach the driver."""
+    bits = SLICE
+    while bits < min(FILTER, 32 * total):
+        bits *= 2
+    places = pieces.select("piece", "words", "block").mapInArrow(_bits(bits, SLICE, window), "slice int, bit int").distinct()
+    slices = {r["slice"]: bytes(r["bits"]) for r in places.groupBy("slice").applyInArrow(_slice(SLICE), "slice int, bits binary").toLocalIterator()}
+    return b"".join(slices.get(i, bytes(SLICE // 8)) for i in range(bits // SLICE))
+
+
+def _stretches(sent, sizes: list[int], blocks: int):
+    """Rows (block, uid, at, words): a document's words from the place ``at`` that may lie in windows of a block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            uids = batch.column("uid").to_pylist()
+            texts = [(x or b"").translate(_TO_WORDS) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            met: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for first, size, owner, at, hashes in _runs(texts, sizes):
+                some = np.flatnonzero(_held(bitmap, hashes))
+                if not len(some):
+                    continue
+                owner, at, hashes = owner[some] + first, at[some].tolist(), hashes[some]
+                for block in range(blocks):
+                    for i in np.flatnonzero(_held(bitmap, _of_block(hashes, block))).tolist():
+                        met.setdefault((int(owner[i]), block), []).append((at[i], at[i] + size))
+            out: list[tuple] = []
+            for (place, block), windows in sorted(met.items()):
+                words, begin, end = texts[place].split(), -1, -1
+                for a, b in [*sorted(windows), (1 << 62, 1 << 62)]:
+                    if a > end:
+                        if end > 0:
+                            out.append((block, uids[place], begin, b" ".join(words[begin:end])))
+                        begin, end = a, b
+                    else:
+                        end = max(end, b)
+            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "uid", "at", "words"])
+
+    return work
+
+
+def _met(window: int):
+    """Stream stretches through the automaton of their block: uid, at, the hit words and the items."""
+
+    def work(found: pa.Table, pieces: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if found.num_rows and pieces.num_rows:
+            automaton = Automaton(sorted((tuple(items), piece.split()) for items, piece in zip(pieces["items"].to_pylist(), pieces["piece"].to_pylist(), strict=True)), window)
+            for uid, at, words in zip(found["uid"].to_pylist(), found["at"].to_pylist(), found["words"].to_pylist(), strict=True):
+                hit, items = automaton.match(words.split())
+                if hit.any():
+                    out.append((uid, at, np.packbits(hit).tobytes(), sorted(items)))
+        columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string())), strict=True)], ["uid", "at", "bits", "items"])
+
+    return work
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put what the blocks have found in a document's stretches together."""
+    for batch in batches:
+        marks = []
+        for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist(), strict=True):
+            n, items = len(words_of(text)), set()
+            hit = np.zeros(n, bool)
+            for one in found or ():
+                own = np.unpackbits(np.frombuffer(one["bits"], np.uint8)).astype(bool)[: n - one["at"]]
+                hit[one["at"] : one["at"] + len(own)] |= own
+                items.update(one["items"])
+            marks.append((hit, items, n))
+        yield _with_marks(batch, ["doc", "text"], marks)
+
+
+def _in_blocks(df: DataFrame, pieces: DataFrame, total: int, blocks: int, window: int) -> DataFrame:
+    """As :func:`_marks` with automata of many blocks: the documents are written once, and only stretches meet the blocks."""
+    pieces = materialise(pieces.select("piece", "words", "items", F.pmod("at", F.lit(blocks)).cast("int").alias("block")))
+    sizes = sorted(r[0] for r in pieces.select(F.least("words", F.lit(window)).cast("int")).distinct().collect())  # at most ``window`` rows
+    sent = df.sparkSession.sparkContext.broadcast(_bitmap(pieces, total, window))
+    rows = materialise(df.withColumn("uid", F.monotonically_increasing_id()))
+    found = materialise(rows.select("uid", "text").mapInArrow(_stretches(sent, sizes, blocks), "block int, uid long, at long, words binary"))
+    parts = found.groupBy("block").agg(F.ceil(F.sum(F.length("words")) / PART).cast("int").alias("parts"))  # a row a block
+    dealt = found.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("uid", "at"), "parts").cast("int")).drop("parts")
+    own = pieces.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "items", "piece")
+    met = dealt.groupBy("block", "part").cogroup(own.groupBy("block", "part")).applyInArrow(_met(window), "uid long, at long, bits binary, items array<string>")
+    marked = rows.join(met.groupBy("uid").agg(F.collect_list(F.struct("at", "bits", "items")).alias("found")), "uid", "left").select("doc", "text", "found")
+    return marked.mapInArrow(_folded, _marked_schema(df))
+
+
+def _marked_schema(df: DataFrame) -> T.StructType:
+    kinds = (T.BinaryType(), T.ArrayType(T.StringType()), T.LongType(), T.LongType())
+    return T.StructType([df.schema["doc"], df.schema["text"], *(T.StructField(name, kind) for name, kind in zip(MARKS, kinds, strict=True))])
+
+
 def _pieces(window: int, most: int):
     """Items as pieces of at most ``most`` words that hold all their windows, words being one blank apart; items without words give none."""
 
@@ -188,17 +349,12 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     blocks = 1 if total <= max_words else int(-(-2 * total // max_words))
     if len(set(docs.columns)) != len(docs.columns):
         raise ValueError("columns of docs must have different names")
-    df = docs.select(
-        _packed(docs, text_col), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit")
-    )
-    for block in range(blocks):
-        own = pieces if blocks == 1 else pieces.filter(F.pmod("at", F.lit(blocks)) == block)
-        items = sorted((tuple(r["items"]), bytes(r.piece).split()) for r in own.collect())
-        key = hashlib.sha256(repr((window, items)).encode()).digest()
-        df = df.mapInArrow(_marks(key, docs.sparkSession.sparkContext.broadcast(items), window), df.schema)
-        if block < blocks - 1:
-            df = materialise(df)
-    return df
+    df = docs.select(_packed(docs, text_col), F.col(text_col).cast("string").alias("text"))
+    if blocks > 1:
+        return _in_blocks(df, pieces, total, blocks, window)
+    items = sorted((tuple(r["items"]), bytes(r.piece).split()) for r in pieces.collect())  # at most ``max_words`` words
+    key = hashlib.sha256(repr((window, items)).encode()).digest()
+    return df.mapInArrow(_marks(key, docs.sparkSession.sparkContext.broadcast(items), window), _marked_schema(df))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = 250_000) -> DataFrame:

@@ -226,6 +226,15 @@ def test_rare_letters_are_numbers():
     assert model.digits == 3 and phrases[0, 1] <= 4 and phrases[1, 0] == 1 and phrases[2].tolist() == [52, 52] == [int(sizes[2])] * 2
 
 
+def test_many_languages_keep_their_bound(spark):
+    """Tables of 300 languages together stay within the bytes asked for, and so do the characters that are gathered."""
+    rows = [(f"l{i:03}", " ".join(f"{chr(97 + (i * 7 + j) % 26)}{chr(97 + i % 26)}{chr(97 + (i // 26 + k) % 26)}" for j in range(40) for k in range(3))) for i in range(300)]
+    known = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(known, model_bytes=10_000_000, gathered=1)
+    assert len(model.langs) == 300 and sum(t.nbytes for t in model.tables) <= 10_000_000 + 300 * 4 * 2 * language_id.SYMBOLS
+    assert sum(t.nbytes for t in language_id.fit(known).tables) <= 256_000_000
+
+
 def test_known_language(spark, docs, empty):
     """Words of the language stay, also few of them and words in between; letters without words go."""
     text = "the cat sat on the mat and the dog was with them in the house "
@@ -415,8 +424,9 @@ def test_secrets(spark, docs, empty):
 
 def test_trigram_queries_follow_from_the_pattern():
     assert secrets.mandatory("ab[cC]d(e|f)?[0-9]+") == {"abcd", "abcde", "abcdf"}
-    assert secrets.mandatory("(q(abc)+xy)") == set() and secrets.mandatory(r"(\x41bc\.\d{2}(?:x|yz){0,1})") == {"abc."} and secrets.mandatory("abc|def") == set()
+    assert secrets.mandatory("(q(abc)+xy)") == set() and secrets.mandatory(r"(\x41bc\.\d{2}(?:x|yz){0,1})") == {"abc."} and secrets.mandatory("abc|def") == {"abc", "def"}
     assert secrets.mandatory("q(abc){2}[^a]") == {"qabcabc"} and secrets.mandatory("(ab[c-e]?fgh|x)") == set()
+    assert secrets.mandatory("foobar|ba[zZ]qux.*") == {"foobar", "bazqux"} and secrets.mandatory("foobar|[0-9]+") == set()
     assert secrets.mandatory("[0-9a-f]{32,}") == set() and secrets.mandatory("x.*(alpha|beta)") == {"alpha", "beta"}
 
 
@@ -476,6 +486,24 @@ def test_decontaminate_with_long_and_repeated_items(spark):
         assert got == {d: brute_contamination(t, items) for d, t in enumerate(texts)}
 
 
+def test_decontaminate_with_a_passage_in_most_documents_and_many_blocks(spark, monkeypatch):
+    """Stretches of a hot passage are met in several parts; the documents' rows, null and repeated ones too, are all there; a full bitmap loses nothing."""
+    r = random.Random(76)
+    items = [(i, words(r.randrange(3, 60), 7600 + i, 10**6)) for i in range(40)] + [(99, None), (98, " .. ")]
+    hot = items[7][1]
+    texts = [None, "", hot, hot] + [f"{words(r.randrange(40), i, 50)} {hot.upper() if i % 3 else items[i % 40][1][8:]} {items[r.randrange(40)][1]}, tail" for i in range(80)]
+    docs = spark.createDataFrame([(i // 2, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, uid long, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART", 500)
+    for filter_bits in (1 << 29, 1 << 10):
+        monkeypatch.setattr(decontaminate, "FILTER", filter_bits)
+        monkeypatch.setattr(decontaminate, "SLICE", 1 << 10)
+        got = decontaminate.contamination(docs, bench, max_words=200)
+        assert got.columns == [*docs.columns, "contamination"]
+        have = {x.uid: (x.doc_id, x.text, x["items"], (x.contamination.n_words, x.contamination.n_hit, x.contamination["items"])) for x in got.collect()}
+        assert have == {i: (i // 2, t, "x", brute_contamination(t, items)) for i, t in enumerate(texts)}
+
+
 def test_automaton_against_every_substring():
     r = random.Random(3)
     items = [(i, [b"%d" % r.randrange(3) for _ in range(r.randrange(1, 12))]) for i in range(8)]
