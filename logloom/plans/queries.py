@@ -161,9 +161,10 @@ def merge_files(spark, sf_dir):
 _ENC = "CASE doc_id % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' WHEN 3 THEN CASE WHEN strlen(text) > length(text) THEN 'windows-1252' ELSE 'utf-8' END ELSE 'utf-8' END"
 
 
-@query("encoding_census", f"SELECT encoding, count(DISTINCT doc_id) AS files, sum(n)::BIGINT AS lines FROM (SELECT doc_id, {_ENC} AS encoding, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS n FROM documents WHERE length(text) > 0) WHERE n > 0 GROUP BY encoding")
+@query("encoding_census", f"SELECT encoding, count(DISTINCT doc_id) AS files, sum(n)::BIGINT AS lines FROM (SELECT doc_id, {_ENC} AS encoding, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS n FROM documents) WHERE n > 0 GROUP BY encoding")
 def encoding_census(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 0")
+    """Files without content, or with nothing but a mark, are read and have no lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = lambda charset: F.encode("text", charset)
     marked = F.when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), own("UTF-16LE"))).when(F.col("doc_id") % 4 == 2, own("UTF-16BE"))
     marked = F.when(F.col("doc_id") % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), own("UTF-16BE"))).otherwise(marked)
@@ -172,10 +173,10 @@ def encoding_census(spark, sf_dir):
     return sources.encoding_census(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
 
 
-@query("decode_chosen", "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN 'ï»¿' ELSE '' END || regexp_replace(text, '[^\x20-\x7E\x0A\u00A0-\u00FF]', '?', 'g'), chr(10)) AS l FROM documents WHERE length(text) > 0)) WHERE line <> ''")
+@query("decode_chosen", "SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN 'ï»¿' ELSE '' END || regexp_replace(coalesce(text, ''), '[^\x20-\x7E\x0A\u00A0-\u00FF]', '?', 'g'), chr(10)) AS l FROM documents)) WHERE line <> ''")
 def decode_chosen(spark, sf_dir):
     """Windows-1252 is chosen, whatever the bytes say: a mark of UTF-8 before every other text isn't its own, so it is read as letters."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 0")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
     latin = F.encode(F.regexp_replace("text", "[^\\x20-\\x7E\\x0A\\u00A0-\\u00FF]", "?"), "ISO-8859-1")
     content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), latin)).otherwise(latin)
     got = sources.decode_logs(docs.select(F.col("doc_id").cast("string").alias("path"), content.alias("content")), "windows-1252")
@@ -439,9 +440,10 @@ def _csv(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '[\",\\n\\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
-@query("csv_line", f"SELECT doc_id, {_csv('coalesce(text, chr(0))')} || ',' || {_csv('source')} AS line FROM documents WHERE text IS NOT NULL")
+@query("csv_line", f"SELECT doc_id, {_csv('_T')} || ',' || {_csv('_S')} AS line FROM documents".replace("_T", "coalesce(text, '')").replace("_S", "coalesce(source, '')"))
 def csv_line(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL").select("doc_id", text.csv_line(F.col("text"), F.col("source")).alias("line"))
+    """Null texts and sources are empty cells."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.csv_line(F.col("text"), F.col("source")).alias("line"))
 
 
 # ---- filters
