@@ -159,7 +159,7 @@ def _decoded(encoding: str):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                content = bytes(content)
+                content = bytes(content or b"")
                 label, mark = decide_encoding(content[:SAMPLE], len(content) <= SAMPLE, encoding)
                 lines = decode(content[mark:], label).split("\n")
                 for at in range(0, len(lines), 50_000):
@@ -173,7 +173,7 @@ DECODED = "path string, encoding string, bom_len int, line_no long, line string"
 
 
 def decode_logs(files: DataFrame, encoding: str = "auto") -> DataFrame:
-    """Lines of files given as (path, content), each in its own encoding, or all in the one that is chosen."""
+    """Lines of files given as (path, content), each in its own encoding, or all in the one that is chosen; null content has no lines."""
     if encoding not in ENCODINGS:
         raise ValueError(f"unknown encoding: {encoding}")
     return files.select("path", "content").mapInPandas(_decoded(encoding), DECODED).filter("line <> ''")
@@ -225,7 +225,7 @@ def _members(most: int):
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                    archive = zipfile.ZipFile(io.BytesIO(bytes(content or b"")))
                 except (zipfile.BadZipFile, ValueError, OSError, EOFError) as e:
                     yield error(path, None, str(e))
                     continue

@@ -90,3 +90,11 @@ def test_scratch_folders_are_cleared(spark):
     path = session.scratch(spark)
     spark.range(3).write.parquet(path)
     assert os.path.isdir(path) and session.clear(spark) == 1 and not os.path.exists(path) and session.clear(spark) == 0
+
+
+def test_files_without_content(spark):
+    """Null and empty content has no lines; as an archive it is a row that says what is wrong."""
+    files = spark.createDataFrame([("a", None), ("b", b""), ("c", b"\xef\xbb\xbf"), ("d", b"x\n\ny")], "path string, content binary")
+    assert [(r.path, r.line_no, r.line) for r in sources.decode_logs(files).collect()] == [("d", 1, "x"), ("d", 3, "y")]
+    assert [(r.encoding, r.files, r.lines) for r in sources.encoding_census(files).collect()] == [("utf-8", 1, 2)]
+    assert sorted((r.path, r.line, bool(r.error)) for r in sources.zip_members(files).collect()) == [(p, None, True) for p in "abcd"]
