@@ -6,7 +6,7 @@ length, the window's words are hit; items shorter than the window count as a who
 break every match, so only runs of known words that are long enough to hold a window are streamed.
 
 The benchmark is measured first.  Up to ``max_words`` words it becomes one automaton, which is sent to the tasks (some 800 bytes a
-word in each Python worker).  A larger one is dealt by hash into blocks under that bound.  The documents are then read once, whatever
+word in each Python worker).  A larger one is dealt by hash into blocks under that bound.  The documents are then written once and that copy is read twice, whatever
 the number of blocks: a bitmap of all windows' hashes tells which of a document's words may lie in a window, and of which blocks.
 These stretches of words alone go to the blocks, whose automata they stream through; the bytes, not the number, of a block's stretches make
 the parts in which it is met, so that a passage that many documents hold is no hot task.  The bitmap has at most ``FILTER`` bits;
