@@ -26,6 +26,7 @@ from ..operators.alerts import epochs
 from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
 from ..session import filesystem
+from ..sources.heads import list_files
 from ..sources.lines import SUFFIXES, decode
 
 #: A chunk of lines: where it begins, where the next one does, its lines, and those that aren't empty with their places in it.
@@ -33,6 +34,8 @@ CHUNK = "file string, path string, epoch long, at long, then long, n long, place
 NUMBERED = "file string, path string, epoch long, lines long, entries long, places array<int>, texts array<string>"
 #: Bytes of a task's range and of a chunk; bytes that are looked at at once to find where a line begins.
 RANGE, CHUNK_BYTES, BACK = 64 << 20, 1 << 20, 1 << 16
+#: A backlog is read in at most so many batches, each of at most so many files.
+BATCHES, MOST_FILES = 12, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -206,14 +209,24 @@ def growing_chunks(spark: SparkSession, folder: str, state: str, encoding: str =
     return spark.readStream.format("growing_files").option("path", folder).option("state", state).option("encoding", encoding).option("rangeBytes", str(range_bytes)).load()
 
 
+def files_of_batch(spark: SparkSession, folder: str, least: int) -> int:
+    """Files of a batch: ``least``, or more if there are so many files now that it would take more than ``BATCHES`` batches to read them.
+
+    What a batch costs besides its rows is then paid a few times, however many files there are (beyond ``MOST_FILES`` a batch it grows with them).
+    """
+    if least >= MOST_FILES:
+        return least
+    return max(least, min(MOST_FILES, -(-list_files(spark, folder).count() // BATCHES)))
+
+
 def segment_chunks(spark: SparkSession, folder: str, files_per_batch: int = 100, polls: DataFrame | None = None, name: Column | None = None) -> DataFrame:
     """Chunks of growth that someone else cuts into segments "name.N" (N from 0; ``name`` says where that stands if not in the file's name).
 
-    A segment, which is what came between two polls, is one chunk.
+    A segment, which is what came between two polls, is one chunk.  ``files_per_batch`` is the least: see :func:`files_of_batch`.
 
     ``polls`` (file, poll_no, size) are the sizes that were seen, by which a rotation begins a new epoch.
     """
-    rows = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_of_batch(spark, folder, files_per_batch)).text(folder, wholetext=True)
     name = F.col("_metadata.file_name") if name is None else name
     rows = rows.select(F.regexp_extract(name, r"^(.*)\.(\d+)\z", 1).alias("file"), F.col("_metadata.file_path").alias("path"), F.regexp_extract(name, r"\.(\d+)\z", 1).cast("long").alias("at"), F.regexp_replace("value", r"\n\z", "").alias("value"), (F.col("value") == "").alias("none"))
     if polls is None:
