@@ -21,3 +21,12 @@ def test_alerts_of_a_backlog(spark, tmp_path):
     assert len({b for b, *_ in sent}) <= tail.BATCHES and all(b == d for b, d, *_ in sent) and len({s[:3] for s in sent}) == len(sent)
     text = "".join(s[3] for s in sent)
     assert [text.count(f"m{i}.{k}\"") for i in range(30) for k in range(4)] == [0, 1, 1, 1] * 30
+
+
+def test_progress_of_a_backlog(spark, tmp_path):
+    progress, out = str(tmp_path / "progress"), str(tmp_path / "out")
+    follow.follow_dir(spark, many(tmp_path / "logs", 26), out, str(tmp_path / "check"), files_per_batch=2, progress=progress).awaitTermination()
+    seen = follow.progress_of(spark, progress).first()
+    assert seen.batches <= tail.BATCHES and (seen.lines, seen.entries) == (104, 104)
+    got = spark.read.parquet(out)
+    assert got.count() == 104 and got.select("file", "seq").distinct().count() == 104
