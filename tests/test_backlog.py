@@ -30,3 +30,12 @@ def test_progress_of_a_backlog(spark, tmp_path):
     assert seen.batches <= tail.BATCHES and (seen.lines, seen.entries) == (104, 104)
     got = spark.read.parquet(out)
     assert got.count() == 104 and got.select("file", "seq").distinct().count() == 104
+
+
+def test_segments_of_a_backlog(spark, tmp_path):
+    out = str(tmp_path / "out")
+    folder = many(tmp_path / "logs", 30, ".0")
+    query = follow.follow_segments(spark, folder, out, str(tmp_path / "check"), 2)
+    query.awaitTermination()
+    got = {(r.file, r.line_no) for r in spark.read.parquet(out).select("file", "line_no").collect()}
+    assert query.lastProgress.batchId < tail.BATCHES and got == {(f"f{i:02}", k) for i in range(30) for k in (1, 2, 3, 4)}
