@@ -22,7 +22,6 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.alerts import epochs
 from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
 from ..session import filesystem
@@ -34,14 +33,18 @@ CHUNK = "file string, path string, epoch long, at long, then long, n long, place
 NUMBERED = "file string, path string, epoch long, lines long, entries long, places array<int>, texts array<string>"
 #: Bytes of a task's range and of a chunk; bytes that are looked at at once to find where a line begins.
 RANGE, CHUNK_BYTES, BACK = 64 << 20, 1 << 20, 1 << 16
+#: Tasks that what was added is dealt to, as long as none of them has more than ``RANGE`` bytes.
+TASKS = 64
 #: A backlog is read in at most so many batches, each of at most so many files.
 BATCHES, MOST_FILES = 12, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Range(InputPartition):
-    def __init__(self, file: str, path: str, epoch: int, begin: int, end: int):
-        self.file, self.path, self.epoch, self.begin, self.end = file, path, epoch, begin, end
+class Ranges(InputPartition):
+    """Ranges (file, path, epoch, begin, end) that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[tuple[str, str, int, int, int]]):
+        self.ranges = ranges
 
 
 def polled(before: dict, sizes: dict[str, int]) -> dict:
@@ -63,6 +66,19 @@ def grown(before: dict, now: dict, size: int = RANGE) -> list[tuple[str, int, in
     return out
 
 
+def together(ranges: list[tuple[str, int, int, int]], size: int) -> list[list[tuple[str, int, int, int]]]:
+    """The ranges in order, those of a task together: some ``TASKS`` lists, or more if these had over ``RANGE`` bytes, of ``size`` bytes at least."""
+    most = max(size, min(RANGE, sum(end - begin for *_, begin, end in ranges) // TASKS))
+    out, held = [], most
+    for r in ranges:
+        if held >= most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += r[3] - r[2]
+    return out
+
+
 def chunks(stream, begin: int, end: int, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, bytes]]:
     """(begin, end, bytes) of the lines that end in a range of a file, some ``size`` bytes at a time, whole lines alone."""
     at = begin
@@ -118,23 +134,27 @@ class GrowingReader(DataSourceStreamReader):
             out.move(path + ".new", path)
         return self.seen
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(file, posixpath.join(self.folder, file), *more) for file, *more in grown(start, end, self.size)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return [Ranges([(file, posixpath.join(self.folder, file), *more) for file, *more in own]) for own in together(grown(start, end, self.size), self.size)]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for own in partition.ranges:
+            yield from self._read(*own)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        system, path = filesystem(partition.path)
+    def _read(self, file: str, where: str, epoch: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        system, path = filesystem(where)
         try:
             stream = system.open_input_file(path)
         except FileNotFoundError:
             return
         with stream:
-            for begin, end, data in chunks(stream, partition.begin, partition.end):
+            for begin, end, data in chunks(stream, low, high):
                 text = decode(data[:-1], self.encoding)
                 if not begin:
                     text = text.removeprefix(chr(0xFEFF))
                 lines = [x.removesuffix("\r") for x in text.split("\n")]
                 places = [i for i, x in enumerate(lines) if x]
-                row = (partition.file, partition.path, partition.epoch, begin, end, len(lines), places, [lines[i] for i in places])
+                row = (file, where, epoch, begin, end, len(lines), places, [lines[i] for i in places])
                 types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
                 names = ["file", "path", "epoch", "at", "then", "n", "places", "texts"]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
@@ -219,20 +239,20 @@ def files_of_batch(spark: SparkSession, folder: str, least: int) -> int:
     return max(least, min(MOST_FILES, -(-list_files(spark, folder).count() // BATCHES)))
 
 
-def segment_chunks(spark: SparkSession, folder: str, files_per_batch: int = 100, polls: DataFrame | None = None, name: Column | None = None) -> DataFrame:
+def segment_chunks(spark: SparkSession, folder: str, files_per_batch: int = 100, seen: DataFrame | None = None, name: Column | None = None) -> DataFrame:
     """Chunks of growth that someone else cuts into segments "name.N" (N from 0; ``name`` says where that stands if not in the file's name).
 
     A segment, which is what came between two polls, is one chunk.  ``files_per_batch`` is the least: see :func:`files_of_batch`.
 
-    ``polls`` (file, poll_no, size) are the sizes that were seen, by which a rotation begins a new epoch.
+    ``seen`` (file, poll_no, epoch) says which epoch a segment is of: see :func:`logloom.operators.alerts.epochs`.
     """
     rows = spark.readStream.option("maxFilesPerTrigger", files_of_batch(spark, folder, files_per_batch)).text(folder, wholetext=True)
     name = F.col("_metadata.file_name") if name is None else name
     rows = rows.select(F.regexp_extract(name, r"^(.*)\.(\d+)\z", 1).alias("file"), F.col("_metadata.file_path").alias("path"), F.regexp_extract(name, r"\.(\d+)\z", 1).cast("long").alias("at"), F.regexp_replace("value", r"\n\z", "").alias("value"), (F.col("value") == "").alias("none"))
-    if polls is None:
+    if seen is None:
         rows = rows.withColumn("epoch", F.lit(0).cast("long"))
     else:
-        seen = epochs(polls).select(F.col("file").alias("__f"), "poll_no", "epoch")
+        seen = seen.select(F.col("file").alias("__f"), "poll_no", "epoch")
         rows = rows.join(seen, (F.col("file") == F.col("__f")) & (F.col("at") == F.col("poll_no")), "left").withColumn("epoch", F.coalesce("epoch", F.lit(0)).cast("long"))
     lines = F.when(F.col("none"), F.array().cast("array<string>")).otherwise(F.transform(F.split("value", "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", "")))
     rows = rows.withColumn("lines", lines)

@@ -39,3 +39,12 @@ def test_segments_of_a_backlog(spark, tmp_path):
     query.awaitTermination()
     got = {(r.file, r.line_no) for r in spark.read.parquet(out).select("file", "line_no").collect()}
     assert query.lastProgress.batchId < tail.BATCHES and got == {(f"f{i:02}", k) for i in range(30) for k in (1, 2, 3, 4)}
+
+
+def test_small_ranges_are_read_together():
+    """Many small files are some tasks, not one each; large ranges stay apart, and the order is kept."""
+    small = [(f"f{i:04}", 0, 0, 50) for i in range(3000)]
+    own = tail.together(small, 8)
+    assert len(own) <= tail.TASKS + 1 and [r for x in own for r in x] == small
+    large = [("a", 0, i * tail.RANGE, (i + 1) * tail.RANGE) for i in range(200)]
+    assert tail.together(large, tail.RANGE) == [[r] for r in large] and tail.together([], 8) == []
