@@ -62,13 +62,19 @@ def fold(held: str, lines: Iterator[tuple[int, str]], idle: int) -> tuple[list[t
     return out, held
 
 
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """A batch's blocks, of which one at a time is Python's values."""
+    columns = [batch.column(c) for c in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def _left(idle: int):
     """What each block leaves: rows are file, blk, numbers, texts, held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("numbers", "texts", "held")], strict=True)
-            left = [fold(held, zip(numbers, texts, strict=True), idle)[1] for numbers, texts, held in rows]
+            left = [fold(held, zip(numbers, texts, strict=True), idle)[1] for numbers, texts, held in _rows(batch, "numbers", "texts", "held")]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("blk"), batch.column("held"), pa.array(left, pa.string())], ["file", "blk", "held", "left"])
 
     return work
@@ -81,7 +87,7 @@ def _left_in_order(idle: int):
         file, held, begun = None, "", False
         for batch in batches:
             before, left = [], []
-            for own, numbers, texts in zip(*[batch.column(c).to_pylist() for c in ("file", "numbers", "texts")], strict=True):
+            for own, numbers, texts in _rows(batch, "file", "numbers", "texts"):
                 if not begun or own != file:
                     file, held, begun = own, "", True
                 before.append(held)
@@ -97,15 +103,16 @@ def _cut(idle: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for file, numbers, texts, held, last in zip(*[batch.column(c).to_pylist() for c in ("file", "numbers", "texts", "held", "last")], strict=True):
+            for file, numbers, texts, held, last in _rows(batch, "file", "numbers", "texts", "held", "last"):
                 found, rest = fold(held, zip(numbers, texts, strict=True), idle)
-                out += [(file, number, text, event, not event) for number, text, event in found]
+                out = [(file, number, text, event, not event) for number, text, event in found]
                 if last:
                     out.append((file, numbers[-1], rest, False, False))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "line_no", "line", "complete", "given_up"])
+                if not out:
+                    continue
+                # a block's events go out before the next block is read
+                types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["file", "line_no", "line", "complete", "given_up"])
 
     return work
 

@@ -48,3 +48,16 @@ def test_small_ranges_are_read_together():
     assert len(own) <= tail.TASKS + 1 and [r for x in own for r in x] == small
     large = [("a", 0, i * tail.RANGE, (i + 1) * tail.RANGE) for i in range(200)]
     assert tail.together(large, tail.RANGE) == [[r] for r in large] and tail.together([], 8) == []
+
+
+def test_events_leave_block_by_block():
+    """Events of a block go out before the next block is values, so that a task's memory doesn't grow with its blocks."""
+    import pyarrow as pa
+
+    from logloom.operators import log4j
+
+    texts = [f'<log4j:event n="{i}"/>' for i in range(5)]
+    columns = {"file": ["a"] * 4, "numbers": [[5 * b + i for i in range(5)] for b in range(4)], "texts": [texts] * 4, "held": [""] * 4, "last": [False] * 3 + [True]}
+    out = list(log4j._cut(1_000_000)(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in out) == 6 and sum(b.num_rows for b in out) == 21
+    assert [x for b in out for x in b.column("line").to_pylist()][:20] == texts * 4
