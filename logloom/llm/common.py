@@ -6,7 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def fewer(df: DataFrame, rows: int, each: int) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
+#: Bytes of a batch that are Python's values at once.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of some ``size`` bytes; what a worker's Arrow pool has kept goes back when its task ends, as workers live on."""
+    try:
+        for batch in batches:
+            rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 #: Rows of fixed width (some 60 bytes each) that are sent to every task.
 BROADCAST = 100_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_UPPER, materialise, table
+from .common import ASCII_UPPER, materialise, slices, table
 from .shingles import mixed, word_numbers
 
 WINDOW = 13
@@ -151,7 +151,7 @@ def _with_marks(batch: pa.RecordBatch, names: list[str], marks: list[tuple]) ->
 def _marks(key: bytes, sent, window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, sent.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             texts = map(words_of, batch.column("text").cast(pa.binary()).to_pylist())
             yield _with_marks(batch, ["doc", "text"], [(*automaton.match(w), len(w)) for w in texts])
 

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 #: Symbols of a piece; no result depends on it.
 PIECE = 256
@@ -296,7 +296,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 def _predict(sent, excess: float, slack: float, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             langs, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             at, size = 0, 0

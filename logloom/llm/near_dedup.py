@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, fewer, materialise, shuffle_partitions, table
+from .common import bounded, fewer, materialise, shuffle_partitions, slices, table
 from .components import connected_components
 from .shingles import SIGNATURE, alike, linked, mixed, shingle_sets, signature
 
@@ -42,7 +42,7 @@ ROWS = 400_000
 
 def _sketches(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, sigs = [], [], []
             for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k):
                 sizes.append(len(s))
@@ -175,7 +175,7 @@ def _compare_nodes(least: int):
 
 def _full_sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "members", "class")), pa.array(sets, pa.binary())], ["cluster", "members", "class", "shingles"])
 

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, slices, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to the byte-level vocabulary of 50,256 ranks.
@@ -129,7 +129,7 @@ def _pack(sent, pattern: str, length: int, block_tokens: int):
             [("block", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("position_ids", pa.binary())]
         )
         now, part, pieces, held = None, 0, [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for block, doc, text in zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if block != now or held >= block_tokens * width:
                     if pieces:
