@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -43,6 +45,29 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+#: Tasks that list folders at most: Spark would have one for each folder, up to 10,000.
+LISTING = 64
+
+
+def few_listing_tasks(spark: SparkSession) -> SparkSession:
+    """Have folders listed by ``LISTING`` tasks at most, a setting of the session: a followed folder is listed as long as its query lives."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.set(name, str(min(LISTING, int(spark.conf.get(name)))))
+    return spark
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, shuffles have at most so many partitions; a streaming query that is started within keeps that."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the folders that :func:`scratch` has named for this application, and what was read from them: their number.
 

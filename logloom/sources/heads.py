@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import filesystem
+from ..session import few_listing_tasks, filesystem
 from .lines import SAMPLE, decide_encoding, decode
 
 #: Bytes of a file that are read, and files of a task.
@@ -40,7 +40,7 @@ def _heads(most: int, lines: int):
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """path, length and modificationTime of files; no byte of them is read."""
-    reader = spark.read.format("binaryFile")
+    reader = few_listing_tasks(spark).read.format("binaryFile")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "length", "modificationTime")
 
 

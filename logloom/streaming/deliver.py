@@ -23,7 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators import alerts
 from ..session import filesystem
-from .tail import ROCKS
+from .tail import ROCKS, begin
 
 PAYLOAD = "target string, delivery long, batch long, payload string"
 #: Milliseconds that the first match of a delivery waits, and how often it is looked at.
@@ -160,7 +160,7 @@ def deliver(payloads_: DataFrame, send: Callable[[str, str, str], None], ledger:
     Matches that wait are looked at each time ``every`` has passed, so such a query has no end of its own.
     """
     payloads_.sparkSession.dataSource.register(sink(send, ledger))
-    return payloads_.writeStream.format("deliveries").option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
+    return begin(payloads_.sparkSession, payloads_.writeStream.format("deliveries").outputMode("append"), checkpoint, every)
 
 
 def finish(query: StreamingQuery, idle: int = 3) -> None:

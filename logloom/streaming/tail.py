@@ -19,12 +19,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.entries import COLUMNS
 from ..operators.parsers import DEFAULT_TEMPLATE, parse_pattern
-from ..session import filesystem
+from ..session import few_listing_tasks, filesystem, shuffle_partitions
 from ..sources.heads import list_files
 from ..sources.lines import SUFFIXES, decode
 
@@ -37,6 +37,8 @@ RANGE, CHUNK_BYTES, BACK = 64 << 20, 1 << 20, 1 << 16
 TASKS = 64
 #: A backlog is read in at most so many batches, each of at most so many files.
 BATCHES, MOST_FILES = 12, 10_000
+#: Shuffle partitions of a query, at most: each is a task, with a state of its own and a Python worker, of every batch, with input or without.
+PARTITIONS = 16
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -246,7 +248,7 @@ def segment_chunks(spark: SparkSession, folder: str, files_per_batch: int = 100,
 
     ``seen`` (file, poll_no, epoch) says which epoch a segment is of: see :func:`logloom.operators.alerts.epochs`.
     """
-    rows = spark.readStream.option("maxFilesPerTrigger", files_of_batch(spark, folder, files_per_batch)).text(folder, wholetext=True)
+    rows = few_listing_tasks(spark).readStream.option("maxFilesPerTrigger", files_of_batch(spark, folder, files_per_batch)).text(folder, wholetext=True)
     name = F.col("_metadata.file_name") if name is None else name
     rows = rows.select(F.regexp_extract(name, r"^(.*)\.(\d+)\z", 1).alias("file"), F.col("_metadata.file_path").alias("path"), F.regexp_extract(name, r"\.(\d+)\z", 1).cast("long").alias("at"), F.regexp_replace("value", r"\n\z", "").alias("value"), (F.col("value") == "").alias("none"))
     if seen is None:
@@ -260,9 +262,15 @@ def segment_chunks(spark: SparkSession, folder: str, files_per_batch: int = 100,
     return rows.select("file", "path", "epoch", "at", (F.col("at") + 1).alias("then"), F.size("lines").cast("long").alias("n"), places.cast("array<int>").alias("places"), F.filter("lines", lambda x: x != "").alias("texts"))
 
 
+def begin(spark: SparkSession, writer: DataStreamWriter, checkpoint: str, every: str | None = None, partitions: int = PARTITIONS) -> StreamingQuery:
+    """Start a query, of at most so many shuffle partitions (a checkpoint keeps those it began with), that stops when it has read what is there, or goes on."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    with shuffle_partitions(spark, partitions):
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def start(df: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return begin(df.sparkSession, df.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint, every)
 
 
 def follow_growing(spark: SparkSession, folder: str, out: str, checkpoint: str, template: str = DEFAULT_TEMPLATE, every: str | None = None, encoding: str = "utf-8", range_bytes: int = RANGE) -> StreamingQuery:

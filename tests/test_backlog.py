@@ -61,3 +61,19 @@ def test_events_leave_block_by_block():
     out = list(log4j._cut(1_000_000)(iter([pa.RecordBatch.from_pydict(columns)])))
     assert max(b.num_rows for b in out) == 6 and sum(b.num_rows for b in out) == 21
     assert [x for b in out for x in b.column("line").to_pylist()][:20] == texts * 4
+
+
+def test_a_batch_costs_few_tasks(spark, tmp_path):
+    """A query has some state partitions, whatever the session's shuffles have, and folders are listed by some tasks."""
+    parallelism, shuffle = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(shuffle)
+    spark.conf.unset(parallelism)
+    spark.conf.set(shuffle, "40")
+    try:
+        query = follow.follow_segments(spark, many(tmp_path / "logs", 3, ".0"), str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        assert spark.conf.get(shuffle) == "40"
+    finally:
+        spark.conf.set(shuffle, before)
+    assert [op.numShufflePartitions for op in query.lastProgress.stateOperators] == [tail.PARTITIONS]
+    assert int(spark.conf.get(parallelism)) <= 64 and spark.read.parquet(str(tmp_path / "out")).count() == 12
