@@ -98,3 +98,15 @@ def test_files_without_content(spark):
     assert [(r.path, r.line_no, r.line) for r in sources.decode_logs(files).collect()] == [("d", 1, "x"), ("d", 3, "y")]
     assert [(r.encoding, r.files, r.lines) for r in sources.encoding_census(files).collect()] == [("utf-8", 1, 2)]
     assert sorted((r.path, r.line, bool(r.error)) for r in sources.zip_members(files).collect()) == [(p, None, True) for p in "abcd"]
+
+
+def test_lines_of_many_small_files_leave_together():
+    """A batch of lines for many files, not one for each; a large file's lines leave in several."""
+    import pyarrow as pa
+
+    given = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(500)] + ["large"], "content": [b"a\r\n\x80", None] * 250 + [b"x\n" * 120_000]})
+    out = list(sources._decoded("windows-1252")(iter([given])))
+    assert len(out) <= 4 and max(b.num_rows for b in out) <= 2 * sources.LINES
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows[:3] == [("f0", "windows-1252", 0, 1, "a"), ("f0", "windows-1252", 0, 2, "€"), ("f1", "windows-1252", 0, 1, "")]
+    assert [r[3] for r in rows if r[0] == "large"] == list(range(1, 120_002))
