@@ -133,8 +133,11 @@ def log4j(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.array(F.concat(F.lit('<log4j:event logger="a" timestamp="'), ms, F.lit('" level="'), token(), F.lit('"/>')))
     two = F.array(F.concat(F.lit('<LogRecord level="'), token(), F.lit('" timeMillis="'), ms, F.lit('">')), F.concat(F.lit("<Message>"), message(), F.lit(" &lt;&amp;amp;&gt;</Message>")), F.lit("</LogRecord>"))
     three = F.array(F.concat(F.lit('<log4j:event logger="a" timestamp="'), ms, F.lit('" level="'), token(), F.lit('" thread="main">')), F.concat(F.lit("  <log4j:message>"), message()), F.lit("\tmore &amp; more</log4j:message></log4j:event>"))
-    rows = df.select("file", "event_id", F.posexplode(F.when(e % 7 == 0, one).when(e % 11 == 0, two).otherwise(three)).alias("pos", "line"))
-    return rows.select("file", F.row_number().over(W.partitionBy("file").orderBy("event_id", "pos")).cast("long").alias("line_no"), "line")
+    # lines before an event's are counted over events, so that no line is sorted
+    before = F.sum(F.when(e % 7 == 0, 1).otherwise(3)).over(W.partitionBy("file").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = df.select("file", "before", F.posexplode(F.when(e % 7 == 0, one).when(e % 11 == 0, two).otherwise(three)).alias("pos", "line"))
+    return rows.select("file", (F.col("before") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

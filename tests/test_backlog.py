@@ -77,3 +77,14 @@ def test_a_batch_costs_few_tasks(spark, tmp_path):
         spark.conf.set(shuffle, before)
     assert [op.numShufflePartitions for op in query.lastProgress.stateOperators] == [tail.PARTITIONS]
     assert int(spark.conf.get(parallelism)) <= 64 and spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_log4j_lines_are_numbered_over_events(spark):
+    """The window that numbers rendered lines sorts events, not their lines."""
+    from logloom.plans import render
+
+    lines = render.log4j(spark, "/root/testdata/sf0.001")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # the plan is printed from its end
+    seen = lines.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("d"), F.max("line_no").alias("m"), F.min("line_no").alias("l")).collect()
+    assert seen and all(r.n == r.d == r.m and r.l == 1 for r in seen)
