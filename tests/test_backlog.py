@@ -79,6 +79,14 @@ def test_a_batch_costs_few_tasks(spark, tmp_path):
     assert int(spark.conf.get(parallelism)) <= 64 and spark.read.parquet(str(tmp_path / "out")).count() == 12
 
 
+def test_one_file_is_written_in_order_by_parts(spark, tmp_path):
+    """Parts of sorted lines become one file: no task sorts all of them."""
+    from logloom.plans import queries
+
+    queries._joined(spark, spark.range(0, 5000, 1, 7).select((4999 - F.col("id")).alias("k")).orderBy("k").select(F.col("k").cast("string").alias("line")), f"{tmp_path}/one/all.log")
+    assert (tmp_path / "one" / "all.log").read_text().split() == [str(i) for i in range(5000)]
+
+
 def test_log4j_lines_are_numbered_over_events(spark):
     """The window that numbers rendered lines sorts events, not their lines."""
     from logloom.plans import render
