@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_message
+from ..session import scratch
 from .filters import file_condition, level_condition, text_condition
 
 BATCH, BACKLOG = 50, 1000
@@ -29,12 +30,36 @@ def payload_items(matched: DataFrame) -> DataFrame:
     return matched.withColumn("item", item)
 
 
-def alert_batches(matched: DataFrame, delivery: str = "delivery", order: str = "arrival", size: int = BATCH) -> DataFrame:
-    """Payloads of up to ``size`` items in order: delivery, batch and items."""
-    n = F.row_number().over(W.partitionBy(delivery).orderBy(order)) - 1
-    rows = payload_items(matched).withColumn("batch", F.floor(n / size))
-    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "item"))), lambda x: x["item"])
-    return rows.groupBy(delivery, "batch").agg(items.alias("entries"))
+def alert_batches(matched: DataFrame, delivery: str = "delivery", order: str = "arrival", size: int = BATCH, spread: bool = False) -> DataFrame:
+    """Payloads of up to ``size`` items in order: delivery, batch and items.
+
+    A delivery is numbered by one task; with ``spread`` by many, for which the rows are written at once: see :func:`_spread`.
+    """
+    rows = payload_items(matched).select(delivery, order, "item")
+    if spread:
+        rows = _spread(rows, delivery, order)
+    else:
+        rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(delivery).orderBy(order)) - 1)
+    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__n").alias("n"), "item"))), lambda x: x["item"])
+    return rows.groupBy(delivery, F.floor(F.col("__n") / size).alias("batch")).agg(items.alias("entries"))
+
+
+def _spread(rows: DataFrame, delivery: str, order: str) -> DataFrame:
+    """The rows with ``__n``, their place from 0 in the delivery's order.
+
+    Rows are written (ranges are found by a look at them), dealt by ranges of delivery and order and written with their places in the range; only
+    counts of a range's deliveries are accumulated.
+    """
+    spark, matches, path = rows.sparkSession, scratch(rows.sparkSession), scratch(rows.sparkSession)
+    rows.write.parquet(matches)
+    dealt = spark.read.schema(rows.schema).parquet(matches).repartitionByRange(delivery, order).sortWithinPartitions(delivery, order).withColumn("__id", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumn("__range", F.shiftright("__id", 33))
+    each = rows.groupBy(F.col(delivery).alias("__d"), F.col("__range").alias("__r")).agg(F.count("*").alias("n"), F.min("__id").alias("first"))
+    before = F.sum("n").over(W.partitionBy("__d").orderBy("__r").rowsBetween(W.unboundedPreceding, -1))
+    starts = each.select("__d", "__r", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("__start"))
+    found = rows.join(starts, F.col(delivery).eqNullSafe(F.col("__d")) & (F.col("__range") == F.col("__r")))
+    return found.withColumn("__n", F.col("__start") + F.col("__id")).drop("__d", "__r", "__start", "__id", "__range")
 
 
 def payload_json(batches: DataFrame) -> DataFrame:

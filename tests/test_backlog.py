@@ -79,6 +79,15 @@ def test_a_batch_costs_few_tasks(spark, tmp_path):
     assert int(spark.conf.get(parallelism)) <= 64 and spark.read.parquet(str(tmp_path / "out")).count() == 12
 
 
+def test_a_large_delivery_is_numbered_by_many_tasks(spark):
+    """Payloads of one delivery are the same, whether one task numbers it or many do, and no window sorts it whole."""
+    from logloom.operators import alerts
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("delivery"), F.expr("lpad(cast(id * 7919 % 3000 as string), 5, '0')").alias("arrival"), F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit(None).cast("string").alias("ts_iso"), F.lit("WARN").alias("level"), F.col("id").cast("string").alias("message"))
+    one, many_ = (sorted(alerts.alert_batches(rows, spread=s).collect(), key=lambda r: (r.delivery, r.batch)) for s in (False, True))
+    assert one == many_ and len(one) == 60 and [len(r.entries) for r in one] == [50] * 60
+
+
 def test_one_file_is_written_in_order_by_parts(spark, tmp_path):
     """Parts of sorted lines become one file: no task sorts all of them."""
     from logloom.plans import queries
