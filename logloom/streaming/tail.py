@@ -36,7 +36,7 @@ RANGE, CHUNK_BYTES, BACK = 64 << 20, 1 << 20, 1 << 16
 #: Tasks that what was added is dealt to, as long as none of them has more than ``RANGE`` bytes.
 TASKS = 64
 #: A backlog is read in at most so many batches, each of at most so many files.
-BATCHES, MOST_FILES = 12, 10_000
+BATCHES, MOST_FILES = 4, 10_000
 #: Shuffle partitions of a query, at most: each is a task, with a state of its own and a Python worker, of every batch, with input or without.
 PARTITIONS = 16
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -105,3 +105,22 @@ def test_log4j_lines_are_numbered_over_events(spark):
     assert plan.index("Generate") < plan.index("Window")  # the plan is printed from its end
     seen = lines.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("d"), F.max("line_no").alias("m"), F.min("line_no").alias("l")).collect()
     assert seen and all(r.n == r.d == r.m and r.l == 1 for r in seen)
+
+
+def test_files_stand_in_one_folder(spark, tmp_path):
+    """Each rendered log is a file of its own name, its lines in order, and no folder is listed for each of them."""
+    from logloom.plans import queries
+
+    rows = spark.range(0, 4000, 1, 5).select(F.concat(F.lit("f"), (F.col("id") % 7).cast("string"), F.lit(".log")).alias("file"), (4000 - F.col("id")).alias("line_no"), F.when(F.col("id") % 9 > 0, F.col("id").cast("string")).alias("line"))
+    folder = queries._files(spark, rows, str(tmp_path / "logs"))
+    assert sorted(x.name for x in (tmp_path / "logs").iterdir()) == [f"f{i}.log" for i in range(7)]
+    for i in range(7):
+        want = "".join(f"{n if n % 9 else ''}\n" for n in range(3999, -1, -1) if n % 7 == i)
+        assert (tmp_path / "logs" / f"f{i}.log").read_text() == want
+    assert spark.read.text(folder).count() == 4000
+
+
+def test_a_backlog_is_a_few_batches(spark, tmp_path):
+    query = follow.follow_segments(spark, many(tmp_path / "logs", 40, ".0"), str(tmp_path / "out"), str(tmp_path / "check"), 1)
+    query.awaitTermination()
+    assert query.lastProgress.batchId < 4 and spark.read.parquet(str(tmp_path / "out")).count() == 160
