@@ -124,3 +124,17 @@ def test_a_backlog_is_a_few_batches(spark, tmp_path):
     query = follow.follow_segments(spark, many(tmp_path / "logs", 40, ".0"), str(tmp_path / "out"), str(tmp_path / "check"), 1)
     query.awaitTermination()
     assert query.lastProgress.batchId < 4 and spark.read.parquet(str(tmp_path / "out")).count() == 160
+
+
+def test_semi_and_anti_joins_compare_plain_columns(spark):
+    """Entries are parsed before they are joined, not in the conditions of joins; rows equal the SQL's."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        got = entry.queries()["sql_semi_anti"](spark, folder)
+        assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+        want = con.execute(f"SELECT file, line_no FROM ({entry.oracle_sql()['sql_semi_anti']})").fetchall()
+        assert want and sorted((r.file, r.line_no) for r in got.collect()) == sorted(want)
