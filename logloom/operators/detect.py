@@ -66,16 +66,16 @@ def detect_template(lines: DataFrame) -> DataFrame:
 
 def detect_dsv(lines: DataFrame) -> DataFrame:
     """file, delimiter, ts_col, level_col of the files with one consistent delimiter."""
-    cells = None
-    for i, d in enumerate(DELIMITERS):
-        own = lines.select("file", "line_no", F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), F.split("line", re.escape(d), -1).alias("cells"))
-        cells = own if cells is None else cells.unionByName(own)
-    cells = cells.withColumn("n", F.size("cells"))
-    most = cells.groupBy("file", "rank").agg(F.max("n").alias("most"), F.count("*").alias("rows"))
-    wide = cells.join(most, ["file", "rank"])
-    good = wide.groupBy("file", "rank").agg(F.first("delimiter").alias("delimiter"), F.first("most").alias("most"), F.avg((F.col("n") == F.col("most")).cast("int")).alias("share")).filter("most >= 2 AND share >= 0.95")
-    chosen = good.groupBy("file").agg(F.min_by("rank", "rank").alias("rank"), F.min_by("delimiter", "rank").alias("delimiter"))
-    each = wide.join(chosen.select("file", "rank"), ["file", "rank"]).select("file", "rows", F.posexplode("cells").alias("pos", "cell"))
+    cut = [F.split("line", re.escape(d), -1) for d in DELIMITERS]
+    # numbers of cells alone are counted; lines are cut into cells by the delimiter that is chosen
+    counts = lines.select("file", F.posexplode(F.array(*map(F.size, cut))).alias("rank", "n")).groupBy("file", "rank", "n").agg(F.count("*").alias("c"))
+    good = counts.groupBy("file", "rank").agg(F.max("n").alias("most"), F.max_by("c", "n").alias("full"), F.sum("c").alias("rows")).filter("most >= 2 AND full / rows >= 0.95")
+    chosen = good.groupBy("file").agg(F.min("rank").alias("rank"), F.first("rows").alias("rows"))
+    chosen = chosen.withColumn("delimiter", F.get(F.array(*map(F.lit, DELIMITERS)), F.col("rank")))
+    cells = F
+    for i, c in enumerate(cut):
+        cells = cells.when(F.col("rank") == i, c)
+    each = lines.select("file", "line").join(chosen.select("file", "rank", "rows"), "file").select("file", "rows", F.posexplode(cells).alias("pos", "cell"))
     hits = each.groupBy("file", "pos").agg((F.count_if(is_timestamp(F.col("cell"))) / F.first("rows") >= 0.5).alias("ts"), (F.count(normalize_level(F.col("cell"))) / F.first("rows") >= 0.5).alias("level"))
     ts = hits.filter("ts").groupBy("file").agg(F.min("pos").alias("ts_col"))
     level = hits.filter("level").join(ts, "file", "left").filter("ts_col IS NULL OR pos <> ts_col").groupBy("file").agg(F.min("pos").alias("level_col"))
@@ -92,15 +92,20 @@ def detect_format(lines: DataFrame) -> DataFrame:
 
 def detect_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """As :func:`detect_format`, of files, of which the first MiB alone is read: see :func:`logloom.sources.heads.read_heads`."""
-    return _detect(read_heads(spark, path, glob, lines=SAMPLE), None)
+    return detect_heads(read_heads(spark, path, glob, lines=SAMPLE))
+
+
+def detect_heads(first: DataFrame) -> DataFrame:
+    """As :func:`detect_format`, of the heads of files (file, line_no, line), which are read once: a file that has no line in them is left out."""
+    return _detect(first.filter(F.col("line_no") <= SAMPLE), None)
 
 
 def _detect(first: DataFrame, files: DataFrame | None) -> DataFrame:
     spark, path = first.sparkSession, scratch(first.sparkSession)
     parsers.last_key_wins(spark)
     first = first.select("file", "line_no", "line")
-    first.write.parquet(path)  # a few hundred lines of each file, which several counts look at
-    some = spark.read.schema(first.schema).parquet(path)
+    first.write.parquet(f"{path}/lines")  # a few hundred lines of each file, which several counts look at
+    some = spark.read.schema(first.schema).parquet(f"{path}/lines")
     files, some = some.select("file").distinct() if files is None else files, sample(some)
     line = F.col("line")
     first_fields = F.first(F.when(line.startswith("#Fields:"), line), ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -117,7 +122,7 @@ def _detect(first: DataFrame, files: DataFrame | None) -> DataFrame:
         F.count_if(line.rlike(ACCESS)).alias("requests"),
         F.count_if(line.contains("<log4j:event") | line.contains("<LogRecord")).alias("events"),
     )
-    all_ = files.join(stats, "file", "left").join(detect_dsv(some), "file", "left").join(detect_template(some), "file", "left").join(resolve_json_keys(some), "file", "left")
+    all_ = files.join(stats, "file", "left").join(detect_dsv(some), "file", "left")
     n = F.col("n")
     # The order in which formats are tried, and the share or number of lines that each asks for.
     kind = (
@@ -129,8 +134,14 @@ def _detect(first: DataFrame, files: DataFrame | None) -> DataFrame:
         .when(F.col("delimiter").isNotNull(), "dsv")
         .otherwise("pattern")
     )
+    kinds = all_.withColumn("kind", kind).select("file", "kind", "fields", "delimiter", "ts_col", "level_col")
+    kinds.write.parquet(f"{path}/kinds")
+    kinds = spark.read.schema(kinds.schema).parquet(f"{path}/kinds")
+    # templates are tried on the lines of pattern files alone, and keys are looked for in those of JSON files
+    own = lambda k: some.select("file", "line").join(kinds.filter(F.col("kind") == k).select("file"), "file", "left_semi")
+    kinds = kinds.join(detect_template(own("pattern")), "file", "left").join(resolve_json_keys(own("json")), "file", "left")
     of = lambda k, c: F.when(F.col("kind") == k, F.col(c)).alias(c)
-    return all_.withColumn("kind", kind).select(
+    return kinds.select(
         "file", "kind", F.when(F.col("kind") == "pattern", F.coalesce("template", F.lit(DEFAULT_TEMPLATE))).alias("template"), of("w3c", "fields"),
         of("json", "ts_key"), of("json", "level_key"), of("json", "msg_key"), of("dsv", "delimiter"), of("dsv", "ts_col"), of("dsv", "level_col"),
     )

@@ -138,3 +138,21 @@ def test_semi_and_anti_joins_compare_plain_columns(spark):
         con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
         want = con.execute(f"SELECT file, line_no FROM ({entry.oracle_sql()['sql_semi_anti']})").fetchall()
         assert want and sorted((r.file, r.line_no) for r in got.collect()) == sorted(want)
+
+
+def test_heads_are_read_once(spark):
+    """Detection reads the heads once, and finds what it finds in all lines."""
+    from logloom.operators import detect
+
+    read = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = [("a", i, f"2026-01-01 00:00:0{i} INFO: m{i}") for i in range(1, 6)] + [("j", i, f'{{"ts":{i},"msg":"m"}}') for i in range(1, 6)] + [("d", i, f"2026-01-01 00:00:0{i};info;m;{i}") for i in range(1, 6)]
+    first = spark.createDataFrame(lines, "file string, line_no long, line string").mapInArrow(work, "file string, line_no long, line string")
+    got = sorted(map(str, detect.detect_heads(first).collect()))
+    assert read.value == 15 and got == sorted(map(str, detect.detect_format(first).collect()))
+    assert [("dsv" in x, "json" in x, "%d %l: %m" in x) for x in sorted(got, key=lambda x: x[10:12])] == [(False, False, True), (True, False, False), (False, True, False)]
